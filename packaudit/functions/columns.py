@@ -192,7 +192,11 @@ def is_shell_command(c: Column) -> Column:
 
 
 def glob_to_regex(c: Column) -> Column:
-    """Shell wildcard pattern to an anchored regular expression (``*``, ``?``, ``[seq]``)."""
+    """Shell wildcard pattern to an anchored regular expression (``*``, ``?``, ``[seq]``).
+
+    A bracket that opens no plain character set stands for itself.
+    """
     quoted = F.regexp_replace(c, r"([.+^$(){}|\\])", r"\\$1")
-    star = F.regexp_replace(quoted, r"\*+", ".*")
+    sets = F.regexp_replace(quoted, r"\[(?!!?(?:a-z|A-Z|0-9|\w)+\])", r"\\[")
+    star = F.regexp_replace(sets, r"\*+", ".*")
     return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(star, r"\?", "."), r"\[!", "[^"), F.lit("$"))

@@ -106,3 +106,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def numbered(df: DataFrame, key: str, bucket: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number a key's rows from 0 in (bucket, order) without sorting the whole key in one task.
+
+    Rows are numbered inside each bucket; an offset per bucket comes from the bucket sizes.
+    """
+    sizes = df.groupBy(key, *bucket).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(key).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, *bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(key, *bucket).orderBy(*order)) - 1
+    return df.withColumn("_inside", inside).join(offsets, [key, *bucket]).withColumn(
+        name, (F.col("_inside") + F.col("_offset")).cast("int")).drop("_inside", "_offset")
