@@ -72,7 +72,7 @@ def op_columns(e: DataFrame) -> DataFrame:
     even = k % 2 == 0
     dyn = k % 4 == 1
     secret = k % 10 == 0
-    cmd = F.when((t == "error") & even, F.concat(F.lit("make -C d"), ks)).otherwise("")
+    cmd = F.when((t == "error") & even, F.concat(F.when(k % 8 == 0, "crontab d").otherwise("make -C d"), ks)).otherwise("")
     url = F.when((t == "click") & even, F.concat(F.lit("https://h"), ks, F.lit(".example.net/e"))).otherwise("")
     path = F.when(t == "view", F.when(secret, "/home/x/.ssh/id_rsa").otherwise(F.concat(F.lit("data/f"), ks, F.lit(".csv")))).otherwise("")
     write = (t == "view") & (k % 3 == 0)
@@ -102,7 +102,7 @@ def code_line() -> Column:
     mode = F.when(F.col("is_write"), ', "w")').otherwise(")")
     return (
         F.when(t == "click", F.when(F.col("url") != "", F.concat(F.lit('r = requests.get("'), "url", F.lit('")')))
-               .otherwise(F.concat(F.lit("r = requests.post(url_"), ks, F.lit(", data=d)"))))
+               .otherwise(F.concat(F.lit("r = requests.post(url_"), ks, F.when(F.col("k") % 5 == 0, ", data=base64.b64encode(d))").otherwise(", data=d)"))))
         .when(t == "view", F.concat(F.lit('d = open("'), "file_path", F.lit('"'), mode))
         .when(t == "error", F.when(F.col("cmd") != "", F.concat(F.lit('os.system("'), "cmd", F.lit('")')))
               .when(F.col("cmd_dynamic"), F.concat(F.lit("subprocess.run(cmd_"), ks, F.lit(")")))

@@ -86,7 +86,7 @@ def flood_hits(df: DataFrame, line_length: int = 200, lines_over: int = 20, min_
     repeated = top.withColumn("share", F.col("top.n") / F.col("total")).filter(F.col("share") > share).select(
         key, F.lit("dos").alias("tier"),
         F.concat(F.lit("context_bomb:word_repetition="), F.col("top.word"), F.lit(":"),
-                 F.format_string("%.2f", F.col("share"))).alias("name"))
+                 F.format_string("%.2f", F.bround("share", 2))).alias("name"))
     return long_lines.unionByName(repeated)
 
 
