@@ -40,7 +40,7 @@ def encoded_hits(df: DataFrame, text: str = "content") -> DataFrame:
 def base64_runs(df: DataFrame, pattern: str = fixed.BASE64_RUN, limit: int = 10,
                 order: tuple[str, ...] = ("file_order", "path"), text: str = "content") -> DataFrame:
     """The first ``limit`` base64 runs of each package, in reading order."""
-    runs = df.select("skill_id", *order, F.posexplode(c.all_matches(F.col(text), pattern)).alias("pos", "run"))
+    runs = df.select("skill_id", *order, F.posexplode(c.all_matches(F.col(text), f"({pattern})")).alias("pos", "run"))
     return first_rows(runs, ["skill_id"], [F.col(x) for x in (*order, "pos")], limit)
 
 

@@ -31,16 +31,22 @@ def _nested(depth: int) -> str:
 
 _ARGS = _nested(_DEPTH)
 ARGUMENT = rf"((?:[^,()\[\]{{}}\"'#]++|{STRING}|{_COMMENT}|[(\[{{]{_nested(_DEPTH - 1)}[)\]}}])++)"
-_NAME = r"(?:(?<![\w.])(?:[A-Za-z_]\w*+\.)*+|(?<=[)\]'\"]\.))[A-Za-z_]\w*+"
-_RELEVANT = (
-    r"(?=[\w.]*(?:eval|exec|compile|__import__|subprocess|system|popen|spawn|requests\.|urllib|httpx\."
+_KEYWORD = (
+    r"(?:eval|exec|compile|__import__|subprocess|system|popen|spawn|requests\.|urllib|httpx\."
     r"|urlopen|http\.client|socket\.|connect|dup|open|read_text|read_bytes|write_text|write_bytes"
-    r"|getattr|os\.path\.join|Path\b|getenv|os\.environ))"
+    r"|getattr|os\.path\.join|Path\b|getenv|os\.environ)"
 )
-_CALL_HEAD = rf"(?<!def )(?<!class )(?<![\w.]){_RELEVANT}{_NAME}\s*+[(\[]|(?<=[)\]'\"]\.){_RELEVANT}[A-Za-z_]\w*+\s*+\("
-_STRING_TOKEN = rf"(?<![\w])[rRbBuUfF]{{0,2}}{STRING}|{STRING}"
+_PREFIX = r"[rRbBuUfF]{1,2}+[\"']"
+_CALL_HEAD = (
+    r"(?:(?<!def )(?<!class )(?<![\w.])(?:[A-Za-z_]\w*+\.)*+[A-Za-z_]\w*+\s*+[(\[]"
+    r"|(?<=[)\]'\"]\.)[A-Za-z_]\w*+\s*+\()"
+)
+_STRING_TOKEN = rf"(?:(?<!\w)[rRbBuUfF]{{0,2}}{STRING}|{STRING})"
+# Text between tokens is skipped in long strides, and every match starts where the last one
+# ended: punctuation, names that are not called, and called names of no interest.
+_SKIP = rf"(?:[^#\"'\w]++|(?!{_PREFIX})[\w.]++(?!\s*+[(\[])|(?!{_PREFIX})(?![\w.]*{_KEYWORD})[\w.]++)*+"
 TOKENS = (
-    rf"(?s){_COMMENT}|(?=((?:{_CALL_HEAD}){_ARGS}|{_STRING_TOKEN}))(?=[^\x01]*+\x01(\d+))(?:{_CALL_HEAD}|{_STRING_TOKEN})"
+    rf"(?s)\G{_SKIP}(?:{_COMMENT}|(?=({_CALL_HEAD}{_ARGS}|{_STRING_TOKEN}))(?=[^\x01]*+\x01(\d+))(?:{_CALL_HEAD}|{_STRING_TOKEN})|\z|.)"
 )
 _DIVISION = rf"(?s){_COMMENT}|((?:[\w.]*(?:home|expanduser)[\w.]*\s*\([^()]*+\)|[\w)\]])?\s*(?:/\s*{STRING}\s*)++)()|{STRING}"
 
@@ -137,9 +143,16 @@ def imports(files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- view A: findings
 
 
-def _op(df: DataFrame, kind: str, subtype, detail) -> DataFrame:
+def _fact(test: Column, kind, subtype, detail: Column) -> Column:
+    """One script fact where ``test`` holds, else null."""
     sub = subtype if isinstance(subtype, Column) else F.lit(subtype)
-    return df.select("skill_id", "path", F.lit(kind).alias("kind"), sub.alias("subtype"), detail.alias("detail"), "line", "pos")
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.when(test, F.struct(kind.alias("kind"), sub.alias("subtype"), detail.alias("detail")))
+
+
+def _facts(df: DataFrame, *facts: Column) -> DataFrame:
+    """All facts of a row in one pass over the table."""
+    return df.select("skill_id", "path", F.inline(F.array_compact(F.array(*facts))), "line", "pos")
 
 
 def path_divisions(files: DataFrame) -> DataFrame:
@@ -159,84 +172,77 @@ def path_divisions(files: DataFrame) -> DataFrame:
 
 def python_io(called: DataFrame, literals: DataFrame, divisions: DataFrame, imported: DataFrame, py: DataFrame) -> DataFrame:
     """What each Python file takes in, gives out, causes and reads of sensitive places."""
+    from packaudit.operators.rules import sensitive_literals
+
     fn, first = F.col("fn"), F.col("first")
-    process = called.filter(fn.isin(fixed.PROCESS_CALLS_A))
+    process, net = fn.isin(fixed.PROCESS_CALLS_A), fn.isin(fixed.NETWORK_CALLS_A)
     items = F.filter("listed", lambda a: a.rlike(_IS_STRING))
     listed = F.array_join(F.transform(items, string_value), " ")
     run = F.when(F.size(F.coalesce(items, c.empty_strings())) > 0, listed).when(first != "", first).otherwise("<dynamic>")
-    net = called.filter(fn.isin(fixed.NETWORK_CALLS_A))
     target = F.when(first == "", "<dynamic>").otherwise(first)
-    opened = called.filter("fn = 'open'")
+    opened = fn == "open"
     is_write = F.col("mode").rlike("[wxa+]")
-    env = called.filter(fn.isin("os.environ.get", "os.getenv") | ((fn == "os.environ") & F.col("indexed") & (F.col("literal") != "")))
+    env = fn.isin("os.environ.get", "os.getenv") | ((fn == "os.environ") & F.col("indexed") & (F.col("literal") != ""))
     joined = F.array_join("strings", "/")
-    built = called.filter(fn.isin("os.path.join", "Path")).withColumn("joined", joined)
-    present = py.select("skill_id", "path", F.lit(0).alias("line"), F.lit(2_000_000).alias("pos"))
-    from packaudit.operators.rules import sensitive_literals
-
-    frames = [
-        _op(process, "effect", "subprocess", run),
-        _op(net, "output", F.when(F.lower(fn).contains("post"), "network_post").otherwise("network_get"), target),
-        _op(net, "effect", "network_request", target),
-        _op(opened.filter(is_write), "output", "file_write", target),
-        _op(opened.filter(~is_write), "input", "file_read", target),
-        _op(opened.filter(c.is_sensitive_a(first)), "sensitive_read", "path", first),
-        _op(built.filter(c.is_sensitive_a(F.col("joined"))), "sensitive_read", "path", F.col("joined")),
-        _op(env, "input", "env_var", target),
-        _op(env.filter(c.is_secret_env(first)), "sensitive_read", "env", F.concat(F.lit("env:"), first)),
-        _op(divisions, "sensitive_read", "path", F.col("joined")),
-        _op(sensitive_literals(literals), "sensitive_read", "path", F.col("value")),
-        _op(imported.filter("module = 'sys'").withColumns({"line": F.lit(0), "pos": F.lit(2_000_000)}), "input", "argv", F.lit("sys.argv")),
-        _op(literals.filter(F.col("value").contains("stdin")).select("skill_id", "path").distinct()
-            .withColumns({"line": F.lit(0), "pos": F.lit(2_000_000)}), "input", "stdin", F.lit("")),
-        _op(present, "output", "stdout", F.lit("print/stdout")),
-    ]
-    rows = union_all(frames)
+    true = F.lit(True)
+    end = {"line": F.lit(0), "pos": F.lit(2_000_000)}
+    rows = union_all([
+        _facts(
+            called,
+            _fact(process, "effect", "subprocess", run),
+            _fact(net, "output", F.when(F.lower(fn).contains("post"), "network_post").otherwise("network_get"), target),
+            _fact(net, "effect", "network_request", target),
+            _fact(opened, F.when(is_write, "output").otherwise("input"), F.when(is_write, "file_write").otherwise("file_read"), target),
+            _fact(opened & c.is_sensitive_a(first), "sensitive_read", "path", first),
+            _fact(fn.isin("os.path.join", "Path") & c.is_sensitive_a(joined), "sensitive_read", "path", joined),
+            _fact(env, "input", "env_var", target),
+            _fact(env & c.is_secret_env(first), "sensitive_read", "env", F.concat(F.lit("env:"), first)),
+        ),
+        _facts(divisions, _fact(true, "sensitive_read", "path", F.col("joined"))),
+        _facts(sensitive_literals(literals), _fact(true, "sensitive_read", "path", F.col("value"))),
+        _facts(imported.filter("module = 'sys'").withColumns(end), _fact(true, "input", "argv", F.lit("sys.argv"))),
+        _facts(literals.filter(F.col("value").contains("stdin")).select("skill_id", "path").distinct().withColumns(end), _fact(true, "input", "stdin", F.lit(""))),
+        _facts(py.select("skill_id", "path").withColumns(end), _fact(true, "output", "stdout", F.lit("print/stdout"))),
+    ])
     reads = rows.filter("kind = 'sensitive_read'").groupBy("skill_id", "path", "kind", "subtype", "detail").agg(
         F.min("line").alias("line"), F.min("pos").alias("pos"))
     return rows.filter("kind <> 'sensitive_read'").unionByName(reads)
 
 
-def process_findings(called: DataFrame) -> DataFrame:
-    rows = called.filter(F.col("fn").isin(fixed.PROCESS_CALLS_A))
-    items = F.filter("listed", lambda a: a.rlike(_IS_STRING))
-    rows = rows.withColumns({
-        "fixed_n": F.size(F.coalesce(items, c.empty_strings())),
-        "all_n": F.size(F.coalesce("listed", c.empty_strings())),
-        "cmd": F.coalesce(string_value(F.get(items, F.lit(0))), F.lit("")),
-    })
-    partly = rows.filter("fixed_n > 0 and fixed_n < all_n")
-    fully = rows.filter("fixed_n = 0 and first = ''")
-    a = findings(partly, "code", "MEDIUM", "CommandInjection",
-                 F.concat(F.lit("Subprocess with partially dynamic args: "), "fn", F.lit("("), "cmd", F.lit(", ...)")),
-                 path=F.col("path"), line=F.col("line"), evidence=F.col("cmd"), confidence=0.5, pos=F.col("pos"))
-    b = findings(fully, "code", "MEDIUM", "CommandInjection",
-                 F.concat(F.lit("Subprocess with fully dynamic command: "), "fn", F.lit("()")),
-                 path=F.col("path"), line=F.col("line"), evidence=F.col("fn"), pos=F.col("pos"))
-    return a.unionByName(b)
-
-
 def call_findings(called: DataFrame) -> DataFrame:
-    """Findings that follow from one call alone."""
-    fn, first, line, pos, path = (F.col(x) for x in ("fn", "first", "line", "pos", "path"))
-    ex = called.filter(fn.isin(fixed.EXEC_CALLS_A))
-    dyn = F.col("dynamic_arg")
-    e = findings(ex, "code", F.when(dyn, "CRITICAL").otherwise("HIGH"), "RemoteCodeExecution",
-                 F.concat(F.lit("Dynamic code execution: "), fn, F.lit("() with "), F.when(dyn, "dynamic").otherwise("static"), F.lit(" argument")),
-                 path=path, line=line, evidence=fn, pos=pos)
-    net = called.filter(fn.isin(fixed.NETWORK_CALLS_A) & c.is_external_a(first))
-    n = findings(net, "code", F.when(F.lower(fn).contains("post"), "HIGH").otherwise("MEDIUM"), "DataExfiltration",
-                 F.concat(F.lit("External network call: "), fn, F.lit("() to "), first), path=path, line=line, evidence=first, pos=pos)
-    opened = called.filter((fn == "open") & c.is_sensitive_a(first))
-    o = findings(opened, "code", "CRITICAL", "CredentialTheft", F.concat(F.lit("Sensitive file access: "), first),
-                 path=path, line=line, evidence=first, pos=pos)
-    got = called.filter((fn == "getattr") & F.arrays_overlap("strings", c.str_array(fixed.RISKY_ATTRIBUTES)))
-    g = findings(got, "code", "CRITICAL", "Obfuscation", "Indirect access via getattr to dangerous attribute", path=path, line=line, pos=pos)
-    built = called.filter(fn.isin("os.path.join", "Path")).withColumn("joined", F.array_join("strings", "/"))
-    b = findings(built.filter(c.is_sensitive_a(F.col("joined"))), "code", "CRITICAL", "CredentialTheft",
-                 F.concat(F.lit("Sensitive path constructed via "), fn, F.lit("(): "), F.col("joined")),
-                 path=path, line=line, evidence=F.col("joined"), pos=pos)
-    return union_all([e, n, o, g, b, process_findings(called)])
+    """Findings that follow from one call alone, all in one pass over the calls."""
+    fn, first, dyn = F.col("fn"), F.col("first"), F.col("dynamic_arg")
+    items = F.filter("listed", lambda a: a.rlike(_IS_STRING))
+    fixed_n = F.size(F.coalesce(items, c.empty_strings()))
+    all_n = F.size(F.coalesce("listed", c.empty_strings()))
+    cmd = F.coalesce(string_value(F.get(items, F.lit(0))), F.lit(""))
+    process = fn.isin(fixed.PROCESS_CALLS_A)
+    net = fn.isin(fixed.NETWORK_CALLS_A) & c.is_external_a(first)
+    joined = F.array_join("strings", "/")
+    s = F.lit
+
+    def found(test, severity, category, text, evidence, confidence=1.0):
+        severity = severity if isinstance(severity, Column) else F.lit(severity)
+        return F.when(test, F.struct(severity.alias("severity"), s(category).alias("category"), text.alias("text"),
+                                     evidence.alias("ev"), s(confidence).alias("conf")))
+
+    marks = F.array(
+        found(fn.isin(fixed.EXEC_CALLS_A), F.when(dyn, "CRITICAL").otherwise("HIGH"), "RemoteCodeExecution",
+              F.concat(s("Dynamic code execution: "), fn, s("() with "), F.when(dyn, "dynamic").otherwise("static"), s(" argument")), fn),
+        found(net, F.when(F.lower(fn).contains("post"), "HIGH").otherwise("MEDIUM"), "DataExfiltration",
+              F.concat(s("External network call: "), fn, s("() to "), first), first),
+        found((fn == "open") & c.is_sensitive_a(first), "CRITICAL", "CredentialTheft", F.concat(s("Sensitive file access: "), first), first),
+        found((fn == "getattr") & F.arrays_overlap("strings", c.str_array(fixed.RISKY_ATTRIBUTES)), "CRITICAL", "Obfuscation",
+              s("Indirect access via getattr to dangerous attribute"), s("")),
+        found(fn.isin("os.path.join", "Path") & c.is_sensitive_a(joined), "CRITICAL", "CredentialTheft",
+              F.concat(s("Sensitive path constructed via "), fn, s("(): "), joined), joined),
+        found(process & (fixed_n > 0) & (fixed_n < all_n), "MEDIUM", "CommandInjection",
+              F.concat(s("Subprocess with partially dynamic args: "), fn, s("("), cmd, s(", ...)")), cmd, 0.5),
+        found(process & (fixed_n == 0) & (first == ""), "MEDIUM", "CommandInjection",
+              F.concat(s("Subprocess with fully dynamic command: "), fn, s("()")), fn))
+    rows = called.select("skill_id", "path", "line", "pos", F.inline(F.array_compact(marks)))
+    return findings(rows, "code", F.col("severity"), F.col("category"), F.col("text"), path=F.col("path"), line=F.col("line"),
+                    evidence=F.col("ev"), confidence=F.col("conf"), pos=F.col("pos"))
 
 
 def division_findings(divisions: DataFrame) -> DataFrame:
@@ -299,12 +305,14 @@ OPS = ("skill_id string, path string, line int, pos int, op_type string, fn stri
        "var_name string, is_write boolean, is_sensitive boolean, is_external boolean, cmd_dynamic boolean")
 
 
-def _ops(df: DataFrame, op_type: str, label: Column, fn=None, **cols) -> DataFrame:
-    defaults = {"file_path": "", "url": "", "cmd": "", "var_name": "", "is_write": False, "is_sensitive": False,
-                "is_external": False, "cmd_dynamic": False}
-    return df.select(
-        "skill_id", "path", "line", "pos", F.lit(op_type).alias("op_type"), (fn if fn is not None else F.lit("")).alias("fn"), label.alias("label"),
-        *[F.coalesce(cols[k], F.lit(v)).alias(k) if k in cols else F.lit(v).alias(k) for k, v in defaults.items()])
+_OP_FIELDS = {"fn": "", "file_path": "", "url": "", "cmd": "", "var_name": "", "is_write": False, "is_sensitive": False,
+              "is_external": False, "cmd_dynamic": False}
+
+
+def _operation(op_type: str, label: Column, **values: Column) -> Column:
+    """An operation as a struct with all fields, defaults where nothing is given."""
+    fields = [F.coalesce(values[k], F.lit(v)).alias(k) if k in values else F.lit(v).alias(k) for k, v in _OP_FIELDS.items()]
+    return F.struct(F.lit(op_type).alias("op_type"), label.alias("label"), *fields)
 
 
 def _short(c_: Column, n: int) -> Column:
@@ -314,60 +322,48 @@ def _short(c_: Column, n: int) -> Column:
 def call_ops(called: DataFrame) -> DataFrame:
     """One operation row per process, network, file or environment call; first family wins."""
     fn, lit_ = F.col("fn"), F.col("literal")
-    family = (
-        F.when(fn.isin(fixed.EXEC_CALLS_B), "exec")
-        .when(fn.isin(fixed.PROCESS_CALLS_B) | fn.contains("subprocess"), "process")
-        .when(c.has_any(fn, fixed.NETWORK_NAME_PARTS_B), "net")
-        .when((fn == "open") | c.has_any(fn, fixed.FILE_NAME_PARTS_B), "file")
-        .when(~F.col("indexed") & (fn.contains("getenv") | fn.isin("os.environ.get", "os.environ.__getitem__")), "env"))
-    rows = called.withColumn("family", family)
-    label = F.concat(fn, F.lit("("), _short(lit_, 40), F.lit("))"))
-    ex = rows.filter("family = 'exec'")
-    pr = rows.filter("family = 'process'")
-    nt = rows.filter("family = 'net'")
-    fl = rows.filter("family = 'file'").withColumn("w", F.col("literal_mode").rlike("[wax]"))
-    en = rows.filter("family = 'env'")
-    return union_all([
-        _ops(ex, "sys_op", label, fn, cmd=lit_, cmd_dynamic=F.col("is_var")),
-        _ops(pr, "sys_op", label, fn, cmd=lit_, cmd_dynamic=F.col("is_var")),
-        _ops(nt, "net_op", F.concat(fn, F.lit("("), _short(lit_, 60), F.lit("))")), fn, url=lit_, is_external=c.is_external_b(lit_)),
-        _ops(fl, "io_op", F.concat(F.when(F.col("w"), "write").otherwise("read"), F.lit("("), _short(lit_, 50), F.lit("))")), fn,
-             file_path=lit_, is_write=F.col("w"), is_sensitive=(lit_ != "") & c.is_sensitive_b(lit_)),
-        _ops(en, "env_op", F.concat(F.lit("env["), F.when(lit_ == "", "...").otherwise(lit_), F.lit("]")), fn, var_name=lit_),
-    ])
+    write = F.col("literal_mode").rlike("[wax]")
+    s = F.lit
+    run = _operation("sys_op", F.concat(fn, s("("), _short(lit_, 40), s("))")), fn=fn, cmd=lit_, cmd_dynamic=F.col("is_var"))
+    net = _operation("net_op", F.concat(fn, s("("), _short(lit_, 60), s("))")), fn=fn, url=lit_, is_external=c.is_external_b(lit_))
+    file = _operation("io_op", F.concat(F.when(write, "write").otherwise("read"), s("("), _short(lit_, 50), s("))")), fn=fn, file_path=lit_,
+                      is_write=write, is_sensitive=(lit_ != "") & c.is_sensitive_b(lit_))
+    env = _operation("env_op", F.concat(s("env["), F.when(lit_ == "", "...").otherwise(lit_), s("]")), fn=fn, var_name=lit_)
+    op = (
+        F.when(fn.isin(fixed.EXEC_CALLS_B) | fn.isin(fixed.PROCESS_CALLS_B) | fn.contains("subprocess"), run)
+        .when(c.has_any(fn, fixed.NETWORK_NAME_PARTS_B), net)
+        .when((fn == "open") | c.has_any(fn, fixed.FILE_NAME_PARTS_B), file)
+        .when(~F.col("indexed") & (fn.contains("getenv") | fn.isin("os.environ.get", "os.environ.__getitem__")), env))
+    return called.withColumn("op", op).filter("op is not null").select("skill_id", "path", "line", "pos", "op.*")
 
 
 def literal_ops(toks: DataFrame) -> DataFrame:
     """Operations only visible in constants: sensitive names, addresses, and both behind base64."""
-    texts = toks.filter("kind = 'text'")
-    plain = string_literals(toks)
     v = F.col("value")
-    sens = plain.filter(c.is_sensitive_b(v))
-    urls = plain.filter((F.length(v) > 8) & c.is_external_b(v))
-    raw = texts.filter("contains(prefix, 'b')").withColumn("value", c.decode_base64(F.regexp_replace("value", r"[^A-Za-z0-9+/=]", ""))).filter("value is not null")
-    b_url = raw.filter(c.is_external_b(v))
-    b_path = raw.filter(~c.is_external_b(v) & (F.length(v) > 3) & c.is_sensitive_b(v))
-    name = lambda kind, n: F.concat(F.lit(kind + "("), F.substring(v, 1, n), F.lit(")"))
     yes = F.lit(True)
-    return union_all([
-        _ops(sens, "io_op", name("sensitive_ref", 50), file_path=v, is_sensitive=yes),
-        _ops(urls, "net_op", name("url_literal", 60), url=v, is_external=yes),
-        _ops(b_url, "net_op", name("b64_url", 60), url=v, is_external=yes),
-        _ops(b_path, "io_op", name("b64_path", 50), file_path=v, is_sensitive=yes),
-    ])
+    name = lambda kind, n: F.concat(F.lit(kind + "("), F.substring(v, 1, n), F.lit(")"))
+    io = lambda kind: _operation("io_op", name(kind, 50), file_path=v, is_sensitive=yes)
+    net = lambda kind: _operation("net_op", name(kind, 60), url=v, is_external=yes)
+    plain = string_literals(toks).select("skill_id", "path", "line", "pos", F.inline(F.array_compact(F.array(
+        F.when(c.is_sensitive_b(v), io("sensitive_ref")), F.when((F.length(v) > 8) & c.is_external_b(v), net("url_literal"))))))
+    raw = toks.filter("kind = 'text' and contains(prefix, 'b')").withColumn("value", c.decode_base64(F.regexp_replace("value", r"[^A-Za-z0-9+/=]", "")))
+    hidden = F.when(c.is_external_b(v), net("b64_url")).when((F.length(v) > 3) & c.is_sensitive_b(v), io("b64_path"))
+    raw = raw.withColumn("op", hidden).filter("op is not null").select("skill_id", "path", "line", "pos", "op.*")
+    return plain.unionByName(raw)
 
 
 def embedded_ops(files: DataFrame) -> DataFrame:
     """Python-like calls inside text files beside the code."""
     any_hit = F.col("content").rlike("|".join(p for p, _ in fixed.EMBEDDED_CODE))
     marked = files.filter(any_hit).select("skill_id", "path", mark_lines(F.col("content")).alias("t"))
-    frames = []
-    for i, (pattern, label) in enumerate(fixed.EMBEDDED_CODE):
-        at = c.all_matches(F.col("t"), f"{pattern}(?=[^\\x01]*+\\x01(\\d+))", 1)
-        rows = marked.select("skill_id", "path", F.posexplode(at).alias("p", "l")).select(
-            "skill_id", "path", F.col("l").cast("int").alias("line"), (F.col("p") + i * 1_000_000).alias("pos"))
-        frames.append(_ops(rows, "sys_op", F.lit(label)))
-    return union_all(frames)
+
+    def places(k: int, pattern: str, label: str) -> Column:
+        found = c.all_matches(F.col("t"), pattern + r"(?=[^\x01]*+\x01(\d+))", 1)
+        return F.transform(found, lambda n, i: F.struct(n.cast("int").alias("line"), (i + k * 1_000_000).alias("pos"), F.lit(label).alias("label")))
+
+    every = F.flatten(F.array(*[places(k, p, label) for k, (p, label) in enumerate(fixed.EMBEDDED_CODE)]))
+    rows = marked.select("skill_id", "path", F.inline(every))
+    return rows.select("skill_id", "path", "line", "pos", _operation("sys_op", F.col("label")).alias("op")).select("skill_id", "path", "line", "pos", "op.*")
 
 
 def code_ops(toks: DataFrame, text_files: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def read_code(files: DataFrame) -> dict[str, DataFrame]:
     text = src.text_files(files)
     pyf = py.python_files(text)
     toks = written(py.tokens(pyf), "tokens")
-    called, literals = py.calls(toks), py.string_literals(toks)
+    called, literals = written(py.calls(toks), "calls"), py.string_literals(toks)
     divisions, imported = py.path_divisions(pyf), py.imports(pyf)
     ops = union_all([py.call_findings(called), py.division_findings(divisions), py.reverse_shells(called), rules.literal_findings(literals)])
     hits = rules.line_findings(text)
