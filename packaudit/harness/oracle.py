@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from packaudit.functions import fixed
+
 ORACLE: dict[str, str] = {}
 
 
@@ -410,3 +412,63 @@ select skill_id, round(cast(p0 as double), 6) as p, case when p0 > 0.9 then 'BLO
  case when p0 > 0.9 then 'CRITICAL' when p0 > 0.7 then 'HIGH' when p0 > 0.4 then 'MEDIUM' else 'LOW' end as severity, round(cast(greatest(abs(p0 - 0.5) * 2, 0.1) as double), 6) as confidence from h"""
 ORACLE["gate_filter"] = _with(_CS) + """, f as (select *, case when doc_id % 50 = 0 then 1.0 else 1 / (1 + exp(-8 * (0.35 * s2 + 0.35 * s3 + 0.20 * sp + 0.10 * sk - 0.45))) end as fp from cs)
 select skill_id, round(cast(fp as double), 6) as fast_p, not (doc_id % 50 = 0 or fp < 0.12 or fp > 0.93) as needs_judges from f"""
+
+# ------------------------------------------------------------------- evidence, other code
+
+ORACLE["evidence_union"] = _with(STEPS, OPS, IO, FLAGS, LINK, _SEED, _ANC, _FLOW, _VIOL, _STG, _TYPED, _PS, _CH, recursive=True) + """, e as (
+ select skill_id, 'contract_violation' as evidence_type, severity from vi
+ union all select skill_id, 'taint_chain', case when label = 'ssh_key' then 'CRITICAL' else 'HIGH' end from flow where rn = 1
+ union all select skill_id, 'code_finding', 'CRITICAL' from ops where t = 'signup' or is_sensitive
+ union all select fl.skill_id, 'phantom_script', 'MEDIUM' from fl where fl.skill_id in (select skill_id from st) and not exists (select 1 from st where st.skill_id = fl.skill_id and st.script = fl.path)
+ union all select skill_id, 'pipeline_attack', severity from ch)
+select skill_id, evidence_type, severity, case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end as rank, count(*) as n from e group by all"""
+
+PF = """pf as (select *, 'p' || i || case kind when 0 then '.js' when 1 then '.sh' else '.yaml' end as path from
+ (select regexp_extract(url, '^https?://([^/:?#]+)', 1) as skill_id, page_id as i, (page_id // 3) % 3 as kind, url from pages))"""
+ORACLE["other_code_facts"] = _with(PF) + """, f as (select skill_id, path, 'effect' as fact, 'network_request' as subtype, url as detail from pf where kind in (0, 1)
+ union all select skill_id, path, 'effect', 'subprocess', 'child_process' from pf where kind = 0
+ union all select skill_id, path, 'effect', 'subprocess', 'child_process' from pf where kind = 0
+ union all select skill_id, path, 'input', 'env_var', 'VAR_' || i from pf where kind = 0
+ union all select skill_id, path, 'input', 'env_var', 'token' from pf where kind = 0 and i % 4 = 0
+ union all select skill_id, path, 'sensitive_read', 'env', 'env:token' from pf where kind = 0 and i % 4 = 0
+ union all select skill_id, path, 'sensitive_read', 'path', '/home/x/.ssh/id_rsa' from pf where kind = 0 and i % 4 = 0
+ union all select skill_id, path, 'input', 'argv', 'shell args' from pf where kind = 1
+ union all select skill_id, path, 'output', 'network_post', url from pf where kind = 1 and (i % 2 = 0 or contains(url, '-d'))
+ union all select skill_id, path, 'sensitive_read', 'path', '/etc/passwd' from pf where kind = 1)
+select skill_id, path, fact as kind, subtype, detail, count(*) as n from f group by all"""
+ORACLE["other_code_findings"] = _with(PF) + """, f as (select skill_id, path, 'code' as analyzer, 'MEDIUM' as severity, 'DataExfiltration' as category from pf where kind = 0
+ union all select skill_id, path, 'code', 'HIGH', 'RemoteCodeExecution' from pf where kind = 0 and i % 5 = 0
+ union all select skill_id, path, 'code', 'CRITICAL', 'CredentialTheft' from pf where kind = 0 and i % 4 = 0
+ union all select skill_id, path, 'pattern', 'HIGH', 'CredentialTheft' from pf, unnest(range(case when i % 4 = 0 then 3 else 1 end)) as u(z) where kind = 0
+ union all select skill_id, path, 'code', 'CRITICAL', 'SupplyChainPoisoning' from pf where kind = 1 and i % 7 = 0
+ union all select skill_id, path, 'pattern', 'CRITICAL', 'SupplyChainPoisoning' from pf where kind = 1 and i % 7 = 0 and i % 2 = 0
+ union all select skill_id, path, 'pattern', 'HIGH', 'CredentialTheft' from pf where kind = 1
+ union all select skill_id, path, 'code', 'HIGH', 'CapabilityInflation' from pf where kind = 2 and i % 3 = 0
+ union all select skill_id, path, 'code', 'CRITICAL', 'DataExfiltration' from pf where kind = 2 and i % 11 = 0
+ union all select skill_id, path, 'pattern', 'CRITICAL', 'DataExfiltration' from pf where kind = 2 and i % 11 = 0)
+select skill_id, path, analyzer, severity, category, count(*) as n from f group by all"""
+ORACLE["other_code_flags"] = _with(PF) + """select skill_id, path, cast(case when (kind = 0 and i % 5 = 0) or (kind = 1 and i % 7 = 0) then 0.3 else 1.0 end as double) as analyzability,
+ (kind = 0 and i % 5 = 0) or (kind = 1 and i % 7 = 0) as has_dynamic_execution from pf"""
+ORACLE["registered_checks"] = _with(TN, _PKG, EV) + """, x as (select *, row_number() over (partition by skill_id, path order by event_id) + 1 as tl from ev),
+fp as (select *, row_number() over (partition by skill_id order by path) as fr from (select distinct skill_id, path from ev)),
+c as (select x.skill_id, x.path, x.tl, x.k, row_number() over (partition by x.skill_id order by x.path, x.tl) as rn from x join fp on fp.skill_id = x.skill_id and fp.path = x.path and fr <= 10 where t = 'purchase' and k % 25 = 0)
+select skill_id, 'comment_injection' as analyzer, 'HIGH' as severity, path, tl as line, 'Potential hidden instruction in code comment: t = os.getenv("SHOP_VAR_' || k || '")  # priority order' as description from c where rn <= 5
+union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''name''' from pk where conv_id % 5 = 0
+union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''description''' from pk where conv_id % 4 = 0"""
+ORACLE["embedded_code_ops"] = _with(OPS, _TEXTLINE) + """select skill_id, path, tl as line, 'eval() in non-Python file' as label from x where t = 'signup'
+union all select skill_id, path, tl, 'subprocess call in non-Python file' from x where t = 'error' and cmd = ''
+union all select skill_id, path, tl, 'os.system() in non-Python file' from x where cmd <> ''
+union all select skill_id, path, tl, 'requests call in non-Python file' from x where t = 'click'"""
+ORACLE["file_analyzability"] = _with(EV) + """select skill_id, path, cast(case when bool_or(t = 'click' and k % 2 = 1 and k % 5 = 0) then 0.75 else 1.0 end as double) as analyzability from ev group by 1, 2"""
+
+
+def _lit(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_TIER = [(t, n, "(?is)" + p) for t, rows in (("tier1", fixed.TIER1), ("tier2", fixed.TIER2)) for n, p in rows]
+_TIER += [("weighted", n, ("" if p.startswith("(?-i)") else "(?i)") + p.replace("(?-i)", "")) for n, _, p in fixed.WEIGHTED_INJECTION]
+_TIER += [("encoding", n, p) for n, p in fixed.ENCODED_RUNS]
+ORACLE["builtin_tiers_texts"] = " union all ".join(
+    f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from documents where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
+ union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from documents where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""

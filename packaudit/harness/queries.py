@@ -119,6 +119,15 @@ def builtin_injection_texts(spark, sf):
     return a.unionByName(b)
 
 
+@query
+def builtin_tiers_texts(spark, sf):
+    """Built-in tier, weighted, encoded-text and invisible-character rules, per document."""
+    f = v.files(spark, sf).select(F.col("path").alias("skill_id"), "content")
+    a = inj.tier_hits(f, inj.tier_rules()).select("skill_id", "tier", "name")
+    b = inj.weighted_hits(f).select("skill_id", F.lit("weighted").alias("tier"), "name")
+    return a.unionByName(b).unionByName(inj.invisible_hits(f, 0)).unionByName(inj.encoded_hits(f))
+
+
 # -------------------------------------------------------------------------- findings
 
 
@@ -391,6 +400,49 @@ def page_script_facts(spark, sf):
     return other_code.js_io(p).groupBy("skill_id", "path", "kind", "subtype").agg(F.count("*").alias("n"))
 
 
+@query
+def other_code_facts(spark, sf):
+    """Facts of derived JavaScript and shell files."""
+    f = v.page_files(spark, sf)
+    io = other_code.js_io(f).unionByName(other_code.shell_io(f))
+    return io.groupBy("skill_id", "path", "kind", "subtype", "detail").agg(F.count("*").alias("n"))
+
+
+@query
+def other_code_findings(spark, sf):
+    f = v.page_files(spark, sf)
+    x = other_code.other_findings(f).unionByName(rules.line_findings(f))
+    return x.groupBy("skill_id", "path", "analyzer", "severity", "category").agg(F.count("*").alias("n"))
+
+
+@query
+def other_code_flags(spark, sf):
+    return other_code.other_flags(v.page_files(spark, sf)).select("skill_id", "path", "analyzability", "has_dynamic_execution")
+
+
+@query
+def registered_checks(spark, sf):
+    from packaudit.operators.checks import run_checks
+
+    files = v.packages(spark, sf)
+    m = src.manifest_file(files)
+    f = run_checks({"files": files, "manifest": man.manifest_fields(m), "permissions": man.permissions(m)})
+    return f.select("skill_id", "analyzer", "severity", "path", F.col("line").cast("long").alias("line"), "description")
+
+
+@query
+def embedded_code_ops(spark, sf):
+    """Python-like calls found inside the derived scripts when they are read as plain text."""
+    o = py.embedded_ops(v.script_files(spark, sf))
+    return o.select("skill_id", "path", F.col("line").cast("long").alias("line"), "label")
+
+
+@query
+def file_analyzability(spark, sf):
+    a = py.analyzability(py.python_files(v.script_files(spark, sf)))
+    return a.select("skill_id", "path", r6("analyzability").alias("analyzability"))
+
+
 # ---------------------------------------------------------------------- graph and ops
 
 

