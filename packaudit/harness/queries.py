@@ -43,7 +43,7 @@ def line_explode(spark, sf):
 
 @query
 def rule_scan_lines(spark, sf):
-    unscoped = [rules.Rule(r.name, r.pattern, r.severity, r.category) for r in v.RULES]
+    unscoped = [rules.Rule(r.name, r.pattern, r.severity, r.category, anchors=r.anchors) for r in v.RULES]
     return rules.scan_lines(v.files(spark, sf), unscoped).select("skill_id", "path", F.col("line").cast("long").alias("line"), "rule", "severity")
 
 
@@ -75,20 +75,20 @@ def high_entropy_literals(spark, sf):
 
 @query
 def weighted_rules_confidence(spark, sf):
-    h = inj.weighted_hits(v.files(spark, sf).select("skill_id", "path", "content"), v.WEIGHTED)
+    h = inj.weighted_hits(v.files(spark, sf).select("skill_id", "path", "content"), v.WEIGHTED, anchors=v.ANCHORS)
     return inj.weighted_confidence(h).select("skill_id", "distinct_rules", r6("confidence").alias("confidence"), "detected")
 
 
 @query
 def weighted_rules_per_text(spark, sf):
     f = v.files(spark, sf).select(F.col("path").alias("skill_id"), "content")
-    return inj.weighted_confidence(inj.weighted_hits(f, v.WEIGHTED)).select("skill_id", "distinct_rules", r6("confidence").alias("confidence"), "detected")
+    return inj.weighted_confidence(inj.weighted_hits(f, v.WEIGHTED, anchors=v.ANCHORS)).select("skill_id", "distinct_rules", r6("confidence").alias("confidence"), "detected")
 
 
 @query
 def tiered_confidence(spark, sf):
     f = v.files(spark, sf).select(F.col("path").alias("skill_id"), "content")
-    h = inj.tier_hits(f, v.TIERS).select("skill_id", "tier", "name").distinct()
+    h = inj.tier_hits(f, v.TIERS, anchors=v.ANCHORS).select("skill_id", "tier", "name").distinct()
     out = inj.tiered_confidence(h)
     return out.select("skill_id", *[F.col(x).cast("long").alias(x) for x in ("tier1", "tier2", "hidden")], r6("confidence").alias("confidence"), "is_injection")
 

@@ -17,23 +17,32 @@ BLOCK = 256  # row ids per derived script
 PROGRAM = 32  # turns per derived instruction file
 
 
+UNIQUE = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the given tables.  Wide text tables in fewer splits than cores are spread out;
+    a large table has splits enough and is read as it is, without a shuffle."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in UNIQUE and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, UNIQUE[name])
+    return df
 
 
 # Rules over what the documents do hold; plain ASCII classes, so every engine reads them alike.
 RULES = [
-    Rule("license", r"licen[cs]e|copyright", "MEDIUM", "SupplyChainPoisoning"),
-    Rule("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "HIGH", "DataExfiltration", skip=("doc",)),
-    Rule("mail", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]", "LOW", "DataExfiltration"),
-    Rule("secret", r"token|secret|passw|api[_-]?key", "CRITICAL", "CredentialTheft", skip=("py",)),
+    Rule("license", r"licen[cs]e|copyright", "MEDIUM", "SupplyChainPoisoning", anchors=("licen", "copyright")),
+    Rule("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "HIGH", "DataExfiltration", skip=("doc",), anchors=(".",)),
+    Rule("mail", r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]", "LOW", "DataExfiltration", anchors=("@",)),
+    Rule("secret", r"token|secret|passw|api[_-]?key", "CRITICAL", "CredentialTheft", skip=("py",), anchors=("token", "secret", "passw", "api")),
     Rule("packed", r"[a-z0-9+/]{40}", "MEDIUM", "Obfuscation", skip=("doc", "py")),
-    Rule("ending", r"tion[.]", "LOW", "Unknown"),
+    Rule("ending", r"tion[.]", "LOW", "Unknown", anchors=("tion.",)),
 ]
-WEIGHTED = [("license", 0.60, r"licen[cs]e|copyright"), ("address", 0.70, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-            ("mail", 0.50, r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]"), ("secret", 0.95, r"token|secret|passw|api[_-]?key")]
-TIERS = [("tier1", "secret", r"token|secret|passw|api[_-]?key"), ("tier1", "address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-         ("tier2", "license", r"licen[cs]e|copyright"), ("encoding", "packed", r"[a-z0-9+/]{40}")]
+PATTERN = {r.name: r.pattern for r in RULES}
+WEIGHTED = [("license", 0.60, PATTERN["license"]), ("address", 0.70, PATTERN["address"]), ("mail", 0.50, PATTERN["mail"]), ("secret", 0.95, PATTERN["secret"])]
+TIERS = [("tier1", "secret", PATTERN["secret"]), ("tier1", "address", PATTERN["address"]), ("tier2", "license", PATTERN["license"]), ("encoding", "packed", PATTERN["packed"])]
+ANCHORS = {r.name: list(r.anchors) for r in RULES}
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,9 +41,9 @@ def stages_per_script(script_io: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def stages_from_text(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Stage flags from words in raw text."""
-    low = F.lower(text)
-    return _complete(texts, {s: c.has_any(low, w) for s, w in fixed.STAGE_WORDS.items()}, keys).withColumn("stages", stage_array())
+    """Stage flags from words in raw text, which is put in lower case once."""
+    flags = c.let(F.lower(text), lambda low: F.struct(*[c.has_any(low, w).alias(s) for s, w in fixed.STAGE_WORDS.items()]))
+    return texts.select(*keys, flags.alias("f")).select(*keys, "f.*").withColumn("stages", stage_array())
 
 
 def stages_from_steps(steps: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packaudit.functions import anchors as anc
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
 from packaudit.functions.tables import findings, first_rows
@@ -14,19 +15,22 @@ def tier_rules() -> list[tuple[str, str, str]]:
     return ([("tier1", n, p) for n, p in fixed.TIER1] + [("tier2", n, p) for n, p in fixed.TIER2])
 
 
-def tier_hits(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "content") -> DataFrame:
+def tier_hits(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "content",
+              anchors: dict[str, list[str]] = anc.TIERS) -> DataFrame:
     """One row per text and matching rule: tier, name and up to two snippets (one for tier 2)."""
-    marks = []
-    for i, (tier, name, pattern) in enumerate(rules):
-        whole = c.rx(f"({pattern})", dotall=True)
-        keep = 2 if tier == "tier1" else 1
-        marks.append(F.when(
-            c.matches(F.col(text), pattern, dotall=True),
-            F.struct(
-                F.lit(i).alias("rule_pos"), F.lit(tier).alias("tier"), F.lit(name).alias("name"),
-                F.transform(F.slice(c.all_matches(F.col(text), whole), 1, keep),
-                            lambda m: F.substring(m, 1, 100)).alias("snippets"))))
-    return df.select(*[x for x in df.columns if x != text], F.inline(F.array_compact(F.array(*marks))))
+    t = F.col(text)
+
+    def marks(may) -> Column:
+        out = []
+        for i, (tier, name, pattern) in enumerate(rules):
+            snippets = F.slice(c.all_matches(t, c.rx(f"({pattern})", dotall=True)), 1, 2 if tier == "tier1" else 1)
+            out.append(F.when(
+                may(anchors.get(name)) & c.matches(t, pattern, dotall=True),
+                F.struct(F.lit(i).alias("rule_pos"), F.lit(tier).alias("tier"), F.lit(name).alias("name"),
+                         F.transform(snippets, lambda m: F.substring(m, 1, 100)).alias("snippets"))))
+        return F.array_compact(F.array(*out))
+
+    return df.select(*[x for x in df.columns if x != text], F.inline(anc.guarded(t, marks)))
 
 
 def encoded_hits(df: DataFrame, text: str = "content") -> DataFrame:
@@ -139,16 +143,20 @@ def injection_finding(hits: DataFrame) -> DataFrame:
 
 
 def weighted_hits(df: DataFrame, rules: list[tuple[str, float, str]] = fixed.WEIGHTED_INJECTION,
-                  text: str = "content") -> DataFrame:
+                  text: str = "content", anchors: dict[str, list[str]] = anc.WEIGHTED) -> DataFrame:
     """One row per text and matching weighted rule, with the first matching snippet."""
-    marks = [
-        F.when(c.matches(F.col(text), p), F.struct(
-            F.lit(i).alias("rule_pos"), F.lit(n).alias("name"), F.lit(w).alias("weight"),
-            F.replace(F.substring(F.regexp_extract(text, c.rx(f"({p})"), 1), 1, 80),
-                      F.lit("\n"), F.lit(" ")).alias("snippet")))
-        for i, (n, w, p) in enumerate(rules)
-    ]
-    return df.select(*[x for x in df.columns if x != text], F.inline(F.array_compact(F.array(*marks))))
+    t = F.col(text)
+
+    def marks(may) -> Column:
+        out = []
+        for i, (name, weight, pattern) in enumerate(rules):
+            first = F.substring(F.regexp_extract(t, c.rx(f"({pattern})"), 1), 1, 80)
+            out.append(F.when(may(anchors.get(name)) & c.matches(t, pattern), F.struct(
+                F.lit(i).alias("rule_pos"), F.lit(name).alias("name"), F.lit(weight).alias("weight"),
+                F.replace(first, F.lit("\n"), F.lit(" ")).alias("snippet"))))
+        return F.array_compact(F.array(*out))
+
+    return df.select(*[x for x in df.columns if x != text], F.inline(anc.guarded(t, marks)))
 
 
 def weighted_confidence(hits: DataFrame, key: str = "skill_id") -> DataFrame:

@@ -10,7 +10,6 @@ from packaudit.functions import fixed
 from packaudit.functions.tables import findings, union_all
 from packaudit.operators.manifest import mark_lines
 
-T = F.col("content")
 
 
 def _io(df: DataFrame, kind: str, subtype: str, detail: Column, line: Column | None = None) -> DataFrame:
@@ -20,7 +19,7 @@ def _io(df: DataFrame, kind: str, subtype: str, detail: Column, line: Column | N
 
 
 def _each(df: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    return df.select("skill_id", "path", F.posexplode(c.all_matches(T, pattern, group)).alias("pos", "m"))
+    return df.select("skill_id", "path", F.posexplode(c.all_matches(F.col("content"), pattern, group)).alias("pos", "m"))
 
 
 def shell_files(files: DataFrame) -> DataFrame:
@@ -41,8 +40,8 @@ def shell_io(files: DataFrame) -> DataFrame:
     posts = fetch.filter(c.has_any(F.col("m"), ["-d", "--data", "-X POST"]))
     reads = _each(sh, c.rx(f"({fixed.SENSITIVE_PATH_A})"))
     return union_all([
-        _io(sh.filter(c.has_any(T, ["$1", "$@", "$*"])), "input", "argv", F.lit("shell args")),
-        _io(sh.filter(c.has_any(T, ["read ", "/dev/stdin"])), "input", "stdin", F.lit("")),
+        _io(sh.filter(c.has_any(F.col("content"), ["$1", "$@", "$*"])), "input", "argv", F.lit("shell args")),
+        _io(sh.filter(c.has_any(F.col("content"), ["read ", "/dev/stdin"])), "input", "stdin", F.lit("")),
         _io(fetch, "effect", "network_request", F.col("url")),
         _io(posts, "output", "network_post", F.col("url")),
         _io(reads, "sensitive_read", "path", F.col("m")),
@@ -51,9 +50,9 @@ def shell_io(files: DataFrame) -> DataFrame:
 
 def js_io(files: DataFrame) -> DataFrame:
     js = js_files(files)
-    marked = js.filter(c.matches(T, fixed.JS_PROCESS)).withColumn("content", mark_lines(T))
+    marked = js.filter(c.matches(F.col("content"), fixed.JS_PROCESS)).withColumn("content", mark_lines(F.col("content")))
     spawn = marked.select("skill_id", "path", F.posexplode(c.all_matches(
-        T, "(?i)" + fixed.JS_PROCESS + r"(?=[^\x01]*+\x01(\d+))")).alias("pos", "m"))
+        F.col("content"), "(?i)" + fixed.JS_PROCESS + r"(?=[^\x01]*+\x01(\d+))")).alias("pos", "m"))
     env = _each(js, fixed.JS_ENV)
     read = _each(js, fixed.JS_READ)
     return union_all([
@@ -68,7 +67,7 @@ def js_io(files: DataFrame) -> DataFrame:
 def other_findings(files: DataFrame) -> DataFrame:
     sh, js, ya = shell_files(files), js_files(files), yaml_files(files)
     path, m = F.col("path"), F.col("m")
-    pipe = findings(sh.filter(T.rlike(fixed.SHELL_PIPE)), "code", "CRITICAL", "SupplyChainPoisoning",
+    pipe = findings(sh.filter(F.col("content").rlike(fixed.SHELL_PIPE)), "code", "CRITICAL", "SupplyChainPoisoning",
                     "Shell script pipes remote content to interpreter (curl|bash)", path=path, confidence=0.95)
     net = _each(js, "(?i)" + fixed.JS_NETWORK)
     known = c.matches(m, fixed.EXFIL_ENDPOINT)
@@ -76,12 +75,12 @@ def other_findings(files: DataFrame) -> DataFrame:
                    F.concat(F.lit("External network call in JS/TS: "), F.substring("m", 1, 80)), path=path, evidence=F.substring("m", 1, 100), pos=F.col("pos"))
     bad = findings(net.filter(known), "code", "CRITICAL", "DataExfiltration",
                    F.concat(F.lit("Known exfiltration endpoint in JS/TS: "), F.substring("m", 1, 80)), path=path, evidence=F.substring("m", 1, 100), pos=F.col("pos"))
-    dyn = findings(js.filter(T.rlike(fixed.JS_DYNAMIC)), "code", "HIGH", "RemoteCodeExecution",
+    dyn = findings(js.filter(F.col("content").rlike(fixed.JS_DYNAMIC)), "code", "HIGH", "RemoteCodeExecution",
                    "Dynamic code execution in JS/TS: eval() or new Function()", path=path)
     read = _each(js, fixed.JS_READ).filter(c.is_sensitive_a(m))
     acc = findings(read, "code", "CRITICAL", "CredentialTheft", F.concat(F.lit("Sensitive file access in JS/TS: "), m),
                    path=path, evidence=m, pos=F.col("pos"))
-    wide = ya.filter(T.rlike("(?i)" + fixed.YAML_PERMISSION) & T.rlike(fixed.YAML_WILDCARD))
+    wide = ya.filter(F.col("content").rlike("(?i)" + fixed.YAML_PERMISSION) & F.col("content").rlike(fixed.YAML_WILDCARD))
     perm = findings(wide, "code", "HIGH", "CapabilityInflation", "YAML manifest declares wildcard/all permissions", path=path, confidence=0.8)
     ends = _each(ya, c.rx(f"({fixed.EXTERNAL_URL_A})")).filter(known)
     yurl = findings(ends, "code", "CRITICAL", "DataExfiltration", F.concat(F.lit("Known exfiltration endpoint in YAML: "), F.substring("m", 1, 80)),
@@ -91,8 +90,8 @@ def other_findings(files: DataFrame) -> DataFrame:
 
 def other_flags(files: DataFrame) -> DataFrame:
     """Flag rows for every shell, JavaScript and YAML file."""
-    sh = F.col("ext").isin(fixed.SHELL_EXTENSIONS) & T.rlike(fixed.SHELL_PIPE)
-    js = F.col("ext").isin(fixed.JS_EXTENSIONS) & T.rlike(fixed.JS_DYNAMIC)
+    sh = F.col("ext").isin(fixed.SHELL_EXTENSIONS) & F.col("content").rlike(fixed.SHELL_PIPE)
+    js = F.col("ext").isin(fixed.JS_EXTENSIONS) & F.col("content").rlike(fixed.JS_DYNAMIC)
     rows = files.filter(F.col("ext").isin(fixed.SHELL_EXTENSIONS + fixed.JS_EXTENSIONS + [".yaml", ".yml"]))
     return rows.select("skill_id", "path", F.when(sh | js, 0.3).otherwise(1.0).alias("analyzability"), F.lit(False).alias("has_obfuscation"),
                        (sh | js).alias("has_dynamic_execution"), F.lit(False).alias("has_encoded_payloads"), F.lit(False).alias("entry_point"))

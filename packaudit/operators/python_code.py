@@ -90,9 +90,14 @@ _IS_SUBSCRIPT = r"(?s)^[A-Za-z_][\w.]*\(.*\)\[[^\[\]]*\]$"
 
 def calls(toks: DataFrame) -> DataFrame:
     """Call tokens with their positional arguments and what the first one is."""
+    return with_arguments(toks.filter("kind = 'call'")).drop("kind", "prefix", "value")
+
+
+def with_arguments(toks: DataFrame) -> DataFrame:
+    """Argument columns for call tokens; they stay null for string constants."""
     parts = F.transform(c.all_matches(F.expr("substring(args_text, 2)"), "(?s)" + ARGUMENT, 1), lambda a: F.trim(a, F.lit(" \n\t\r")))
     parts = F.transform(F.filter(parts, lambda a: (a != "") & ~a.startswith("#")), lambda a: F.regexp_replace(a, r"(?s)^#[^\n]*\n\s*", ""))
-    called = toks.filter("kind = 'call'").withColumn("parts", parts)
+    called = toks.withColumn("parts", parts)
     keyword = r"^\w+\s*=(?!=)"
     called = called.withColumns({
         "args": F.filter("parts", lambda a: ~a.rlike(keyword)),
@@ -108,7 +113,7 @@ def calls(toks: DataFrame) -> DataFrame:
     mode = F.when(a1.rlike(_IS_CONSTANT), F.regexp_replace(a1, r"""^[rRbBuU]{0,2}["']|["']$""", ""))
     kw_mode = F.regexp_extract(F.coalesce("mode_kw", F.lit("")), r"""=\s*["'](.*)["']""", 1)
     return called.select(
-        "skill_id", "path", "pos", "line", "fn", "args", "a0", "a1", strings.alias("strings"),
+        "skill_id", "path", "pos", "line", "kind", "prefix", "value", "fn", "args", "a0", "a1", strings.alias("strings"),
         F.when(a0.rlike(_IS_STRING), string_value(a0)).when(a0.rlike(_IS_FORMAT), "<f-string>").otherwise("").alias("first"),
         F.when(a0.rlike(_IS_STRING), string_value(a0)).otherwise("").alias("literal"),
         listed.alias("listed"),
@@ -319,8 +324,8 @@ def _short(c_: Column, n: int) -> Column:
     return F.when(c_ == "", "...").otherwise(F.substring(c_, 1, n))
 
 
-def call_ops(called: DataFrame) -> DataFrame:
-    """One operation row per process, network, file or environment call; first family wins."""
+def call_operation() -> Column:
+    """The operation a call stands for, null for other calls; the first family wins."""
     fn, lit_ = F.col("fn"), F.col("literal")
     write = F.col("literal_mode").rlike("[wax]")
     s = F.lit
@@ -329,27 +334,35 @@ def call_ops(called: DataFrame) -> DataFrame:
     file = _operation("io_op", F.concat(F.when(write, "write").otherwise("read"), s("("), _short(lit_, 50), s("))")), fn=fn, file_path=lit_,
                       is_write=write, is_sensitive=(lit_ != "") & c.is_sensitive_b(lit_))
     env = _operation("env_op", F.concat(s("env["), F.when(lit_ == "", "...").otherwise(lit_), s("]")), fn=fn, var_name=lit_)
-    op = (
+    return (
         F.when(fn.isin(fixed.EXEC_CALLS_B) | fn.isin(fixed.PROCESS_CALLS_B) | fn.contains("subprocess"), run)
         .when(c.has_any(fn, fixed.NETWORK_NAME_PARTS_B), net)
         .when((fn == "open") | c.has_any(fn, fixed.FILE_NAME_PARTS_B), file)
         .when(~F.col("indexed") & (fn.contains("getenv") | fn.isin("os.environ.get", "os.environ.__getitem__")), env))
-    return called.withColumn("op", op).filter("op is not null").select("skill_id", "path", "line", "pos", "op.*")
 
 
-def literal_ops(toks: DataFrame) -> DataFrame:
+def literal_pieces() -> Column:
+    """Fixed pieces of a string constant: one, or those between a formatted string's braces."""
+    return F.when(F.col("prefix").contains("f"), F.split("value", r"\{[^{}]*\}")).otherwise(F.array("value"))
+
+
+def literal_operations() -> Column:
     """Operations only visible in constants: sensitive names, addresses, and both behind base64."""
-    v = F.col("value")
     yes = F.lit(True)
-    name = lambda kind, n: F.concat(F.lit(kind + "("), F.substring(v, 1, n), F.lit(")"))
-    io = lambda kind: _operation("io_op", name(kind, 50), file_path=v, is_sensitive=yes)
-    net = lambda kind: _operation("net_op", name(kind, 60), url=v, is_external=yes)
-    plain = string_literals(toks).select("skill_id", "path", "line", "pos", F.inline(F.array_compact(F.array(
-        F.when(c.is_sensitive_b(v), io("sensitive_ref")), F.when((F.length(v) > 8) & c.is_external_b(v), net("url_literal"))))))
-    raw = toks.filter("kind = 'text' and contains(prefix, 'b')").withColumn("value", c.decode_base64(F.regexp_replace("value", r"[^A-Za-z0-9+/=]", "")))
-    hidden = F.when(c.is_external_b(v), net("b64_url")).when((F.length(v) > 3) & c.is_sensitive_b(v), io("b64_path"))
-    raw = raw.withColumn("op", hidden).filter("op is not null").select("skill_id", "path", "line", "pos", "op.*")
-    return plain.unionByName(raw)
+    name = lambda kind, v, n: F.concat(F.lit(kind + "("), F.substring(v, 1, n), F.lit(")"))
+    io = lambda kind, v: _operation("io_op", name(kind, v, 50), file_path=v, is_sensitive=yes)
+    net = lambda kind, v: _operation("net_op", name(kind, v, 60), url=v, is_external=yes)
+
+    def of_piece(v: Column) -> Column:
+        return F.array(F.when((F.length(v) > 2) & c.is_sensitive_b(v), io("sensitive_ref", v)),
+                       F.when((F.length(v) > 8) & c.is_external_b(v), net("url_literal", v)))
+
+    def of_bytes(v: Column) -> Column:
+        return F.array(F.when(c.is_external_b(v), net("b64_url", v)).when((F.length(v) > 3) & c.is_sensitive_b(v), io("b64_path", v)))
+
+    plain = F.flatten(F.transform(literal_pieces(), of_piece))
+    hidden = c.let(c.decode_base64(F.regexp_replace("value", r"[^A-Za-z0-9+/=]", "")), of_bytes)
+    return F.when(F.col("prefix").contains("b"), hidden).otherwise(plain)
 
 
 def embedded_ops(files: DataFrame) -> DataFrame:
@@ -372,17 +385,25 @@ def code_ops(toks: DataFrame, text_files: DataFrame) -> DataFrame:
     A constant of high entropy counts for the operation just before it in the same file, if
     that is a process operation.  Windows run inside one file, whose size is bounded.
     """
-    ops = call_ops(calls(toks)).unionByName(literal_ops(toks))
-    dense = string_literals(toks, 30).withColumn("bits", c.entropy(F.col("value"))).filter("bits > 4.5")
-    marks = dense.select("skill_id", "path", "pos", "bits", F.lit(0).alias("o"))
-    both = ops.withColumns({"bits": F.lit(None).cast("double"), "o": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("skill_id", "path").orderBy("pos", "o", "op_type", "label")
-    both = both.withColumn("op_no", F.count("op_type").over(order))
+    bits = F.array_max(F.transform(F.filter(literal_pieces(), lambda p: F.length(p) > 30), c.entropy))
+    is_call = F.col("kind") == "call"
+    found = F.array_compact(F.when(is_call, F.array(call_operation())).otherwise(literal_operations()))
+    dense = F.when(~is_call & ~F.col("prefix").contains("b"), bits)
+    rows = with_arguments(toks).select("skill_id", "path", "line", "pos", found.alias("found"), dense.alias("bits"))
+    both = rows.select("skill_id", "path", "line", "pos", "bits", F.posexplode_outer("found").alias("o", "op"))
+    mark = F.when((F.col("bits") > 4.5) & (F.coalesce("o", F.lit(0)) == 0), F.col("bits"))
+    both = both.select("skill_id", "path", "line", "pos", F.coalesce("o", F.lit(0)).alias("o"), mark.alias("bits"), "op").filter("op is not null or bits is not null")
+    # a row that is both mark and operation becomes two: the mark first, for the operation before
+    parts = F.when(F.col("op").isNotNull() & F.col("bits").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))
+    both = both.withColumn("part", F.explode(parts))
+    both = both.select("skill_id", "path", "line", "pos", "o", "part", F.when(F.col("part") != 1, F.col("bits")).alias("bits"), F.when(F.col("part") != 0, F.col("op")).alias("op"))
+    order = Window.partitionBy("skill_id", "path").orderBy("pos", "o", "part")
+    both = both.withColumn("op_no", F.count("op").over(order))
     slot = Window.partitionBy("skill_id", "path", "op_no")
-    both = both.withColumn("e", F.max("bits").over(slot)).filter("op_type is not null")
+    both = both.withColumn("e", F.max("bits").over(slot)).filter("op is not null").select("skill_id", "path", "line", "pos", "op.*", "e")
     scored = both.withColumn("entropy", F.when((F.col("op_type") == "sys_op"), F.coalesce("e", F.lit(0.0))).otherwise(0.0))
     rest = embedded_ops(text_files).withColumn("entropy", F.lit(0.0))
-    out = scored.drop("bits", "o", "e", "op_no").unionByName(rest)
+    out = scored.drop("e").unionByName(rest)
     return out.withColumn("risk", op_risk())
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packaudit.functions import anchors as anc
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
 from packaudit.functions.tables import findings
@@ -15,7 +16,10 @@ from packaudit.functions.tables import findings
 
 @dataclass(frozen=True)
 class Rule:
-    """One named pattern.  ``skip`` lists file types (``doc``, ``py``) it does not apply to."""
+    """One named pattern.  ``skip`` lists file types (``doc``, ``py``) it does not apply to.
+
+    Every match must contain one of ``anchors``, if there are any (see ``anchors``).
+    """
 
     name: str
     pattern: str
@@ -23,6 +27,7 @@ class Rule:
     category: str
     skip: tuple[str, ...] = ()
     in_comments: bool = False
+    anchors: tuple[str, ...] = ()
 
     def hits(self, text: Column) -> Column:
         return c.matches(text, self.pattern)
@@ -34,7 +39,7 @@ def line_rules() -> list[Rule]:
         skip = tuple(
             kind for kind, cats in (("doc", fixed.DOC_SKIP_CATEGORIES), ("py", fixed.PY_SKIP_CATEGORIES))
             if category in cats)
-        out.append(Rule(name, pattern, severity, category, skip, category == "PromptInjection"))
+        out.append(Rule(name, pattern, severity, category, skip, category == "PromptInjection", tuple(anc.LINE[name])))
     return out
 
 
@@ -61,19 +66,25 @@ def scan_lines(files: DataFrame, rules: list[Rule], exclude_comments: bool = Tru
     A file in which no rule matches anywhere cannot have a matching line, so whole files
     are tested first and only those with a hit are exploded into lines.
     """
-    any_hit = reduce(lambda a, b: a | b,
-                     [applies(r, F.col("ext")) & r.hits(F.col("content")) for r in rules])
-    lines = explode_lines(files.filter(any_hit))
+    def in_file(may) -> Column:
+        tests = [applies(r, F.col("ext")) & may(r.anchors) & r.hits(F.col("content")) for r in rules]
+        return reduce(lambda a, b: a | b, tests)
+
+    lines = explode_lines(files.filter(anc.guarded(F.col("content"), in_file)))
     stripped = F.trim(F.col("text"), F.lit(" \t\r\n\f\u000b"))
-    marks = []
-    for i, r in enumerate(rules):
-        ok = applies(r, F.col("ext")) & r.hits(F.col("text"))
-        if exclude_comments and not r.in_comments:
-            ok = ok & ~stripped.startswith("#")
-        marks.append(F.when(ok, F.struct(
-            F.lit(i).alias("rule_pos"), F.lit(r.name).alias("rule"),
-            F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))))
-    hits = lines.select("*", F.inline(F.array_compact(F.array(*marks))))
+
+    def in_line(may) -> Column:
+        marks = []
+        for i, r in enumerate(rules):
+            ok = applies(r, F.col("ext")) & may(r.anchors) & r.hits(F.col("text"))
+            if exclude_comments and not r.in_comments:
+                ok = ok & ~stripped.startswith("#")
+            marks.append(F.when(ok, F.struct(
+                F.lit(i).alias("rule_pos"), F.lit(r.name).alias("rule"),
+                F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))))
+        return F.array_compact(F.array(*marks))
+
+    hits = lines.select("*", F.inline(anc.guarded(F.col("text"), in_line)))
     return hits.withColumn("stripped", stripped)
 
 
