@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
@@ -16,39 +19,99 @@ def read_packages(spark: SparkSession, root: str, max_bytes: int = fixed.MAX_FIL
                   extensions: list[str] = fixed.TEXT_EXTENSIONS, check_large: bool = True) -> DataFrame:
     """Every file under ``root/<skill_id>/`` that the audit looks at.
 
-    Two scans, each with its length filter pushed to the source: files up to ``max_bytes``
-    give their text, larger ones (up to what the source can read, 2 GiB) are only tested
-    for being binary and never carry content on.
+    Scans with the length filter pushed to the source: files up to ``max_bytes`` give their
+    text, larger ones (up to what the source can read, 2 GiB) are only tested for being
+    binary and never carry content on.  Spark's file source leaves out names that start with
+    a dot or underscore, such as ``__init__.py``; these come from ``unlisted_files``.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    prefix = len(fs.makeQualified(top).toUri().getPath().rstrip("/")) + 2
+    uri, prefix, names = _top_level(spark, root)
     local_path = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
     named = (
-        raw.withColumn("path", F.substring(local_path, prefix, 1_000_000))
+        raw.withColumn("path", F.substring(local_path, prefix + 2, 1_000_000))
         .withColumn("skill_id", F.substring_index("path", "/", 1))
         .withColumn("path", F.expr("substring(path, length(skill_id) + 2)"))
     )
     skip = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in fixed.SKIP_DIRS) + ")/"
-    named = named.filter((F.col("path") != "") & ~F.col("path").rlike(skip))
+    named = named.filter((F.col("path") != "") & ~F.col("path").rlike(skip)).select("skill_id", "path", "length", "content")
+    out = _shape(named.filter(F.col("length") <= max_bytes), extensions, True)
+    out = out.unionByName(_shape(unlisted_files(spark, uri, names, max_bytes), extensions, F.col("length") <= max_bytes))
+    if check_large:
+        large = named.filter((F.col("length") > max_bytes) & (F.col("length") < 2**31 - 1))
+        out = out.unionByName(_shape(large, extensions, False))
+    return out.filter("is_binary or content is not null")
+
+
+def _top_level(spark: SparkSession, root: str) -> tuple[str, int, list[str]]:
+    """Full address of the root, length of its path, and the names of its sub-folders."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = fs.makeQualified(top)
+    names = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()]
+    return full.toString().rstrip("/"), len(full.toUri().getPath().rstrip("/")), names
+
+
+def _shape(df: DataFrame, extensions: list[str], keep_text) -> DataFrame:
     signs = [f"startswith(content, X'{h}')" for h in fixed.BINARY_MAGIC_HEX]
     is_binary = F.expr(" or ".join(signs + ["contains(substring(content, 1, 4096), X'00')"]))
     name, ext = c.basename(F.col("path")), c.extension(F.col("path"))
+    keep = keep_text if isinstance(keep_text, Column) else F.lit(keep_text)
+    text = F.when(keep & ~is_binary & (ext.isin(extensions) | name.startswith(".")), F.make_valid_utf8(F.col("content").cast("string")))
+    return df.select("skill_id", "path", name.alias("basename"), ext.alias("ext"), F.col("length").alias("size"), is_binary.alias("is_binary"), text.alias("content"))
 
-    def shape(df: DataFrame, content) -> DataFrame:
-        return df.select(
-            "skill_id", "path", name.alias("basename"), ext.alias("ext"),
-            F.col("length").alias("size"), is_binary.alias("is_binary"), content.alias("content"))
 
-    textual = ext.isin(extensions) | name.startswith(".")
-    text = F.when(~is_binary & textual, F.make_valid_utf8(F.col("content").cast("string")))
-    small = shape(named.filter(F.col("length") <= max_bytes), text)
-    out = small.filter("is_binary or content is not null")
-    if check_large:
-        large = named.filter((F.col("length") > max_bytes) & (F.col("length") < 2**31 - 1))
-        out = out.unionByName(shape(large, F.lit(None).cast("string")).filter("is_binary"))
-    return out
+def _is_unlisted(path: str) -> bool:
+    """Whether Spark's file source would leave this path out."""
+    return any(p.startswith(".") or (p.startswith("_") and "=" not in p) or p.endswith("._COPYING_") for p in path.split("/"))
+
+
+def _arrow_files(uri: str):
+    from pyarrow import fs
+
+    address = uri.replace("s3a://", "s3://", 1)
+    if address.startswith("file:/") and not address.startswith("file://"):
+        address = "file://" + address[len("file:"):]
+    return fs.FileSystem.from_uri(address)
+
+
+def unlisted_files(spark: SparkSession, uri: str, names: list[str], max_bytes: int) -> DataFrame:
+    """Files with a dot or underscore name below the packages, listed and read in tasks.
+
+    Listing and reading are separate steps with a shuffle between them, so the files of a
+    package that has very many are read by many tasks.  Of large files only the head is read.
+    """
+    skip = set(fixed.SKIP_DIRS)
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+
+        files, base = _arrow_files(uri)
+        for batch in batches:
+            for skill in batch["skill_id"]:
+                if skill in skip:
+                    continue
+                rows, folders = [], [f"{base}/{skill}"]
+                while folders:
+                    for info in files.get_file_info(pafs.FileSelector(folders.pop())):
+                        rel = info.path[len(base) + len(skill) + 2:]
+                        if info.type == pafs.FileType.Directory:
+                            if info.base_name not in skip:
+                                folders.append(info.path)
+                        elif _is_unlisted(f"{skill}/{rel}"):
+                            rows.append((skill, rel, info.size))
+                yield pd.DataFrame(rows, columns=["skill_id", "path", "length"])
+
+    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = _arrow_files(uri)
+        for batch in batches:
+            for row in batch.itertuples():
+                with files.open_input_stream(f"{base}/{row.skill_id}/{row.path}") as f:
+                    data = f.read() if row.length <= max_bytes else f.read(4096)
+                yield pd.DataFrame([(row.skill_id, row.path, row.length, data)], columns=["skill_id", "path", "length", "content"])
+
+    packages = spark.createDataFrame([(n,) for n in names], "skill_id string")
+    listed = packages.mapInPandas(listing, "skill_id string, path string, length bigint")
+    return listed.repartition("skill_id", "path").mapInPandas(reading, "skill_id string, path string, length bigint, content binary")
 
 
 def list_packages(files: DataFrame, require_manifest: bool = False) -> DataFrame:
