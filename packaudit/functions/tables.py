@@ -46,11 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: later reads prune columns."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    out = df.write if partition is None else df.write.partitionBy(partition)
+    out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -361,22 +361,22 @@ def enriched_findings(spark, sf):
 
 
 def _tokens(spark, sf):
-    return py.tokens(py.python_files(v.script_files(spark, sf)))
+    return py.tokens(py.parse(v.script_files(spark, sf)))
 
 
 @query
 def python_code_ops(spark, sf):
     files = v.script_files(spark, sf)
-    o = py.code_ops(py.tokens(py.python_files(files)), files.filter("ext = '.md'"))
+    o = py.code_ops(py.tokens(py.parse(files)), files.filter("ext = '.md'"))
     return o.select("skill_id", "path", F.col("line").cast("long").alias("line"), "op_type", "label", "file_path", "url", "cmd", "var_name", "is_write", "is_sensitive", "is_external", "cmd_dynamic",
                     r6("risk").alias("risk"))
 
 
 @query
 def python_script_io(spark, sf):
-    pyf = py.python_files(v.script_files(spark, sf))
+    pyf = py.parse(v.script_files(spark, sf))
     t = py.tokens(pyf)
-    io = py.python_io(py.calls(t), py.string_literals(t), py.path_divisions(pyf), py.imports(pyf), pyf.select("skill_id", "path"))
+    io = py.python_io(py.calls(t), py.string_literals(t), py.path_divisions(pyf), py.imports(pyf), pyf)
     return io.groupBy("skill_id", "path", "kind", "subtype", "detail").agg(F.count("*").alias("n"))
 
 
@@ -388,7 +388,7 @@ def python_call_findings(spark, sf):
 
 @query
 def python_file_flags(spark, sf):
-    pyf = py.python_files(v.script_files(spark, sf))
+    pyf = py.parse(v.script_files(spark, sf))
     t = py.tokens(pyf)
     return py.python_flags(pyf, py.calls(t), py.string_literals(t), py.imports(pyf))
 
@@ -439,7 +439,7 @@ def embedded_code_ops(spark, sf):
 
 @query
 def file_analyzability(spark, sf):
-    a = py.analyzability(py.python_files(v.script_files(spark, sf)))
+    a = py.analyzability(py.parse(v.script_files(spark, sf)))
     return a.select("skill_id", "path", r6("analyzability").alias("analyzability"))
 
 

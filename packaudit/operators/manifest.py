@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, first_rows, union_all
+from packaudit.functions.tables import findings, first_rows
+from packaudit.sources.packages import of_kind
 
 
 def split_frontmatter(manifests: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def audit_manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
     """Check: long quoted base64 blobs and hard-coded addresses; at most eight per package."""
-    text = tables["files"].filter("not is_binary and content is not null").filter(F.col("ext").isin(".py", ".md"))
+    text = of_kind(tables["files"], "py", "doc").filter("not is_binary and content is not null").filter(F.col("ext").isin(".py", ".md"))
     numbered = text.select("skill_id", "path", "basename", mark_lines(F.col("content")).alias("t"))
 
     def tokens(pattern: str, name: str) -> DataFrame:
@@ -209,7 +210,7 @@ def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
 
 def audit_comments(tables: dict[str, DataFrame]) -> DataFrame:
     """Check: instruction-like comments in the first ten Python files; at most five per package."""
-    py = tables["files"].filter("ext = '.py' and not is_binary and content is not null")
+    py = of_kind(tables["files"], "py").filter("ext = '.py' and not is_binary and content is not null")
     first = first_rows(py.select("skill_id", "path"), ["skill_id"], [F.col("path")], 10)
     hot = py.filter(c.matches(F.col("content"), fixed.COMMENT_INJECTION)).join(first, ["skill_id", "path"], "left_semi")
     lines = hot.select("skill_id", "path", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("pos", "text"))

@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, union_all
+from packaudit.functions.tables import findings
 from packaudit.operators.manifest import mark_lines
 
 
 
-def _io(df: DataFrame, kind: str, subtype: str, detail: Column, line: Column | None = None) -> DataFrame:
-    return df.select("skill_id", "path", F.lit(kind).alias("kind"), F.lit(subtype).alias("subtype"), detail.alias("detail"),
-                     (line if line is not None else F.lit(0)).alias("line"),
-                     (F.col("pos") if "pos" in df.columns else F.lit(0)).alias("pos"))
-
-
-def _each(df: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    return df.select("skill_id", "path", F.posexplode(c.all_matches(F.col("content"), pattern, group)).alias("pos", "m"))
-
-
 def shell_files(files: DataFrame) -> DataFrame:
     return files.filter(F.col("ext").isin(fixed.SHELL_EXTENSIONS))
 
@@ -34,58 +24,77 @@ def yaml_files(files: DataFrame) -> DataFrame:
     return files.filter(F.col("ext").isin(".yaml", ".yml"))
 
 
+FACT = "array<struct<kind:string,subtype:string,detail:string,line:int,pos:int>>"
+NOTE = "array<struct<severity:string,category:string,text:string,evidence:string,confidence:double,pos:int>>"
+
+
+def _one(test: Column, *values) -> Column:
+    """A list with one entry where ``test`` holds, else an empty one."""
+    return F.array_compact(F.array(F.when(test, F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in values]))))
+
+
+def _each(pattern: str, entry, keep=None, group: int = 1, text: Column | None = None) -> Column:
+    """A list with one entry per match; ``entry`` gets the match and its position."""
+    found = c.all_matches(F.col("content") if text is None else text, pattern, group)
+    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+    if keep is not None:
+        pairs = F.filter(pairs, lambda p: keep(p["m"]))
+    return F.transform(pairs, lambda p: F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in entry(p["m"], p["i"])]))
+
+
+def _rows(df: DataFrame, kind: str, lists: list[Column]) -> DataFrame:
+    every = F.flatten(F.array(*[x.cast(kind) for x in lists]))
+    return df.select("skill_id", "path", F.inline(every))
+
+
 def shell_io(files: DataFrame) -> DataFrame:
-    sh = shell_files(files)
-    fetch = _each(sh, fixed.SHELL_FETCH).withColumn("url", F.regexp_extract("m", r"(https?://\S+)$", 1))
-    posts = fetch.filter(c.has_any(F.col("m"), ["-d", "--data", "-X POST"]))
-    reads = _each(sh, c.rx(f"({fixed.SENSITIVE_PATH_A})"))
-    return union_all([
-        _io(sh.filter(c.has_any(F.col("content"), ["$1", "$@", "$*"])), "input", "argv", F.lit("shell args")),
-        _io(sh.filter(c.has_any(F.col("content"), ["read ", "/dev/stdin"])), "input", "stdin", F.lit("")),
-        _io(fetch, "effect", "network_request", F.col("url")),
-        _io(posts, "output", "network_post", F.col("url")),
-        _io(reads, "sensitive_read", "path", F.col("m")),
+    """Facts of shell scripts, in one pass over each file."""
+    t = F.col("content")
+    url = lambda m: F.regexp_extract(m, r"(https?://\S+)$", 1)
+    return _rows(shell_files(files), FACT, [
+        _one(c.has_any(t, ["$1", "$@", "$*"]), "input", "argv", "shell args", 0, 0),
+        _one(c.has_any(t, ["read ", "/dev/stdin"]), "input", "stdin", "", 0, 0),
+        _each(fixed.SHELL_FETCH, lambda m, i: ("effect", "network_request", url(m), 0, i)),
+        _each(fixed.SHELL_FETCH, lambda m, i: ("output", "network_post", url(m), 0, i), lambda m: c.has_any(m, ["-d", "--data", "-X POST"])),
+        _each(c.rx(f"({fixed.SENSITIVE_PATH_A})"), lambda m, i: ("sensitive_read", "path", m, 0, i)),
     ])
 
 
 def js_io(files: DataFrame) -> DataFrame:
-    js = js_files(files)
-    marked = js.filter(c.matches(F.col("content"), fixed.JS_PROCESS)).withColumn("content", mark_lines(F.col("content")))
-    spawn = marked.select("skill_id", "path", F.posexplode(c.all_matches(
-        F.col("content"), "(?i)" + fixed.JS_PROCESS + r"(?=[^\x01]*+\x01(\d+))")).alias("pos", "m"))
-    env = _each(js, fixed.JS_ENV)
-    read = _each(js, fixed.JS_READ)
-    return union_all([
-        _io(_each(js, "(?i)" + fixed.JS_NETWORK), "effect", "network_request", F.col("m")),
-        _io(spawn, "effect", "subprocess", F.lit("child_process"), F.col("m").cast("int")),
-        _io(env, "input", "env_var", F.col("m")),
-        _io(env.filter(c.is_secret_env(F.col("m"))), "sensitive_read", "env", F.concat(F.lit("env:"), "m")),
-        _io(read.filter(c.is_sensitive_a(F.col("m"))), "sensitive_read", "path", F.col("m")),
+    """Facts of JavaScript and TypeScript files, in one pass over each file."""
+    t = F.col("content")
+    spawn = "(?i)" + fixed.JS_PROCESS + r"(?=[^\x01]*+\x01(\d+))"
+    started = F.when(c.matches(t, fixed.JS_PROCESS), _each(spawn, lambda m, i: ("effect", "subprocess", "child_process", m.cast("int"), i), text=mark_lines(t)))
+    return _rows(js_files(files), FACT, [
+        _each("(?i)" + fixed.JS_NETWORK, lambda m, i: ("effect", "network_request", m, 0, i)),
+        F.coalesce(started.cast(FACT), F.array().cast(FACT)),
+        _each(fixed.JS_ENV, lambda m, i: ("input", "env_var", m, 0, i)),
+        _each(fixed.JS_ENV, lambda m, i: ("sensitive_read", "env", F.concat(F.lit("env:"), m), 0, i), c.is_secret_env),
+        _each(fixed.JS_READ, lambda m, i: ("sensitive_read", "path", m, 0, i), c.is_sensitive_a),
     ])
 
 
 def other_findings(files: DataFrame) -> DataFrame:
-    sh, js, ya = shell_files(files), js_files(files), yaml_files(files)
-    path, m = F.col("path"), F.col("m")
-    pipe = findings(sh.filter(F.col("content").rlike(fixed.SHELL_PIPE)), "code", "CRITICAL", "SupplyChainPoisoning",
-                    "Shell script pipes remote content to interpreter (curl|bash)", path=path, confidence=0.95)
-    net = _each(js, "(?i)" + fixed.JS_NETWORK)
-    known = c.matches(m, fixed.EXFIL_ENDPOINT)
-    ext = findings(net.filter(c.is_external_a(m) & ~known), "code", "MEDIUM", "DataExfiltration",
-                   F.concat(F.lit("External network call in JS/TS: "), F.substring("m", 1, 80)), path=path, evidence=F.substring("m", 1, 100), pos=F.col("pos"))
-    bad = findings(net.filter(known), "code", "CRITICAL", "DataExfiltration",
-                   F.concat(F.lit("Known exfiltration endpoint in JS/TS: "), F.substring("m", 1, 80)), path=path, evidence=F.substring("m", 1, 100), pos=F.col("pos"))
-    dyn = findings(js.filter(F.col("content").rlike(fixed.JS_DYNAMIC)), "code", "HIGH", "RemoteCodeExecution",
-                   "Dynamic code execution in JS/TS: eval() or new Function()", path=path)
-    read = _each(js, fixed.JS_READ).filter(c.is_sensitive_a(m))
-    acc = findings(read, "code", "CRITICAL", "CredentialTheft", F.concat(F.lit("Sensitive file access in JS/TS: "), m),
-                   path=path, evidence=m, pos=F.col("pos"))
-    wide = ya.filter(F.col("content").rlike("(?i)" + fixed.YAML_PERMISSION) & F.col("content").rlike(fixed.YAML_WILDCARD))
-    perm = findings(wide, "code", "HIGH", "CapabilityInflation", "YAML manifest declares wildcard/all permissions", path=path, confidence=0.8)
-    ends = _each(ya, c.rx(f"({fixed.EXTERNAL_URL_A})")).filter(known)
-    yurl = findings(ends, "code", "CRITICAL", "DataExfiltration", F.concat(F.lit("Known exfiltration endpoint in YAML: "), F.substring("m", 1, 80)),
-                    path=path, evidence=F.substring("m", 1, 100), pos=F.col("pos"))
-    return union_all([pipe, ext, bad, dyn, acc, perm, yurl])
+    """Findings of shell, JavaScript and YAML files, in one pass over each file."""
+    t = F.col("content")
+    known = lambda m: c.matches(m, fixed.EXFIL_ENDPOINT)
+    said = lambda text, m: F.concat(F.lit(text), F.substring(m, 1, 80))
+    none = F.array().cast(NOTE)
+    sh = _one(t.rlike(fixed.SHELL_PIPE), "CRITICAL", "SupplyChainPoisoning", "Shell script pipes remote content to interpreter (curl|bash)", "", 0.95, 0)
+    net = "(?i)" + fixed.JS_NETWORK
+    js = F.flatten(F.array(*[x.cast(NOTE) for x in (
+        _each(net, lambda m, i: ("MEDIUM", "DataExfiltration", said("External network call in JS/TS: ", m), F.substring(m, 1, 100), 1.0, i), lambda m: c.is_external_a(m) & ~known(m)),
+        _each(net, lambda m, i: ("CRITICAL", "DataExfiltration", said("Known exfiltration endpoint in JS/TS: ", m), F.substring(m, 1, 100), 1.0, i), known),
+        _one(t.rlike(fixed.JS_DYNAMIC), "HIGH", "RemoteCodeExecution", "Dynamic code execution in JS/TS: eval() or new Function()", "", 1.0, 0),
+        _each(fixed.JS_READ, lambda m, i: ("CRITICAL", "CredentialTheft", F.concat(F.lit("Sensitive file access in JS/TS: "), m), m, 1.0, i), c.is_sensitive_a))]))
+    wide = t.rlike("(?i)" + fixed.YAML_PERMISSION) & t.rlike(fixed.YAML_WILDCARD)
+    ya = F.flatten(F.array(*[x.cast(NOTE) for x in (
+        _one(wide, "HIGH", "CapabilityInflation", "YAML manifest declares wildcard/all permissions", "", 0.8, 0),
+        _each(c.rx(f"({fixed.EXTERNAL_URL_A})"), lambda m, i: ("CRITICAL", "DataExfiltration", said("Known exfiltration endpoint in YAML: ", m), F.substring(m, 1, 100), 1.0, i), known))]))
+    ext = F.col("ext")
+    rows = files.filter(ext.isin(fixed.SHELL_EXTENSIONS + fixed.JS_EXTENSIONS + [".yaml", ".yml"])).select(
+        "skill_id", "path", F.inline(F.when(ext.isin(fixed.SHELL_EXTENSIONS), sh.cast(NOTE)).when(ext.isin(fixed.JS_EXTENSIONS), js).when(ext.isin(".yaml", ".yml"), ya).otherwise(none)))
+    return findings(rows, "code", F.col("severity"), F.col("category"), F.col("text"), path=F.col("path"), evidence=F.col("evidence"), confidence=F.col("confidence"), pos=F.col("pos"))
 
 
 def other_flags(files: DataFrame) -> DataFrame:

@@ -51,16 +51,40 @@ TOKENS = (
 _DIVISION = rf"(?s){_COMMENT}|((?:[\w.]*(?:home|expanduser)[\w.]*\s*\([^()]*+\)|[\w)\]])?\s*(?:/\s*{STRING}\s*)++)()|{STRING}"
 
 
+_IMPORT = r"(?m)^[ \t]*((?:import[ \t]+[\w., \t]+)|(?:from[ \t]+[\w.]+[ \t]+import[ \t]+[\w., \t(*]+))"
+
+
 def python_files(files: DataFrame) -> DataFrame:
     return files.filter("ext = '.py' and not is_binary and content is not null")
 
 
-def tokens(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame) -> DataFrame:
+    """All that is read off file contents, in one pass: one row per Python file.
+
+    ``tokens`` holds calls and string constants in text order with their lines, ``divisions``
+    paths built with ``/``, ``modules`` the imports; two scores need only the text itself.
+    """
+    marked = mark_lines(F.col("content"))
+
+    def spans(pattern: str, text_group: int, line_group: int) -> Column:
+        both = c.let(marked, lambda t: F.arrays_zip(
+            c.all_matches(t, pattern, text_group).alias("text"), c.all_matches(t, pattern, line_group).alias("line")))
+        return F.filter(both, lambda z: z["text"] != "")
+
+    t = F.col("content")
+    divided = F.when(t.rlike(r"""/\s*['"]"""), spans(f"(?=[^\\x01]*+\\x01(\\d+)){_DIVISION}", 2, 1))
+    lowered = lambda test, v: F.when(test, v).otherwise(0.0)
+    readable = F.greatest(F.lit(0.1), F.lit(1.0)
+        - lowered(c.matches(t, fixed.OBFUSCATION_B), 0.25) - lowered(t.contains("sys.meta_path"), 0.30)
+        - lowered(t.contains("__import__"), 0.15) - lowered(t.rlike(r"""['"][a-z]+['"]\s*\+\s*['"][a-z]+['"]"""), 0.10))
+    return python_files(files).select(
+        "skill_id", "path", spans(TOKENS, 1, 2).alias("tokens"), divided.alias("divisions"),
+        c.all_matches(t, _IMPORT).alias("modules"), t.rlike(r"if\s+__name__\s*(==|!=|in\b)").alias("entry_point"), readable.alias("readable"))
+
+
+def tokens(parsed: DataFrame) -> DataFrame:
     """Calls and string constants of Python files in text order, with line numbers."""
-    marked = files.select("skill_id", "path", mark_lines(F.col("content")).alias("t"))
-    both = F.arrays_zip(c.all_matches(F.col("t"), TOKENS, 1).alias("text"), c.all_matches(F.col("t"), TOKENS, 2).alias("line"))
-    kept = F.filter(both, lambda z: z["text"] != "")
-    rows = marked.select("skill_id", "path", F.posexplode(kept).alias("pos", "z"))
+    rows = parsed.select("skill_id", "path", F.posexplode("tokens").alias("pos", "z"))
     text = F.regexp_replace("z.text", "\x01\\d+", "")
     is_text = F.col("z.text").rlike(r"""^[rRbBuUfF]{0,2}["']""")
     head = r"^([\w.]+)\s*[(\[]"
@@ -132,10 +156,9 @@ def string_literals(toks: DataFrame, longer_than: int = 2) -> DataFrame:
     return texts.select("skill_id", "path", "pos", "line", F.explode(pieces).alias("value")).filter(F.length("value") > longer_than)
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(parsed: DataFrame) -> DataFrame:
     """Imported modules per file, ``from`` imports also as module.name."""
-    line = r"(?m)^[ \t]*((?:import[ \t]+[\w., \t]+)|(?:from[ \t]+[\w.]+[ \t]+import[ \t]+[\w., \t(*]+))"
-    rows = python_files(files).select("skill_id", "path", F.explode(c.all_matches(F.col("content"), line)).alias("s"))
+    rows = parsed.select("skill_id", "path", F.explode("modules").alias("s"))
     module = F.regexp_extract("s", r"^from[ \t]+([\w.]+)", 1)
     names = F.transform(
         F.split(F.regexp_replace("s", r"^(?:import|from[ \t]+[\w.]+[ \t]+import)[ \t]+\(?", ""), ","),
@@ -160,14 +183,9 @@ def _facts(df: DataFrame, *facts: Column) -> DataFrame:
     return df.select("skill_id", "path", F.inline(F.array_compact(F.array(*facts))), "line", "pos")
 
 
-def path_divisions(files: DataFrame) -> DataFrame:
-    """Paths built with ``/`` from constants, for instance below a home directory."""
-    fitting = files.filter(F.col("content").rlike(r"""/\s*['"]"""))
-    marked = fitting.select("skill_id", "path", mark_lines(F.col("content")).alias("t"))
-    both = F.arrays_zip(
-        c.all_matches(F.col("t"), f"(?=[^\\x01]*+\\x01(\\d+)){_DIVISION}", 2).alias("text"),
-        c.all_matches(F.col("t"), f"(?=[^\\x01]*+\\x01(\\d+)){_DIVISION}", 1).alias("line"))
-    rows = marked.select("skill_id", "path", F.posexplode(F.filter(both, lambda z: z["text"] != "")).alias("pos", "z"))
+def path_divisions(parsed: DataFrame) -> DataFrame:
+    """Sensitive paths built with ``/`` from constants, for instance below a home directory."""
+    rows = parsed.select("skill_id", "path", F.posexplode("divisions").alias("pos", "z"))
     parts = F.transform(c.all_matches(F.col("z.text"), f"(?s)({STRING})", 1), string_value)
     parts = F.when(F.col("z.text").rlike(r"(?i)^[\w.]*(?:home|expanduser)"), F.concat(F.array(F.lit("~")), parts)).otherwise(parts)
     return rows.select("skill_id", "path", F.col("z.line").cast("int").alias("line"), (F.col("pos") + 1_000_000).alias("pos"),
@@ -175,7 +193,7 @@ def path_divisions(files: DataFrame) -> DataFrame:
                        ).filter((F.col("n") >= 2) & c.is_sensitive_a(F.col("joined"))).drop("n")
 
 
-def python_io(called: DataFrame, literals: DataFrame, divisions: DataFrame, imported: DataFrame, py: DataFrame) -> DataFrame:
+def python_io(called: DataFrame, literals: DataFrame, divisions: DataFrame, imported: DataFrame, parsed: DataFrame) -> DataFrame:
     """What each Python file takes in, gives out, causes and reads of sensitive places."""
     from packaudit.operators.rules import sensitive_literals
 
@@ -207,7 +225,7 @@ def python_io(called: DataFrame, literals: DataFrame, divisions: DataFrame, impo
         _facts(sensitive_literals(literals), _fact(true, "sensitive_read", "path", F.col("value"))),
         _facts(imported.filter("module = 'sys'").withColumns(end), _fact(true, "input", "argv", F.lit("sys.argv"))),
         _facts(literals.filter(F.col("value").contains("stdin")).select("skill_id", "path").distinct().withColumns(end), _fact(true, "input", "stdin", F.lit(""))),
-        _facts(py.select("skill_id", "path").withColumns(end), _fact(true, "output", "stdout", F.lit("print/stdout"))),
+        _facts(parsed.select("skill_id", "path").withColumns(end), _fact(true, "output", "stdout", F.lit("print/stdout"))),
     ])
     reads = rows.filter("kind = 'sensitive_read'").groupBy("skill_id", "path", "kind", "subtype", "detail").agg(
         F.min("line").alias("line"), F.min("pos").alias("pos"))
@@ -282,7 +300,7 @@ def reverse_shells(called: DataFrame) -> DataFrame:
                     evidence="socket.connect + os.dup2 + shell", confidence=F.when(hard, 0.95).otherwise(0.85), pos=F.col("pos"))
 
 
-def python_flags(py: DataFrame, called: DataFrame, literals: DataFrame, imported: DataFrame) -> DataFrame:
+def python_flags(parsed: DataFrame, called: DataFrame, literals: DataFrame, imported: DataFrame) -> DataFrame:
     """Per file: how far it can be analysed, and whether it hides or builds code."""
     from packaudit.operators.rules import high_entropy
 
@@ -292,8 +310,7 @@ def python_flags(py: DataFrame, called: DataFrame, literals: DataFrame, imported
     odd = imported.filter(F.col("module").isin(fixed.OBFUSCATION_IMPORTS)).select(*keys).distinct().withColumn("obf", F.lit(True))
     named = literals.filter(c.has_any(F.col("value"), ["sys.meta_path", "__import__"])).select(*keys).distinct().withColumn("hook", F.lit(True))
     packed = high_entropy(literals).select(*keys).distinct().withColumn("packed", F.lit(True))
-    base = py.select(*keys, F.col("content").rlike(r"if\s+__name__\s*(==|!=|in\b)").alias("entry_point"))
-    j = base
+    j = parsed.select(*keys, "entry_point")
     for other in (ran, odd, named, packed):
         j = j.join(other, keys, "left")
     flag = lambda x: F.coalesce(F.col(x), F.lit(False))
@@ -417,13 +434,9 @@ def op_risk() -> Column:
         .when(kind == "env_op", 0.30).otherwise(0.20))
 
 
-def analyzability(py: DataFrame) -> DataFrame:
+def analyzability(parsed: DataFrame) -> DataFrame:
     """Per file: 1 lowered for encoding calls, import hooks and names built from pieces."""
-    t = F.col("content")
-    cut_ = lambda test, v: F.when(test, v).otherwise(0.0)
-    return py.select("skill_id", "path", F.greatest(F.lit(0.1), F.lit(1.0)
-        - cut_(c.matches(t, fixed.OBFUSCATION_B), 0.25) - cut_(t.contains("sys.meta_path"), 0.30)
-        - cut_(t.contains("__import__"), 0.15) - cut_(t.rlike(r"""['"][a-z]+['"]\s*\+\s*['"][a-z]+['"]"""), 0.10)).alias("analyzability"))
+    return parsed.select("skill_id", "path", F.col("readable").alias("analyzability"))
 
 
 def scored_paths() -> Column:

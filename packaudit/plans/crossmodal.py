@@ -24,18 +24,18 @@ KEY = "skill_id"
 def read_code(files: DataFrame) -> dict[str, DataFrame]:
     """Facts and findings of all code and text files."""
     text = src.text_files(files)
-    pyf = py.python_files(text)
-    toks = written(py.tokens(pyf), "tokens")
-    called, literals = written(py.calls(toks), "calls"), py.string_literals(toks)
-    divisions, imported = py.path_divisions(pyf), py.imports(pyf)
+    parsed = written(py.parse(src.of_kind(text, "py")), "parsed")
+    toks = py.tokens(parsed)
+    called, literals = written(py.calls(toks), "calls"), written(py.string_literals(toks), "literals")
+    divisions, imported = py.path_divisions(parsed), py.imports(parsed)
     ops = union_all([py.call_findings(called), py.division_findings(divisions), py.reverse_shells(called), rules.literal_findings(literals)])
-    hits = rules.line_findings(text)
+    hits = written(rules.line_findings(text), "line_hits")
     py_hits = rules.drop_duplicate_hits(hits.filter("path like '%.py'"), ops)
-    found = union_all([ops, py_hits, hits.filter("path not like '%.py'"), oth.other_findings(text), src.binary_findings(files)])
-    io = union_all([py.python_io(called, literals, divisions, imported, pyf.select(KEY, "path")), oth.shell_io(text), oth.js_io(text)])
-    flags = py.python_flags(pyf, called, literals, imported).unionByName(oth.other_flags(text))
+    other = src.of_kind(text, "shell", "js", "yaml")
+    found = union_all([ops, py_hits, hits.filter("path not like '%.py'"), oth.other_findings(other), src.binary_findings(src.of_kind(files, "binary"))])
+    io = union_all([py.python_io(called, literals, divisions, imported, parsed), oth.shell_io(src.of_kind(text, "shell")), oth.js_io(src.of_kind(text, "js"))])
+    flags = py.python_flags(parsed, called, literals, imported).unionByName(oth.other_flags(other))
     return {
-        "tokens": toks,
         "findings": scores.dedupe_findings(found),
         "script_io": written(io, "script_io"),
         "script_flags": written(flags, "script_flags"),
@@ -45,7 +45,7 @@ def read_code(files: DataFrame) -> dict[str, DataFrame]:
 
 def read_instructions(files: DataFrame, supplied_steps: DataFrame | None = None) -> dict[str, DataFrame]:
     """Manifest, permissions and steps; supplied steps win over extracted ones per package."""
-    manifests = src.manifest_file(files)
+    manifests = src.manifest_file(src.of_kind(files, "doc"))
     fields = written(man.manifest_fields(manifests), "manifest")
     found = stp.extract_steps(fields)
     if supplied_steps is not None:
@@ -58,13 +58,14 @@ def audit(files: DataFrame, supplied_steps: DataFrame | None = None, supplied_co
           reputation: DataFrame | None = None, strict_labels: bool = False, thresholds: dict | None = None) -> dict[str, DataFrame]:
     """All result tables of audit A, keyed by name; ``reports`` has one row per package."""
     prepare(files.sparkSession)
+    files = src.staged(files)
     code = read_code(files)
     text = read_instructions(files, supplied_steps)
     fields, perms, steps = text["manifest"], text["permissions"], text["steps"]
     io, flags, scripts = code["script_io"], code["script_flags"], code["scripts"]
     packages = src.list_packages(files)
 
-    hits = inj.detect_tiered(src.injection_files(files))
+    hits = written(inj.detect_tiered(src.injection_files(src.of_kind(files, "doc", "yaml"))), "injection_hits")
     injected = inj.tiered_confidence(hits)
     found = union_all([
         inj.injection_finding(hits), code["findings"],
@@ -102,7 +103,7 @@ def audit(files: DataFrame, supplied_steps: DataFrame | None = None, supplied_co
     reports = ver.decide_a(ver.fuse_a(j), thresholds or ver.fixed.THRESHOLDS_A)
     return {
         "reports": reports, "evidence": proof, "findings": enriched, "enrichment_log": con.enrichment_log(enriched), "violations": violations,
-        "contracts": contracts, "taint_chains": flows, "attack_chains": attacks, "phantoms": phantoms, "external_urls": urls, "injection": injected,
+        "contracts": contracts, "taint_chains": flows, "attack_chains": attacks, "chain_evidence": chain_ops.chain_evidence(attacks, io), "phantoms": phantoms, "external_urls": urls, "injection": injected,
         "steps": steps, "manifest": fields, "permissions": perms, "script_io": io, "script_flags": flags,
     }
 

@@ -24,18 +24,19 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
     spark = files.sparkSession
     prepare(spark)
     units = empty(spark, EXTERNAL["instruction_units"]) if units is None else units
-    packages = src.list_packages(files, require_manifest=True)
+    files = src.staged(files)
+    packages = written(src.list_packages(src.of_kind(files, "doc"), require_manifest=True), "packages")
     listed = files.join(packages, KEY, "left_semi")
-    injected = inj.weighted_confidence(inj.weighted_hits(src.injection_sources(listed).select(KEY, "path", "content")))
+    injected = inj.weighted_confidence(inj.weighted_hits(src.injection_sources(src.of_kind(listed, "doc", "py")).select(KEY, "path", "content")))
     stopped = written(injected.filter("detected").select(KEY), "stopped")
     live = listed.join(stopped, KEY, "left_anti")
     units = units.join(packages, KEY, "left_semi")
 
-    pyf = py.python_files(src.text_files(live))
-    ops = py.code_ops(written(py.tokens(pyf), "tokens"), src.non_python_sources(live))
+    parsed = written(py.parse(src.text_files(src.of_kind(live, "py"))), "parsed")
+    ops = py.code_ops(py.tokens(parsed), src.non_python_sources(src.of_kind(live, "doc", "yaml")))
     ops = written(g.with_code_ids(ops), "ops")
-    perms = written(man.permissions(src.manifest_file(live)), "permissions")
-    fields = written(man.manifest_fields(src.manifest_file(live)), "manifest")
+    perms = written(man.permissions(src.manifest_file(src.of_kind(live, "doc"))), "permissions")
+    fields = written(man.manifest_fields(src.manifest_file(src.of_kind(live, "doc"))), "manifest")
     scopes = written(g.declared_scopes(units), "scopes")
     judged = written(g.best_step(g.declared_ops(ops, scopes), g.step_anchors(units)), "judged")
     live_units = units.join(stopped, KEY, "left_anti")
@@ -56,7 +57,7 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
 
     chains = written(g.dedupe_chains(g.op_chains(ops).unionByName(g.step_escalation(live_units, sibling, misaligned))), "chains")
     caps = written(g.code_capabilities(ops), "caps")
-    readable = py.analyzability(pyf).groupBy(KEY).agg(F.min("analyzability").alias("analyzability"))
+    readable = py.analyzability(parsed).groupBy(KEY).agg(F.min("analyzability").alias("analyzability"))
     alive = packages.join(stopped, KEY, "left_anti")
     gap = written(g.alignment(alive, caps, scopes, misaligned, readable), "alignment")
     gaps = written(g.top_gaps(g.over_reach_rows(caps, g.declared_long(g._scopes_or_empty(alive.join(scopes, KEY, "left"))))), "gaps")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, first_rows
+from packaudit.functions.tables import findings, first_rows, written
 
 FILES = "skill_id string, path string, basename string, ext string, size bigint, is_binary boolean, content string"
 
@@ -122,6 +122,22 @@ def list_packages(files: DataFrame, require_manifest: bool = False) -> DataFrame
     return shown.select("skill_id").distinct()
 
 
+def staged(files: DataFrame) -> DataFrame:
+    """Files written once to the shared folder, one partition per kind of file.
+
+    Each extractor then reads only its own kind, and package listings read no contents.
+    """
+    ext = F.col("ext")
+    kind = (F.when(F.col("is_binary"), "binary").when(ext == ".py", "py").when(ext.isin(fixed.SHELL_EXTENSIONS), "shell")
+            .when(ext.isin(fixed.JS_EXTENSIONS), "js").when(ext.isin(".yaml", ".yml"), "yaml").when(ext.isin(".md", ".txt"), "doc").otherwise("other"))
+    return written(files.withColumn("kind", kind), "files", partition="kind")
+
+
+def of_kind(files: DataFrame, *kinds: str) -> DataFrame:
+    """Only the given kinds, by partition, when the files are staged; else all files."""
+    return files.filter(F.col("kind").isin(*kinds)) if "kind" in files.columns else files
+
+
 def binary_findings(files: DataFrame) -> DataFrame:
     hit = files.filter("is_binary")
     return findings(hit, "code", "MEDIUM", "Obfuscation",

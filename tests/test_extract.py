@@ -36,7 +36,7 @@ lines os.system("no")\'\'\'
 
 def _tokens(make_files, text=SOURCE):
     f = make_files({"k": {"scripts/a.py": text}})
-    pyf = py.python_files(f)
+    pyf = py.parse(f)
     return f, pyf, py.tokens(pyf)
 
 
@@ -96,7 +96,7 @@ def test_entropy_counts_for_the_operation_before(make_files):
 
 
 def test_reverse_shell_needs_three_signals(make_files):
-    pyf = py.python_files(make_files({"k": fx.SHELL_BACK}))
+    pyf = py.parse(make_files({"k": fx.SHELL_BACK}))
     r = py.reverse_shells(py.calls(py.tokens(pyf))).collect()
     assert [(x.path, x.severity, x.confidence) for x in r] == [("scripts/s.py", "CRITICAL", 0.95)]
 
