@@ -472,3 +472,15 @@ _TIER += [("encoding", n, p) for n, p in fixed.ENCODED_RUNS]
 ORACLE["builtin_tiers_texts"] = " union all ".join(
     f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from documents where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
  union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from documents where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""
+ORACLE["static_overall"] = _with(_CS) + "select skill_id, round(cast(least(1.0, greatest(s2, s3, sp * 0.9, sk * 0.85)) as double), 6) as static_overall from cs"
+ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US) + """, tp as (select * from (select *, row_number() over (partition by skill_id order by score desc, path, line) as rn from s where score >= 0.5) where rn <= 10),
+oc as (select skill_id, count(*) filter (contains(lower(description), 'external') or contains(lower(description), 'http')) as net,
+ count(*) filter (contains(lower(description), 'sensitive') or contains(lower(description), 'ssh')) as cred, count(*) filter (contains(lower(description), 'eval')) as obf from tp group by 1),
+m as (select *, greatest(a, b, c, d, e) as top from us), fu as (select skill_id, count(*) as f, count(*) filter (case top when a then false when b then true when c then true else false end) as exf from m where top > 0.5 group by 1),
+pk as (select distinct skill_id, cast(regexp_extract(skill_id, '([0-9]+)', 1) as int) as n from un),
+j as (select pk.*, coalesce(net, 0) as net, coalesce(cred, 0) as cred, coalesce(obf, 0) as obf, coalesce(f, 0) as f, coalesce(exf, 0) as exf from pk left join oc on oc.skill_id = pk.skill_id left join fu on fu.skill_id = pk.skill_id)
+select skill_id, 'NL-Directed Data Exfiltration Chain' as name, case when (n % 10) / 10.0 > 0.85 then 'CRITICAL' else 'HIGH' end as severity, cast(n % 5 as bigint) as misalign_count, least(net, 3) as n_code, least(exf, 3) as n_nl
+ from j where exf > 0 and net > 0 and (n % 7) / 7.0 > 0.35
+union all select skill_id, 'Credential Theft', 'CRITICAL', n % 5, least(cred, 3), least(f, 2) from j where cred > 0 and (n % 10) / 10.0 > 0.45
+union all select skill_id, 'Obfuscated Code Execution', 'HIGH', n % 5, least(obf, 3), 0 from j where obf > 0 and (n % 4) / 4.0 > 0.40
+union all select skill_id, 'Multi-Step NL Instruction Kill Chain', 'HIGH', 0, 0, 1 from j where n % 2 = 0"""

@@ -669,6 +669,26 @@ def gate_filter(spark, sf):
     return x.select("skill_id", r6("fast_p").alias("fast_p"), "needs_judges")
 
 
+@query
+def static_overall(spark, sf):
+    s = v.component_scores(spark, sf)
+    return s.select("skill_id", r6(scores.static_overall(*[F.col(x) for x in ("s2", "s3", "s_chain", "s_check")])).alias("static_overall"))
+
+
+@query
+def kill_chains(spark, sf):
+    """Chains from the strongest operations, flagged turns and derived package scores."""
+    us = v.unit_scores(spark, sf)
+    n = F.regexp_extract("skill_id", "([0-9]+)", 1).cast("int")
+    pk = us.select("skill_id").distinct()
+    table = pk.select("skill_id", ((n % 10) / 10.0).alias("p"), ((n % 7) / 7.0).alias("s3"), ((n % 3) / 3.0).alias("over_reach"),
+                      (n % 5).cast("long").alias("misalign_count"), ((n % 4) / 4.0).alias("hiding_score"))
+    told = pk.select("skill_id", (n % 2 == 0).alias("kill_chain"), F.lit("told").alias("kill_chain_text"))
+    top = scores.top_op_findings(scores.op_scores(v.ops(spark, sf)))
+    x = ver.kill_chains(table, top, scores.flagged_units(us, v.units(spark, sf)), scores.unit_rollup(us, told), v.judge_verdicts(spark, sf).limit(0))
+    return x.select("skill_id", "name", "severity", "misalign_count", F.size("code_evidence").cast("long").alias("n_code"), F.size("nl_evidence").cast("long").alias("n_nl"))
+
+
 @query
 def evidence_union(spark, sf):
     st, io, fl = v.steps(spark, sf), v.script_io(spark, sf), v.script_flags(spark, sf)

@@ -166,6 +166,11 @@ def edges(units: DataFrame, ops: DataFrame, perms: DataFrame, judged: DataFrame)
     return union_all([sibling_edges(units), ctrl_flow_edges(ops), cross_edges(judged), covers_edges(ops, perms)])
 
 
+def instruction_graph(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, flow edges and declared scopes from the instructions alone."""
+    return nl_nodes(units), sibling_edges(units), declared_scopes(units)
+
+
 def graph_stats(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     n = node_rows.groupBy(KEY, F.lit("node").alias("part"), F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
     e = edge_rows.groupBy(KEY, F.lit("edge").alias("part"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n"))

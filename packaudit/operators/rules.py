@@ -53,11 +53,15 @@ def applies(rule: Rule, ext: Column) -> Column:
     return ~file_kind(ext).isin(*rule.skip)
 
 
-def explode_lines(files: DataFrame) -> DataFrame:
-    """Numbered lines of every file."""
-    return files.select(
-        "skill_id", "path", "ext", F.posexplode(F.split("content", "\n")).alias("pos", "text")
-    ).withColumn("line", F.col("pos") + 1).drop("pos")
+def explode_lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Numbered lines of every file, or only of files for which ``keep`` holds.
+
+    The test is part of the generator, so it runs where the file is and is made once.
+    """
+    lines = F.split("content", "\n")
+    if keep is not None:
+        lines = F.when(keep, lines)
+    return files.select("skill_id", "path", "ext", F.posexplode(lines).alias("pos", "text")).withColumn("line", F.col("pos") + 1).drop("pos")
 
 
 def scan_lines(files: DataFrame, rules: list[Rule], exclude_comments: bool = True) -> DataFrame:
@@ -70,7 +74,7 @@ def scan_lines(files: DataFrame, rules: list[Rule], exclude_comments: bool = Tru
         tests = [applies(r, F.col("ext")) & may(r.anchors) & r.hits(F.col("content")) for r in rules]
         return reduce(lambda a, b: a | b, tests)
 
-    lines = explode_lines(files.filter(anc.guarded(F.col("content"), in_file)))
+    lines = explode_lines(files, anc.guarded(F.col("content"), in_file))
     stripped = F.trim(F.col("text"), F.lit(" \t\r\n\f\u000b"))
 
     def in_line(may) -> Column:

@@ -79,8 +79,9 @@ def filtered_score(df: DataFrame) -> DataFrame:
     return df.groupBy(KEY).agg(F.max(w).alias("filtered_score"))
 
 
-def static_overall(df: DataFrame) -> Column:
-    return F.least(F.lit(1.0), F.greatest("pattern_score", "behavioral_score", F.col("chain_score") * 0.9, F.col("alignment_score") * 0.85))
+def static_overall(pattern: Column, behaviour: Column, chain: Column, alignment: Column) -> Column:
+    """Worst static score; chains and alignment count a little less."""
+    return F.least(F.lit(1.0), F.greatest(pattern, behaviour, chain * 0.9, alignment * 0.85))
 
 
 def declared_classes(steps: DataFrame) -> DataFrame:

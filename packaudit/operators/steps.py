@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
@@ -97,3 +97,40 @@ def program_summary(steps: DataFrame) -> DataFrame:
         F.count("*").alias("n_steps"),
         F.bool_or(F.col("target_script") != "").alias("has_link"),
         F.array_join(F.collect_list("description"), "\n").alias("steps_text"))
+
+
+def step_order(steps: DataFrame) -> DataFrame:
+    """Steps with their place in a breadth-first run from the first one.
+
+    From a step the run goes to its two branches, if it is conditional, and to the step
+    after it.  Extracted steps run in their own order; this is for supplied steps, whose
+    branches may lead anywhere.  Each round reaches the next level and remembers the way
+    there, and ways compare like places in the queue.
+    """
+    from packaudit.functions.tables import cut
+
+    at = steps.select("skill_id", "step_id", "step_index", "condition", "branch_true", "branch_false")
+    after = at.select("skill_id", (F.col("step_index") - 1).alias("step_index"), F.col("step_id").alias("after"))
+    ways = F.array(
+        F.struct(F.lit("0").alias("rank"), F.when(F.col("condition") != "", F.col("branch_true")).alias("next")),
+        F.struct(F.lit("1").alias("rank"), F.when(F.col("condition") != "", F.col("branch_false")).alias("next")),
+        F.struct(F.lit("2").alias("rank"), F.col("after").alias("next")))
+    links = at.join(after, ["skill_id", "step_index"], "left").select("skill_id", "step_id", F.inline(ways)).filter("next <> ''")
+    links = cut(links.join(at.select("skill_id", F.col("step_id").alias("next")), ["skill_id", "next"], "left_semi"))
+    first = at.groupBy("skill_id").agg(F.min(F.struct("step_index", "step_id")).alias("f"))
+    level = cut(first.select("skill_id", F.col("f.step_id").alias("step_id"), F.lit("").alias("way"), F.lit(0).alias("depth")))
+    seen, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        found = level.join(links, ["skill_id", "step_id"]).groupBy("skill_id", F.col("next").alias("step_id")).agg(F.min(F.concat("way", "rank")).alias("way"))
+        level = cut(found.join(seen.select("skill_id", "step_id"), ["skill_id", "step_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(level)
+        if depth % 8 == 0:
+            seen = cut(seen)
+    w = Window.partitionBy("skill_id").orderBy("depth", "way")
+    return steps.join(seen, ["skill_id", "step_id"]).withColumn("place", F.row_number().over(w)).drop("depth", "way")
+
+
+def in_run_order(steps: DataFrame) -> DataFrame:
+    """Steps renumbered by ``step_order``; their ids stay."""
+    return step_order(steps).withColumn("step_index", F.col("place")).select(*steps.columns)

@@ -50,7 +50,7 @@ def read_instructions(files: DataFrame, supplied_steps: DataFrame | None = None)
     found = stp.extract_steps(fields)
     if supplied_steps is not None:
         have = supplied_steps.select(KEY).distinct()
-        found = supplied_steps.select(*found.columns).unionByName(found.join(have, KEY, "left_anti"))
+        found = stp.in_run_order(supplied_steps.select(*found.columns)).unionByName(found.join(have, KEY, "left_anti"))
     return {"manifests": manifests, "manifest": fields, "permissions": written(man.permissions(manifests), "permissions"), "steps": written(found, "steps")}
 
 
@@ -103,18 +103,22 @@ def audit(files: DataFrame, supplied_steps: DataFrame | None = None, supplied_co
     reports = ver.decide_a(ver.fuse_a(j), thresholds or ver.fixed.THRESHOLDS_A)
     return {
         "reports": reports, "evidence": proof, "findings": enriched, "enrichment_log": con.enrichment_log(enriched), "violations": violations,
-        "contracts": contracts, "taint_chains": flows, "attack_chains": attacks, "chain_evidence": chain_ops.chain_evidence(attacks, io), "phantoms": phantoms, "external_urls": urls, "injection": injected,
+        "contracts": contracts, "taint_chains": flows, "attack_chains": attacks, "chain_evidence": chain_ops.chain_evidence(attacks, io), "phantoms": phantoms, "external_urls": urls, "observed_places": observed_places(io), "injection": injected,
         "steps": steps, "manifest": fields, "permissions": perms, "script_io": io, "script_flags": flags,
     }
 
 
+def observed_places(io: DataFrame) -> DataFrame:
+    """Distinct sensitive reads and network destinations of each package, one row each."""
+    place = F.when(F.col("kind") == "sensitive_read", "reads").when((F.col("kind") == "effect") & (F.col("subtype") == "network_request"), "nets")
+    return io.select(KEY, place.alias("place"), "detail").filter("place is not null").distinct()
+
+
 def package_summary(fields: DataFrame, steps: DataFrame, scripts: DataFrame, io: DataFrame, flags: DataFrame) -> DataFrame:
     """Purpose, step and script counts, number of distinct sensitive reads and destinations, flags."""
     st = steps.groupBy(KEY).agg(F.count("*").alias("step_count"), F.count_if(F.col("target_script") != "").alias("linked_steps"))
     sc = scripts.groupBy(KEY).agg(F.count("*").alias("scripts_found"))
-    place = F.when(F.col("kind") == "sensitive_read", "reads").when((F.col("kind") == "effect") & (F.col("subtype") == "network_request"), "nets")
-    seen = io.select(KEY, place.alias("place"), "detail").filter("place is not null").distinct()
-    d = seen.groupBy(KEY).agg(F.count_if(F.col("place") == "reads").alias("sensitive_reads"), F.count_if(F.col("place") == "nets").alias("network_destinations"))
+    d = observed_places(io).groupBy(KEY).agg(F.count_if(F.col("place") == "reads").alias("sensitive_reads"), F.count_if(F.col("place") == "nets").alias("network_destinations"))
     out = fields.select(KEY, F.col("name").alias("skill_name"), "purpose")
     for part in (st, sc, d, scores.package_flags(flags).drop("n_files", "min_analyzability")):
         out = out.join(part, KEY, "full")

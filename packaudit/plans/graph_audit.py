@@ -75,7 +75,7 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
                  "misalign_count": 0, "injection": False, "analyzability": 1.0})
     s2 = F.when(F.col("injection"), 0.0).otherwise(scores.code_score_b(F.col("pattern_score"), F.col("taint_risk"), F.col("hiding_score"), F.col("analyzability")))
     j = j.withColumns({"s2": s2, "s3": F.when(F.col("injection"), 0.0).otherwise(F.col("alignment_gap"))})
-    j = j.withColumn("static_overall", F.least(F.lit(1.0), F.greatest("pattern_score", "taint_risk", F.col("s_chain") * 0.9, F.col("s3") * 0.85)))
+    j = j.withColumn("static_overall", scores.static_overall(*[F.col(x) for x in ("pattern_score", "taint_risk", "s_chain", "s3")]))
     first = written(ver.fast_gate(j), "phase1")
     needs = first.filter("needs_judges").select(KEY)
     static = static_findings(top, chains, gaps, checked)

@@ -168,3 +168,32 @@ def test_reputation(spark):
                                   "url string, malicious int, suspicious int, harmless int, undetected int, permalink string")
     got = {(r.severity, r.evidence, round(r.confidence, 3)) for r in rep.reputation_findings(rep.urls_to_check(rep.external_urls(io)), table).collect()}
     assert got == {("CRITICAL", "L1", 0.6), ("HIGH", "L2", 0.1)}
+
+
+def test_supplied_steps_run_breadth_first(spark):
+    from packaudit.operators import steps as stp
+
+    rng = random.Random(13)
+    rows, want = [], {}
+    for p in range(25):
+        n = rng.randrange(1, 12)
+        mine = []
+        for i in range(1, n + 1):
+            jump = lambda: f"S{rng.randrange(1, n + 2)}" if rng.random() < 0.8 else ""
+            cond = rng.random() < 0.4
+            mine.append((f"p{p}", i, f"S{i}", "run", "d", "", [], "", "", "if" if cond else "", jump(), jump()))
+        rows += mine
+        by_id, queue, order = {r[2]: r for r in mine}, ["S1"], []
+        while queue:
+            s = queue.pop(0)
+            if s in order or s not in by_id:
+                continue
+            order.append(s)
+            r = by_id[s]
+            if r[9]:
+                queue += [x for x in (r[10], r[11]) if x]
+            if r[1] < n:
+                queue.append(f"S{r[1] + 1}")
+        want.update({(f"p{p}", s): k + 1 for k, s in enumerate(order)})
+    got = {(r.skill_id, r.step_id): r.place for r in stp.step_order(spark.createDataFrame(rows, STEP)).collect()}
+    assert got == want
