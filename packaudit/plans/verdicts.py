@@ -109,9 +109,6 @@ def fast_gate(df: DataFrame) -> DataFrame:
     return out.withColumn("needs_judges", ~skip)
 
 
-CHAIN_SHAPE = [KEY, "name", "severity", "nl_evidence", "code_evidence", "misalign_count", "contribution", "strategy"]
-
-
 def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Chains told by several modules at once, at most six per package by severity.
 
@@ -131,39 +128,40 @@ def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units
         F.array_sort(F.collect_list(F.struct("step_index", short.alias("t")))).alias("any_unit"))
     j = scores.join(ops, KEY, "left").join(fl, KEY, "left").join(units.select(KEY, "kill_chain", "kill_chain_text", "unit_score"), KEY, "left")
     none = c.empty_strings()
-    got = lambda x: F.size(F.coalesce(x, F.array())) > 0
-    texts = lambda x, n: F.transform(F.slice(F.coalesce(x, F.array()), 1, n), lambda e: e["d"])
     words = lambda x, n: F.coalesce(F.transform(F.slice(F.col(x), 1, n), lambda e: e["t"]), none)
     codes = lambda x, n: F.coalesce(F.transform(F.slice(F.col(x), 1, n), lambda e: e["d"]), none)
     some = lambda x: F.coalesce(F.size(F.col(x)), F.lit(0)) > 0
     s = F.col
 
-    def chain(df, name, severity, nl, code, miss, part, strategy):
-        return df.select(KEY, name.alias("name"), severity.alias("severity"), nl.alias("nl_evidence"), code.alias("code_evidence"),
-                         miss.cast("long").alias("misalign_count"), part.cast("double").alias("contribution"), strategy.alias("strategy"))
-
     lit_ = F.lit
-    c1 = chain(j.filter(some("exf") & some("net") & (s("s3") > 0.35)), lit_("NL-Directed Data Exfiltration Chain"),
-               F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"), words("exf", 3), codes("net", 3), s("misalign_count"), s("s3"),
-               lit_("AV3 (Semantic Camouflage + NL Exfiltration Instruction)"))
-    c2 = chain(j.filter(some("cred") & (s("p") > 0.45)), lit_("Credential Theft"),
-               F.when(F.exists("cred", lambda e: e["score"] > 0.80), "CRITICAL").otherwise("HIGH"), words("any_unit", 2), codes("cred", 3),
-               s("misalign_count"), s("over_reach"), lit_("T1-CredentialTheft / AV-Code"))
-    c3 = chain(j.filter(some("obf") & (s("hiding_score") > 0.40)), lit_("Obfuscated Code Execution"), lit_("HIGH"), none, codes("obf", 3),
-               s("misalign_count"), s("hiding_score"), lit_("AV1 (Code Obfuscation) / T5-RCE"))
-    c4 = chain(j.filter(s("kill_chain") & (F.coalesce("kill_chain_text", lit_("")) != "")), lit_("Multi-Step NL Instruction Kill Chain"), lit_("HIGH"),
-               F.array(F.substring("kill_chain_text", 1, 200)), none, lit_(0), s("unit_score"), lit_("AV2 (NL Instruction Injection)"))
-    first = union_all([c1, c2, c3, c4])
-    seen = first.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.concat("code_evidence", "nl_evidence")))).alias("seen"))
-    judged = verdicts.filter(s("is_malicious") & (F.size("evidence") > 0)).join(seen, KEY, "left").join(scores.select(KEY), KEY, "left_semi")
-    fresh = F.array_except("evidence", F.coalesce("seen", none))
-    judged = judged.withColumn("fresh", fresh).filter((F.size("fresh") > 0) & ~F.arrays_overlap(
+
+    def chain(test, name, severity, nl, code, miss, part, strategy):
+        return F.when(test, F.struct(
+            lit_(name).alias("name"), severity.alias("severity"), nl.alias("nl_evidence"), code.alias("code_evidence"),
+            miss.cast("long").alias("misalign_count"), part.cast("double").alias("contribution"), lit_(strategy).alias("strategy")))
+
+    told = F.coalesce("kill_chain", lit_(False)) & (F.coalesce("kill_chain_text", lit_("")) != "")
+    own = F.array_compact(F.array(
+        chain(some("exf") & some("net") & (s("s3") > 0.35), "NL-Directed Data Exfiltration Chain", F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"),
+              words("exf", 3), codes("net", 3), s("misalign_count"), s("s3"), "AV3 (Semantic Camouflage + NL Exfiltration Instruction)"),
+        chain(some("cred") & (s("p") > 0.45), "Credential Theft", F.when(F.exists("cred", lambda e: e["score"] > 0.80), "CRITICAL").otherwise("HIGH"),
+              words("any_unit", 2), codes("cred", 3), s("misalign_count"), s("over_reach"), "T1-CredentialTheft / AV-Code"),
+        chain(some("obf") & (s("hiding_score") > 0.40), "Obfuscated Code Execution", lit_("HIGH"), none, codes("obf", 3), s("misalign_count"), s("hiding_score"),
+              "AV1 (Code Obfuscation) / T5-RCE"),
+        chain(told, "Multi-Step NL Instruction Kill Chain", lit_("HIGH"), F.array(F.substring("kill_chain_text", 1, 200)), none, lit_(0), s("unit_score"),
+              "AV2 (NL Instruction Injection)")))
+    per = j.select(KEY, own.alias("own"))
+    first = per.select(KEY, F.inline("own"))
+    seen = per.select(KEY, F.flatten(F.transform("own", lambda x: F.concat(x["code_evidence"], x["nl_evidence"]))).alias("seen"))
+    judged = verdicts.filter(s("is_malicious") & (F.size("evidence") > 0)).join(seen, KEY)
+    judged = judged.withColumn("fresh", F.array_except("evidence", "seen")).filter((F.size("fresh") > 0) & ~F.arrays_overlap(
         "threat_categories", c.str_array(["T1-CredentialTheft", "T3-DataExfiltration"])))
     label = F.array_join(F.slice("threat_categories", 1, 2), ", ")
-    c5 = chain(judged, F.concat(lit_("Judge-Detected: "), F.when(label == "", "Unknown Threat").otherwise(label)),
-               F.when(s("risk_score") > 0.75, "HIGH").otherwise("MEDIUM"), none, F.slice("fresh", 1, 3), lit_(0), s("risk_score"),
-               F.concat(lit_("Detected by "), "judge_role", lit_(" judge")))
-    return first_rows(first.unionByName(c5), [KEY], [F.desc(c.severity_rank(s("severity"))), s("name"), s("strategy")], 6)
+    more = judged.select(
+        KEY, F.concat(lit_("Judge-Detected: "), F.when(label == "", "Unknown Threat").otherwise(label)).alias("name"),
+        F.when(s("risk_score") > 0.75, "HIGH").otherwise("MEDIUM").alias("severity"), none.alias("nl_evidence"), F.slice("fresh", 1, 3).alias("code_evidence"),
+        lit_(0).cast("long").alias("misalign_count"), s("risk_score").alias("contribution"), F.concat(lit_("Detected by "), "judge_role", lit_(" judge")).alias("strategy"))
+    return first_rows(first.unionByName(more), [KEY], [F.desc(c.severity_rank(s("severity"))), s("name"), s("strategy")], 6)
 
 
 def batch_summary(reports: DataFrame) -> DataFrame:
