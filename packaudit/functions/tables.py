@@ -24,19 +24,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written hand-over tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session without
     that setting gets a fresh temporary folder.
     """
+    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="packaudit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        if sc.applicationId not in _own_folders:
+            _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="packaudit-")
+        folder = _own_folders[sc.applicationId]
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
     return folder
 
 

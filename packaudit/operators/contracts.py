@@ -116,29 +116,29 @@ def verify_contracts(steps: DataFrame, contracts: DataFrame, script_io: DataFram
             F.lit(check).alias("check"), F.lit(kind_).alias("violation_type"), F.lit(severity).alias("severity"), text.alias("violation"),
             expected.alias("expected"), actual.alias("actual"), F.lit(confidence).alias("confidence")))
 
-    lit_ = F.lit
+    lit_, sure = F.lit, fixed.VIOLATION_CONFIDENCE
     checks = F.array_compact(F.array(
         v((kind == "sensitive_read") & (sub != "env") & ~F.col("sensitive_ok"), 1, "SENSITIVE_ACCESS", "CRITICAL",
-          say(lit_("Script accesses sensitive path '"), d, lit_("' but NL step does not declare sensitive access")), reads_exp, say(lit_("Reads: "), d), 0.9),
+          say(lit_("Script accesses sensitive path '"), d, lit_("' but NL step does not declare sensitive access")), reads_exp, say(lit_("Reads: "), d), sure["sensitive_read"]),
         v(is_read & dyn & ~open_read, 2, "SCOPE_EXCEED", "MEDIUM", lit_("Script reads files with dynamic path — cannot verify scope"),
-          reads_exp, lit_("Dynamic file path"), 0.5),
+          reads_exp, lit_("Dynamic file path"), sure["dynamic_read"]),
         v(is_read & ~dyn & secret & ~F.col("sensitive_ok"), 2, "SENSITIVE_ACCESS", "CRITICAL", say(lit_("Script reads sensitive path '"), d, lit_("'")),
-          reads_exp, say(lit_("Reads: "), d), 0.9),
+          reads_exp, say(lit_("Reads: "), d), sure["sensitive_read"]),
         v(is_read & ~dyn & ~(secret & ~F.col("sensitive_ok")) & ~covered, 2, "SCOPE_EXCEED", "MEDIUM",
-          say(lit_("Script reads '"), d, lit_("' outside declared scope")), reads_exp, say(lit_("Reads: "), d), 0.7),
+          say(lit_("Script reads '"), d, lit_("' outside declared scope")), reads_exp, say(lit_("Reads: "), d), sure["read_scope"]),
         v(is_net & ~F.col("network_ok"), 3, "UNDECLARED_SIDE_EFFECT", "HIGH",
           say(lit_("Script makes network request to '"), d, lit_("' but NL step does not declare network access")),
-          lit_("No network access allowed"), say(lit_("Network request: "), d), 0.85),
+          lit_("No network access allowed"), say(lit_("Network request: "), d), sure["network"]),
         v(is_net & F.col("network_ok") & ~any_net & ~in_net, 3, "SCOPE_EXCEED", "HIGH",
           say(lit_("Script accesses '"), d, lit_("' but contract only allows "), q("allowed_network")),
-          say(lit_("Allowed domains: "), q("allowed_network")), say(lit_("Accesses: "), d), 0.8),
+          say(lit_("Allowed domains: "), q("allowed_network")), say(lit_("Accesses: "), d), sure["network_scope"]),
         v(is_proc & no_procs, 4, "UNDECLARED_SIDE_EFFECT", "MEDIUM", say(lit_("Script runs subprocess '"), d, lit_("' but no subprocess declared")),
-          lit_("No subprocess allowed"), say(lit_("Subprocess: "), d), 0.7),
+          lit_("No subprocess allowed"), say(lit_("Subprocess: "), d), sure["process"]),
         v(is_proc & ~no_procs & ~F.array_contains("allowed_subprocesses", "*") & ~dyn & ~cmd_ok, 4, "SCOPE_EXCEED", "MEDIUM",
           say(lit_("Script runs '"), cmd, lit_("' but contract only allows "), q("allowed_subprocesses")),
-          say(lit_("Allowed commands: "), q("allowed_subprocesses")), say(lit_("Runs: "), cmd), 0.7),
+          say(lit_("Allowed commands: "), q("allowed_subprocesses")), say(lit_("Runs: "), cmd), sure["process_scope"]),
         v((kind == "output") & (sub == "file_write") & secret, 5, "SENSITIVE_ACCESS", "CRITICAL", say(lit_("Script writes to sensitive path '"), d, lit_("'")),
-          say(lit_("Allowed writes: "), q("allowed_file_writes")), say(lit_("Writes: "), d), 0.9)))
+          say(lit_("Allowed writes: "), q("allowed_file_writes")), say(lit_("Writes: "), d), sure["sensitive_write"])))
     per_act = acts.select("skill_id", "step_id", "step_index", "script", F.inline(checks))
     return per_act.unionByName(capability_inflation(bound, script_io, flags))
 
@@ -153,7 +153,7 @@ def capability_inflation(bound: DataFrame, script_io: DataFrame, flags: DataFram
         "skill_id", "step_id", "step_index", "script", F.lit(6).alias("check"), F.lit("CAPABILITY_INFLATION").alias("violation_type"), F.lit("MEDIUM").alias("severity"),
         F.format_string("Script has %d capabilities but NL description is only %d words", "n", "w").alias("violation"),
         F.lit("Capabilities proportional to NL description complexity").alias("expected"),
-        F.format_string("%d capabilities for a %d-word description", "n", "w").alias("actual"), F.lit(0.6).alias("confidence"))
+        F.format_string("%d capabilities for a %d-word description", "n", "w").alias("actual"), F.lit(fixed.VIOLATION_CONFIDENCE["inflation"]).alias("confidence"))
 
 
 def phantom_scripts(scripts: DataFrame, summary: DataFrame, steps: DataFrame) -> DataFrame:

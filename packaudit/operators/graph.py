@@ -303,22 +303,23 @@ def op_chains(ops: DataFrame) -> DataFrame:
     dynamic = (F.col("op_type") == "sys_op") & F.col("cmd_dynamic")
     order = ("line", "pos", "id")
 
-    def shape(df, name, severity, category, text):
+    def shape(df, key, text):
+        name, severity, category = fixed.OP_CHAINS[key]
         return df.select(KEY, F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("node"), "path", "line", text.alias("description"))
 
-    cred = follow_within(ops, is_sensitive_read(), is_external_call(), 6, carry, order=order)
-    env = follow_within(ops, F.col("op_type") == "env_op", is_external_call(), 5, carry, order=order)
-    run = follow_within(ops, F.col("op_type") == "net_op", dynamic, 5, carry, order=order)
+    cred = follow_within(ops, is_sensitive_read(), is_external_call(), fixed.OP_CHAIN_REACH["theft"], carry, order=order)
+    env = follow_within(ops, F.col("op_type") == "env_op", is_external_call(), fixed.OP_CHAIN_REACH["env"], carry, order=order)
+    run = follow_within(ops, F.col("op_type") == "net_op", dynamic, fixed.OP_CHAIN_REACH["fetch"], carry, order=order)
     stay = ops.filter((F.col("op_type") == "io_op") & F.col("is_write") & c.is_startup_file(F.col("file_path"), fixed.STARTUP_FILES_B))
     s = F.lit
     return union_all([
-        shape(cred, "Credential Exfiltration Pipeline", "CRITICAL", "T1-CredentialTheft", F.concat(
+        shape(cred, "theft", F.concat(
             s("Sensitive read «"), "file_path", s("» ("), at(""), s(") flows to external network call «"), "target.url", s("» ("), at("target."), s(")"))),
-        shape(env, "Environment Variable Exfiltration", "HIGH", "T3-DataExfiltration", F.concat(
+        shape(env, "env", F.concat(
             s("Env var «"), "var_name", s("» ("), at(""), s(") flows to external endpoint «"), "target.url", s("» ("), at("target."), s(")"))),
-        shape(run, "Remote Code Fetch → Dynamic Execution", "CRITICAL", "T5-RemoteCodeExecution", F.concat(
+        shape(run, "fetch", F.concat(
             s("Network fetch ("), at(""), s(") flows to dynamic exec/eval «"), "target.label", s("» ("), at("target."), s(")"))),
-        shape(stay, "Persistence Installation", "HIGH", "T7-Persistence", F.concat(
+        shape(stay, "stay", F.concat(
             s("Write to persistence path «"), "file_path", s("» at "), at(""))),
     ])
 
@@ -345,7 +346,7 @@ def step_escalation(units: DataFrame, flow: DataFrame, misaligned: DataFrame) ->
                                         F.slice(F.array_sort(F.collect_list(F.struct("id", "label"))), 1, 4).alias("first"))
     hit = per.filter("m >= 2 or (n >= 3 and m >= 1)")
     names = F.array_join(F.transform("first", lambda x: F.concat(F.lit("«"), x["label"], F.lit("»"))), " → ")
-    return hit.select(KEY, F.lit("NL Workflow Escalation Chain").alias("name"), F.lit("HIGH").alias("severity"), F.lit("T10-InstructionMisdirection").alias("category"),
+    return hit.select(KEY, *[F.lit(v).alias(k) for k, v in zip(("name", "severity", "category"), fixed.OP_CHAINS["steps"])],
                       nl_id(F.col("head")).alias("node"), F.lit("SKILL.md").alias("path"), F.col("head").alias("line"),
                       F.concat(F.col("n").cast("string"), F.lit("-step NL chain with "), F.col("m").cast("string"),
                                F.lit(" undeclared code capability misaligns. Steps: "), names).alias("description"))

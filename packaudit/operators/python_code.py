@@ -73,10 +73,10 @@ def parse(files: DataFrame) -> DataFrame:
 
     t = F.col("content")
     divided = F.when(t.rlike(r"""/\s*['"]"""), spans(f"(?=[^\\x01]*+\\x01(\\d+)){_DIVISION}", 2, 1))
-    lowered = lambda test, v: F.when(test, v).otherwise(0.0)
+    lowered = lambda test, why: F.when(test, fixed.READABLE_LOSS[why]).otherwise(0.0)
     readable = F.greatest(F.lit(0.1), F.lit(1.0)
-        - lowered(c.matches(t, fixed.OBFUSCATION_B), 0.25) - lowered(t.contains("sys.meta_path"), 0.30)
-        - lowered(t.contains("__import__"), 0.15) - lowered(t.rlike(r"""['"][a-z]+['"]\s*\+\s*['"][a-z]+['"]"""), 0.10))
+        - lowered(c.matches(t, fixed.OBFUSCATION_B), "encoding") - lowered(t.contains("sys.meta_path"), "import_hook")
+        - lowered(t.contains("__import__"), "import_call") - lowered(t.rlike(r"""['"][a-z]+['"]\s*\+\s*['"][a-z]+['"]"""), "joined_names"))
     return python_files(files).select(
         "skill_id", "path", spans(TOKENS, 1, 2).alias("tokens"), divided.alias("divisions"),
         c.all_matches(t, _IMPORT).alias("modules"), t.rlike(r"if\s+__name__\s*(==|!=|in\b)").alias("entry_point"), readable.alias("readable"))
@@ -408,7 +408,7 @@ def code_ops(toks: DataFrame, text_files: DataFrame) -> DataFrame:
     dense = F.when(~is_call & ~F.col("prefix").contains("b"), bits)
     rows = with_arguments(toks).select("skill_id", "path", "line", "pos", found.alias("found"), dense.alias("bits"))
     both = rows.select("skill_id", "path", "line", "pos", "bits", F.posexplode_outer("found").alias("o", "op"))
-    mark = F.when((F.col("bits") > 4.5) & (F.coalesce("o", F.lit(0)) == 0), F.col("bits"))
+    mark = F.when((F.col("bits") > fixed.DENSE_BITS) & (F.coalesce("o", F.lit(0)) == 0), F.col("bits"))
     both = both.select("skill_id", "path", "line", "pos", F.coalesce("o", F.lit(0)).alias("o"), mark.alias("bits"), "op").filter("op is not null or bits is not null")
     # a row that is both mark and operation becomes two: the mark first, for the operation before
     parts = F.when(F.col("op").isNotNull() & F.col("bits").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2)))
@@ -426,12 +426,13 @@ def code_ops(toks: DataFrame, text_files: DataFrame) -> DataFrame:
 
 def op_risk() -> Column:
     """Fixed risk of an operation row."""
-    kind = F.col("op_type")
+    kind, r = F.col("op_type"), fixed.OP_RISK
+    dense = F.col("entropy") > fixed.DENSE_BITS
     return (
-        F.when(kind == "io_op", F.when(F.col("is_sensitive"), 0.85).when(F.col("is_write"), 0.45).otherwise(0.25))
-        .when(kind == "net_op", F.when(F.col("is_external"), 0.65).otherwise(0.35))
-        .when(kind == "sys_op", F.when(F.col("cmd_dynamic"), 0.85).when(F.col("entropy") > 4.5, 0.80).otherwise(0.55))
-        .when(kind == "env_op", 0.30).otherwise(0.20))
+        F.when(kind == "io_op", F.when(F.col("is_sensitive"), r["io_sensitive"]).when(F.col("is_write"), r["io_write"]).otherwise(r["io_read"]))
+        .when(kind == "net_op", F.when(F.col("is_external"), r["net_external"]).otherwise(r["net_other"]))
+        .when(kind == "sys_op", F.when(F.col("cmd_dynamic"), r["sys_dynamic"]).when(dense, r["sys_dense"]).otherwise(r["sys_other"]))
+        .when(kind == "env_op", r["env"]).otherwise(r["other"]))
 
 
 def analyzability(parsed: DataFrame) -> DataFrame:

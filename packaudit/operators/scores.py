@@ -39,13 +39,13 @@ def severity_summary(df: DataFrame, key: str = KEY) -> DataFrame:
 def code_threat(df: DataFrame, key: str = KEY) -> DataFrame:
     """Worst severity weight plus a small bonus per finding, through a logistic curve."""
     raw = F.max(c.weight_of(F.col("severity"), fixed.SEVERITY_WEIGHT_A)) + F.least(F.lit(0.15), F.count("*") * 0.02)
-    return df.groupBy(key).agg(c.logistic(raw, 6.0, 0.55).alias("code_threat"), F.count("*").alias("n_findings"))
+    return df.groupBy(key).agg(c.logistic(raw, *fixed.SEVERITY_CURVE).alias("code_threat"), F.count("*").alias("n_findings"))
 
 
 def contract_score(violations: DataFrame) -> DataFrame:
     raw = F.max(c.weight_of(F.col("severity"), fixed.SEVERITY_WEIGHT_A) * F.col("confidence")) + F.least(F.lit(0.1), F.count("*") * 0.03)
     return violations.groupBy(KEY).agg(
-        c.logistic(raw, 6.0, 0.55).alias("contract_score"), F.count("*").alias("n_violations"), F.bool_or(F.col("severity") == "CRITICAL").alias("critical_contract"))
+        c.logistic(raw, *fixed.SEVERITY_CURVE).alias("contract_score"), F.count("*").alias("n_violations"), F.bool_or(F.col("severity") == "CRITICAL").alias("critical_contract"))
 
 
 def taint_score(chains: DataFrame) -> DataFrame:
@@ -139,17 +139,18 @@ def op_scores(ops: DataFrame) -> DataFrame:
     t, label = F.col("op_type"), F.col("label")
     entry = lambda v, *text: F.struct(F.lit(v).alias("score"), (F.concat(*text) if text else F.lit("")).alias("description"))
     s = F.lit
+    v = fixed.OP_SCORE
     runs = label.contains("eval") | label.contains("exec")
     sys = (
-        F.when(runs & F.col("cmd_dynamic"), entry(0.95, s("eval/exec with dynamic source"), at))
-        .when(F.col("cmd_dynamic"), entry(0.80, s("Subprocess with variable command"), at))
-        .when(F.col("entropy") > 4.5, entry(0.78, s("High-entropy string (encoded payload?) near "), "path", s(":"), F.col("line").cast("string")))
-        .when(c.matches(label, fixed.OBFUSCATION_B), entry(0.72, s("Obfuscation API usage"), at))
-        .when(F.col("cmd") != "", entry(0.40, s("Subprocess call: "), F.substring("cmd", 1, 50), at)).otherwise(entry(0.0)))
-    net = F.when(F.col("is_external"), entry(0.60, s("External HTTP call to "), F.substring("url", 1, 60), at)).otherwise(entry(0.20))
-    io = (F.when(F.col("is_sensitive"), entry(0.85, s("Sensitive path access: "), "file_path", at))
-          .when(F.col("is_write"), entry(0.45, s("File write: "), F.substring("file_path", 1, 50), at)).otherwise(entry(0.0)))
-    env = entry(0.25, s("Env var access: "), "var_name", at)
+        F.when(runs & F.col("cmd_dynamic"), entry(v["eval_dynamic"], s("eval/exec with dynamic source"), at))
+        .when(F.col("cmd_dynamic"), entry(v["process_dynamic"], s("Subprocess with variable command"), at))
+        .when(F.col("entropy") > fixed.DENSE_BITS, entry(v["dense"], s("High-entropy string (encoded payload?) near "), "path", s(":"), F.col("line").cast("string")))
+        .when(c.matches(label, fixed.OBFUSCATION_B), entry(v["encoding"], s("Obfuscation API usage"), at))
+        .when(F.col("cmd") != "", entry(v["process"], s("Subprocess call: "), F.substring("cmd", 1, 50), at)).otherwise(entry(0.0)))
+    net = F.when(F.col("is_external"), entry(v["net_external"], s("External HTTP call to "), F.substring("url", 1, 60), at)).otherwise(entry(v["net_other"]))
+    io = (F.when(F.col("is_sensitive"), entry(v["io_sensitive"], s("Sensitive path access: "), "file_path", at))
+          .when(F.col("is_write"), entry(v["io_write"], s("File write: "), F.substring("file_path", 1, 50), at)).otherwise(entry(0.0)))
+    env = entry(v["env"], s("Env var access: "), "var_name", at)
     z = F.when(t == "sys_op", sys).when(t == "net_op", net).when(t == "io_op", io).when(t == "env_op", env).otherwise(entry(0.0))
     return ops.withColumn("z", z).select("*", F.col("z.score").alias("score"), F.col("z.description").alias("description")).drop("z")
 
@@ -161,14 +162,15 @@ def top_op_findings(scored: DataFrame, n: int = 10) -> DataFrame:
 
 def hiding_score(ops: DataFrame, key: str = KEY) -> DataFrame:
     """Obfuscation score: encoding calls, high-entropy constants, dynamic commands."""
-    dense = F.count_if(F.col("entropy") > 4.5)
+    dense = F.count_if(F.col("entropy") > fixed.DENSE_BITS)
     dyn = F.count_if((F.col("op_type") == "sys_op") & F.col("cmd_dynamic"))
     score = F.when(F.bool_or(c.matches(F.col("label"), fixed.OBFUSCATION_B)), 0.40).otherwise(0.0) + F.least(F.lit(0.30), dense * 0.10) + F.least(F.lit(0.30), dyn * 0.15)
     return ops.groupBy(key).agg(F.least(F.lit(1.0), score).alias("hiding_score"))
 
 
 def code_score_b(pattern: Column, taint: Column, hiding: Column, analyzability: Column) -> Column:
-    return F.least(F.lit(1.0), 0.35 * pattern + 0.35 * taint + 0.20 * hiding + 0.10 * (F.lit(1.0) - analyzability))
+    w = fixed.CODE_WEIGHTS_B
+    return F.least(F.lit(1.0), w["pattern"] * pattern + w["taint"] * taint + w["hiding"] * hiding + w["opaque"] * (F.lit(1.0) - analyzability))
 
 
 UNIT_CATEGORIES = {"I-MIS": "i_mis", "I-EXP": "i_exp", "I-EXF": "i_exf", "I-CAM": "i_cam", "I-PRIV": "i_priv"}

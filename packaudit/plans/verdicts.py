@@ -50,9 +50,12 @@ def fuse_a(df: DataFrame) -> DataFrame:
     class_gap, chain_score, step_threat, taint_score."""
     s = F.col
     align = F.greatest("contract_score", "class_gap")
-    raw = 0.30 * align + 0.25 * s("code_threat") + 0.15 * s("chain_score") + 0.10 * align * s("code_threat") + 0.08 * s("step_threat") + 0.12 * s("taint_score")
-    ways = [(s("code_threat"), 0.55), (align, 0.55), (s("chain_score"), 0.60), (s("step_threat"), 0.55), (s("taint_score"), 0.50), (raw, 0.35)]
-    return df.withColumn("overall", F.greatest(*[c.logistic(x, 6.0, b) for x, b in ways]))
+    w, bias = fixed.COMBINED_A, fixed.FUSION_A
+    signals = {"code": s("code_threat"), "align": align, "chain": s("chain_score"), "step": s("step_threat"), "taint": s("taint_score")}
+    raw = w["align_x_code"] * align * s("code_threat")
+    for name, value in signals.items():
+        raw = raw + w[name] * value
+    return df.withColumn("overall", F.greatest(*[c.logistic(x, bias["k"], bias[n]) for n, x in {**signals, "combined": raw}.items()]))
 
 
 def decide_a(df: DataFrame, thresholds: dict[str, float] = fixed.THRESHOLDS_A) -> DataFrame:
@@ -61,9 +64,10 @@ def decide_a(df: DataFrame, thresholds: dict[str, float] = fixed.THRESHOLDS_A) -
     Needs overall, undeclared_exfil, critical_contract, complete_chain, n_critical, n_evidence.
     """
     t = thresholds
-    floor = lambda test, v: F.when(F.col(test), v).otherwise(0.0)
-    score = F.greatest("overall", floor("undeclared_exfil", t["review"] + 0.05), floor("critical_contract", t["review"] + 0.05),
-                       floor("complete_chain", t["review"] + 0.10), F.when(F.col("n_critical") >= 2, t["block"] + 0.05).otherwise(0.0))
+    lift = fixed.LIFT_A
+    floor = lambda test: F.when(F.col(test), t["review"] + lift[test]).otherwise(0.0)
+    score = F.greatest("overall", floor("undeclared_exfil"), floor("critical_contract"), floor("complete_chain"),
+                       F.when(F.col("n_critical") >= 2, t["block"] + lift["two_critical"]).otherwise(0.0))
     out = df.withColumn("decided", score)
     d = F.col("decided")
     conf = (F.when((F.col("n_critical") > 0) & (d > t["review"]), F.least(F.lit(0.95), d + 0.1))
@@ -84,14 +88,16 @@ def fuse_b(df: DataFrame) -> DataFrame:
     s1 = F.coalesce("s1", F.lit(0.0))
     n = (s1 > 0).cast("int") + (norm > 0).cast("int")
     nl = F.when(n > 0, (F.greatest(s1, F.lit(0.0)) + norm) / n).otherwise(0.0)
-    raw = 0.35 * s("s3") + 0.30 * s("s2") + 0.15 * s("s_chain") + 0.10 * s("s2") * s("s3") + 0.08 * s1 + 0.10 * norm
-    ways = [(s("s2"), 0.55), (s("s3"), 0.55), (s("s_chain"), 0.60), (s("s_check"), 0.60), (nl, 0.55), (raw, 0.35)]
-    return df.withColumn("p", F.greatest(*[c.logistic(x, 7.0, b) for x, b in ways]))
+    w, bias = fixed.COMBINED_B, fixed.FUSION_B
+    raw = (w["align"] * s("s3") + w["code"] * s("s2") + w["chain"] * s("s_chain") + w["align_x_code"] * s("s2") * s("s3")
+           + w["nl"] * s1 + w["judge"] * norm)
+    ways = {"code": s("s2"), "align": s("s3"), "chain": s("s_chain"), "check": s("s_check"), "nl": nl, "combined": raw}
+    return df.withColumn("p", F.greatest(*[c.logistic(x, bias["k"], bias[n]) for n, x in ways.items()]))
 
 
 def decide_b(df: DataFrame, thresholds: dict[str, float] = fixed.THRESHOLDS_B) -> DataFrame:
-    """Verdict, severity and confidence; a detected injection lifts the probability to 0.97."""
-    p = F.when(F.coalesce("injection", F.lit(False)), F.greatest("p", F.lit(0.97))).otherwise(F.col("p"))
+    """Verdict, severity and confidence; a detected injection lifts the probability to a floor."""
+    p = F.when(F.coalesce("injection", F.lit(False)), F.greatest("p", F.lit(fixed.INJECTION_FLOOR))).otherwise(F.col("p"))
     out = df.withColumn("p", p)
     t = thresholds
     sev = F.when(F.col("p") > t["block"], "CRITICAL").when(F.col("p") > t["review"], "HIGH").when(F.col("p") > t["warn"], "MEDIUM").otherwise("LOW")
@@ -101,10 +107,11 @@ def decide_b(df: DataFrame, thresholds: dict[str, float] = fixed.THRESHOLDS_B) -
 
 def fast_gate(df: DataFrame) -> DataFrame:
     """Quick probability from the static scores, and whether outside scoring is worth its cost."""
-    s = F.col
-    raw = 0.35 * s("s2") + 0.35 * s("s3") + 0.20 * s("s_chain") + 0.10 * s("s_check")
+    raw = F.lit(0.0)
+    for name, weight in fixed.GATE_WEIGHTS.items():
+        raw = raw + weight * F.col(name)
     inj = F.coalesce("injection", F.lit(False))
-    out = df.withColumn("fast_p", F.when(inj, 1.0).otherwise(c.logistic(raw, 8.0, 0.45)))
+    out = df.withColumn("fast_p", F.when(inj, 1.0).otherwise(c.logistic(raw, *fixed.GATE_CURVE)))
     skip = inj | (F.col("fast_p") < fixed.GATE_LOW) | (F.col("fast_p") > fixed.GATE_HIGH)
     return out.withColumn("needs_judges", ~skip)
 
@@ -135,21 +142,20 @@ def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units
 
     lit_ = F.lit
 
-    def chain(test, name, severity, nl, code, miss, part, strategy):
+    def chain(key, test, severity, nl, code, miss, part):
+        name, strategy = fixed.KILL_CHAINS[key]
         return F.when(test, F.struct(
             lit_(name).alias("name"), severity.alias("severity"), nl.alias("nl_evidence"), code.alias("code_evidence"),
             miss.cast("long").alias("misalign_count"), part.cast("double").alias("contribution"), lit_(strategy).alias("strategy")))
 
     told = F.coalesce("kill_chain", lit_(False)) & (F.coalesce("kill_chain_text", lit_("")) != "")
     own = F.array_compact(F.array(
-        chain(some("exf") & some("net") & (s("s3") > 0.35), "NL-Directed Data Exfiltration Chain", F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"),
-              words("exf", 3), codes("net", 3), s("misalign_count"), s("s3"), "AV3 (Semantic Camouflage + NL Exfiltration Instruction)"),
-        chain(some("cred") & (s("p") > 0.45), "Credential Theft", F.when(F.exists("cred", lambda e: e["score"] > 0.80), "CRITICAL").otherwise("HIGH"),
-              words("any_unit", 2), codes("cred", 3), s("misalign_count"), s("over_reach"), "T1-CredentialTheft / AV-Code"),
-        chain(some("obf") & (s("hiding_score") > 0.40), "Obfuscated Code Execution", lit_("HIGH"), none, codes("obf", 3), s("misalign_count"), s("hiding_score"),
-              "AV1 (Code Obfuscation) / T5-RCE"),
-        chain(told, "Multi-Step NL Instruction Kill Chain", lit_("HIGH"), F.array(F.substring("kill_chain_text", 1, 200)), none, lit_(0), s("unit_score"),
-              "AV2 (NL Instruction Injection)")))
+        chain("directed", some("exf") & some("net") & (s("s3") > 0.35), F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"),
+              words("exf", 3), codes("net", 3), s("misalign_count"), s("s3")),
+        chain("theft", some("cred") & (s("p") > 0.45), F.when(F.exists("cred", lambda e: e["score"] > 0.80), "CRITICAL").otherwise("HIGH"),
+              words("any_unit", 2), codes("cred", 3), s("misalign_count"), s("over_reach")),
+        chain("hidden", some("obf") & (s("hiding_score") > 0.40), lit_("HIGH"), none, codes("obf", 3), s("misalign_count"), s("hiding_score")),
+        chain("told", told, lit_("HIGH"), F.array(F.substring("kill_chain_text", 1, 200)), none, lit_(0), s("unit_score"))))
     per = j.select(KEY, own.alias("own"))
     first = per.select(KEY, F.inline("own"))
     seen = per.select(KEY, F.flatten(F.transform("own", lambda x: F.concat(x["code_evidence"], x["nl_evidence"]))).alias("seen"))
