@@ -34,7 +34,9 @@ def has_word(c: Column, vocabulary: list[str]) -> Column:
 
 
 def str_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant array, stated in one expression."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})") if values else F.array().cast("array<string>")
 
 
 def empty_strings() -> Column:

@@ -160,10 +160,14 @@ def top_op_findings(scored: DataFrame, n: int = 10) -> DataFrame:
     return first_rows(scored.filter("score >= 0.5 and description <> ''"), [KEY], [F.desc("score"), F.col("path"), F.col("line"), F.col("pos"), F.col("op_type"), F.col("label")], n)
 
 
-def hiding_score(ops: DataFrame, key: str = KEY) -> DataFrame:
-    """Obfuscation score: encoding calls, high-entropy constants, dynamic commands."""
-    dense = F.count_if(F.col("entropy") > fixed.DENSE_BITS)
-    dyn = F.count_if((F.col("op_type") == "sys_op") & F.col("cmd_dynamic"))
+def hiding_score(ops: DataFrame, key: str = KEY, scored: Column | None = None) -> DataFrame:
+    """Obfuscation score: encoding calls, high-entropy constants, dynamic commands.
+
+    Encoding calls count wherever they are; the rest only in ``scored`` rows.
+    """
+    here = F.lit(True) if scored is None else scored
+    dense = F.count_if(here & (F.col("entropy") > fixed.DENSE_BITS))
+    dyn = F.count_if(here & (F.col("op_type") == "sys_op") & F.col("cmd_dynamic"))
     score = F.when(F.bool_or(c.matches(F.col("label"), fixed.OBFUSCATION_B)), 0.40).otherwise(0.0) + F.least(F.lit(0.30), dense * 0.10) + F.least(F.lit(0.30), dyn * 0.15)
     return ops.groupBy(key).agg(F.least(F.lit(1.0), score).alias("hiding_score"))
 

@@ -64,7 +64,7 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
     checked = written(checks.run_checks({"files": live, "manifest": fields, "permissions": perms, "ops": ops, "edges": edge_rows}), "checked")
 
     parts = [
-        scored.groupBy(KEY).agg(F.max("score").alias("pattern_score")), risk, scores.hiding_score(ops.filter(py.scored_paths())), gap,
+        scored.groupBy(KEY).agg(F.max("score").alias("pattern_score")), risk, scores.hiding_score(ops, scored=py.scored_paths()), gap,
         scores.chain_score_b(chains).withColumnRenamed("chain_score", "s_chain"), scores.check_score(checked).withColumnRenamed("check_score", "s_check"),
     ]
     j = packages

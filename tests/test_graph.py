@@ -167,3 +167,11 @@ def test_graph_export_and_reports(spark, first, tmp_path):
     ev = spark.createDataFrame([("flow", "code_finding", 0, "HIGH", "t", 3, "a.py")], "skill_id string, evidence_type string, seq int, severity string, title string, rank int, script string")
     write_reports(reports, ev, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/reports")).count() == reports.count()
+
+
+def test_encoding_calls_count_outside_scored_files(spark, make_files):
+    from packaudit.operators import python_code as py
+
+    f = make_files({"p": {"lib/deep/a.py": "eval(x)\n", "notes.txt": "base64.b64decode(z)\n", "b.py": "eval(y)\n"}})
+    ops = py.code_ops(py.tokens(py.parse(f)), f.filter("ext = '.txt'"))
+    assert scores.hiding_score(ops, scored=py.scored_paths()).collect()[0].hiding_score == pytest.approx(0.55)
