@@ -34,13 +34,24 @@ def tier_hits(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "con
 
 
 def encoded_hits(df: DataFrame, text: str = "content") -> DataFrame:
-    marks = [
-        F.when(F.col(text).rlike(p), F.struct(F.lit("encoding").alias("tier"), F.lit(n).alias("name")))
-        for n, p in fixed.ENCODED_RUNS
-    ]
+    """Hex and Unicode escape runs, and two HTML entities with a telling word after them.
+
+    The last rule is tested in two steps, entities first and words in the rest: the same
+    matches in one walk over the text, where its single pattern would walk it again and again.
+    """
+    t = F.col(text)
+    entity, telling = fixed.HTML_ENTITY, fixed.HTML_WORDS
+    rest = c.first_match(t, f"(?s){entity}.*?{entity}(.*)\\z")
+    tests = {name: t.rlike(p) for name, p in fixed.ENCODED_RUNS if name != "html_encoded_inject"}
+    tests["html_encoded_inject"] = F.coalesce(has_any_folded(rest, telling), F.lit(False))
+    marks = [F.when(test, F.struct(F.lit("encoding").alias("tier"), F.lit(name).alias("name"))) for name, test in tests.items()]
     return df.select("skill_id", F.inline(F.array_compact(F.array(*marks))))
 
 
+def has_any_folded(text: Column, words: list[str]) -> Column:
+    return anc.guarded(text, lambda may: may(words))
+
+
 def base64_runs(df: DataFrame, pattern: str = fixed.BASE64_RUN, limit: int = 10,
                 order: tuple[str, ...] = ("file_order", "path"), text: str = "content") -> DataFrame:
     """The first ``limit`` base64 runs of each package, in reading order."""

@@ -73,3 +73,10 @@ def test_anchors_lose_no_match(name, pattern, anchors):
         assert any(a in low for a in anchors), text
 
     check()
+
+
+def test_encoded_runs_and_long_entity_texts(make_files):
+    f = make_files({"a": {"SKILL.md": "&#x41; b &#66; then IGNORE it"}, "b": {"SKILL.md": "ignore &#x41; b &#66; nothing"}, "c": {"SKILL.md": "&#x41; system"},
+                    "d": {"SKILL.md": "forget " + "&#x41;" * 60_000}, "e": {"SKILL.md": "\\x41" * 9}, "f": {"SKILL.md": "\\u0041" * 6}})
+    got = {(r.skill_id, r.name) for r in inj.encoded_hits(f).collect()}
+    assert got == {("a", "html_encoded_inject"), ("e", "hex_encoded"), ("f", "unicode_escape")}
