@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import pieces
+from packaudit.llm import languages, pieces, private, quality, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,8 +32,39 @@ def op1_pieces(spark: SparkSession, sf: str) -> DataFrame:
                        F.sha2("content", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.col("quality").alias("label"))
+    rated = quality.rate(files(spark, sf), labels)
+    return rated.select(F.col("path").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _digest(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op3_private(spark: SparkSession, sf: str) -> DataFrame:
+    found = private.find(files(spark, sf)).withColumn("base", F.filter("spans", lambda s: s["plain"]))
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] != k), True)).cast("long").alias(f"n_{k}") for k in private.KINDS]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.col("toxic").alias("label"))
+    rated = toxicity.rate(files(spark, sf), labels)
+    return rated.select(F.col("path").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"), "lang")
+    return languages.identify(docs).withColumnRenamed("path", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
+    "op2_quality": op2_quality,
+    "op3_private": op3_private,
+    "op7_toxicity": op7_toxicity,
+    "op9_languages": op9_languages,
 }
 
 ORACLE: dict[str, str] = {}
