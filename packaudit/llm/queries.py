@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, pieces, private, quality, toxicity
+from packaudit.llm import languages, mixture, pieces, private, quality, sketches, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,6 +48,16 @@ def op3_private(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def op5_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumnsRenamed({"doc_id": "path", "text": "content"})
+    mixed = mixture.mix(docs, mixture.tempered(docs, "source"), "source")
+    return mixed.withColumnsRenamed({"path": "doc_id", "content": "text"})
+
+
+def op6_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.with_neighbours(files(spark, sf)).withColumnRenamed("path", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.col("toxic").alias("label"))
     rated = toxicity.rate(files(spark, sf), labels)
@@ -63,8 +73,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_quality": op2_quality,
     "op3_private": op3_private,
+    "op5_mixture": op5_mixture,
+    "op6_sketches": op6_sketches,
     "op7_toxicity": op7_toxicity,
     "op9_languages": op9_languages,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixture": """
+with recursive sizes as (select source, count(*) as n, pow(count(*)::double, 0.5) as weight from documents group by source),
+rates as (select source, weight / (select sum(weight) from sizes) * (select sum(n) from sizes) * 1.0 / n as rate from sizes),
+dist as (
+  select source, rate, 0 as k, -rate as l, exp(-rate) as cdf from rates
+  union all
+  select source, rate, k + 1, l + ln(rate / (k + 1)), cdf + exp(l + ln(rate / (k + 1))) from dist where k < ceil(rate + 10 * sqrt(rate) + 20)),
+cdfs as (select source, list(cdf order by k) as cdf from dist group by source),
+drawn as (
+  select d.*, len(list_filter(c.cdf, x -> x <= u)) as times
+  from (select *, ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::bigint / 4503599627370496.0 as u from documents) d
+  join cdfs c on d.source is not distinct from c.source)
+select doc_id, text, lang, source, n_chars, copy::int as copy, md5('mix-1:' || doc_id || ':' || copy) as mix_key
+from (select *, unnest(generate_series(1, times)) as copy from drawn)""",
+}

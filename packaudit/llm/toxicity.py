@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many noisy voters, a label model, a linear classifier.
 
-Each text is read once: lexicons and patterns vote, and the terms they found and the shape of
-the text are kept as a narrow checkpoint.  A generative model with a hidden class explains
+Known lexicons and patterns are joined by lexicons mined from a bounded sample of labelled
+files: words that the toxic class holds too often to be chance.  Each text is then read once:
+all voters vote, and the votes and the shape of the text are kept as a narrow checkpoint.  A generative model with a hidden class explains
 the counts of vote patterns (at most two to the number of voters, whatever the corpus):
 expectation-maximisation gives how often each voter fires in either class, the class shares
 and, from what the votes share beyond the class, their correlations, by which voters that
@@ -24,7 +25,9 @@ from packaudit.functions.tables import cut
 from packaudit.llm.common import fold, key_type, slices, texts
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE = 20_000  # files, in the order of a hash of the path, whose posteriors train the classifier
+SAMPLE = 20_000  # files, in the order of a hash of the path: to mine words from, and whose posteriors train the classifier
+MINED, GROUPS = 600, 6  # most words mined, and the lexicons they are dealt to
+CHANCE = 0.5  # words that pass the mining test by chance, at most, in expectation
 ROUNDS = 60
 TIED = 0.15  # correlation inside a class from which voters count as repeating each other
 
@@ -46,44 +49,79 @@ PATTERNS = {
     "shouting": r"(?:\b[A-Z]{4,}\b[^\w\n]{0,3}){6}",
 }
 REPEATED = "repeated"  # three or more term hits of any lexicon
-VOTERS = (*LEXICONS, *PATTERNS, REPEATED)
+VOTERS = (*LEXICONS, *PATTERNS, *(f"mined_{g}" for g in range(GROUPS)), REPEATED)
 TERMS = tuple(dict.fromkeys(t for words in LEXICONS.values() for t in words))
-FEATURES = (*TERMS, *VOTERS, "log_hits", "hits_per_word", "upper", "exclamations")
+FEATURES = (*VOTERS, "log_hits", "log_terms", "hits_per_text", "upper", "exclamations")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def mine(files: DataFrame, labels: DataFrame) -> list[str]:
+    """Words of the toxic class, most telling first, from at most SAMPLE labelled files
+    outside the held-out fold.
+
+    A word passes if so many of the files that hold it would be toxic by chance less than
+    CHANCE times among all words tested.  Words are counted per file in tasks; only words
+    that pass come to the driver.
+    """
+    known = labels.select("path", F.col("label").cast("int").alias("label")).where(F.col("label").isNotNull() & (fold("path", FOLDS) != HELD_OUT))
+    sample = known.orderBy(F.xxhash64("path"), "path", "label").limit(SAMPLE)
+    share = cut(sample).agg(F.avg("label")).first()[0]
+    if not share or share >= 1:
+        return []
+
+    def count(batches):
+        seen: dict[str, list[int]] = {}
+        for batch in slices(batches):
+            for text, y in zip(texts(batch), batch.column("label").to_pylist()):
+                for w in set(_WORD.findall(text.lower())):
+                    c = seen.setdefault(w[:64], [0, 0])
+                    c[0] += 1
+                    c[1] += y
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))], ["word", "n", "toxic"])
+
+    told = files.select("path", "content").join(F.broadcast(sample), "path").select("content", "label")  # the sample is bounded
+    words = cut(told.mapInArrow(count, "word string, n bigint, toxic bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 3"))
+    limit = math.log(CHANCE / max(1, words.count()))
+    # Chernoff bound on the chance of so many toxic files among n: exp(-n * divergence).
+    rate = F.col("toxic") / F.col("n")
+    clean = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / F.lit(1 - share))).otherwise(0.0)
+    chance = -F.col("n") * (rate * F.log(rate / F.lit(share)) + clean)
+    telling = words.where((rate > max(0.5, share)) & (chance < limit)).orderBy(chance, "word").limit(MINED)
+    return [r["word"] for r in telling.select("word").collect()]
 
 
 class Voters:
     """Finds terms in one scan of a text and lets every voter speak."""
 
-    def __init__(self):
+    def __init__(self, mined: list[str]):
+        self.lexicons = [set(words) for words in LEXICONS.values()]
+        groups = [set(mined[g::GROUPS]) for g in range(GROUPS)]
         self.scan = ahocorasick.Automaton()
-        for i, term in enumerate(TERMS):
-            self.scan.add_word(term, (i, len(term)))
+        for term in {*TERMS, *mined}:
+            self.scan.add_word(term, term)
         self.scan.make_automaton()
-        self.lexicons = [{TERMS.index(t) for t in words} for words in LEXICONS.values()]
+        self.groups = groups
         self.patterns = [re.compile(p, 0 if name == "shouting" else re.I) for name, p in PATTERNS.items()]
 
     def read(self, text: str) -> tuple[int, np.ndarray]:
         low, found = text.lower(), []
-        for end, (i, n) in self.scan.iter(low):
-            before, after = end - n, end + 1
-            if (before < 0 or not low[before].isalnum()) and (after == len(low) or not low[after].isalnum()):
-                found.append(i)
+        for end, term in self.scan.iter(low):
+            before, after = end - len(term), end + 1
+            if (before < 0 or not low[before].isalpha()) and (after == len(low) or not low[after].isalpha()):
+                found.append(term)
         terms = set(found)
-        votes = [bool(terms & own) for own in self.lexicons] + [p.search(text) is not None for p in self.patterns] + [len(found) >= 3]
-        x = np.zeros(len(FEATURES), np.float32)
-        x[list(terms)] = 1
-        x[len(TERMS):len(TERMS) + len(VOTERS)] = votes
+        votes = [*(bool(terms & own) for own in self.lexicons), *(p.search(text) is not None for p in self.patterns), *(bool(terms & own) for own in self.groups), len(found) >= 3]
         size = max(1, len(text))
-        x[-4:] = math.log1p(len(found)), min(1.0, 6 * len(found) / size * 10), sum(map(text.count, "AEIOU")) / size * 5, min(1.0, text.count("!") / size * 20)
-        return sum(1 << i for i, v in enumerate(votes) if v), x
+        shape = math.log1p(len(found)), math.log1p(len(terms)), min(1.0, 60 * len(found) / size), sum(map(text.count, "AEIOU")) / size * 5, min(1.0, text.count("!") / size * 20)
+        return sum(1 << i for i, v in enumerate(votes) if v), np.array([*votes, *shape], np.float32)
 
 
-def signals(files: DataFrame) -> DataFrame:
+def signals(files: DataFrame, mined: list[str]) -> DataFrame:
     """(path, votes, features) per file, from its whole content; null content counts as empty.
     ``votes`` has a bit per voter in the order of VOTERS."""
 
     def run(batches):
-        voters = Voters()
+        voters = Voters(mined)
         for batch in slices(batches):
             read = [voters.read(t) for t in texts(batch)]
             x = pa.FixedSizeListArray.from_arrays(pa.array(np.array([r[1] for r in read]).ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
@@ -149,8 +187,8 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(found: DataFrame, labels: DataFrame) -> tuple[LabelModel, np.ndarray]:
     """Label model and classifier weights, from files outside the held-out fold.
 
-    Labels (path, label 0 or 1) only tell the share of the toxic class; without any, the
-    label model estimates it.  To the driver come vote-pattern counts and SAMPLE rows.
+    Labels (path, label 0 or 1) here only tell the share of the toxic class; without any,
+    the label model estimates it.  To the driver come vote-pattern counts and SAMPLE rows.
     """
     train = found.where(fold("path", FOLDS) != HELD_OUT)
     told = labels.where(fold("path", FOLDS) != HELD_OUT).agg(F.avg(F.col("label").cast("double"))).first()[0]
@@ -164,13 +202,13 @@ def fit(found: DataFrame, labels: DataFrame) -> tuple[LabelModel, np.ndarray]:
 
 
 def rate(files: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, held_out, score) per file: votes, fit, chance of toxicity from 0 to 1.
+    """(path, held_out, score) per file: mining, votes, fit, chance of toxicity from 0 to 1.
 
     One row per input row; repeated and null paths keep their rows (a null path belongs to
     the held-out fold).  Empty and null contents are scored like any other.  Other columns
     are not read.  Of an empty table nothing is learned and nothing returned.
     """
-    found = cut(signals(files))
+    found = cut(signals(files, mine(files, labels)))
     _, weights = fit(found, labels)
 
     def run(batches):
