@@ -89,7 +89,7 @@ dist as (
   select source, rate, k + 1, l + ln(rate / (k + 1)), cdf + exp(l + ln(rate / (k + 1))) from dist where k < ceil(rate + 10 * sqrt(rate) + 20)),
 cdfs as (select source, list(cdf order by k) as cdf from dist group by source),
 drawn as (
-  select d.*, len(list_filter(c.cdf, x -> x <= u)) as times
+  select d.*, len(list_filter(c.cdf, lambda x: x <= u)) as times
   from (select *, ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::bigint / 4503599627370496.0 as u from documents) d
   join cdfs c on d.source is not distinct from c.source)
 select doc_id, text, lang, source, n_chars, copy::int as copy, md5('mix-1:' || doc_id || ':' || copy) as mix_key
