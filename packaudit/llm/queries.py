@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, mixture, pieces, private, quality, sketches, toxicity
+from packaudit.llm import languages, mixture, pieces, private, quality, simhash, sketches, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op3_private(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.classes(files(spark, sf))
+    return found.select(F.col("path").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op5_mixture(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnsRenamed({"doc_id": "path", "text": "content"})
     mixed = mixture.mix(docs, mixture.tempered(docs, "source"), "source")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_quality": op2_quality,
     "op3_private": op3_private,
+    "op4_simhash": op4_simhash,
     "op5_mixture": op5_mixture,
     "op6_sketches": op6_sketches,
     "op7_toxicity": op7_toxicity,
