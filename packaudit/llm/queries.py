@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, mixture, pieces, private, quality, simhash, sketches, toxicity
+from packaudit.llm import languages, mixture, passages, pieces, private, quality, simhash, sketches, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op9_languages(spark: SparkSession, sf: str) -> DataFrame:
     return languages.identify(docs).withColumnRenamed("path", "doc_id")
 
 
+def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    left = passages.dedupe(files(spark, sf))
+    return left.select(F.col("path").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_quality": op2_quality,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sketches": op6_sketches,
     "op7_toxicity": op7_toxicity,
     "op9_languages": op9_languages,
+    "op10_passages": op10_passages,
 }
 
 ORACLE: dict[str, str] = {
