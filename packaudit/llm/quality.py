@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packaudit.functions.tables import cut
 from packaudit.llm.common import fold, key_type, slices, texts
@@ -161,3 +162,18 @@ def rate(files: DataFrame, labels: DataFrame) -> DataFrame:
     stats = cut(statistics(files))
     out = score(stats, fit(stats, labels))
     return out.select("path", (fold("path", FOLDS) == HELD_OUT).alias("held_out"), "score")
+
+
+def accept(files: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The files, all columns, whose score reaches the threshold.
+
+    Fit as in ``rate``; the texts are then scored where they lie, so nothing wide is shuffled.
+    """
+    model = fit(cut(statistics(files)), labels)
+
+    def run(batches):
+        for batch in slices(batches):
+            kept = model.score(np.array([describe(t) for t in texts(batch)]).reshape(batch.num_rows, len(STATISTICS))) >= threshold
+            yield batch.filter(pa.array(kept))
+
+    return files.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in files.schema.fields]))

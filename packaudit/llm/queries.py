@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, mixture, passages, pieces, private, quality, simhash, sketches, toxicity
+from packaudit.llm import languages, mixture, passages, pieces, private, quality, simhash, sketches, toxicity, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rated.select(F.col("path").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.links(table(spark, sf, "embeddings")).withColumnRenamed("component", "component_id")
+
+
 def op9_languages(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"), "lang")
     return languages.identify(docs).withColumnRenamed("path", "doc_id")
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixture": op5_mixture,
     "op6_sketches": op6_sketches,
     "op7_toxicity": op7_toxicity,
+    "op8_vectors": op8_vectors,
     "op9_languages": op9_languages,
     "op10_passages": op10_passages,
 }
