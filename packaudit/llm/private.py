@@ -167,7 +167,7 @@ def rewrite(text: str) -> Rewritten | None:
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, plain) in code points, by kind and start.
 
-    Plain spans always stay; a disguised one is added where no span of its kind is yet.
+    Plain spans always stay; a disguised one is added unless a span of its kind covers it.
     """
     out = [(k, a, b, True) for k, a, b in plain_spans(text)]
     hidden = rewrite(text)
@@ -177,7 +177,7 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
             taken[k].append((a, b))
         for k, a, b in plain_spans(hidden.text):
             start, end = hidden.starts[a], hidden.ends[b - 1]
-            if text[start:end] != hidden.text[a:b] and not any(s < end and start < e for s, e in taken[k]):
+            if text[start:end] != hidden.text[a:b] and not any(s <= start and end <= e for s, e in taken[k]):
                 taken[k].append((start, end))
                 out.append((k, start, end, False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))

@@ -127,4 +127,4 @@ def keep_one(files: DataFrame) -> DataFrame:
     """The files, all columns, with one of each near-duplicate class: the one with the smallest
     path.  Rows that repeat that path stay, and so do all rows without a path."""
     kept = classes(files).where(F.col("path") == F.col("component")).select("path").distinct()
-    return files.join(kept, "path", "left_semi").unionByName(files.where("path is null"))
+    return files.join(kept, "path", "left_semi").select(files.columns).unionByName(files.where("path is null"))

@@ -28,8 +28,8 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE = 20_000  # files, in the order of a hash of the path: to mine words from, and whose posteriors train the classifier
 MINED, GROUPS = 600, 6  # most words mined, and the lexicons they are dealt to
 CHANCE = 0.5  # words that pass the mining test by chance, at most, in expectation
-ROUNDS = 60
-TIED = 0.15  # correlation inside a class from which voters count as repeating each other
+ROUNDS, TURNS = 60, 3
+TIED = 0.5  # correlation inside a class from which voters count as repeating each other
 
 LEXICONS = {
     "slow": ("idiot", "idiots", "moron", "morons", "stupid", "imbecile", "imbecil", "dumb", "dimwit", "halfwit", "fool", "fools"),
@@ -137,10 +137,12 @@ class LabelModel:
     correlations: np.ndarray  # of votes inside the classes
     trust: np.ndarray  # share of its evidence that each voter keeps
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, without: tuple[int, ...] = ()) -> np.ndarray:
         v = (votes[:, None] >> np.arange(len(VOTERS))) & 1
-        fired = np.log(self.rates[1] / self.rates[0]) * self.trust
-        silent = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.trust
+        trust = self.trust.copy()
+        trust[list(without)] = 0
+        fired = np.log(self.rates[1] / self.rates[0]) * trust
+        silent = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * trust
         return 1 / (1 + np.exp(-np.clip(math.log(self.prior / (1 - self.prior)) + v @ fired + (1 - v) @ silent, -50, 50)))
 
 
@@ -149,24 +151,27 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float | None =
     v = ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
     weight = counts.astype(float)
     model = LabelModel(prior or 0.1, np.zeros((2, len(VOTERS))), np.eye(len(VOTERS)), np.ones(len(VOTERS)))
-    p = np.where(v[:, :-1].sum(1) > 0, 0.9, 0.02)
-    for _ in range(ROUNDS):
-        for y, q in enumerate((1 - p, p)):
-            w = weight * q
-            model.rates[y] = (w @ v + 0.01) / (w.sum() + 1.0)
-        model.rates[1] = np.maximum(model.rates[1], model.rates[0])  # a voter never speaks for the clean class
-        if prior is None:
-            model.prior = min(0.5, max(1e-4, float((weight * p).sum() / weight.sum())))
+    p = np.select([v[:, :-1].sum(1) > 1, v[:, :-1].sum(1) == 1], [0.9, 0.3], 0.02)
+    for _ in range(TURNS):
+        for _ in range(ROUNDS):
+            for y, q in enumerate((1 - p, p)):
+                w = weight * q
+                model.rates[y] = (w @ v + 0.01) / (w.sum() + 1.0)
+            model.rates[1] = np.maximum(model.rates[1], model.rates[0])  # a voter never speaks for the clean class
+            if prior is None:
+                model.prior = min(0.5, max(1e-4, float((weight * p).sum() / weight.sum())))
+            p = model.posterior(patterns)
+        # What two voters share beyond the class, as all the others tell it.
+        for i in range(len(VOTERS)):
+            for j in range(i):
+                q = model.posterior(patterns, (i, j))
+                rates = [(weight * c) @ v[:, [i, j]] / max((weight * c).sum(), 1e-9) for c in (1 - q, q)]
+                shared = sum((weight * c)[:, None, None] * (v[:, [i, j], None] - r[:, None]) * (v[:, None, [i, j]] - r) for c, r in zip((1 - q, q), rates)).sum(0)
+                model.correlations[i, j] = model.correlations[j, i] = shared[0, 1] / math.sqrt(max(shared[0, 0] * shared[1, 1], 1e-9))
+        tied = np.where(np.abs(model.correlations) >= TIED, np.abs(model.correlations), 0)
+        np.fill_diagonal(tied, 0)
+        model.trust = 1 / (1 + tied.sum(1))
         p = model.posterior(patterns)
-    shared = np.zeros((len(VOTERS), len(VOTERS)))
-    for y, q in enumerate((1 - p, p)):
-        d = v - model.rates[y]
-        shared += (d * (weight * q)[:, None]).T @ d
-    size = np.sqrt(np.maximum(np.diag(shared), 1e-9))
-    model.correlations = shared / np.outer(size, size)
-    tied = np.where(np.abs(model.correlations) >= TIED, np.abs(model.correlations), 0)
-    np.fill_diagonal(tied, 0)
-    model.trust = 1 / (1 + tied.sum(1))
     return model
 
 
