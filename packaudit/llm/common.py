@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions.tables import cut
+from packaudit.functions.tables import cut, shared_folder
 
 ROWS = 256  # rows of a text table handled at a time inside a task
 CACHE_WORDS = 400_000  # words a task remembers; it then starts afresh, results stay the same
@@ -56,6 +57,13 @@ def fold(column: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, closely packed: for tables with texts or hashes."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of the given links (a, b): root is the smallest node reached.
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions.tables import cut, written
-from packaudit.llm.common import key_type, slices, word_hashes
+from packaudit.functions.tables import cut
+from packaudit.llm.common import key_type, slices, stored, word_hashes
 
 WINDOW = 50  # words
 _ODD = 0x9E3779B97F4A7C15  # base of the window hashes, odd and so invertible
@@ -112,7 +112,7 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     kind = key_type(files)
     half = (window + 1) // 2
-    first = written(_anchors(files, window), "anchors")
+    first = stored(_anchors(files, window), "anchors")
 
     # Exact copies: of files with the same words, all but the smallest path lose everything a window covers.
     least = cut(first.where("path is not null").groupBy("digest").agg(F.min("path").alias("least"), F.max("path").alias("most")).where("least < most"))
@@ -151,7 +151,7 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(v, types[c]) for c, v in rows.items())], ["path", *rows])
 
     texts = files.select("path", "content").join(plan, "path", "left")
-    second = written(texts.mapInArrow(extend, f"path {kind}, n_words bigint, n_removed bigint, content string, h array<bigint>, check array<int>, at array<int>"), "windows")
+    second = stored(texts.mapInArrow(extend, f"path {kind}, n_words bigint, n_removed bigint, content string, h array<bigint>, check array<int>, at array<int>"), "windows")
     open_ = second.where("h is not null and size(h) > 0")
     windows = open_.select("path", F.explode(F.arrays_zip("h", "check", "at")).alias("w")).select("path", F.col("w.h").alias("h"), F.col("w.check").alias("check"), F.col("w.at").alias("at"))
     owners = cut(windows.groupBy("h", "check").agg(F.min("path").alias("least"), F.max("path").alias("most")).where("least < most").select("h", "check", "least"))
