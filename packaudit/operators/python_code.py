@@ -1,26 +1,23 @@
 """Operations in Python files, found by pattern over whole file contents.
 
-One pass per file yields its calls and string constants in text order.  Strings and
-comments are consumed as tokens of their own, so text inside them is no call.  Every
-line carries its number at the end, and a match looks ahead to it.
+One pass per file yields its calls and string constants in text order, in an Arrow task
+(``functions.pytokens``); all that follows is built-in expressions over those tokens.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
-from packaudit.functions import fixed
+from packaudit.functions import fixed, pytokens
+from packaudit.functions.pytokens import STRING
 from packaudit.functions.tables import findings, union_all
 from packaudit.operators.manifest import mark_lines
 
-# Building blocks of the token pattern.  All loops are possessive: no backtracking.
-_TRIPLE = r'''"""(?:[^"\\]++|\\.|"(?!""))*+"""|\'\'\'(?:[^'\\]++|\\.|'(?!''))*+\'\'\''''
-_SINGLE = r'''"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+\''''
-STRING = f"(?:{_TRIPLE}|{_SINGLE})"
-_COMMENT = r"#[^\n\x01]*+"
-_DEPTH = 6
+_COMMENT = r"#[^\n]*+"
+_DEPTH = 4  # the scan shows brackets inside arguments two deep
 
 
 def _nested(depth: int) -> str:
@@ -29,26 +26,7 @@ def _nested(depth: int) -> str:
     return rf"(?:[^()\[\]{{}}\"'#]++|{STRING}|{_COMMENT}{group})*+"
 
 
-_ARGS = _nested(_DEPTH)
 ARGUMENT = rf"((?:[^,()\[\]{{}}\"'#]++|{STRING}|{_COMMENT}|[(\[{{]{_nested(_DEPTH - 1)}[)\]}}])++)"
-_KEYWORD = (
-    r"(?:eval|exec|compile|__import__|subprocess|system|popen|spawn|requests\.|urllib|httpx\."
-    r"|urlopen|http\.client|socket\.|connect|dup|open|read_text|read_bytes|write_text|write_bytes"
-    r"|getattr|os\.path\.join|Path\b|getenv|os\.environ)"
-)
-_PREFIX = r"[rRbBuUfF]{1,2}+[\"']"
-_CALL_HEAD = (
-    r"(?:(?<!def )(?<!class )(?<![\w.])(?:[A-Za-z_]\w*+\.)*+[A-Za-z_]\w*+\s*+[(\[]"
-    r"|(?<=[)\]'\"]\.)[A-Za-z_]\w*+\s*+\()"
-)
-_STRING_TOKEN = rf"(?:(?<!\w)[rRbBuUfF]{{0,2}}{STRING}|{STRING})"
-# Text between tokens is skipped in long strides, and every match starts where the last one
-# ended: punctuation, names that are not called, and called names of no interest.
-_SKIP = rf"(?:[^#\"'\w]++|(?!{_PREFIX})[\w.]++(?!\s*+[(\[])|(?!{_PREFIX})(?![\w.]*{_KEYWORD})[\w.]++)*+"
-TOKENS = (
-    rf"(?s)\G{_SKIP}(?:{_COMMENT}|(?=({_CALL_HEAD}{_ARGS}|{_STRING_TOKEN}))(?=[^\x01]*+\x01(\d+))(?:{_CALL_HEAD}|{_STRING_TOKEN})|\z|.)"
-)
-_DIVISION = rf"(?s){_COMMENT}|((?:[\w.]*(?:home|expanduser)[\w.]*\s*\([^()]*+\)|[\w)\]])?\s*(?:/\s*{STRING}\s*)++)()|{STRING}"
 
 
 _IMPORT = r"(?m)^[ \t]*((?:import[ \t]+[\w., \t]+)|(?:from[ \t]+[\w.]+[ \t]+import[ \t]+[\w., \t(*]+))"
@@ -64,28 +42,34 @@ def parse(files: DataFrame) -> DataFrame:
     ``tokens`` holds calls and string constants in text order with their lines, ``divisions``
     paths built with ``/``, ``modules`` the imports; two scores need only the text itself.
     """
-    marked = mark_lines(F.col("content"))
-
-    def spans(pattern: str, text_group: int, line_group: int) -> Column:
-        both = c.let(marked, lambda t: F.arrays_zip(
-            c.all_matches(t, pattern, text_group).alias("text"), c.all_matches(t, pattern, line_group).alias("line")))
-        return F.filter(both, lambda z: z["text"] != "")
-
     t = F.col("content")
-    divided = F.when(t.rlike(r"""/\s*['"]"""), spans(f"(?=[^\\x01]*+\\x01(\\d+)){_DIVISION}", 2, 1))
     lowered = lambda test, why: F.when(test, fixed.READABLE_LOSS[why]).otherwise(0.0)
     readable = F.greatest(F.lit(0.1), F.lit(1.0)
         - lowered(c.matches(t, fixed.OBFUSCATION_B), "encoding") - lowered(t.contains("sys.meta_path"), "import_hook")
         - lowered(t.contains("__import__"), "import_call") - lowered(t.rlike(r"""['"][a-z]+['"]\s*\+\s*['"][a-z]+['"]"""), "joined_names"))
-    return python_files(files).select(
-        "skill_id", "path", spans(TOKENS, 1, 2).alias("tokens"), divided.alias("divisions"),
-        c.all_matches(t, _IMPORT).alias("modules"), t.rlike(r"if\s+__name__\s*(==|!=|in\b)").alias("entry_point"), readable.alias("readable"))
+    rows = python_files(files).select(
+        "skill_id", "path", c.all_matches(t, _IMPORT).alias("modules"), t.rlike(r"if\s+__name__\s*(==|!=|in\b)").alias("entry_point"),
+        readable.alias("readable"), t.rlike(r"""/\s*['"]""").alias("divides"), "content")
+    found = pa.list_(pa.struct([("text", pa.string()), ("line", pa.int32())]))
+
+    def scan(batches):
+        as_rows = lambda spans: [{"text": s, "line": n} for s, n in spans]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts = part.column("content").to_pylist()
+                toks = pa.array([as_rows(pytokens.tokens(x)) for x in texts], found)
+                cuts = pa.array([as_rows(pytokens.divisions(x)) if d else None for x, d in zip(texts, part.column("divides").to_pylist())], found)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], toks, cuts], ["skill_id", "path", "modules", "entry_point", "readable", "tokens", "divisions"])
+
+    span = "array<struct<text:string,line:int>>"
+    return rows.mapInArrow(scan, f"skill_id string, path string, modules array<string>, entry_point boolean, readable double, tokens {span}, divisions {span}")
 
 
 def tokens(parsed: DataFrame) -> DataFrame:
     """Calls and string constants of Python files in text order, with line numbers."""
     rows = parsed.select("skill_id", "path", F.posexplode("tokens").alias("pos", "z"))
-    text = F.regexp_replace("z.text", "\x01\\d+", "")
+    text = F.col("z.text")
     is_text = F.col("z.text").rlike(r"""^[rRbBuUfF]{0,2}["']""")
     head = r"^([\w.]+)\s*[(\[]"
     return rows.select(
@@ -189,7 +173,7 @@ def path_divisions(parsed: DataFrame) -> DataFrame:
     parts = F.transform(c.all_matches(F.col("z.text"), f"(?s)({STRING})", 1), string_value)
     parts = F.when(F.col("z.text").rlike(r"(?i)^[\w.]*(?:home|expanduser)"), F.concat(F.array(F.lit("~")), parts)).otherwise(parts)
     return rows.select("skill_id", "path", F.col("z.line").cast("int").alias("line"), (F.col("pos") + 1_000_000).alias("pos"),
-                       F.regexp_replace(F.array_join(parts, "/"), "\x01\\d+", "").alias("joined"), F.size(parts).alias("n")
+                       F.array_join(parts, "/").alias("joined"), F.size(parts).alias("n")
                        ).filter((F.col("n") >= 2) & c.is_sensitive_a(F.col("joined"))).drop("n")
 
 
@@ -287,7 +271,7 @@ def reverse_shells(called: DataFrame) -> DataFrame:
     listed = F.size(F.coalesce(items, c.empty_strings())) > 0
     cmd = F.when(listed, F.get(items, F.lit(0))).otherwise(F.element_at(F.split(F.trim("first"), r"\s+"), 1))
     shell = fn.isin(fixed.PROCESS_CALLS_A) & c.is_shell_command(F.coalesce(cmd, F.lit("")))
-    rest = F.when(listed, F.slice(items, 2, 1000)).otherwise(c.words(F.col("first")))
+    rest = F.when(listed, F.slice(items, 2, F.greatest(F.size(items), F.lit(1)))).otherwise(c.words(F.col("first")))
     interactive = shell & F.exists(rest, lambda t: F.lower(F.trim(t)).isin("-i", "/i"))
     signal = called.withColumns({"connect": connect, "out": connect & c.is_external_host(host), "redirect": redirect,
                                  "shell": shell, "tty": interactive}).filter("connect or redirect or shell")
