@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,33 +17,32 @@ SESSION_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Set SESSION_SETTINGS on the caller's session.  They stay set: the plans that follow run lazily."""
     for key, value in SESSION_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-_own_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and written hand-over tables.
+    """Folder of this application for checkpoints and written hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session without
-    that setting gets a fresh temporary folder.
+    The cluster names the place in ``spark.checkpoint.dir``; where that is unset it is the
+    warehouse, which executors share as well.  ``clear_shared_folder`` removes it.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if sc.applicationId not in _own_folders:
-            _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="packaudit-")
-        folder = _own_folders[sc.applicationId]
+    place = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    folder = f"{place.rstrip('/')}/packaudit-{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def clear_shared_folder(spark: SparkSession) -> None:
+    """Remove what this application wrote to its shared folder.  Call it once results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor costs no recomputed lineage."""
     shared_folder(df.sparkSession)
@@ -55,18 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: later reads prune columns."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write if partition is None else df.write.partitionBy(partition)
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """First ``n`` rows per key in a total order.
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
+    """First ``n`` rows per key in a total order; all of them if ``n`` is None.
 
     Spark plans this as a group limit: each task keeps at most ``n`` rows per key before
     the shuffle, so a key that holds much of the data stays cheap.
     """
+    if n is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 

@@ -76,9 +76,9 @@ union all select k, 'context_bomb:word_repetition=' || word || ':' || printf('%.
 
 ORACLE["repeat_flood"] = _flood("source", 400, 60, 5000, 0.02, "skill_id")
 ORACLE["repeat_flood_per_text"] = _flood("cast(doc_id as varchar)", 200, 20, 1500, 0.06, "path")
-ORACLE["encoded_runs_capped"] = """
+ORACLE["encoded_runs"] = """
 with r as (select source as skill_id, cast(doc_id as varchar) as path, i - 1 as pos, m[i] as run from (select *, regexp_extract_all(text, '[A-Za-z0-9+/]{40,}') as m from documents) d, unnest(range(1, len(m) + 1)) as u(i))
-select skill_id, path, pos, run from (select *, row_number() over (partition by skill_id order by path, pos) as rn from r) where rn <= 3"""
+select skill_id, path, pos, run from r"""
 
 # ---------------------------------------------------------------------------- findings
 
@@ -124,10 +124,10 @@ _TRUSTED = " or ".join(f"contains(lower(url), '{x}')" for x in (
     "github.com", "raw.githubusercontent.com", "pypi.org", "files.pythonhosted.org", "registry.npmjs.org", "cdn.jsdelivr.net", "storage.googleapis.com",
     "s3.amazonaws.com", "anthropic.com", "openai.com", "huggingface.co"))
 _URLS = f"""u as (select {_DOMAIN} as skill_id, url, min(page_id) as first from pages group by 1, 2),
-k as (select *, row_number() over (partition by skill_id order by first, url) as rn from u where not ({_TRUSTED}))"""
+k as (select * from u where not ({_TRUSTED}))"""
 ORACLE["url_domains"] = f"select page_id, case when {_DOMAIN} <> '' then {_DOMAIN} else url[1:50] end as domain from pages"
-ORACLE["urls_to_check"] = _with(_URLS) + "select skill_id, url from k where rn <= 4"
-ORACLE["reputation_join_capped"] = _with(_URLS) + """, r as (select *, case when length(url) % 3 = 0 then length(url) % 5 else 0 end as m, length(url) % 2 as s, 2 + length(url) % 7 as rest from k where rn <= 6)
+ORACLE["urls_to_check"] = _with(_URLS) + "select skill_id, url from k"
+ORACLE["reputation_join"] = _with(_URLS) + """, r as (select *, case when length(url) % 3 = 0 then length(url) % 5 else 0 end as m, length(url) % 2 as s, 2 + length(url) % 7 as rest from k)
 select skill_id, case when m > 0 then 'CRITICAL' else 'HIGH' end as severity, 'link:' || url as evidence,
  round(cast(least(1.0, case when m > 0 then m / greatest(m + rest, 5) else s / greatest(s + rest, 3) end) as double), 6) as confidence from r where m > 0 or s > 0"""
 
@@ -450,9 +450,8 @@ select skill_id, path, analyzer, severity, category, count(*) as n from f group
 ORACLE["other_code_flags"] = _with(PF) + """select skill_id, path, cast(case when (kind = 0 and i % 5 = 0) or (kind = 1 and i % 7 = 0) then 0.3 else 1.0 end as double) as analyzability,
  (kind = 0 and i % 5 = 0) or (kind = 1 and i % 7 = 0) as has_dynamic_execution from pf"""
 ORACLE["registered_checks"] = _with(TN, _PKG, EV) + """, x as (select *, row_number() over (partition by skill_id, path order by event_id) + 1 as tl from ev),
-fp as (select *, row_number() over (partition by skill_id order by path) as fr from (select distinct skill_id, path from ev)),
-c as (select x.skill_id, x.path, x.tl, x.k, row_number() over (partition by x.skill_id order by x.path, x.tl) as rn from x join fp on fp.skill_id = x.skill_id and fp.path = x.path and fr <= 10 where t = 'purchase' and k % 25 = 0)
-select skill_id, 'comment_injection' as analyzer, 'HIGH' as severity, path, tl as line, 'Potential hidden instruction in code comment: t = os.getenv("SHOP_VAR_' || k || '")  # priority order' as description from c where rn <= 5
+c as (select skill_id, path, tl, k from x where t = 'purchase' and k % 25 = 0)
+select skill_id, 'comment_injection' as analyzer, 'HIGH' as severity, path, tl as line, 'Potential hidden instruction in code comment: t = os.getenv("SHOP_VAR_' || k || '")  # priority order' as description from c
 union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''name''' from pk where conv_id % 5 = 0
 union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''description''' from pk where conv_id % 4 = 0"""
 ORACLE["embedded_code_ops"] = _with(OPS, _TEXTLINE) + """select skill_id, path, tl as line, 'eval() in non-Python file' as label from x where t = 'signup'
@@ -473,7 +472,7 @@ ORACLE["builtin_tiers_texts"] = " union all ".join(
     f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from documents where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
  union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from documents where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""
 ORACLE["static_overall"] = _with(_CS) + "select skill_id, round(cast(least(1.0, greatest(s2, s3, sp * 0.9, sk * 0.85)) as double), 6) as static_overall from cs"
-ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US) + """, tp as (select * from (select *, row_number() over (partition by skill_id order by score desc, path, line) as rn from s where score >= 0.5) where rn <= 10),
+ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US) + """, tp as (select * from s where score >= 0.5),
 oc as (select skill_id, count(*) filter (contains(lower(description), 'external') or contains(lower(description), 'http')) as net,
  count(*) filter (contains(lower(description), 'sensitive') or contains(lower(description), 'ssh')) as cred, count(*) filter (contains(lower(description), 'eval')) as obf from tp group by 1),
 m as (select *, greatest(a, b, c, d, e) as top from us), fu as (select skill_id, count(*) as f, count(*) filter (case top when a then false when b then true when c then true else false end) as exf from m where top > 0.5 group by 1),

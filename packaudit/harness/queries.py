@@ -105,9 +105,9 @@ def repeat_flood_per_text(spark, sf):
 
 
 @query
-def encoded_runs_capped(spark, sf):
+def encoded_runs(spark, sf):
     f = v.files(spark, sf).withColumn("file_order", F.lit(0))
-    return inj.base64_runs(f, r"[A-Za-z0-9+/]{40,}", limit=3).select("skill_id", "path", F.col("pos").cast("long").alias("pos"), "run")
+    return inj.base64_runs(f, r"[A-Za-z0-9+/]{40,}").select("skill_id", "path", F.col("pos").cast("long").alias("pos"), "run")
 
 
 @query
@@ -230,17 +230,17 @@ def external_url_distinct(spark, sf):
 @query
 def urls_to_check(spark, sf):
     u = rep.distinct_urls(v.urls(spark, sf))
-    return rep.urls_to_check(u, 4).select("skill_id", "url")
+    return rep.urls_to_check(u).select("skill_id", "url")
 
 
 @query
-def reputation_join_capped(spark, sf):
+def reputation_join(spark, sf):
     n = F.length("url")
     u = rep.distinct_urls(v.urls(spark, sf))
     rows = u.select("url").distinct()
     table = rows.select("url", F.when(n % 3 == 0, n % 5).otherwise(0).cast("int").alias("malicious"), (n % 2).cast("int").alias("suspicious"), F.lit(2).alias("harmless"),
                         (n % 7).cast("int").alias("undetected"), F.concat(F.lit("link:"), "url").alias("permalink"))
-    return rep.reputation_findings(rep.urls_to_check(u, 6), table).select("skill_id", "severity", "evidence", r6("confidence").alias("confidence"))
+    return rep.reputation_findings(rep.urls_to_check(u), table).select("skill_id", "severity", "evidence", r6("confidence").alias("confidence"))
 
 
 # ----------------------------------------------------------------------------- steps
@@ -453,7 +453,7 @@ def op_risks(spark, sf):
 
 @query
 def op_score_topn(spark, sf):
-    t = scores.top_op_findings(scores.op_scores(v.ops(spark, sf)))
+    t = scores.top_op_findings(scores.op_scores(v.ops(spark, sf)), 10)
     return t.select("skill_id", "id", r6("score").alias("score"), "description")
 
 

@@ -21,13 +21,14 @@ UNIQUE = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the given tables.  Wide text tables in fewer splits than cores are spread out;
-    a large table has splits enough and is read as it is, without a shuffle."""
+    """One of the given tables.
+
+    Read as it is.  A caller whose text tables are single row groups, as in the bench, may
+    name a number of partitions to spread them to in ``packaudit.spread``.
+    """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in UNIQUE and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, UNIQUE[name])
-    return df
+    spread = spark.conf.get("packaudit.spread", None)
+    return df.repartition(int(spread), UNIQUE[name]) if spread and name in UNIQUE else df
 
 
 # Rules over what the documents do hold; plain ASCII classes, so every engine reads them alike.

@@ -248,7 +248,7 @@ def over_reach_rows(caps: DataFrame, declared: DataFrame) -> DataFrame:
     return j.withColumn("g", g).filter("g is not null").select(KEY, "dim", "scope", "first", F.col("g.weight").alias("weight"), F.col("g.gap").alias("gap"))
 
 
-def top_gaps(rows: DataFrame, n: int = 8) -> DataFrame:
+def top_gaps(rows: DataFrame, n: int | None = None) -> DataFrame:
     order = c.ranked(F.col("dim"), DIMS)
     return first_rows(rows.withColumn("o", order), [KEY], [F.col("o"), F.col("first"), F.col("scope")], n)
 
@@ -367,7 +367,6 @@ def context_lines(scopes: DataFrame, caps: DataFrame, judged: DataFrame, scores:
     did = caps.filter(F.col("dim").isin(DIMS)).select(KEY, F.lit(2).alias("section"), "dim", "scope")
     listed = said.unionByName(did).select(KEY, "section", F.concat("dim", s(": "), "scope").alias("text"))
     gaps = judged.filter("not declared and risk >= 0.5 and anchor is not null")
-    gaps = first_rows(gaps, [KEY], [F.desc("risk"), F.col("path"), F.col("line"), F.col("pos"), F.col("id")], 10)
     gap = gaps.select(KEY, F.lit(3).alias("section"), F.concat("label", F.format_string(" (risk=%.0f%%) at ", F.col("risk") * 100), "path", s(":"), F.col("line").cast("string"),
                                                                s(" — undeclared:"), "op_type").alias("text"))
     num = scores.select(KEY, F.lit(4).alias("section"), F.format_string("code=%.2f alignment=%.2f", "s2", "s3").alias("text"))

@@ -52,9 +52,9 @@ def has_any_folded(text: Column, words: list[str]) -> Column:
     return anc.guarded(text, lambda may: may(words))
 
 
-def base64_runs(df: DataFrame, pattern: str = fixed.BASE64_RUN, limit: int = 10,
+def base64_runs(df: DataFrame, pattern: str = fixed.BASE64_RUN, limit: int | None = None,
                 order: tuple[str, ...] = ("file_order", "path"), text: str = "content") -> DataFrame:
-    """The first ``limit`` base64 runs of each package, in reading order."""
+    """Base64 runs of each package; with ``limit`` only the first ones in reading order."""
     runs = df.select("skill_id", *order, F.posexplode(c.all_matches(F.col(text), f"({pattern})")).alias("pos", "run"))
     return first_rows(runs, ["skill_id"], [F.col(x) for x in (*order, "pos")], limit)
 
@@ -138,8 +138,8 @@ def detect_tiered(texts: DataFrame) -> DataFrame:
 def injection_finding(hits: DataFrame) -> DataFrame:
     """The single finding a flagged package gets, ahead of its code findings.
 
-    A package has a bounded number of distinct detections (rules, ten decoded runs, three
-    counters), so the first three can be picked from a short list.
+    Distinct detections are as many as there are rules and counters, so the first three can
+    be picked from a short list.
     """
     ladder = ["tier1", "tier2", "encoding", "steganography", "dos"]
     shown = hits.groupBy("skill_id", "tier", "name").count().groupBy("skill_id").agg(
@@ -181,13 +181,9 @@ def weighted_confidence(hits: DataFrame, key: str = "skill_id") -> DataFrame:
 
 
 def probe_hits(files: DataFrame) -> DataFrame:
-    """Packages whose instruction text, or the start of whose first scripts, holds the wrapper mark.
-
-    The judges are shown 1,500 characters of the first three scripts, so only those count.
-    """
+    """Packages whose instruction text or any of whose scripts holds the wrapper mark."""
     marked = c.has_any(F.col("content"), fixed.PROBE_MARKERS)
     doc = files.filter((F.col("path") == "SKILL.md") & marked).select("skill_id")
-    scripts = files.filter(F.col("path").rlike(r"^scripts/[^/]+\.py$")).select(
-        "skill_id", "path", c.has_any(F.substring("content", 1, 1500), fixed.PROBE_MARKERS).alias("marked"))
-    head = first_rows(scripts, ["skill_id"], [F.col("path")], 3).filter("marked").select("skill_id")
-    return doc.unionByName(head).distinct()
+    scripts = files.filter(F.col("path").rlike(r"^(scripts/)?[^/]+\.py$")).select(
+        "skill_id", "path", marked.alias("marked"))
+    return doc.unionByName(scripts.filter("marked").select("skill_id")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, first_rows
+from packaudit.functions.tables import findings
 from packaudit.sources.packages import of_kind
 
 
@@ -178,7 +178,7 @@ def audit_manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
-    """Check: long quoted base64 blobs and hard-coded addresses; at most eight per package."""
+    """Check: long quoted base64 blobs and hard-coded addresses."""
     text = of_kind(tables["files"], "py", "doc").filter("not is_binary and content is not null").filter(F.col("ext").isin(".py", ".md"))
     numbered = text.select("skill_id", "path", "basename", mark_lines(F.col("content")).alias("t"))
 
@@ -204,23 +204,20 @@ def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
     u = findings(urls, "embedded_resource", "MEDIUM", "T3-DataExfiltration",
                  F.concat(F.lit("Suspicious hardcoded external URL: "), F.substring("url", 1, 80), F.lit(" in "), "basename"),
                  path=F.col("path"), line=F.col("line"), pos=F.col("pos") + 100000)
-    order = [F.when(F.col("path").endswith(".py"), 0).otherwise(1), F.col("path"), F.col("pos")]
-    return first_rows(b.unionByName(u), ["skill_id"], order, 8)
+    return b.unionByName(u)
 
 
 def audit_comments(tables: dict[str, DataFrame]) -> DataFrame:
-    """Check: instruction-like comments in the first ten Python files; at most five per package."""
+    """Check: instruction-like comments in Python files."""
     py = of_kind(tables["files"], "py").filter("ext = '.py' and not is_binary and content is not null")
-    first = first_rows(py.select("skill_id", "path"), ["skill_id"], [F.col("path")], 10)
-    hot = py.filter(c.matches(F.col("content"), fixed.COMMENT_INJECTION)).join(first, ["skill_id", "path"], "left_semi")
+    hot = py.filter(c.matches(F.col("content"), fixed.COMMENT_INJECTION))
     lines = hot.select("skill_id", "path", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("pos", "text"))
     hits = lines.filter(c.matches(F.col("text"), fixed.COMMENT_INJECTION))
-    out = findings(hits, "comment_injection", "HIGH", "T10-InstructionMisdirection",
+    return findings(hits, "comment_injection", "HIGH", "T10-InstructionMisdirection",
                    F.concat(F.lit("Potential hidden instruction in code comment: "), F.substring(F.trim("text"), 1, 80)),
                    path=F.col("path"), line=F.col("pos") + 1, pos=F.col("pos"))
-    return first_rows(out, ["skill_id"], [F.col("path"), F.col("line")], 5)
 
 
 def mark_lines(content: Column) -> Column:
     """End every line with a mark and its number, so a match can look ahead to its line."""
-    return F.array_join(F.transform(F.split(content, "\n"), lambda l, i: F.concat(l, F.lit("\x01"), i + 1)), "\n")
+    return F.array_join(F.transform(F.split(F.translate(content, "\x01", " "), "\n"), lambda l, i: F.concat(l, F.lit("\x01"), i + 1)), "\n")

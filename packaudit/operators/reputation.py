@@ -20,11 +20,9 @@ def distinct_urls(rows: DataFrame) -> DataFrame:
     return rows.groupBy("skill_id", "url").agg(F.min(F.struct("path", "pos")).alias("first"))
 
 
-def urls_to_check(urls: DataFrame, max_urls: int = fixed.MAX_REPUTATION_URLS) -> DataFrame:
-    """The first addresses of each package that are not well-known infrastructure.
-
-    The reputation service allows few look-ups, so the audit checks only this many.
-    """
+def urls_to_check(urls: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """Addresses of each package that are not well-known infrastructure; with ``max_urls``,
+    for a look-up service with a quota, only the first ones."""
     return first_rows(urls.filter(~c.is_trusted_url(F.col("url"))), ["skill_id"], [F.col("first"), F.col("url")], max_urls)
 
 

@@ -155,8 +155,8 @@ def op_scores(ops: DataFrame) -> DataFrame:
     return ops.withColumn("z", z).select("*", F.col("z.score").alias("score"), F.col("z.description").alias("description")).drop("z")
 
 
-def top_op_findings(scored: DataFrame, n: int = 10) -> DataFrame:
-    """Strongest operations of each package: score 0.5 and above, at most ``n``."""
+def top_op_findings(scored: DataFrame, n: int | None = None) -> DataFrame:
+    """Strongest operations of each package: score 0.5 and above; with ``n`` only so many."""
     return first_rows(scored.filter("score >= 0.5 and description <> ''"), [KEY], [F.desc("score"), F.col("path"), F.col("line"), F.col("pos"), F.col("op_type"), F.col("label")], n)
 
 

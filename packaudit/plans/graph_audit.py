@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions.tables import cut, empty, fill, findings, first_rows, numbered, prepare, union_all, written
+from packaudit.functions.tables import cut, empty, fill, findings, numbered, prepare, union_all, written
 from packaudit.operators import checks, graph as g
 from packaudit.operators import injection as inj
 from packaudit.operators import manifest as man
@@ -53,7 +53,7 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
     strong = scores.top_op_findings(scored).select(KEY, "score", "description", "path", "line", "pos", "op_type", "label")
     reached = risky.select(KEY, F.col("risk").alias("score"), F.concat(F.lit("Tainted data flows to "), "label", F.lit(" at "), "path", F.lit(":"), F.col("line").cast("string")).alias("description"),
                            "path", "line", "pos", "op_type", "label")
-    top = written(first_rows(strong.unionByName(reached), [KEY], [F.desc("score"), F.col("path"), F.col("line"), F.col("pos"), F.col("op_type"), F.col("label"), F.col("description")], 10), "top_ops")
+    top = written(strong.unionByName(reached), "top_ops")
 
     chains = written(g.dedupe_chains(g.op_chains(ops).unionByName(g.step_escalation(live_units, sibling, misaligned))), "chains")
     caps = written(g.code_capabilities(ops), "caps")
@@ -88,12 +88,10 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
 
 def static_findings(top: DataFrame, chains: DataFrame, gaps: DataFrame, checked: DataFrame) -> DataFrame:
     """Findings of all static stages with the index that outside reviews refer to."""
-    five = first_rows(top, [KEY], [F.desc("score"), F.col("path"), F.col("line"), F.col("pos"), F.col("op_type"), F.col("label"), F.col("description")], 5)
     sev = F.when(F.col("score") > 0.85, "CRITICAL").when(F.col("score") > 0.60, "HIGH").otherwise("MEDIUM")
-    a = findings(five, "pattern/behavioral", sev, "Unknown", F.col("description"), path=F.col("path"), line=F.col("line"), pos=F.col("pos"), evidence=F.lpad(F.format_number(1 - F.col("score"), 4), 8, "0"))
+    a = findings(top, "pattern/behavioral", sev, "Unknown", F.col("description"), path=F.col("path"), line=F.col("line"), pos=F.col("pos"), evidence=F.lpad(F.format_number(1 - F.col("score"), 4), 8, "0"))
     b = findings(chains, "chain", F.col("severity"), F.col("category"), F.col("description"), path=F.col("path"), line=F.col("line"))
-    c3 = g.top_gaps(gaps, 3)
-    d = findings(c3, "cmia", "MEDIUM", "T11-CapabilityExpansion", F.concat(F.lit("Code capability not declared in SKILL.md: "), "gap"), pos=F.monotonically_increasing_id() * 0)
+    d = findings(gaps, "cmia", "MEDIUM", "T11-CapabilityExpansion", F.concat(F.lit("Code capability not declared in SKILL.md: "), "gap"), pos=F.monotonically_increasing_id() * 0)
     rows = union_all([a.withColumn("stage", F.lit(1)), b.withColumn("stage", F.lit(2)), d.withColumn("stage", F.lit(3)), checked.withColumn("stage", F.lit(4))])
     order = [F.col("evidence"), F.col("line"), F.col("pos"), F.col("analyzer"), F.col("description")]
     rows = rows.withColumn("place", F.when(F.col("stage") == 1, "").otherwise(F.col("path")))

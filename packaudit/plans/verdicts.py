@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import first_rows, union_all
+from packaudit.functions.tables import union_all
 
 KEY = "skill_id"
 
@@ -167,7 +167,7 @@ def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units
         KEY, F.concat(lit_("Judge-Detected: "), F.when(label == "", "Unknown Threat").otherwise(label)).alias("name"),
         F.when(s("risk_score") > 0.75, "HIGH").otherwise("MEDIUM").alias("severity"), none.alias("nl_evidence"), F.slice("fresh", 1, 3).alias("code_evidence"),
         lit_(0).cast("long").alias("misalign_count"), s("risk_score").alias("contribution"), F.concat(lit_("Detected by "), "judge_role", lit_(" judge")).alias("strategy"))
-    return first_rows(first.unionByName(more), [KEY], [F.desc(c.severity_rank(s("severity"))), s("name"), s("strategy")], 6)
+    return first.unionByName(more)
 
 
 def batch_summary(reports: DataFrame) -> DataFrame:

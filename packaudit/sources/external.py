@@ -65,7 +65,8 @@ def write_reports(reports: DataFrame, evidence: DataFrame, path: str) -> None:
 
     Evidence stays one row per item: a package with very many items never becomes one value.
     """
-    reports.write.mode("overwrite").partitionBy("verdict").json(f"{path}/reports")
+    # The folder is named by a copy, so that the verdict stays in each object.
+    reports.withColumn("by_verdict", F.col("verdict")).write.mode("overwrite").partitionBy("by_verdict").json(f"{path}/reports")
     (evidence.repartition("skill_id", "evidence_type", "script")
      .sortWithinPartitions("skill_id", F.desc("rank"), "evidence_type", "seq")
      .write.mode("overwrite").json(f"{path}/evidence"))

@@ -178,9 +178,9 @@ def injection_files(files: DataFrame) -> DataFrame:
 
 
 def injection_sources(files: DataFrame) -> DataFrame:
-    """Instruction file plus the Python files of ``scripts/``, kept per source."""
+    """Instruction file plus the Python files at the top and in ``scripts/``, kept per source."""
     return text_files(files).filter(
-        (F.col("path") == "SKILL.md") | F.col("path").rlike(r"^scripts/[^/]+\.py$"))
+        (F.col("path") == "SKILL.md") | F.col("path").rlike(r"^(scripts/)?[^/]+\.py$"))
 
 
 def non_python_sources(files: DataFrame) -> DataFrame:

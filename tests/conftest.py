@@ -12,12 +12,13 @@ FILE_SCHEMA = "skill_id string, path string, basename string, ext string, size b
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
         SparkSession.builder.master("local[8]").appName("packaudit-tests").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("packaudit.spread", "8")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate())
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

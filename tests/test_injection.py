@@ -51,11 +51,11 @@ def test_weighted(make_files):
     assert c["b"].confidence == 0.95
 
 
-def test_probe_only_counts_what_is_shown(make_files):
+def test_probe_reads_all_scripts_whole(make_files):
     pad = "#" * 1600
     f = make_files({"a": {"scripts/a.py": pad + "UNTRUSTED_INPUT_START"}, "b": {"scripts/a.py": "UNTRUSTED_INPUT_START"}, "c": {f"scripts/{n}.py": "x" for n in "abc"} | {"scripts/d.py": "UNTRUSTED_INPUT_END"},
                     "d": {"SKILL.md": pad + "UNTRUSTED_INPUT_END"}})
-    assert {r.skill_id for r in inj.probe_hits(f).collect()} == {"b", "d"}
+    assert {r.skill_id for r in inj.probe_hits(f).collect()} == {"a", "b", "c", "d"}
 
 
 RULES = ([(n, p, anc.LINE[n]) for n, p, _, _ in fixed.LINE_RULES] + [(n, p, anc.TIERS[n]) for n, p in fixed.TIER1 + fixed.TIER2]

@@ -30,7 +30,7 @@ def skewed(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", [
-    "finding_topn", "finding_numbering", "finding_dedupe", "repeat_flood", "weighted_rules_confidence", "encoded_runs_capped", "python_code_ops", "ctrl_flow_edges", "reach_within_k",
+    "finding_topn", "finding_numbering", "finding_dedupe", "repeat_flood", "weighted_rules_confidence", "encoded_runs", "python_code_ops", "ctrl_flow_edges", "reach_within_k",
     "op_score_topn", "declared_ops", "covers_edges", "fuzzy_overlap", "taint_fixed_point", "step_taint_labels", "taint_chains", "step_order", "contract_violations", "attack_chains"])
 def test_skewed(spark, skewed, name):
     assert compare(QUERIES[name](spark, skewed), connect(skewed), ORACLE[name]) == ""
