@@ -5,10 +5,3 @@ package in front of package-relative paths, or pass any other orderable key unde
 name) and ``content`` is its text.  Operators read those two columns, whatever else the
 table holds.
 """
-
-from pyspark import cloudpickle
-
-import packaudit
-
-# Task functions travel with the job, so workers need no installed copy of the package.
-cloudpickle.register_pickle_by_value(packaudit)
