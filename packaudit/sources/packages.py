@@ -15,31 +15,36 @@ from packaudit.functions.tables import findings, first_rows, written
 FILES = "skill_id string, path string, basename string, ext string, size bigint, is_binary boolean, content string"
 
 
-def read_packages(spark: SparkSession, root: str, max_bytes: int = fixed.MAX_FILE_BYTES,
-                  extensions: list[str] = fixed.TEXT_EXTENSIONS, check_large: bool = True) -> DataFrame:
-    """Every file under ``root/<skill_id>/`` that the audit looks at.
-
-    Scans with the length filter pushed to the source: files up to ``max_bytes`` give their
-    text, larger ones (up to what the source can read, 2 GiB) are only tested for being
-    binary and never carry content on.  Spark's file source leaves out names that start with
-    a dot or underscore, such as ``__init__.py``; these come from ``unlisted_files``.
+SOURCE_LIMIT = 2**31 - 2  # bytes of a file that Spark's file source can hold as one value
+
+
+def read_packages(spark: SparkSession, root: str, max_bytes: int | None = None,
+                  extensions: list[str] = fixed.TEXT_EXTENSIONS) -> DataFrame:
+    """Every file under ``root/<skill_id>/``, and a row with an empty path per package folder.
+
+    Text files give their content.  Without content stay binary files, other kinds of files,
+    files beyond what the source can hold (2 GiB) and, if ``max_bytes`` is given, longer
+    ones, which are still tested for being binary.  So no package and no file is missing.
+    Spark's file source leaves out names that start with a dot or underscore, such as
+    ``__init__.py``; these come from ``unlisted_files``.
     """
+    limit = SOURCE_LIMIT if max_bytes is None else min(max_bytes, SOURCE_LIMIT)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     uri, prefix, names = _top_level(spark, root)
-    local_path = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
     named = (
-        raw.withColumn("path", F.substring(local_path, prefix + 2, 1_000_000))
+        raw.withColumn("path", F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:(//[^/]*)?', ''), {prefix + 2})"))
         .withColumn("skill_id", F.substring_index("path", "/", 1))
         .withColumn("path", F.expr("substring(path, length(skill_id) + 2)"))
     )
     skip = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in fixed.SKIP_DIRS) + ")/"
     named = named.filter((F.col("path") != "") & ~F.col("path").rlike(skip)).select("skill_id", "path", "length", "content")
-    out = _shape(named.filter(F.col("length") <= max_bytes), extensions, True)
-    out = out.unionByName(_shape(unlisted_files(spark, uri, names, max_bytes), extensions, F.col("length") <= max_bytes))
-    if check_large:
-        large = named.filter((F.col("length") > max_bytes) & (F.col("length") < 2**31 - 1))
+    out = _shape(named.filter(F.col("length") <= limit), extensions, True)
+    out = out.unionByName(_shape(unlisted_files(spark, uri, names, limit), extensions, F.col("length") <= limit))
+    if limit < SOURCE_LIMIT:
+        large = named.filter((F.col("length") > limit) & (F.col("length") <= SOURCE_LIMIT))
         out = out.unionByName(_shape(large, extensions, False))
-    return out.filter("is_binary or content is not null")
+    huge = named.filter(F.col("length") > SOURCE_LIMIT).withColumn("content", F.lit(None).cast("binary"))
+    return out.unionByName(_shape(huge, extensions, False))
 
 
 def _top_level(spark: SparkSession, root: str) -> tuple[str, int, list[str]]:
@@ -56,8 +61,8 @@ def _shape(df: DataFrame, extensions: list[str], keep_text) -> DataFrame:
     is_binary = F.expr(" or ".join(signs + ["contains(substring(content, 1, 4096), X'00')"]))
     name, ext = c.basename(F.col("path")), c.extension(F.col("path"))
     keep = keep_text if isinstance(keep_text, Column) else F.lit(keep_text)
-    text = F.when(keep & ~is_binary & (ext.isin(extensions) | name.startswith(".")), F.make_valid_utf8(F.col("content").cast("string")))
-    return df.select("skill_id", "path", name.alias("basename"), ext.alias("ext"), F.col("length").alias("size"), is_binary.alias("is_binary"), text.alias("content"))
+    text = F.when(keep & ~is_binary & (F.col("path") != "") & (ext.isin(extensions) | name.startswith(".")), F.make_valid_utf8(F.col("content").cast("string")))
+    return df.select("skill_id", "path", name.alias("basename"), ext.alias("ext"), F.col("length").alias("size"), F.coalesce(is_binary, F.lit(False)).alias("is_binary"), text.alias("content"))
 
 
 def _is_unlisted(path: str) -> bool:
@@ -79,6 +84,7 @@ def unlisted_files(spark: SparkSession, uri: str, names: list[str], max_bytes: i
 
     Listing and reading are separate steps with a shuffle between them, so the files of a
     package that has very many are read by many tasks.  Of large files only the head is read.
+    Each package folder itself is listed with an empty path.
     """
     skip = set(fixed.SKIP_DIRS)
 
@@ -90,7 +96,7 @@ def unlisted_files(spark: SparkSession, uri: str, names: list[str], max_bytes: i
             for skill in batch["skill_id"]:
                 if skill in skip:
                     continue
-                rows, folders = [], [f"{base}/{skill}"]
+                rows, folders = [(skill, "", 0)], [f"{base}/{skill}"]
                 while folders:
                     for info in files.get_file_info(pafs.FileSelector(folders.pop())):
                         rel = info.path[len(base) + len(skill) + 2:]
@@ -105,8 +111,10 @@ def unlisted_files(spark: SparkSession, uri: str, names: list[str], max_bytes: i
         files, base = _arrow_files(uri)
         for batch in batches:
             for row in batch.itertuples():
-                with files.open_input_stream(f"{base}/{row.skill_id}/{row.path}") as f:
-                    data = f.read() if row.length <= max_bytes else f.read(4096)
+                data = b""
+                if row.path:
+                    with files.open_input_stream(f"{base}/{row.skill_id}/{row.path}") as f:
+                        data = f.read() if row.length <= max_bytes else f.read(4096)
                 yield pd.DataFrame([(row.skill_id, row.path, row.length, data)], columns=["skill_id", "path", "length", "content"])
 
     packages = spark.createDataFrame([(n,) for n in names], "skill_id string")

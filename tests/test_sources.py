@@ -30,21 +30,29 @@ def test_read_packages(spark, tmp_path):
     _write(root, "two/.venv/z.py", b"z\n")
     _write(root, "two/_big.bin", b"\x7fELF" + b"b" * 600_000)
     _write(root, "two/_big.py", b"#" * 600_000)
+    _write(root, "three/a.svg", b"<svg/>")
+    os.makedirs(os.path.join(root, "four"))
     f = src.read_packages(spark, root)
     got = {(r.skill_id, r.path): r for r in f.collect()}
     assert set(got) == {("one", "SKILL.md"), ("one", "scripts/a.py"), ("one", "scripts/tool.bin"), ("one", "scripts/nul.txt"),
-                        ("one", ".hidden"), ("one", "bigbin.dat"), ("two", "deep/er/x.sh"),
+                        ("one", ".hidden"), ("one", "bigbin.dat"), ("two", "deep/er/x.sh"), ("one", "img.png"), ("one", "big.py"), ("two", "_big.py"),
+                        ("one", ""), ("two", ""), ("three", ""), ("three", "a.svg"), ("four", ""),
                         ("two", "__init__.py"), ("two", "_lib/.deep/y.py"), ("two", "_big.bin")}
     assert got["one", "scripts/a.py"].content == "print('�')\n"
     assert [p for (_, p), r in sorted(got.items()) if r.is_binary] == ["bigbin.dat", "scripts/nul.txt", "scripts/tool.bin", "_big.bin"]
     assert all(r.content is None for r in got.values() if r.is_binary)
-    assert {r.skill_id for r in src.list_packages(f).collect()} == {"one", "two"}
+    assert {r.skill_id for r in src.list_packages(f).collect()} == {"one", "two", "three", "four"}
     assert [r.skill_id for r in src.list_packages(f, require_manifest=True).collect()] == ["one"]
     assert src.binary_findings(f).count() == 4
     assert got['two', '__init__.py'].content == 'import x\n'
-    assert [r.skill_id for r in src.missing_manifest_findings(f).collect()] == ["two"]
-    plan = f._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,512000)" in plan
+    assert {r.skill_id for r in src.missing_manifest_findings(f).collect()} == {"two", "three", "four"}
+    assert len(got["one", "big.py"].content) == 512_001 and len(got["two", "_big.py"].content) == 600_000
+    assert got["one", "img.png"].content is None and got["four", ""].content is None
+    limited = src.read_packages(spark, root, max_bytes=512_000)
+    assert {(r.skill_id, r.path) for r in limited.collect()} == set(got)
+    assert {r.path for r in limited.filter("is_binary").collect()} == {p for (_, p), r in got.items() if r.is_binary}
+    assert limited.filter("path in ('big.py', '_big.py') and content is null").count() == 2
+    assert "LessThanOrEqual(length,512000)" in limited._jdf.queryExecution().executedPlan().toString()
 
 
 def test_manifest_choice_and_selections(make_files):
