@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import first_rows, union_all
+from packaudit.functions.tables import cut, first_rows, union_all
 from packaudit.operators.contracts import step_script
-from packaudit.operators.reach import closure, inherit_labels
+from packaudit.operators.reach import closure, inherit_labels, roots
 
 
 def taint_label(detail: Column, strict: bool = False) -> Column:
@@ -64,16 +64,32 @@ def blocked_steps(linked: DataFrame, script_io: DataFrame, flags: DataFrame) ->
 
 
 def taint_map(steps: DataFrame, seeds: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Labels that leave each step, for steps with at most one upstream (as extracted)."""
-    own = seeds.groupBy("skill_id", "step_index").agg(F.bit_or(label_bit(F.col("label"))).alias("bits"))
-    up = step_upstream(steps).groupBy("skill_id", "step_index").agg(F.min("up_index").alias("up"))
-    stop = blocked.select("skill_id", "step_index").distinct().withColumn("stop", F.lit(True))
-    gate = blocked.select("skill_id", F.col("step_index").alias("up")).distinct().withColumn("up_stop", F.lit(True))
-    nodes = (steps.select("skill_id", "step_index").join(own, ["skill_id", "step_index"], "left")
-             .join(up, ["skill_id", "step_index"], "left").join(gate, ["skill_id", "up"], "left"))
-    nodes = nodes.select("skill_id", F.col("step_index").alias("id"), F.when(F.col("up_stop").isNull(), F.col("up")).alias("up_id"),
-                         F.coalesce("bits", F.lit(0)).alias("bits"))
-    got = inherit_labels(nodes).withColumnRenamed("id", "step_index").join(stop, ["skill_id", "step_index"], "left")
+    """Labels that leave each step: its own and those of all steps upstream.
+
+    Straight runs of steps inherit by doubling, in rounds that grow with the logarithm of
+    their length.  Only what enters steps with several upstream steps goes by frontier, over
+    the heads of the runs.
+    """
+    key = ["skill_id", "step_index"]
+    own = seeds.groupBy(*key).agg(F.bit_or(label_bit(F.col("label"))).alias("bits"))
+    stop = blocked.select(*key).distinct()
+    edges = cut(step_upstream(steps).join(stop.withColumnRenamed("step_index", "up_index"), ["skill_id", "up_index"], "left_anti"))
+    ups = edges.groupBy(*key).agg(F.min("up_index").alias("up"), F.count("*").alias("n"))
+    nodes = cut(steps.select(*key).distinct().join(own, key, "left").join(ups, key, "left").select(
+        "skill_id", F.col("step_index").alias("id"), F.when(F.col("n") == 1, F.col("up")).alias("up_id"),
+        F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("merges")))
+    got = inherit_labels(nodes)
+    merging = cut(edges.join(nodes.filter("merges").select("skill_id", F.col("id").alias("step_index")), key))
+    if not merging.isEmpty():
+        heads = roots(nodes)
+        entering = cut(merging.join(got.withColumnRenamed("id", "up_index"), ["skill_id", "up_index"]).join(
+            heads.withColumnRenamed("id", "up_index"), ["skill_id", "up_index"]))
+        labelled = entering.select("skill_id", F.col("step_index").alias("id"), F.explode(bits_to_labels(F.col("bits"))).alias("label"))
+        reached = closure(labelled, entering.select("skill_id", F.col("root").alias("from_id"), F.col("step_index").alias("to_id")), carry=("label",))
+        more = reached.groupBy("skill_id", F.col("id").alias("root")).agg(F.bit_or(label_bit(F.col("label"))).alias("more"))
+        got = got.join(heads, ["skill_id", "id"]).join(more, ["skill_id", "root"], "left").select(
+            "skill_id", "id", F.col("bits").bitwiseOR(F.coalesce("more", F.lit(0))).alias("bits"))
+    got = got.withColumnRenamed("id", "step_index").join(stop.withColumn("stop", F.lit(True)), key, "left")
     left = F.when(F.col("stop"), 0).otherwise(F.col("bits"))
     return got.select("skill_id", "step_index", left.alias("bits"), bits_to_labels(left).alias("labels"))
 
