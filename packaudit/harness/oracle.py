@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packaudit.functions import fixed
+from packaudit.harness.views import PHRASES
 
 ORACLE: dict[str, str] = {}
 
@@ -468,9 +469,10 @@ def _lit(p: str) -> str:
 _TIER = [(t, n, "(?is)" + p) for t, rows in (("tier1", fixed.TIER1), ("tier2", fixed.TIER2)) for n, p in rows]
 _TIER += [("weighted", n, ("" if p.startswith("(?-i)") else "(?i)") + p.replace("(?-i)", "")) for n, _, p in fixed.WEIGHTED_INJECTION]
 _TIER += [("encoding", n, p) for n, p in fixed.ENCODED_RUNS]
+_PHRASED = "(select doc_id, text || chr(10) || [" + ", ".join(f"'{_lit(p)}'" for p in PHRASES) + f"][doc_id % {len(PHRASES)} + 1] as text from documents) d"
 ORACLE["builtin_tiers_texts"] = " union all ".join(
-    f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from documents where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
- union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from documents where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""
+    f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from {_PHRASED} where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
+ union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from {_PHRASED} where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""
 ORACLE["static_overall"] = _with(_CS) + "select skill_id, round(cast(least(1.0, greatest(s2, s3, sp * 0.9, sk * 0.85)) as double), 6) as static_overall from cs"
 ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US) + """, tp as (select * from s where score >= 0.5),
 oc as (select skill_id, count(*) filter (contains(lower(description), 'external') or contains(lower(description), 'http')) as net,

@@ -28,3 +28,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_built_in_text_rule_is_hit(spark):
+    from packaudit.functions import fixed
+
+    rules = {n for rows in (fixed.TIER1, fixed.TIER2) for n, _ in rows} | {n for n, *_ in fixed.WEIGHTED_INJECTION} | {n for n, _ in fixed.ENCODED_RUNS}
+    found = {r.name for r in QUERIES["builtin_tiers_texts"](spark, SF).select("name").distinct().collect()}
+    assert rules <= found and "invisible_chars:count=2" in found
