@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from packaudit.functions.tables import cut, shared_folder
 
 ROWS = 256  # rows of a text table handled at a time inside a task
-CACHE_WORDS = 400_000  # words a task remembers; it then starts afresh, results stay the same
+CACHE_WORDS = 150_000  # words a task remembers; it then starts afresh, results stay the same
 
 
 class WordTable(dict):

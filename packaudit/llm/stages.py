@@ -12,7 +12,14 @@ from packaudit.llm.queries import table, tokenizer
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1024  # of whole documents that Arrow hands to a task's Python at a time
+
+
 def _files(docs: DataFrame) -> DataFrame:
+    """Documents as files.  Sets the session's Arrow batches to ROWS, as one session runs all
+    stages in the same executors and larger batches would add up there."""
+    docs.sparkSession.conf.set(BATCH, ROWS)
     return docs.withColumnsRenamed({"doc_id": "path", "text": "content"})
 
 
