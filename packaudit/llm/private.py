@@ -132,7 +132,15 @@ _WORD_DIGIT = rf"(?:{_words(DIGIT_WORDS)})(?![^\W\d_])"
 _DIGITS_SPOKEN = re.compile(rf"(?:(?:{_words(PLUS)})\s{{1,3}})?(?:{_WORD_DIGIT}|[0-9])(?:(?:[\s,-]{{1,3}}|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}|\s?\.\s?)(?:{_WORD_DIGIT}|[0-9])){{6,}}+", re.I)
 _FIRST_DIGIT = re.compile(_WORD_DIGIT, re.I)
 _TOKEN = re.compile(rf"{_words(DIGIT_WORDS)}|{_words(DOTS)}|{_words(PLUS)}|[0-9]|\.", re.I)
-_HAS_DIGIT_WORD = re.compile(_words(DIGIT_WORDS), re.I)
+_SPELLED = {w.encode() for w in DIGIT_WORDS}
+#: ASCII letters in lower case, ASCII punctuation and control characters as spaces.
+_FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def _spells_digits(text: str) -> bool:
+    """Whether seven digits could be spelled here: a quick count of whole words."""
+    n = sum(map(_SPELLED.__contains__, text.encode().translate(_FLAT).split()))
+    return n > 0 and (n > 6 or n + len(_DIGIT.findall(text)) > 6)
 
 
 def _digits(m: re.Match) -> str | None:
@@ -159,7 +167,7 @@ def rewrite(text: str) -> Rewritten | None:
     if any(d in low for d in DOTS):
         r.apply(_SPOKEN_AT, lambda m: "@")
         r.apply(_SPOKEN_DOT, lambda m: ".")
-    if _HAS_DIGIT_WORD.search(r.text):
+    if _spells_digits(r.text):
         r.apply(_DIGITS_SPOKEN, _digits)
     return r if r.text != text else None
 
