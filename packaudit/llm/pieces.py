@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -82,7 +83,7 @@ class Pieces:
         # cut there, and a part that occurs often is segmented once in a task.
         crossed = self.user or any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
         self.part = re.compile(r"(?s).+" if crossed else f"(?s){SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as packed numbers
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.segmenter = SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -155,26 +156,25 @@ class Pieces:
         lead = [0, 0, 0] if self.prefix else []
         return SPACE * self.prefix + text.replace(" ", SPACE), np.concatenate([lead, align, [len(b)]]).astype(np.int64)
 
-    def encode(self, contents: list[str]) -> list[tuple[list[int], np.ndarray]]:
+    def encode(self, contents: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids per text, and the source byte at which each piece starts, with the end of the last."""
         normal = [self.normalise(t) for t in contents]
         parts = [self.part.findall(n) for n, _ in normal]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list(set(chain.from_iterable(parts)).difference(self.known))
-        self.known.update(zip(new, self.segmenter.encode(new, num_threads=1)))
+        self.known.update(zip(new, (array("i", i).tobytes() for i in self.segmenter.encode(new, num_threads=1))))
         out = []
         for (text, align), own in zip(normal, parts):
-            ids = list(chain.from_iterable(map(self.known.__getitem__, own)))
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32)
             out.append((ids, align[self._edges(text, ids)]))
         return out
 
-    def _edges(self, text: str, ids: list[int]) -> np.ndarray:
-        edges = np.zeros(len(ids) + 1, np.int64)
-        width = self.width[ids]
-        if self.unknown in ids:  # one unknown piece stands for a run of any characters
+    def _edges(self, text: str, ids: np.ndarray) -> np.ndarray:
+        if (ids == self.unknown).any():  # one unknown piece stands for a run of any characters
             return self._edges_by_piece(text)
-        np.cumsum(width, out=edges[1:])
+        edges = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.width[ids], out=edges[1:])
         return edges
 
     def _edges_by_piece(self, text: str) -> np.ndarray:
@@ -196,7 +196,7 @@ def encode(files: DataFrame, model: bytes) -> DataFrame:
         for batch in slices(batches):
             found = m.encode(texts(batch))
             sizes = np.cumsum([0, *(len(i) for i, _ in found)]).astype(np.int32)
-            values = [np.fromiter(chain.from_iterable(i for i, _ in found), np.int32, sizes[-1]),
+            values = [np.concatenate([i for i, _ in found]),
                       np.concatenate([e[:-1] for _, e in found]).astype(np.int32), np.concatenate([e[1:] for _, e in found]).astype(np.int32)]
             lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(v)) for v in values]
             yield pa.RecordBatch.from_arrays([batch.column("path"), *lists], ["path", *RESULT])
