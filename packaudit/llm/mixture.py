@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packaudit.functions.tables import cut
+
 SEED = "mix-1"
+BROADCAST = 1_000_000  # values of all distributions together up to which they are sent to every task
 RESULT = ("copy", "mix_key")
 
 
@@ -64,7 +67,11 @@ def mix(files: DataFrame, targets: DataFrame, source: str = "skill_id", scale: f
     """
     files = files.drop(*RESULT)
     rates = repetition_rates(files, targets, source, scale).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    # The rates are one row per source: adaptive execution broadcasts them when they are small and splits a hot source when not.
+    # The rates are one row per source.  Few enough values are broadcast, so texts are not shuffled by
+    # source; else they are joined by shuffle, where adaptive execution splits a hot source.
+    rates = cut(rates)
+    if (rates.agg(F.sum(F.size("_mix_cdf") + 1)).first()[0] or 0) <= BROADCAST:
+        rates = F.broadcast(rates)
     drawn = files.join(rates, files[source].eqNullSafe(F.col("_mix_source")))
     times = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
     drawn = drawn.withColumn("_mix_u", uniform(F.lit(seed), "path")).withColumn("_mix_n", times).where("_mix_n > 0")
