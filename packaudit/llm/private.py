@@ -127,7 +127,9 @@ _words = lambda words: "|".join(sorted(words, key=len, reverse=True))  # noqa: E
 _BRACKET_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:@|{_words(ATS)})\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:\.|{_words(DOTS)})\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _SPOKEN_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}(?=[A-Za-z0-9])", re.I)
-_SPOKEN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(ATS)})\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\.|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}})[A-Za-z0-9])", re.I)
+# A number with a decimal point ("priced at 9.99") is no host.
+_SPOKEN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(ATS)})\s{{1,3}}(?![0-9]++\.[0-9]++(?!\.?[A-Za-z0-9-]))(?=[A-Za-z0-9-]{{1,63}}(?:\.|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}})[A-Za-z0-9])", re.I)
+_AT_WORD = re.compile(rf"\s(?:{_words(ATS)})\s", re.I)
 _WORD_DIGIT = rf"(?:{_words(DIGIT_WORDS)})(?![^\W\d_])"
 _DIGITS_SPOKEN = re.compile(rf"(?:(?:{_words(PLUS)})\s{{1,3}})?(?:{_WORD_DIGIT}|[0-9])(?:(?:[\s,-]{{1,3}}|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}|\s?\.\s?)(?:{_WORD_DIGIT}|[0-9])){{6,}}+", re.I)
 _FIRST_DIGIT = re.compile(_WORD_DIGIT, re.I)
@@ -164,8 +166,9 @@ def rewrite(text: str) -> Rewritten | None:
     if any(c in low for c in "[({<"):
         r.apply(_BRACKET_AT, lambda m: "@")
         r.apply(_BRACKET_DOT, lambda m: ".")
-    if any(d in low for d in DOTS):
+    if _AT_WORD.search(r.text):
         r.apply(_SPOKEN_AT, lambda m: "@")
+    if any(d in low for d in DOTS):
         r.apply(_SPOKEN_DOT, lambda m: ".")
     if _spells_digits(r.text):
         r.apply(_DIGITS_SPOKEN, _digits)

@@ -71,3 +71,38 @@ def test_files(package_files, hard_rows):
     texts = {r["path"]: r["content"] for r in clean.collect()}
     assert texts["z/mail.md"] == "to <email> or <email>." and texts["z/both.md"] == "<email>" and texts["p/null.md"] is None
     assert private.find(files.limit(0)).count() == private.redact(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [("mail jane at example.com", "jane at example.com"), ("Mail JANE AT\texample.com today", "JANE AT\texample.com"),
+                                        ("escribe a ana arroba correo.es hoy", "ana arroba correo.es"), ("mail jane at 163.com", "jane at 163.com")])
+def test_spoken_at_with_a_written_dot(text, want):
+    assert [(k, text[a:b], p) for k, a, b, p in private.spans(text)] == [("email", want, False)]
+    for other in (" an anecdote", " point"):  # an unrelated word changes nothing
+        assert private.spans(text + other) == private.spans(text)
+
+
+def test_a_number_is_no_host():
+    for text in ("priced at 9.99 now", "closed at 10.5 points", "starts at 5.30"):
+        assert private.spans(text) == private.spans(text + " anecdote") == []
+
+
+def unguarded(text):
+    """rewrite() with every pattern tried."""
+    r = private.Rewritten(text)
+    r.apply(private._ODD, lambda m: private._plain_character(m[0]))
+    r.apply(private._SOFT, lambda m: private._plain_character(m[0]))
+    r.apply(private._BRACKET_AT, lambda m: "@")
+    r.apply(private._BRACKET_DOT, lambda m: ".")
+    r.apply(private._SPOKEN_AT, lambda m: "@")
+    r.apply(private._SPOKEN_DOT, lambda m: ".")
+    r.apply(private._DIGITS_SPOKEN, private._digits)
+    return r if r.text != text else None
+
+
+def test_guards_change_no_span_of_addresses(monkeypatch):
+    rng = random.Random(21)
+    parts = ["jane", "at", "AT", "arroba", "Arroba", "dot", "Punkt", "punto", "example.com", "corp", "com", ".", "@", "[at]", "(dot)", " ", " ", " ", "\n", "\u00a0", "é", "“", "9.9"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    guarded = [private.spans(t) for t in cases]
+    monkeypatch.setattr(private, "rewrite", unguarded)
+    assert guarded == [private.spans(t) for t in cases] and sum(map(len, guarded)) > 200
