@@ -131,28 +131,46 @@ _SPOKEN_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}
 _SPOKEN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_words(ATS)})\s{{1,3}}(?![0-9]++\.[0-9]++(?!\.?[A-Za-z0-9-]))(?=[A-Za-z0-9-]{{1,63}}(?:\.|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}})[A-Za-z0-9])", re.I)
 _AT_WORD = re.compile(rf"\s(?:{_words(ATS)})\s", re.I)
 _WORD_DIGIT = rf"(?:{_words(DIGIT_WORDS)})(?![^\W\d_])"
-_DIGITS_SPOKEN = re.compile(rf"(?:(?:{_words(PLUS)})\s{{1,3}})?(?:{_WORD_DIGIT}|[0-9])(?:(?:[\s,-]{{1,3}}|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}|\s?\.\s?)(?:{_WORD_DIGIT}|[0-9])){{6,}}+", re.I)
+# Four digits at least, as an address of a host has; _digits asks for dots where there are fewer than seven.
+_DIGITS_SPOKEN = re.compile(rf"(?<![^\W_])(?:(?:{_words(PLUS)})\s{{1,3}})?(?:{_WORD_DIGIT}|[0-9])(?:(?:[\s,-]{{1,3}}|\s{{1,3}}(?:{_words(DOTS)})\s{{1,3}}|\s?\.\s?)(?:{_WORD_DIGIT}|[0-9])){{3,}}+", re.I)
 _FIRST_DIGIT = re.compile(_WORD_DIGIT, re.I)
 _TOKEN = re.compile(rf"{_words(DIGIT_WORDS)}|{_words(DOTS)}|{_words(PLUS)}|[0-9]|\.", re.I)
+_NUMBER_DOT = re.compile(rf"\s(?:{_words(DOTS)})\s|(?<=\s)\.|\.(?!\s)", re.I)  # not the full stop of "One. Two."
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = {w.encode() for w in DIGIT_WORDS}
-#: ASCII letters in lower case, ASCII punctuation and control characters as spaces.
-_FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: ASCII letters in lower case, all else of ASCII as spaces.
+_FLAT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _fold(text: str) -> str:
+    """Lower case as patterns without case take it: four more letters stand for i, s and k."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").replace("\u212a", "k")
+    return text.lower()
 
 
 def _spells_digits(text: str) -> bool:
-    """Whether seven digits could be spelled here: a quick count of whole words."""
-    n = sum(map(_SPELLED.__contains__, text.encode().translate(_FLAT).split()))
-    return n > 0 and (n > 6 or n + len(_DIGIT.findall(text)) > 6)
+    """Whether four digits with a spelled one among them could be here: a count of whole words.
+
+    Each spelled digit of a match is a whole run of letters, so this holds wherever the pattern matches.
+    """
+    if text.isascii():
+        n = sum(map(_SPELLED.__contains__, text.encode().translate(_FLAT).split()))
+    else:
+        n = sum(map(DIGIT_WORDS.__contains__, _LETTERS.findall(_fold(text))))
+    return n > 3 or n > 0 and n + len(_DIGIT.findall(text)) > 3
 
 
 def _digits(m: re.Match) -> str | None:
     s = m[0]
-    if not _FIRST_DIGIT.search(s) or (m.start() and m.string[m.start() - 1].isalnum()):
+    if not _FIRST_DIGIT.search(s):
         return None
     out = []
     for t in _TOKEN.findall(s):
-        low = t.lower()
+        low = _fold(t)
         out.append("+" if low in PLUS else "." if low in DOTS or low == "." else DIGIT_WORDS.get(low, low))
+    if sum(c not in "+." for c in out) < 7 and len(_NUMBER_DOT.findall(s)) < 3:
+        return None
     return "".join(out)
 
 

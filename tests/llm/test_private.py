@@ -106,3 +106,56 @@ def test_guards_change_no_span_of_addresses(monkeypatch):
     guarded = [private.spans(t) for t in cases]
     monkeypatch.setattr(private, "rewrite", unguarded)
     assert guarded == [private.spans(t) for t in cases] and sum(map(len, guarded)) > 200
+
+
+SHORT_HOSTS = {
+    "host one two seven dot zero dot zero dot one up": "one two seven dot zero dot zero dot one",
+    "host one zero dot zero dot zero dot one": "one zero dot zero dot zero dot one",
+    "use eight dot eight dot eight dot eight now": "eight dot eight dot eight dot eight",
+    "use eight.eight.8.eight now": "eight.eight.8.eight",
+    "use eight . eight . eight . eight now": "eight . eight . eight . eight",
+    "anyone eight dot eight dot eight dot eight": "eight dot eight dot eight dot eight",
+    "host “one two seven dot one zero dot zero dot five” up": "one two seven dot one zero dot zero dot five",
+    "someone one two seven dot one zero dot zero dot five": "one two seven dot one zero dot zero dot five",
+}
+
+
+@pytest.mark.parametrize("text", SHORT_HOSTS)
+def test_spelled_hosts_of_four_digits(text):
+    assert [(k, text[a:b], p) for k, a, b, p in private.spans(text)] == [("ip", SHORT_HOSTS[text], False)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("RUF PLUS FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF AN", "PLUS FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF FÜNF"),
+    ("appelle plus ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO.", "plus ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO ZÉRO"),
+    ("call plus ſix ſeven five fİve zero one two three", "plus ſix ſeven five fİve zero one two three"),
+])
+def test_spelled_digits_in_any_letters(text, want):
+    assert [(k, text[a:b]) for k, a, b, _ in private.spans(text)] == [("phone", want)]
+
+
+def test_counting_is_no_host():
+    for text in ("One. Two. Three. Four.", "one two three four five six", "One. Two, three. Four."):
+        assert private.spans(text) == []
+
+
+def test_folding_is_what_the_patterns_take():
+    letters = set("".join(private.DIGIT_WORDS))
+    either = re.compile("[" + "".join(letters) + "]", re.I)
+    for c in map(chr, range(0x110000)):
+        if either.match(c):
+            assert private._fold(c) in letters and re.fullmatch(private._fold(c), c, re.I), c
+
+
+def test_guards_change_no_span_of_digits(monkeypatch):
+    rng = random.Random(22)
+    parts = [*private.DIGIT_WORDS, "FÜNF", "ZÉRO", "ſix", "fİve", "anyone", "dot", "DOT", "Punkt", "plus", "más", "surplus", "1", "7", "42", ".", ".", "-", ",", "“", "”", "—", "_", "é", "\u0308"]
+    cases = []
+    for _ in range(6000):
+        words = [rng.choice(parts) for _ in range(rng.randint(1, 24))]
+        cases.append("".join(w + rng.choice(["", " ", " ", " ", " ", ". ", " dot "]) for w in words))
+    digits = list(private.DIGIT_WORDS)
+    cases += ["".join(rng.choice(digits).upper() + rng.choice([" ", "-", " dot ", ".", "“"]) for _ in range(rng.randint(3, 20))) for _ in range(3000)]
+    guarded = [private.spans(t) for t in cases]
+    monkeypatch.setattr(private, "rewrite", unguarded)
+    assert guarded == [private.spans(t) for t in cases] and sum(map(len, guarded)) > 200
