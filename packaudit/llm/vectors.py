@@ -8,6 +8,11 @@ clusters: a greedy beam from the shards' medoids, then a range-expanding walk th
 that lies within the threshold.  Every link is verified in double precision, and counted in
 the first cluster that its two ends share.
 
+How many clusters a vector is dealt to is measured in the job: hash-chosen vectors meet all
+others in blocks, and the number is the least at which nearly all their true links share a
+cluster.  What the search then counts is audited against the same links; while too few are
+found, the number doubles and the search runs again.
+
 A shard is of bounded size, so a cluster that holds a third of all vectors is many shards;
 what leaves a task is a count per vector and a spanning forest, never all pairs.
 
@@ -18,6 +23,7 @@ table (vec_id, embedding).
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,9 @@ COSINE = 0.9
 SAMPLE = 20_000  # vectors, in the order of a hash, that the cluster centres are fitted to
 CLUSTER = 1500  # vectors that a cluster should hold
 CENTRES = 2048  # most clusters; beyond that, clusters are cut into more blocks
-OVERLAP = 3  # clusters each vector is dealt to
+OVERLAP = 3  # fewest clusters each vector is dealt to
+AUDIT = 256  # vectors, last in the order of the hash, whose links are looked for among all
+SHARED, RECALL = 0.97, 0.9  # shares of true links: that must share a cluster, that must be counted
 BLOCK = 4000  # most members of a shard, and most queries of a task
 DEGREE, POOL, ALPHA = 24, 64, 1.2  # most neighbours kept, candidates looked at, slack of the pruning
 BEAM, ENTRIES = 32, 8
@@ -216,22 +224,92 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _first_shared(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest cluster that row a of left and row b of right both hold."""
     out = np.full(len(a), np.iinfo(np.int64).max)
-    for i in range(left.shape[1]):
-        own = left[a, i].astype(np.int64)
-        hit = (right[b] == own[:, None]).any(1)
-        out[hit] = np.minimum(out[hit], own[hit])
+    for s in range(0, len(a), PAIRS):
+        p = slice(s, s + PAIRS)
+        for i in range(left.shape[1]):
+            own = left[a[p], i].astype(np.int64)
+            hit = (right[b[p]] == own[:, None]).any(1)
+            out[p][hit] = np.minimum(out[p][hit], own[hit])
+    return out
+
+
+def ranks(sims: np.ndarray) -> np.ndarray:
+    """Place of each cluster in the order that vectors are dealt by, from 1."""
+    order = np.argsort(-sims, axis=1, kind="stable")
+    out = np.empty(order.shape, np.int32)
+    np.put_along_axis(out, order, np.arange(1, sims.shape[1] + 1, dtype=np.int32)[None, :], 1)
     return out
 
 
-def deal(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def fit(points: DataFrame) -> dict[int, np.ndarray]:
+    """Cluster centres for each length of vectors."""
+    sizes = {r["d"]: r["n"] for r in points.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect()}
+    return {d: centres(points, d, max(1, min(CENTRES, math.ceil(n / CLUSTER)))) for d, n in sizes.items()}
+
+
+def truth(points: DataFrame, fitted: dict[int, np.ndarray], threshold: float) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """(overlap per length, {rep: (length, true links)}) from AUDIT vectors of each length against all others.
+
+    The asked vectors are last in the hash's order, so that centres of large tables are not
+    fitted to them.  Only counts leave the tasks.
+    """
+    asked = {}
+    for d, c in fitted.items():
+        rows = points.where(F.size("unit") == d).orderBy(F.desc("key"), F.desc("unit")).limit(AUDIT).select("rep", "unit").toArrow()
+        x = _matrix(rows.column("unit"))
+        asked[d] = np.asarray(rows.column("rep")), x, ranks(x @ c.T)
+
+    def meet(batches):
+        for batch in batches:
+            lists, reps, copies = batch.column("unit"), np.asarray(batch.column("rep")), np.asarray(batch.column("copies"))
+            dims = np.asarray(lists.value_lengths())
+            out: list[tuple[int, int | None, int | None, int]] = []
+            for d in map(int, np.unique(dims)):
+                ids, q, order = asked[d]
+                every = np.flatnonzero(dims == d)
+                for s in range(0, len(every), 1024):
+                    rows = every[s:s + 1024]
+                    x = _matrix(lists.take(pa.array(rows)))
+                    a, b = np.nonzero((q @ x.T >= threshold) & (ids[:, None] != reps[rows][None, :]))
+                    if not len(a):
+                        continue
+                    own = ranks(x @ fitted[d].T)
+                    n = np.bincount(a, copies[rows][b], len(ids)).astype(np.int64)
+                    out += [(d, int(ids[i]), None, int(n[i])) for i in np.flatnonzero(n)]
+                    step = max(1, PAIRS // own.shape[1])
+                    least = np.concatenate([np.maximum(order[a[i:i + step]], own[b[i:i + step]]).min(1) for i in range(0, len(a), step)])
+                    out += [(d, None, int(r), int(k)) for r, k in zip(*np.unique(least, return_counts=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64()))] if out else
+                                             [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64())], ["d", "rep", "rank", "n"])
+
+    told = points.select("rep", "unit", "copies").mapInArrow(meet, "d int, rep bigint, rank int, n bigint").groupBy("d", "rep", "rank").agg(F.sum("n").alias("n")).collect()
+    overlap = {}
+    for d, c in fitted.items():
+        counts = np.zeros(len(c) + 1, np.int64)
+        for r in told:
+            if r["d"] == d and r["rank"] is not None:
+                counts[r["rank"]] = r["n"]
+        least = int(np.searchsorted(np.cumsum(counts), SHARED * counts.sum())) if counts.sum() else 1
+        overlap[d] = min(len(c), max(OVERLAP, least))
+    return overlap, {r["rep"]: (r["d"], r["n"]) for r in told if r["rep"] is not None}
+
+
+def audited(found: DataFrame, true: dict[int, tuple[int, int]]) -> dict[int, float]:
+    """Share of the true links of the asked vectors that were counted, per length of vectors."""
+    if not true:
+        return {}
+    rows = found.sparkSession.createDataFrame([(r, d, n) for r, (d, n) in true.items()], "rep bigint, d int, n bigint")
+    told = rows.join(found, "rep", "left").groupBy("d").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0)))).alias("got")).collect()
+    return {r["d"]: r["got"] / r["n"] for r in told}
+
+
+def deal(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """(members, queries) of all shards: shard, rep, unit, homes, with copies or the part of the queries.
 
     A cluster's members fall into blocks by a hash, and so do its queries; each block of
     queries meets each block of members of its cluster.
     """
     kind = key_type(points, "rep")
-    sizes = {r["d"]: r["n"] for r in points.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect()}
-    fitted = {d: centres(points, d, max(1, min(CENTRES, math.ceil(n / CLUSTER)))) for d, n in sizes.items()}
     base = dict(zip(fitted, np.cumsum([0, *(len(c) for c in fitted.values())]).tolist()))
 
     def assign(batches):
@@ -242,7 +320,7 @@ def deal(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
                 sims = _matrix(lists.take(pa.array(rows))) @ fitted[int(d)].T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :OVERLAP] + base[int(d)]
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap[int(d)]] + base[int(d)]
                 for r, h in zip(rows, best.tolist()):
                     homes[r] = h
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("unit"), batch.column("copies"), pa.array(homes, pa.list_(pa.int32()))], ["rep", "unit", "copies", "homes"])
@@ -259,22 +337,9 @@ def deal(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return members.select((shard + salt).alias("shard"), "rep", "unit", "copies", "homes"), queries
 
 
-def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component, kept) per row of (vec_id, embedding).
-
-    n_links counts the other rows linked directly, at cosine >= threshold; component is the
-    smallest vec_id reached by links, the row's own included; kept tells whether that is its
-    own.  Null, empty and zero vectors and those with null or non-finite components link with
-    nothing, and neither do vectors of different lengths.  Equal vectors are collapsed first
-    and counted again at the end.  Rows that repeat a vec_id count as rows.  A null vec_id
-    names no component unless all of it is null.  Other columns are not read.
-    """
-    kind = key_type(vectors, "vec_id")
-    unit = cut(units(vectors).withColumn("key", F.xxhash64("unit")))
-    # One point per distinct vector, however many rows hold it; the checkpoint fixes its number.
-    distinct = unit.where("unit is not null").groupBy("key", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    points = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    members, queries = deal(points, threshold)
+def walks(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, int], threshold: float) -> DataFrame:
+    """(rep, found, other): links counted in each shard, and a forest of them."""
+    members, queries = deal(points, fitted, overlap)
 
     def graph(key, table):
         x = _matrix(table.column("unit"))
@@ -283,7 +348,7 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         return pa.table({"rep": pa.array(reps), "near": lists})
 
     adjacency = members.groupBy("shard").applyInArrow(graph, "rep bigint, near array<bigint>")
-    # The lists of a vector from its shards, at most OVERLAP of DEGREE each, become one.
+    # The lists of a vector from its shards, DEGREE each at most, become one.
     united = cut(adjacency.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     ready = members.join(united, "rep").select("shard", "rep", "unit", "copies", "homes", "near")
     parts = queries.select("shard", "part").distinct()
@@ -324,8 +389,36 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
                 out["other"].append(s)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    walked = cut(ready.unionByName(asking).groupBy("shard", "part").applyInArrow(walk, "rep bigint, found bigint, other bigint"))
-    found = walked.groupBy("rep").agg(F.sum("found").alias("found"))
+    return cut(ready.unionByName(asking).groupBy("shard", "part").applyInArrow(walk, "rep bigint, found bigint, other bigint"))
+
+
+def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component, kept) per row of (vec_id, embedding).
+
+    n_links counts the other rows linked directly, at cosine >= threshold; component is the
+    smallest vec_id reached by links, the row's own included; kept tells whether that is its
+    own.  Null, empty and zero vectors and those with null or non-finite components link with
+    nothing, and neither do vectors of different lengths.  Equal vectors are collapsed first
+    and counted again at the end.  Rows that repeat a vec_id count as rows.  A null vec_id
+    names no component unless all of it is null.  Other columns are not read.
+    """
+    kind = key_type(vectors, "vec_id")
+    unit = cut(units(vectors).withColumn("key", F.xxhash64("unit")))
+    # One point per distinct vector, however many rows hold it; the checkpoint fixes its number.
+    distinct = unit.where("unit is not null").groupBy("key", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    points = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
+    fitted = fit(points)
+    overlap, true = truth(points, fitted, threshold)
+    while True:
+        walked = walks(points, fitted, overlap, threshold)
+        found = walked.groupBy("rep").agg(F.sum("found").alias("found"))
+        poor = {d: got for d, got in audited(found, true).items() if got < RECALL}
+        wider = {d: min(2 * o, len(fitted[d])) if d in poor else o for d, o in overlap.items()}
+        if wider == overlap:
+            break
+        overlap = wider
+    if poor:
+        warnings.warn(f"op8_vectors: share of the true links found, by length of vectors, with every cluster searched: {poor}", stacklevel=2)
     joined = components(walked.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     told = points.join(found, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     told = cut(told.select("key", "unit", "least", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")))

@@ -208,3 +208,31 @@ def test_vectors(spark, monkeypatch, small):
     assert all(r["kept"] == (r["component"] == r["vec_id"]) for r in out)
     assert vectors.recall(table.where("vec_id < 900"), got.where("vec_id < 900"), 4) >= 0.9
     assert vectors.links(table.limit(0)).count() == 0
+
+
+def test_vectors_without_structure(spark, monkeypatch):
+    """Centres fitted to few of the vectors part many links; the job sees it and deals wider."""
+    for name, value in (("CLUSTER", 24), ("SAMPLE", 200), ("OVERLAP", 1)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 64))
+    y = x + 0.46 * rng.normal(size=x.shape)  # cosine about 0.91
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *y])], "vec_id long, embedding array<double>")
+    unit = np.vstack([x, y])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = (unit @ unit.T >= vectors.COSINE).sum(1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in vectors.links(table).collect()}
+    assert true.sum() > 300 and all(found[i] <= n for i, n in enumerate(true))
+    assert sum(found.values()) / true.sum() >= 0.9
+
+
+def test_wider_until_the_audit_is_met(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CLUSTER", 8)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *(x + 0.05 * rng.normal(size=x.shape))])], "vec_id long, embedding array<double>")
+    tried, shares, walks = [], iter([{16: 0.5}, {16: 0.89}, {16: 0.95}]), vectors.walks
+    monkeypatch.setattr(vectors, "audited", lambda *a: next(shares))
+    monkeypatch.setattr(vectors, "walks", lambda p, f, overlap, t: tried.append(overlap[16]) or walks(p, f, overlap, t))
+    assert {r["n_links"] for r in vectors.links(table).collect()} == {1}
+    assert tried == [3, 6, 12]
