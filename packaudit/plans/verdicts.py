@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import union_all
+from packaudit.functions.tables import first_rows, union_all
 
 KEY = "skill_id"
 
@@ -119,20 +119,22 @@ def fast_gate(df: DataFrame) -> DataFrame:
 def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Chains told by several modules at once, at most six per package by severity.
 
-    ``top_ops`` holds at most ten rows per package and ``flagged`` one per instruction, so
-    the lists collected here are short.
+    Only the first three operations of each kind and flagged steps are told; each task keeps no
+    more of them before the shuffle, however many a package has.
     """
     low = F.lower("description")
     tests = {"net": ["external", "http"], "cred": ["sensitive", "ssh", "credential", "aws"],
              "obf": ["obfuscat", "base64", "eval", "exec", "entropy", "encoded"]}
     strongest = F.struct((-F.col("score")).alias("o"), "path", "line", "pos", F.substring("description", 1, 80).alias("d"), F.col("score").alias("score"))
-    ops = top_ops.groupBy(KEY).agg(*[
-        F.array_sort(F.collect_list(F.when(c.has_any(low, w), strongest))).alias(k) for k, w in tests.items()])
+    kinds = F.array_compact(F.array(*[F.when(c.has_any(low, w), F.lit(k)) for k, w in tests.items()]))
+    ops = first_rows(top_ops.select(KEY, F.explode(kinds).alias("k"), strongest.alias("e")), [KEY, "k"], [F.col("e")], 3)
+    ops = ops.groupBy(KEY).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("e")))).alias(k) for k in tests])
     line = F.concat(F.lit("Step "), F.col("step_index").cast("string"), F.lit(" ("), "category", F.lit("): "), F.substring("text", 1, 60))
     short = F.concat(F.lit("Step "), F.col("step_index").cast("string"), F.lit(": "), F.substring("text", 1, 60))
-    fl = flagged.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("category").isin("I-EXF", "I-EXP"), F.struct("step_index", line.alias("t"))))).alias("exf"),
-        F.array_sort(F.collect_list(F.struct("step_index", short.alias("t")))).alias("any_unit"))
+    told_as = lambda k, t: F.struct(F.lit(k).alias("k"), F.struct("step_index", t.alias("t")).alias("e"))
+    steps = F.array_compact(F.array(F.when(F.col("category").isin("I-EXF", "I-EXP"), told_as("exf", line)), told_as("any_unit", short)))
+    fl = first_rows(flagged.select(KEY, F.inline(steps)), [KEY, "k"], [F.col("e")], 3)
+    fl = fl.groupBy(KEY).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("e")))).alias(k) for k in ("exf", "any_unit")])
     j = scores.join(ops, KEY, "left").join(fl, KEY, "left").join(units.select(KEY, "kill_chain", "kill_chain_text", "unit_score"), KEY, "left")
     none = c.empty_strings()
     words = lambda x, n: F.coalesce(F.transform(F.slice(F.col(x), 1, n), lambda e: e["t"]), none)

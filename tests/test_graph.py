@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import fixtures as fx
 from packaudit.functions.tables import numbered
@@ -57,6 +58,24 @@ def test_both_sites_agree(spark, first, make_files, units, tmp_path):
     assert all(r[s].p >= base[s] - 1e-12 for s in base)
 
 
+def test_kill_chains_of_a_package_of_very_many_operations(spark):
+    from packaudit.plans import verdicts
+
+    table = spark.createDataFrame([("a", 0.9, 0.5, 0.1, 2, 0.5)], "skill_id string, p double, s3 double, over_reach double, misalign_count long, hiding_score double")
+    n = F.col("id")
+    ops = spark.range(2000).select(F.lit("a").alias("skill_id"), (0.5 + n / 5000).alias("score"), F.lit("x.py").alias("path"), n.alias("line"), F.lit(0).alias("pos"),
+                                   F.concat(F.lit("ssh to external http "), n.cast("string")).alias("description"))
+    flagged = spark.range(2000).select(F.lit("a").alias("skill_id"), n.cast("int").alias("step_index"), F.lit("I-EXF").alias("category"), F.lit("send").alias("text"))
+    units = spark.createDataFrame([("a", False, None, 0.0)], "skill_id string, kill_chain boolean, kill_chain_text string, unit_score double")
+    out = verdicts.kill_chains(table, ops, flagged, units, spark.createDataFrame([], EXTERNAL["judge_verdicts"]))
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    rows = {r["name"]: r for r in out.collect()}
+    best = [f"ssh to external http {i}" for i in (1999, 1998, 1997)]
+    theft, sent = rows["Credential Theft"], rows["NL-Directed Data Exfiltration Chain"]
+    assert theft["code_evidence"] == sent["code_evidence"] == best and theft["severity"] == "CRITICAL"
+    assert theft["nl_evidence"] == ["Step 0: send", "Step 1: send"] and sent["nl_evidence"] == [f"Step {i} (I-EXF): send" for i in range(3)]
+
+
 def test_finding_verdicts(spark, first):
     f = first["static_findings"].filter("skill_id = 'flow'")
     idx = sorted(r.finding_index for r in f.collect())
