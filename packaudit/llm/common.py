@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions.tables import cut, shared_folder
@@ -64,6 +64,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], place: str, size: str) -> DataFrame:
+    """The rows with their place, from 0, among the rows of the same keys, and how many those are.
+
+    One range shuffle sorts by keys and order, so a key that holds most rows lies in many
+    partitions; equal rows are told apart by where they were read.  Rows are counted inside
+    each partition, and what comes before a partition is one row per key and partition.
+    """
+    read = stored(df, "unplaced").withColumn("_seen", F.monotonically_increasing_id())
+    ordered = read.repartitionByRange(*keys, *order, "_seen").sortWithinPartitions(*keys, *order, "_seen").drop("_seen")
+    rows = stored(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "placed")
+    runs = rows.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_many"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = stored(runs.select(F.col("_part").alias("_of"), *(F.col(k).alias(f"_of{k}") for k in keys), "_first", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"), F.sum("_many").over(every).alias(size)), "runs")
+    same = [rows[k].eqNullSafe(runs[f"_of{k}"]) for k in keys]
+    both = rows.join(runs, [rows["_part"] == runs["_of"], *same])
+    return both.withColumn(place, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_of", *(f"_of{k}" for k in keys), "_first", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of the given links (a, b): root is the smallest node reached.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, mixture, passages, pieces, private, quality, simhash, sketches, toxicity, vectors
+from packaudit.llm import languages, merkle, mixture, passages, pieces, private, quality, simhash, sketches, toxicity, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,6 +83,18 @@ def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return left.select(F.col("path").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    more = [F.col("n_chars") + 1 if f == "n_chars" else f for f in fields]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("lang").alias("skill_id"), merkle.leaf(*fields).alias("leaf"),
+                                                  F.when(tampered, merkle.leaf(*more)).alias("tampered"))
+    found = merkle.witnesses(leaves)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    return found.select(F.col("path").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("siblings")).alias("proof_sha256"),
+                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_quality": op2_quality,
@@ -94,8 +106,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_languages": op9_languages,
     "op10_passages": op10_passages,
+    "op11_merkle": op11_merkle,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text expression, bit by bit: -1 in the list stands for a shift."""
+    return f"""xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({text}, ''),
+        lambda c: list_concat([ascii(c)::bigint], [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))),
+        lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"""
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
 ORACLE: dict[str, str] = {
     "op5_mixture": """
 with recursive sizes as (select source, count(*) as n, pow(count(*)::double, 0.5) as weight from documents group by source),
@@ -111,4 +134,34 @@ drawn as (
   join cdfs c on d.source is not distinct from c.source)
 select doc_id, text, lang, source, n_chars, copy::int as copy, md5('mix-1:' || doc_id || ':' || copy) as mix_key
 from (select *, unnest(generate_series(1, times)) as copy from drawn)""",
+    "op11_merkle": f"""
+with recursive raw as (
+  select doc_id, lang, {_LEAF} as leaf, case when {crc32_sql("doc_id::varchar")} % 7 = 0 then {_LEAF.replace("n_chars", "(n_chars + 1)")} end as tampered from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from raw),
+tree as (
+  select lang, 0 as level, pos, count(*) over (partition by lang) as n, leaf as h from leaves
+  union all
+  select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from tree where n > 1 group by lang, level, pos // 2, n),
+subroots as (select lang, h as subroot, row_number() over (order by encode(lang) nulls first) - 1 as pos from tree where n = 1),
+top as (
+  select 0 as level, pos, count(*) over () as n, subroot as h from subroots
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from top where n > 1 group by level, pos // 2, n),
+steps as (
+  select l.lang, l.pos, v.level, t.pos % 2 as even, coalesce(t.h, '') as h
+  from leaves l join (select distinct lang, level from tree where n > 1) v on v.lang is not distinct from l.lang
+  left join tree t on t.lang is not distinct from l.lang and t.level = v.level and t.pos = xor(l.pos >> v.level, 1)
+  union all
+  select l.lang, l.pos, 1000 + v.level, t.pos % 2, coalesce(t.h, '')
+  from leaves l join subroots s on s.lang is not distinct from l.lang cross join (select distinct level from top where n > 1) v
+  left join top t on t.level = v.level and t.pos = xor(s.pos >> v.level, 1)),
+ways as (select lang, pos, list({{'even': even, 'h': h}} order by level) as way from steps group by lang, pos),
+folded as (
+  select l.doc_id, l.lang, l.pos, l.leaf, w.way, 1 as i, coalesce(l.tampered, l.leaf) as node from leaves l left join ways w on w.lang is not distinct from l.lang and w.pos = l.pos
+  union all
+  select doc_id, lang, pos, leaf, way, i + 1, sha256(case when way[i].even = 0 then way[i].h || node else node || way[i].h end) from folded where i <= len(way))
+select f.doc_id, f.leaf, s.subroot, r.h as root, sha256(coalesce(list_aggregate(list_transform(f.way, lambda x: x.h), 'string_agg', ''), '')) as proof_sha256,
+  f.node as folded_root, f.node = r.h as verified
+from folded f join subroots s on s.lang is not distinct from f.lang cross join (select h from top where n = 1) r
+where f.i > coalesce(len(f.way), 0)""",
 }
