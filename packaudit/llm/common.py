@@ -42,6 +42,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def stretches(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Consecutive rows with the same keys, across batches, as one table each."""
+    key, parts = None, []
+    for batch in batches:
+        start = 0
+        for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+            if k == key:
+                continue
+            if i > start:
+                parts.append(batch.slice(start, i - start))
+            if parts:
+                yield pa.Table.from_batches(parts)
+            key, parts, start = k, [], i
+        if batch.num_rows > start:
+            parts.append(batch.slice(start))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def texts(batch: pa.RecordBatch, name: str = "content") -> list[str]:
     """Texts of a batch; null reads as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packaudit.llm.common import placed, stored
+from packaudit.llm.common import placed, stored, stretches
 
 HEIGHT = 10
 BLOCK = 1 << HEIGHT  # leaves of a block: what one frontier holds at a time
@@ -97,37 +98,28 @@ def _folded(nodes: DataFrame) -> DataFrame:
     """The nodes with their witness inside their block and the root of the block."""
     out = T.StructType([*nodes.schema.fields, T.StructField("_siblings", SIBLINGS), T.StructField("_top", T.StringType())])
 
-    def block(parts: list[pa.RecordBatch]) -> pa.Table:
-        rows = pa.Table.from_batches(parts)
+    def block(rows: pa.Table) -> pa.Table:
         frontier = Frontier()
         for digest in rows.column("_digest").to_pylist():
             frontier.append(digest)
         # A tree of several blocks has all of them equally high; a tree of one ends with its root.
         top = frontier.close(HEIGHT if rows.column("_n")[0].as_py() > BLOCK else 0)
         steps = [s for w in frontier.witnesses for s in w]
-        offsets = [0]
-        for w in frontier.witnesses:
-            offsets.append(offsets[-1] + len(w))
+        offsets = pa.array([0, *accumulate(map(len, frontier.witnesses))], pa.int32())
         pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in steps], pa.int32()), pa.array([d for _, d in steps], pa.string())], ["side", "digest"])
-        return rows.append_column("_siblings", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)).append_column("_top", pa.array([top] * len(rows), pa.string()))
+        return rows.append_column("_siblings", pa.ListArray.from_arrays(offsets, pairs)).append_column("_top", pa.array([top] * len(rows), pa.string()))
 
     def run(batches):
-        key, parts = None, []
-        for batch in batches:
-            keys = list(zip(batch.column("_scope").to_pylist(), batch.column("_block").to_pylist()))
-            start = 0
-            for i, k in enumerate(keys):
-                if k == key:
-                    continue
-                if i > start:
-                    parts.append(batch.slice(start, i - start))
-                if parts:
-                    yield from block(parts).to_batches()
-                key, parts, start = k, [], i
-            if len(keys) > start:
-                parts.append(batch.slice(start))
-        if parts:
-            yield from block(parts).to_batches()
+        done: list[pa.Table] = []
+        many = 0
+        for rows in stretches(batches, "_scope", "_block"):
+            done.append(block(rows))
+            many += len(rows)
+            if many >= 4 * BLOCK:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done, many = [], 0
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
 
     dealt = nodes.repartition("_scope", "_block").sortWithinPartitions("_scope", "_block", "_position")
     return dealt.mapInArrow(run, out)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import languages, merkle, mixture, passages, pieces, private, quality, simhash, sketches, toxicity, vectors
+from packaudit.llm.common import stored
+from packaudit.llm import decisions, languages, merkle, mixture, passages, pieces, prefixes, private, quality, simhash, sketches, toxicity, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -95,6 +96,31 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _rebuilt(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations as packages whose first steps are those of the conversation at the hundred
+    below, and their ids.  At most five steps of a hundred are dealt to its conversations."""
+    own = items.select("skill_id", "depth", "item", "n_chars")
+    sizes = items.groupBy("skill_id").agg(F.max("n_steps").alias("n_steps"))
+    plan = sizes.select("skill_id", (F.crc32(F.col("skill_id").cast("string").cast("binary")) % 6).alias("taken"), (F.col("skill_id") - F.col("skill_id") % 100).alias("base"))
+    plan = plan.join(sizes.select(F.col("skill_id").alias("base"), F.col("n_steps").alias("had")), "base", "left").withColumn("had", F.least("taken", F.coalesce("had", F.lit(0))))
+    first = own.where("depth <= 5").withColumnRenamed("skill_id", "base")
+    front = plan.select("skill_id", "base", "taken").join(first, "base").where("depth <= taken").select("skill_id", "depth", "item", "n_chars")
+    back = own.join(plan, "skill_id").where("depth > taken").select("skill_id", (F.col("depth") - F.col("taken") + F.col("had")).alias("depth"), "item", "n_chars")
+    return front.unionByName(back), sizes.select("skill_id")
+
+
+def op12_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").where("conv_id is not null")
+    steps = turns.select(F.col("conv_id").alias("skill_id"), F.col("turn").alias("step_index"), F.col("role").alias("action"), F.col("text").alias("description"))
+    nodes = prefixes.trie(*_rebuilt(stored(prefixes.in_order(prefixes.items(steps)), "items")))
+    return nodes.withColumnsRenamed({"skill_id": "conv_id", "parent_skill_id": "parent_conv_id", "n_skills": "n_convs", "saved_chars": "saved_tokens"})
+
+
+def op13_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), F.col("quality").alias("label"))
+    return decisions.judge(files(spark, sf), labels).withColumnRenamed("path", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_quality": op2_quality,
@@ -107,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_languages": op9_languages,
     "op10_passages": op10_passages,
     "op11_merkle": op11_merkle,
+    "op12_prefixes": op12_prefixes,
+    "op13_decisions": op13_decisions,
 }
 
 
@@ -164,4 +192,31 @@ select f.doc_id, f.leaf, s.subroot, r.h as root, sha256(coalesce(list_aggregate(
   f.node as folded_root, f.node = r.h as verified
 from folded f join subroots s on s.lang is not distinct from f.lang cross join (select h from top where n = 1) r
 where f.i > coalesce(len(f.way), 0)""",
+    "op12_prefixes": f"""
+with turns as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+    row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as d
+  from conversations where conv_id is not null),
+sizes as (select c, count(*) as n, {crc32_sql("c::varchar")} % 6 as h from turns group by c),
+plan as (select s.c, s.h, s.c - s.c % 100 as b, least(s.h, coalesce(t.n, 0)) as k from sizes s left join sizes t on t.c = s.c - s.c % 100),
+rebuilt as (
+  select p.c, t.d, t.r, t.x from plan p join turns t on t.c = p.b and t.d <= p.h
+  union all
+  select p.c, t.d - p.h + p.k, t.r, t.x from plan p join turns t on t.c = p.c and t.d > p.h),
+paths as (
+  select c, d, length(x) as chars, md5(string_agg(md5(strlen(r) || ':' || r || x), '') over (partition by c order by d)) as p from rebuilt
+  union all
+  select c, 0, 0, '' from plan),
+ends as (select c, max(d) as d from paths group by c),
+nodes as (
+  select a.d, a.p, min(a.c) as c, count(*) as n, max(a.chars) as chars, coalesce(string_agg(a.c::varchar, ',' order by a.c) filter (where e.d = a.d), '') as ended
+  from paths a join ends e using (c) group by a.d, a.p),
+ups as (select n.c, n.d, u.c as parent from nodes n join paths q on q.c = n.c and q.d = n.d - 1 join nodes u on u.d = q.d and u.p = q.p),
+kids as (select parent as c, d - 1 as d, count(*) as kids from ups group by all),
+own as (select n.*, coalesce(k.kids, 0) as kids from nodes n left join kids k using (c, d)),
+sums as (
+  select q.d, q.p, sum(case when o.kids = 0 then 1 else 0 end) as leaves, sum((o.n - 1) * o.chars) as saved
+  from own o join paths q on q.c = o.c and q.d <= o.d group by q.d, q.p)
+select o.c as conv_id, o.d as depth, u.parent as parent_conv_id, o.n as n_convs, o.kids as n_children, s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(o.ended) as ends_sha256
+from own o join sums s using (d, p) left join ups u using (c, d)""",
 }
