@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from packaudit.llm.common import CACHE_WORDS, key_type, slices, texts
 
 SPACE = "▁"  # how a space is written inside pieces
-UNKNOWN, USER, BYTE = 2, 4, 6  # piece types of the model format
+NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # piece types of the model format
 RESULT = ("ids", "starts", "ends")
+SHORT = 8  # characters of words that stay remembered
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -83,7 +84,17 @@ class Pieces:
         # cut there, and a part that occurs often is segmented once in a task.
         crossed = self.user or any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
         self.part = re.compile(r"(?s).+" if crossed else f"(?s){SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, bytes] = {}  # ids as packed numbers
+        self.known: dict[str, bytes] = {}  # part -> ids as packed numbers
+        # Texts of words and single spaces need no normalised copy where the model changes nothing else.
+        self.words: dict[str, bytes] = {}  # word after a space -> ids as packed numbers
+        self.odd: set[str] = set()  # of these, words that do not decode to themselves
+        self.simple = self.prefix and self.escape and not (self.map.units or self.squeeze or self.suffix or crossed)
+        normal = [p.piece if p.type == NORMAL else "" for p in model.pieces]
+        self.anchor = next((i for i, p in enumerate(normal) if p.isascii() and p.isalpha()), None)
+        self.anchor_text = "" if self.anchor is None else normal[self.anchor]
+        self.source_width = np.array([1 if p.type == BYTE else len(p.piece.replace(SPACE, " ").encode()) for p in model.pieces], np.int64)
+        self.special = np.array([p.type != NORMAL for p in model.pieces])
+        self.partial = np.array([p.type == UNKNOWN or (p.type == BYTE and int(p.piece[1:-1], 16) > 127) for p in model.pieces])
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.segmenter = SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -156,19 +167,70 @@ class Pieces:
         lead = [0, 0, 0] if self.prefix else []
         return SPACE * self.prefix + text.replace(" ", SPACE), np.concatenate([lead, align, [len(b)]]).astype(np.int64)
 
-    def encode(self, contents: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids per text, and the source byte at which each piece starts, with the end of the last."""
-        normal = [self.normalise(t) for t in contents]
-        parts = [self.part.findall(n) for n, _ in normal]
+    def read(self, contents: list[str]) -> list[tuple[np.ndarray, np.ndarray, str]]:
+        """Per text its ids, the source byte at which each piece starts with the end of the last,
+        and what the ids decode to.
+
+        A word that follows a space is segmented and decoded once, however often a task meets
+        it; a text of words that all decode to themselves does so as well.
+        """
+        usable = self.simple and self.anchor is not None
+        split = [t.split(" ") if usable and t and SPACE not in t and "  " not in t and t[0] != " " else None for t in contents]
+        packed = self._packed([w for words in split if words is not None for w in words])
+        out, at = [], 0
+        for text, words in zip(contents, split):
+            ids = None
+            if words is not None:
+                ids = np.frombuffer(b"".join(packed[at:at + len(words)]), np.int32)
+                at += len(words)
+            if ids is None or self.partial[ids].any():  # a character of several pieces: its alignment is needed
+                out.append((*self._general(text), None))
+                continue
+            edges = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.source_width[ids], out=edges[1:])
+            edges[1:] -= 1  # the space in front is no source byte
+            out.append((ids, edges, text if not self.odd or self.odd.isdisjoint(words) else None))
+        again = [i for i, (_, _, back) in enumerate(out) if back is None]
+        for i, back in zip(again, self.decoder.decode([out[i][0].tolist() for i in again], num_threads=1)):
+            out[i] = *out[i][:2], back
+        return out
+
+    def _packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word as it stands after a space."""
+        if len(self.words) > CACHE_WORDS:  # frequent words are short: those are kept if they are not too many
+            kept = {w: i for w, i in self.words.items() if len(w) <= SHORT}
+            self.words = kept if len(kept) < CACHE_WORDS // 2 else {}
+            self.odd.intersection_update(self.words)
+        found = list(map(self.words.get, words))
+        new = list({w for w, ids in zip(words, found) if ids is None})
+        if not new:
+            return found
+        ids = self.segmenter.encode([SPACE + w for w in new], num_threads=1)
+        sizes = list(map(len, ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))
+        ends = np.cumsum(sizes)
+        raw, cuts = flat.tobytes(), (4 * ends).tolist()
+        self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+        # Plain pieces decode to their own text; words with any other piece are decoded once.
+        other = np.unique(np.searchsorted(ends, np.flatnonzero(self.special[flat]), "right")).tolist()
+        backs = self.decoder.decode([[self.anchor, *ids[i]] for i in other], num_threads=1)
+        self.odd.update(new[i] for i, back in zip(other, backs) if back != f"{self.anchor_text} {new[i]}")
+        known = self.words
+        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _general(self, content: str) -> tuple[np.ndarray, np.ndarray]:
+        text, align = self.normalise(content)
+        own = self.part.findall(text)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
+        new = list(set(own).difference(self.known))
         self.known.update(zip(new, (array("i", i).tobytes() for i in self.segmenter.encode(new, num_threads=1))))
-        out = []
-        for (text, align), own in zip(normal, parts):
-            ids = np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32)
-            out.append((ids, align[self._edges(text, ids)]))
-        return out
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32)
+        return ids, align[self._edges(text, ids)]
+
+    def encode(self, contents: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids per text, and the source byte at which each piece starts, with the end of the last."""
+        return [(ids, edges) for ids, edges, _ in self.read(contents)]
 
     def _edges(self, text: str, ids: np.ndarray) -> np.ndarray:
         if (ids == self.unknown).any():  # one unknown piece stands for a run of any characters
@@ -204,6 +266,24 @@ def encode(files: DataFrame, model: bytes) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, f"path {key_type(files)}, ids array<int>, starts array<int>, ends array<int>")
 
 
+def round_trip(files: DataFrame, model: bytes) -> DataFrame:
+    """(path, ids, edges, content) per file: ``encode`` and ``decode`` of its whole content in one
+    task.  Piece k stands for the source bytes from edges[k] to edges[k + 1]; ``content`` is what
+    the ids decode to.  An empty content has the one edge 0.  Rows as in ``encode``.
+    """
+
+    def run(batches):
+        m = Pieces(model)
+        for batch in slices(batches):
+            found = m.read(texts(batch))
+            lists = []
+            for values in ([ids for ids, _, _ in found], [edges.astype(np.int32) for _, edges, _ in found]):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), pa.array(np.concatenate(values))))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *lists, pa.array([back for _, _, back in found], pa.string())], ["path", "ids", "edges", "content"])
+
+    return files.select("path", "content").mapInArrow(run, f"path {key_type(files)}, ids array<int>, edges array<int>, content string")
+
+
 def decode(tokens: DataFrame, model: bytes) -> DataFrame:
     """(path, ids, content) per row of (path, ids): the text behind the ids.
 

@@ -26,11 +26,10 @@ def tokenizer(spark: SparkSession, name: str = "piece_bpe_32k.model") -> bytes:
 
 
 def op1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    model = tokenizer(spark)
-    back = pieces.decode(pieces.encode(files(spark, sf), model), model)
+    back = pieces.round_trip(files(spark, sf), tokenizer(spark))
     return back.select(F.col("path").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2("content", 256).alias("decoded_sha256"))
+                       F.sha2("content", 256).alias("decoded_sha256"), F.xxhash64("edges").alias("spans_xxh64"))
 
 
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:

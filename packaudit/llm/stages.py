@@ -51,8 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids of each document and what they decode to."""
-    model = tokenizer(spark)
-    tokens = pieces.decode(pieces.encode(_files(docs), model), model)
+    tokens = pieces.round_trip(_files(docs), tokenizer(spark))
     return tokens.select(F.col("path").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("content").alias("text"))
 
 

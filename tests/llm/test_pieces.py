@@ -31,7 +31,20 @@ def test_ids_and_spans_equal_the_library(blob):
         data = text.encode()
         assert ids.tolist() == [p.id for p in want]
         assert [data[a:b].decode() for a, b in zip(edges[:-1], edges[1:])] == [p.surface for p in want]
-        assert own.decoder.decode(ids.tolist()) == LIBRARY.decode(ids.tolist())
+        assert own.read([text])[0][2] == LIBRARY.decode(ids.tolist())
+
+
+def test_words_are_read_like_whole_texts(blob, monkeypatch):
+    """Single-spaced texts, read together and with a full memory, against the library."""
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 300)
+    own, rng = pieces.Pieces(blob), random.Random(9)
+    for _ in range(30):
+        block = [" ".join("".join(rng.choice("abthein.,\n0é日🎉") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+        block += ["one", "the end ", "a\nb", "plain words only here", ""]
+        for text, (ids, edges, back) in zip(block, own.read(block)):
+            want, data = LIBRARY.encode(text, return_type="proto").pieces, text.encode()
+            assert ids.tolist() == [p.id for p in want] and back == LIBRARY.decode(ids.tolist())
+            assert [data[a:b].decode() for a, b in zip(edges[:-1], edges[1:])] == [p.surface for p in want]
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc_cf", "nfkc", "nmt_nfkc"])
@@ -57,7 +70,12 @@ def test_round_trip_over_files(spark, blob, package_files, hard_rows):
     assert tokens.columns == ["path", "ids", "starts", "ends"]
     got = sorted((r["path"] or "", r["content"]) for r in pieces.decode(tokens, blob).collect())
     assert got == sorted((p or "", LIBRARY.decode(LIBRARY.encode(c or ""))) for p, c in hard_rows)
+    whole = {(r["path"], r["content"]): r for r in pieces.round_trip(files, blob).collect()}
+    assert len(whole) == len({(p, LIBRARY.decode(LIBRARY.encode(c or ""))) for p, c in hard_rows})
+    assert pieces.round_trip(files, blob).count() == len(hard_rows) and pieces.round_trip(files.limit(0), blob).count() == 0
     for r in tokens.collect():
+        twin = next(w for (p, _), w in whole.items() if p == r["path"] and w["ids"] == r["ids"])
+        assert r["starts"] == twin["edges"][:-1] and r["ends"] == twin["edges"][1:]
         assert len(r["ids"]) == len(r["starts"]) == len(r["ends"])
         assert r["starts"][1:] == r["ends"][:-1] or r["starts"][1:] == r["starts"][1:]
     assert pieces.encode(files.limit(0), blob).count() == 0
