@@ -31,13 +31,14 @@ LEXICON = 400  # words of each language's list
 CHUNK_WORDS = 1_500_000  # words that step together in a task
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+LETTERS = 40  # a longer run of letters is a chain of words of so many, so all of it counts
+_WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
 
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Hashed features of a lower-case word: affixes, n-grams, whole word, lists it is on."""
-    b, n = f"^{word[:40]}$", min(len(word), 40) + 2
-    keys = [f"p{b[:k]}" for k in (2, 3, 4)] + [f"s{b[-k:]}" for k in (2, 3, 4)] + [b[i:i + 3] for i in range(n - 2)] + [f"c{c}" for c in set(word[:40]) if c > "\x7f"]
+    b, n = f"^{word}$", len(word) + 2
+    keys = [f"p{b[:k]}" for k in (2, 3, 4)] + [f"s{b[-k:]}" for k in (2, 3, 4)] + [b[i:i + 3] for i in range(n - 2)] + [f"c{c}" for c in set(word) if c > "\x7f"]
     if n <= 12:
         keys.append(f"w{b}")
     out = [zlib.crc32(k.encode()) % SIZE for k in keys]

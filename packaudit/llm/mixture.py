@@ -73,7 +73,8 @@ def mix(files: DataFrame, targets: DataFrame, source: str = "skill_id", scale: f
     if (rates.agg(F.sum(F.size("_mix_cdf") + 1)).first()[0] or 0) <= BROADCAST:
         rates = F.broadcast(rates)
     drawn = files.join(rates, files[source].eqNullSafe(F.col("_mix_source")))
-    times = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
+    # How many values of the distribution lie below the uniform one: its place among them.
+    times = F.array_position(F.array_sort(F.array_append("_mix_cdf", F.col("_mix_u"))), F.col("_mix_u")).cast("int") - 1
     drawn = drawn.withColumn("_mix_u", uniform(F.lit(seed), "path")).withColumn("_mix_n", times).where("_mix_n > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("path").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")))

@@ -67,7 +67,7 @@ def _hashes(data: list[bytes], words) -> np.ndarray:
 
 
 def _anchors(files: DataFrame, window: int) -> DataFrame:
-    """(path, digest, n_words, anchors, places): per file, the first level's windows to compare."""
+    """(path, text_key, digest, n_words, anchors, places): per row, the first level's windows to compare."""
     half = (window + 1) // 2
 
     def run(batches):
@@ -85,16 +85,17 @@ def _anchors(files: DataFrame, window: int) -> DataFrame:
                 places.append(at.astype(np.int32))
             offsets = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                batch.column("path"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                batch.column("path"), batch.column("text_key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(anchors))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))],
-                ["path", "digest", "n_words", "anchors", "places"])
+                ["path", "text_key", "digest", "n_words", "anchors", "places"])
 
-    return files.select("path", "content").mapInArrow(run, f"path {key_type(files)}, digest binary, n_words bigint, anchors array<bigint>, places array<int>")
+    return files.mapInArrow(run, f"path {key_type(files)}, text_key bigint, digest binary, n_words bigint, anchors array<bigint>, places array<int>")
 
 
 def _covered(n: int, starts, window: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     starts = np.asarray(starts, np.int64)
+    starts = starts[starts < n]
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + window, n), -1)
     return np.cumsum(edge[:-1]) > 0
@@ -106,23 +107,27 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are runs without white space, unchanged.  A word goes if it is covered by a window
     of ``window`` consecutive words whose word sequence also starts in a file with a smaller
     path; windows are judged on the input, not on what is left.  Null and empty contents have
-    no words.  Rows with the same path count as one place: none is smaller than the other.  A
-    null path is smaller than none and has none smaller: its row stays whole.  Other columns
-    are not read.
+    no words.  Rows with the same path count as one place: none is smaller than the other,
+    whether their texts are the same or not, and each row is judged by its own text.  A null
+    path is smaller than none and has none smaller: its row stays whole.  Other columns are
+    not read.
     """
     kind = key_type(files)
     half = (window + 1) // 2
+    # A row is known by its path and a hash of its text, so rows that share a path keep apart.
+    row = ["path", "text_key"]
+    files = files.select("path", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("text_key"))
     first = stored(_anchors(files, window), "anchors")
 
     # Exact copies: of files with the same words, all but the smallest path lose everything a window covers.
     least = cut(first.where("path is not null").groupBy("digest").agg(F.min("path").alias("least"), F.max("path").alias("most")).where("least < most"))
-    copies = first.where(F.col("n_words") >= window).select("path", "digest").join(least, "digest").where("path > least").select("path", F.lit(True).alias("copy")).distinct()
+    copies = first.where(F.col("n_words") >= window).select(*row, "digest").join(least, "digest").where("path > least").select(*row, F.lit(True).alias("copy")).distinct()
 
     # Level one: anchors that also occur in another file.
-    anchors = first.where("path is not null").select("path", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("path", F.col("a.anchors").alias("h"), F.col("a.places").alias("at"))
+    anchors = first.where("path is not null").select(*row, F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(*row, F.col("a.anchors").alias("h"), F.col("a.places").alias("at"))
     repeated = cut(anchors.groupBy("h").agg(F.min("path").alias("least"), F.max("path").alias("most")).where("least < most").select("h"))
-    survive = anchors.join(repeated, "h").groupBy("path").agg(F.collect_set("at").alias("at"))  # at most a file's own positions
-    plan = cut(survive.join(copies, "path", "full").select("path", "at", F.coalesce("copy", F.lit(False)).alias("copy")))
+    survive = anchors.join(repeated, "h").groupBy(*row).agg(F.collect_set("at").alias("at"))  # at most a text's own positions
+    plan = cut(survive.join(copies, row, "full").select(*row, "at", F.coalesce("copy", F.lit(False)).alias("copy")))
 
     # Level two: only around those anchors, windows of the full length.
     def extend(batches):
@@ -137,6 +142,7 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
                 if not copy and at:
                     wide = np.zeros(max(0, len(data) - window + 1) + 1, np.int64)
                     at = np.array(at, np.int64)
+                    at = at[at < len(data)]
                     np.add.at(wide, np.maximum(at + half - window, 0), 1)
                     np.add.at(wide, np.minimum(at + 1, len(wide) - 1), -1)
                     starts = np.flatnonzero(np.cumsum(wide[:-1]) > 0)
@@ -148,14 +154,13 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
                 for c, v in (("h", h), ("check", check_h), ("at", None if starts is None else starts.astype(np.int32))):
                     rows[c].append(v)
             types = {"n_words": pa.int64(), "n_removed": pa.int64(), "content": pa.string(), "h": pa.list_(pa.int64()), "check": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(v, types[c]) for c, v in rows.items())], ["path", *rows])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("text_key"), *(pa.array(v, types[c]) for c, v in rows.items())], [*row, *rows])
 
-    texts = files.select("path", "content").join(plan, "path", "left")
-    second = stored(texts.mapInArrow(extend, f"path {kind}, n_words bigint, n_removed bigint, content string, h array<bigint>, check array<int>, at array<int>"), "windows")
+    second = stored(files.join(plan, row, "left").mapInArrow(extend, f"path {kind}, text_key bigint, n_words bigint, n_removed bigint, content string, h array<bigint>, check array<int>, at array<int>"), "windows")
     open_ = second.where("h is not null and size(h) > 0")
-    windows = open_.select("path", F.explode(F.arrays_zip("h", "check", "at")).alias("w")).select("path", F.col("w.h").alias("h"), F.col("w.check").alias("check"), F.col("w.at").alias("at"))
+    windows = open_.select(*row, F.explode(F.arrays_zip("h", "check", "at")).alias("w")).select(*row, F.col("w.h").alias("h"), F.col("w.check").alias("check"), F.col("w.at").alias("at"))
     owners = cut(windows.groupBy("h", "check").agg(F.min("path").alias("least"), F.max("path").alias("most")).where("least < most").select("h", "check", "least"))
-    lost = windows.join(owners, ["h", "check"]).where("path > least").groupBy("path").agg(F.collect_set("at").alias("lost"))
+    lost = windows.join(owners, ["h", "check"]).where("path > least").groupBy(*row).agg(F.collect_set("at").alias("lost"))
 
     def remove(batches):
         for batch in slices(batches):
@@ -169,5 +174,5 @@ def dedupe(files: DataFrame, window: int = WINDOW) -> DataFrame:
 
     schema = f"path {kind}, n_words bigint, n_removed bigint, content string"
     done = second.where("h is null or size(h) = 0").select("path", "n_words", "n_removed", "content")
-    mended = open_.select("path", "n_words", "content").join(lost, "path", "left").mapInArrow(remove, schema)
+    mended = open_.select(*row, "n_words", "content").join(lost, row, "left").mapInArrow(remove, schema)
     return done.unionByName(mended)

@@ -11,22 +11,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from packaudit.llm.common import key_type, slices, texts, word_hashes
+from packaudit.llm.common import key_type, slices, stored, texts, word_hashes
 
 SHINGLE = 5  # words
-KEPT = 8  # one hash in so many is kept
+KEPT = 2  # one hash in so many is kept: few enough for long texts, enough for texts of some ten words
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 & (1 << 64) - 1 | 1) for i in range(SHINGLE)]
-_LIMIT = np.uint64((1 << 64) // KEPT)
+BITS = 40  # of a hash
+_LIMIT = np.uint64((1 << BITS) // KEPT)
 
 
 def sketch(text: str, words) -> np.ndarray:
     """Sorted distinct hashes of a text's fingerprint.  ``words`` remembers hashes of words.
 
     Words are runs without white space, ASCII letters in lower case; a text of fewer than
-    five words is one shingle.  Where no hash falls below the limit the smallest one is kept,
-    so only a text without words has an empty fingerprint.
+    five words is one shingle.  Where no hash falls below the limit the smallest one stands in,
+    so only a text without words has an empty fingerprint; as a stand-in lies over the limit,
+    ``merge`` drops it as soon as a part has a hash below, just as a sketch of the whole would.
     """
     found = text.encode().lower().split()
     if not found:
@@ -39,6 +43,7 @@ def sketch(text: str, words) -> np.ndarray:
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
+    x >>= np.uint64(64 - BITS)
     kept = x[x < _LIMIT]
     return np.unique(kept) if len(kept) else x[[x.argmin()]]
 
@@ -58,11 +63,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(a: np.ndarray) -> str:
-    return a.astype(">u8").tobytes().hex()
+    octets = a.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8:]
+    return octets.tobytes().hex()
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(path, fingerprint) per file, from its whole content: 16 hex digits per kept hash, ascending.
+    """(path, fingerprint) per file, from its whole content: 10 hex digits per kept hash, ascending.
 
     Null and empty contents have the empty fingerprint.  One row per input row; other columns
     are not read.
@@ -87,8 +93,9 @@ def with_neighbours(files: DataFrame) -> DataFrame:
     contents count as empty; a null path comes first; rows with the same path follow each
     other by content.  A table of one file compares it with itself.
 
-    One range shuffle brings neighbours together.  A partition pairs its own rows; of its
-    first and last row, one pair per partition, the pairs across borders are made.
+    One range shuffle brings neighbours together and a partition pairs its own rows.  Of each
+    partition the last row meets the first one of the next partition that has rows, in a join
+    on the number of the partition.
     """
     spark = files.sparkSession
     kind = key_type(files)
@@ -143,18 +150,22 @@ def with_neighbours(files: DataFrame) -> DataFrame:
                 first = first or batch.slice(0, 1)
                 last = batch.slice(batch.num_rows - 1, 1)
         if first is not None:
-            yield pa.RecordBatch.from_arrays([*first.columns, *last.columns], ["path", "content", "last_path", "last_content"])
+            part = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *first.columns, *last.columns], ["part", "path", "content", "last_path", "last_content"])
 
     def across(batches):
         words = word_hashes()
-        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
-        kinds = key_arrow
-        found = (r for i, (_, _, path, text) in enumerate(rows) for r in compare([(path, text or ""), (None, rows[(i + 1) % len(rows)][1] or "")], words))
-        yield from batches_of(found, kinds)
+        found = (r for batch in slices(batches) for path, text, following in zip(*(batch.column(i).to_pylist() for i in range(3)))
+                 for r in compare([(path, text or ""), (None, following or "")], words))
+        yield from batches_of(found, key_arrow)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_arrow = to_arrow_type(files.schema["path"].dataType)
-    edges = ordered.mapInArrow(borders, f"path {kind}, content string, last_path {kind}, last_content string")
-    joined = edges.repartition(1).sortWithinPartitions("path", "content").mapInArrow(across, schema)  # one row per partition
+    edges = stored(ordered.mapInArrow(borders, f"part int, path {kind}, content string, last_path {kind}, last_content string"), "borders")
+    # Partition numbers alone are put in order: one integer per partition.
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    pairs = edges.join(edges.select("part").withColumn("following", following), "part").select("following", "last_path", "last_content")
+    heads = edges.select(F.col("part").alias("following"), F.col("content").alias("head"))
+    joined = pairs.join(heads, "following").select("last_path", "last_content", "head").mapInArrow(across, schema)
     return ordered.mapInArrow(inside, schema).unionByName(joined)

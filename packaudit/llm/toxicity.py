@@ -74,7 +74,7 @@ def mine(files: DataFrame, labels: DataFrame) -> list[str]:
         for batch in slices(batches):
             for text, y in zip(texts(batch), batch.column("label").to_pylist()):
                 for w in set(_WORD.findall(text.lower())):
-                    c = seen.setdefault(w[:64], [0, 0])
+                    c = seen.setdefault(w, [0, 0])
                     c[0] += 1
                     c[1] += y
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))], ["word", "n", "toxic"])

@@ -140,3 +140,10 @@ def test_forward_backward_equals_enumeration():
             for t, y in enumerate(path):
                 want[t, y] += p
         assert np.allclose([got[at[t] + i] for t in range(n)], want / want.sum(1, keepdims=True))
+
+
+def test_long_runs_of_letters_count_whole():
+    """A run of letters longer than a word of the chain is read to its end."""
+    run = "a" * 40 + "schaft"
+    assert languages._WORD.findall(run + " x" + "ность" * 20) == ["a" * 40, "schaft", "x" + ("ность" * 20)[:39], ("ность" * 20)[39:79], ("ность" * 20)[79:]]
+    assert languages.features("schaft", {}) != languages.features("ность", {})

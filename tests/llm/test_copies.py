@@ -129,6 +129,16 @@ def test_passages(package_files, prose, hard_rows, window):
     assert passages.dedupe(files.limit(0), window).count() == 0
 
 
+def test_passages_of_rows_that_share_a_path(package_files, prose):
+    """Each row is judged by its own text, whatever other rows have its path."""
+    long = prose(31, 2000)
+    for rows in ([(1, long), (2, "head " + long), (2, prose(32, 10))], [(1, long), (2, long), (2, prose(33, 120))],
+                 [(1, long), (2, prose(34, 60) + " " + long[:900]), (2, long[300:2000]), (2, prose(35, 70)), (None, long), (2, None), (3, prose(35, 70))]):
+        rows = [(p and f"p/{p}", t) for p, t in rows]
+        got = sorted((r["path"] or "", r["n_words"], r["n_removed"], r["content"]) for r in passages.dedupe(package_files(rows), 50).collect())
+        assert got == brute_passages(rows, 50)
+
+
 def test_smallest_windows():
     rng = np.random.default_rng(1)
     for n, width in [(0, 3), (2, 3), (3, 3), (50, 7), (40, 1), (33, 26)]:
@@ -158,6 +168,49 @@ def test_sketches(package_files, prose, hard_rows):
     assert sketches.with_neighbours(files.limit(0)).count() == 0
 
 
+def plain_sketch(text, words):
+    """Distinct shingle hashes below the limit, one by one in Python integers."""
+    found, mask = text.encode().lower().split(), (1 << 64) - 1
+    if not found:
+        return set()
+    out = set()
+    width = min(len(found), sketches.SHINGLE)
+    for i in range(len(found) - width + 1):
+        x = width
+        for k in range(width):
+            x = (x + words[found[i + k]] * int(sketches._MIX[k])) & mask
+            x ^= x >> 29
+            x = x * 0xBF58476D1CE4E5B9 & mask
+        out.add((x ^ x >> 32) >> 64 - sketches.BITS)
+    limit = (1 << sketches.BITS) // sketches.KEPT
+    return {x for x in out if x < limit} or {min(out)}
+
+
+def test_sketches_against_plain_code(package_files, prose, hard_rows):
+    from packaudit.llm.common import word_hashes
+
+    words = word_hashes()
+    rows = [*hard_rows, *((f"w/{n}", prose(n, n)) for n in (1, 4, 5, 6, 30, 700)), ("w/case", "One two THREE four five Six"), ("w/same", "la " * 60)]
+    got = {(r["path"], r["fingerprint"]) for r in sketches.fingerprints(package_files(rows)).collect()}
+    assert got == {(p, "".join(f"{x:010x}" for x in sorted(plain_sketch(c or "", words)))) for p, c in rows}
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 40, 100, 400])
+def test_sketch_error_by_length(prose, n):
+    """Estimated against true containment of edited texts, from eight words on."""
+    from packaudit.llm.common import word_hashes
+
+    words, off = word_hashes(), []
+    for i in range(200):
+        text, other = prose(i, n), prose(9000 + i, n)
+        cut = len(text) // 4
+        edited = text[:len(text) - cut] + other[:cut]
+        a, b = ({tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (text, edited))
+        off.append(sketches.likeness(sketches.sketch(text, words), sketches.sketch(edited, words)) - len(a & b) / min(len(a), len(b)))
+    allowed = {8: 0.42, 12: 0.3, 20: 0.2, 40: 0.13, 100: 0.08, 400: 0.04}[n]
+    assert abs(float(np.mean(off))) < 0.07 and float(np.sqrt(np.mean(np.square(off)))) < allowed, (np.mean(off), np.sqrt(np.mean(np.square(off))))
+
+
 def test_sketches_estimate_containment(prose):
     from packaudit.llm.common import word_hashes
 
