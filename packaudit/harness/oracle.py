@@ -455,6 +455,10 @@ c as (select skill_id, path, tl, k from x where t = 'purchase' and k % 25 = 0)
 select skill_id, 'comment_injection' as analyzer, 'HIGH' as severity, path, tl as line, 'Potential hidden instruction in code comment: t = os.getenv("SHOP_VAR_' || k || '")  # priority order' as description from c
 union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''name''' from pk where conv_id % 5 = 0
 union all select skill_id, 'manifest_audit', 'LOW', 'SKILL.md', 0, 'Frontmatter missing required field: ''description''' from pk where conv_id % 4 = 0"""
+ORACLE["isolated_checks"] = ORACLE["registered_checks"] + """
+union all select skill_id, 'counts', 'LOW', 'SKILL.md', 0, 'Has a manifest' from pk
+union all select skill_id, 'sizes', 'LOW', '', 0, 'Plugin ''sizes'' error: no size for u7' from (select skill_id from pk union select skill_id from ev)
+union all select skill_id, 'missing', 'LOW', '', 0, 'Plugin ''missing'' error:' from (select skill_id from pk union select skill_id from ev)"""
 ORACLE["embedded_code_ops"] = _with(OPS, _TEXTLINE) + """select skill_id, path, tl as line, 'eval() in non-Python file' as label from x where t = 'signup'
 union all select skill_id, path, tl, 'subprocess call in non-Python file' from x where t = 'error' and cmd = ''
 union all select skill_id, path, tl, 'os.system() in non-Python file' from x where cmd <> ''

@@ -430,6 +430,26 @@ def registered_checks(spark, sf):
     return f.select("skill_id", "analyzer", "severity", "path", F.col("line").cast("long").alias("line"), "description")
 
 
+@query
+def isolated_checks(spark, sf):
+    """The built-in checks beside two that fail: one while it is planned, one in a task, on a
+    single row of thousands."""
+    from packaudit.operators.checks import registered, run_checks
+
+    files = v.packages(spark, sf)
+    m = src.manifest_file(files)
+
+    def sizes(tables):
+        bad = (F.col("path") == "SKILL.md") & (F.col("skill_id") == "u7")
+        text = F.when(bad, F.raise_error(F.lit("no size for u7"))).otherwise(F.concat(F.lit("Size "), F.col("size").cast("string")))
+        return findings(tables["files"], "sizes", "LOW", "Unknown", text, path=F.col("path"))
+
+    checks = {"sizes": sizes, **registered(), "missing": lambda tables: tables["files"].select("no_such_column"), "counts": lambda tables: findings(tables["files"].filter("path = 'SKILL.md'"), "counts", "LOW", "Unknown", "Has a manifest", path=F.col("path"))}
+    f = run_checks({"files": files, "manifest": man.manifest_fields(m), "permissions": man.permissions(m)}, checks)
+    text = F.when(F.col("analyzer") == "missing", F.substring("description", 1, 23)).otherwise(F.col("description"))  # the planner's own words follow
+    return f.select("skill_id", "analyzer", "severity", "path", F.col("line").cast("long").alias("line"), text.alias("description"))
+
+
 @query
 def embedded_code_ops(spark, sf):
     """Python-like calls found inside the derived scripts when they are read as plain text."""

@@ -174,6 +174,40 @@ def test_checks_registry(spark, make_files):
     assert got == {("embedded_resource", "HIGH", 2), ("embedded_resource", "MEDIUM", 3), ("manifest_audit", "LOW", 0), ("comment_injection", "HIGH", 4), ("broken", "LOW", 0), ("own", "HIGH", 0)}
 
 
+def test_a_check_that_fails_in_a_task_leaves_the_others(spark, make_files, tmp_path):
+    """A third of all files lies in one package; one row of it breaks one check."""
+    from packaudit.functions.tables import findings
+
+    f = make_files({"big": {f"f{i}.py": f"x = {i}" for i in range(300)}, **{f"p{i}": {"a.py": "y"} for i in range(600)}}).repartition(8)
+    ran = []
+
+    def broken(tables):
+        @F.udf("string")
+        def judge(path):
+            if path == "f250.py":
+                raise ValueError("cannot judge f250")
+            return "fine"
+
+        return findings(tables["files"], "judge", "HIGH", "Unknown", judge("path"), path=F.col("path"))
+
+    def own(tables):
+        ran.append("own")
+        return findings(tables["files"], "own", "HIGH", "Unknown", "seen", path=F.col("path"))
+
+    def count(name, found):
+        return found.filter(F.col("analyzer") == name).count()
+
+    folder = f"file://{tmp_path}/checks"
+    got = checks.run_checks({"files": f}, {"judge": broken, "own/é": own}, folder)
+    assert count("own", got) == 900 and count("judge", got) == 601
+    texts = {(r.severity, r.description) for r in got.filter("analyzer = 'judge'").select("severity", "description").distinct().collect()}
+    assert texts == {("LOW", "Plugin 'judge' error: ValueError: cannot judge f250")}
+    again = checks.run_checks({"files": f}, {"judge": own, "own/é": own}, folder)  # what was committed is not run again
+    assert ran == ["own", "own"] and count("own", again) == 1800
+    none = checks.run_checks({"files": f.limit(0)}, {"judge": broken})
+    assert none.count() == 0 and set(none.columns) == set(got.columns)
+
+
 def test_graph_export_and_reports(spark, first, tmp_path):
     from packaudit.plans import verdicts as ver
     from packaudit.sources.external import graph_export, write_reports
