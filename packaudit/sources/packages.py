@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, first_rows, written
+from packaudit.functions.tables import findings, first_rows, union_all, written
 
 FILES = "skill_id string, path string, basename string, ext string, size bigint, is_binary boolean, content string"
 
 
-SOURCE_LIMIT = 2**31 - 2  # bytes of a file that Spark's file source can hold as one value
+SOURCE_LIMIT = 2**31 - 2  # bytes of a file that one value can hold
+HEAD = 4096  # bytes that tell whether a file is binary
+FOLDERS = 512  # folders that a task lists in a round, at most
+DEALT = 32  # folders that a task starts a round with
+READ_FILES, READ_BYTES = 2048, 256 << 20  # files and bytes that a reading task is meant to get
+BATCH_BYTES = 16 << 20  # contents that a task holds at a time, unless one file is larger
 
 
 def read_packages(spark: SparkSession, root: str, max_bytes: int | None = None,
@@ -23,53 +29,112 @@ def read_packages(spark: SparkSession, root: str, max_bytes: int | None = None,
     """Every file under ``root/<skill_id>/``, and a row with an empty path per package folder.
 
     Text files give their content.  Without content stay binary files, other kinds of files,
-    files beyond what the source can hold (2 GiB) and, if ``max_bytes`` is given, longer
-    ones, which are still tested for being binary.  So no package and no file is missing.
-    Spark's file source leaves out names that start with a dot or underscore, such as
-    ``__init__.py``; these come from ``unlisted_files``.
+    files beyond what one value can hold (2 GiB) and, if ``max_bytes`` is given, longer ones;
+    of these only the head is read, to test for being binary.  So no package and no file is
+    missing, names that start with a dot or underscore included.
+
+    Folders are listed and files are read in tasks (see ``list_tree``); the driver resolves
+    the root and nothing else.  Files are dealt to the reading tasks by a hash of their path,
+    so a package that holds most of them is read by many.
     """
     limit = SOURCE_LIMIT if max_bytes is None else min(max_bytes, SOURCE_LIMIT)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    uri, prefix, names = _top_level(spark, root)
-    named = (
-        raw.withColumn("path", F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:(//[^/]*)?', ''), {prefix + 2})"))
-        .withColumn("skill_id", F.substring_index("path", "/", 1))
-        .withColumn("path", F.expr("substring(path, length(skill_id) + 2)"))
-    )
-    skip = "(^|/)(" + "|".join(d.replace(".", r"\.") for d in fixed.SKIP_DIRS) + ")/"
-    named = named.filter((F.col("path") != "") & ~F.col("path").rlike(skip)).select("skill_id", "path", "length", "content")
-    out = _shape(named.filter(F.col("length") <= limit), extensions, True)
-    out = out.unionByName(_shape(unlisted_files(spark, uri, names, limit), extensions, F.col("length") <= limit))
-    if limit < SOURCE_LIMIT:
-        large = named.filter((F.col("length") > limit) & (F.col("length") <= SOURCE_LIMIT))
-        out = out.unionByName(_shape(large, extensions, False))
-    huge = named.filter(F.col("length") > SOURCE_LIMIT).withColumn("content", F.lit(None).cast("binary"))
-    return out.unionByName(_shape(huge, extensions, False))
-
-
-def _top_level(spark: SparkSession, root: str) -> tuple[str, int, list[str]]:
-    """Full address of the root, length of its path, and the names of its sub-folders."""
+    uri = _resolved(spark, root)
+    entries = list_tree(spark, uri, fixed.SKIP_DIRS)
+    parts = F.split("path", "/", 2)
+    inside = entries.filter(F.col("is_folder") != F.col("path").contains("/")).select(  # files below a package, and the packages
+        parts[0].alias("skill_id"), F.when(F.col("is_folder"), "").otherwise(parts[1]).alias("path"), F.when(F.col("is_folder"), F.lit(0)).otherwise(F.col("length")).alias("length"))
+    size = inside.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.least("length", F.lit(limit))), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, math.ceil(size["n"] / READ_FILES), math.ceil(size["bytes"] / READ_BYTES), min(size["n"], spark.sparkContext.defaultParallelism))
+
+    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _arrow_files(uri)
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["skill_id", "path", "length", "content"])
+
+        for batch in batches:
+            for skill, path, length in zip(*(batch.column(c).to_pylist() for c in ("skill_id", "path", "length"))):
+                data = b""
+                if path:
+                    with files.open_input_stream(f"{base}/{skill}/{path}") as f:
+                        data = f.read() if length <= limit else f.read(HEAD)
+                rows.append((skill, path, length, data))
+                held += len(data)
+                if held >= BATCH_BYTES or len(rows) >= 1000:
+                    yield flush()
+                    rows, held = [], 0
+        if rows:
+            yield flush()
+
+    read = inside.repartition(tasks, "skill_id", "path").mapInArrow(reading, "skill_id string, path string, length bigint, content binary")
+    return _shape(read, extensions, F.col("length") <= limit)
+
+
+def _resolved(spark: SparkSession, root: str) -> str:
+    """Full address of the root."""
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    full = fs.makeQualified(top)
-    names = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()]
-    return full.toString().rstrip("/"), len(full.toUri().getPath().rstrip("/")), names
+    return fs.makeQualified(top).toString().rstrip("/")
+
 
+def list_tree(spark: SparkSession, uri: str, skip: list[str]) -> DataFrame:
+    """(path, is_folder, length) for all below a root, by a frontier of folders.
 
-def _shape(df: DataFrame, extensions: list[str], keep_text) -> DataFrame:
+    Folders are rows.  A task walks down from those it was dealt until it has listed FOLDERS
+    of them and gives back what it has not come to, which the next round deals anew by a hash
+    of the path.  So a round does a bounded amount of work per task, a package with very many
+    folders is listed by many tasks, and small trees take one or two rounds.  Each round is
+    written to the shared folder.  Folders with a name in ``skip`` are left out with all below.
+    """
+    left_out = set(skip)
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        files, base = _arrow_files(uri)
+        open_ = [path for batch in batches for path in batch.column("path").to_pylist()]
+        done, rows = 0, []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.bool_()))], ["path", "is_folder", "length", "open"])
+
+        while open_ and done < FOLDERS:
+            folder = open_.pop()
+            done += 1
+            for info in files.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base)):
+                path = info.path[len(base) + 1:]
+                is_folder = info.type == pafs.FileType.Directory
+                if is_folder and info.base_name in left_out:
+                    continue
+                rows.append((path, is_folder, None if is_folder else info.size, False))
+                if is_folder:
+                    open_.append(path)
+            if len(rows) >= 4096:
+                yield flush()
+                rows.clear()
+        rows.extend((path, True, None, True) for path in open_)
+        if rows:
+            yield flush()
+
+    found, frontier = [], spark.createDataFrame([("",)], "path string")
+    while n := frontier.count():
+        dealt = frontier.repartition(math.ceil(n / DEALT), "path")
+        listed = written(dealt.mapInArrow(listing, "path string, is_folder boolean, length bigint, open boolean"), "listing")
+        found.append(listed.filter("not open").drop("open"))
+        frontier = listed.filter("open").select("path")
+    return union_all(found)
+
+
+def _shape(df: DataFrame, extensions: list[str], keep_text: Column) -> DataFrame:
     signs = [f"startswith(content, X'{h}')" for h in fixed.BINARY_MAGIC_HEX]
     is_binary = F.expr(" or ".join(signs + ["contains(substring(content, 1, 4096), X'00')"]))
     name, ext = c.basename(F.col("path")), c.extension(F.col("path"))
-    keep = keep_text if isinstance(keep_text, Column) else F.lit(keep_text)
-    text = F.when(keep & ~is_binary & (F.col("path") != "") & (ext.isin(extensions) | name.startswith(".")), F.make_valid_utf8(F.col("content").cast("string")))
+    text = F.when(keep_text & ~is_binary & (F.col("path") != "") & (ext.isin(extensions) | name.startswith(".")), F.make_valid_utf8(F.col("content").cast("string")))
     return df.select("skill_id", "path", name.alias("basename"), ext.alias("ext"), F.col("length").alias("size"), F.coalesce(is_binary, F.lit(False)).alias("is_binary"), text.alias("content"))
 
 
-def _is_unlisted(path: str) -> bool:
-    """Whether Spark's file source would leave this path out."""
-    return any(p.startswith(".") or (p.startswith("_") and "=" not in p) or p.endswith("._COPYING_") for p in path.split("/"))
-
-
 def _arrow_files(uri: str):
     from pyarrow import fs
 
@@ -79,49 +144,6 @@ def _arrow_files(uri: str):
     return fs.FileSystem.from_uri(address)
 
 
-def unlisted_files(spark: SparkSession, uri: str, names: list[str], max_bytes: int) -> DataFrame:
-    """Files with a dot or underscore name below the packages, listed and read in tasks.
-
-    Listing and reading are separate steps with a shuffle between them, so the files of a
-    package that has very many are read by many tasks.  Of large files only the head is read.
-    Each package folder itself is listed with an empty path.
-    """
-    skip = set(fixed.SKIP_DIRS)
-
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-
-        files, base = _arrow_files(uri)
-        for batch in batches:
-            for skill in batch["skill_id"]:
-                if skill in skip:
-                    continue
-                rows, folders = [(skill, "", 0)], [f"{base}/{skill}"]
-                while folders:
-                    for info in files.get_file_info(pafs.FileSelector(folders.pop())):
-                        rel = info.path[len(base) + len(skill) + 2:]
-                        if info.type == pafs.FileType.Directory:
-                            if info.base_name not in skip:
-                                folders.append(info.path)
-                        elif _is_unlisted(f"{skill}/{rel}"):
-                            rows.append((skill, rel, info.size))
-                yield pd.DataFrame(rows, columns=["skill_id", "path", "length"])
-
-    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = _arrow_files(uri)
-        for batch in batches:
-            for row in batch.itertuples():
-                data = b""
-                if row.path:
-                    with files.open_input_stream(f"{base}/{row.skill_id}/{row.path}") as f:
-                        data = f.read() if row.length <= max_bytes else f.read(4096)
-                yield pd.DataFrame([(row.skill_id, row.path, row.length, data)], columns=["skill_id", "path", "length", "content"])
-
-    packages = spark.createDataFrame([(n,) for n in names], "skill_id string")
-    listed = packages.mapInPandas(listing, "skill_id string, path string, length bigint")
-    return listed.repartition("skill_id", "path").mapInPandas(reading, "skill_id string, path string, length bigint, content binary")
-
-
 def list_packages(files: DataFrame, require_manifest: bool = False) -> DataFrame:
     """One row per package; hidden folders are none.  Optionally only those with a manifest."""
     shown = files.filter(~F.col("skill_id").startswith("."))

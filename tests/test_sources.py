@@ -52,7 +52,29 @@ def test_read_packages(spark, tmp_path):
     assert {(r.skill_id, r.path) for r in limited.collect()} == set(got)
     assert {r.path for r in limited.filter("is_binary").collect()} == {p for (_, p), r in got.items() if r.is_binary}
     assert limited.filter("path in ('big.py', '_big.py') and content is null").count() == 2
-    assert "LessThanOrEqual(length,512000)" in limited._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_trees_are_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One package holds most folders, another a deep chain; rounds deal what a task does not come to."""
+    monkeypatch.setattr(src, "FOLDERS", 20)
+    monkeypatch.setattr(src, "DEALT", 4)
+    root, want = str(tmp_path / "pk"), set()
+    for i in range(300):
+        _write(root, f"wide/d{i % 30}/e{i}/a.py", b"x = %d\n" % i)
+        want.add(("wide", f"d{i % 30}/e{i}/a.py"))
+    deep = "/".join(f"n{i}" for i in range(50))
+    _write(root, f"deep/{deep}/z.py", b"z\n")
+    _write(root, "top.txt", b"no package\n")
+    want |= {("deep", f"{deep}/z.py"), ("deep", ""), ("wide", "")}
+    rounds, write = [], src.written
+    monkeypatch.setattr(src, "written", lambda df, name: rounds.append(df.rdd.getNumPartitions()) or write(df, name))
+    f = src.read_packages(spark, f"file://{root}")
+    assert {(r.skill_id, r.path) for r in f.collect()} == want
+    assert f.filter("path <> ''").agg({"size": "sum"}).first()[0] == sum(len(b"x = %d\n" % i) for i in range(300)) + 2
+    assert max(rounds) > 8 and len(rounds) > 3
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert src.read_packages(spark, str(empty)).count() == 0
 
 
 def test_manifest_choice_and_selections(make_files):
