@@ -176,6 +176,13 @@ ORACLE["ctrl_flow_edges"] = _with(OPS) + """select skill_id, from_id, to_id from
 ORACLE["reach_within_k"] = _with(OPS) + """, n as (select *, row_number() over (partition by skill_id, event_id // 8192 order by event_id) as rn, event_id // 8192 as f from ops)
 select skill_id, id as source, tid as target, turl as url from (select a.skill_id, a.id, b.id as tid, b.url as turl, row_number() over (partition by a.id order by b.rn) as o from n a join n b
  on a.skill_id = b.skill_id and a.f = b.f and b.rn between a.rn + 1 and a.rn + 6 and a.is_sensitive and b.url <> '') where o = 1"""
+ORACLE["flow_chain_targets"] = _with(OPS, """n as (select *, lead(id) over w as n1, lead(id, 2) over w as n2, lag(id, 3) over w as n3 from ops window w as (partition by skill_id, event_id // 8192 order by event_id))""",
+    """e as (select id as a, n1 as b from n where n1 is not null and event_id % 3 <> 0 union select id, n2 from n where n2 is not null and event_id % 4 = 1 union select id, n3 from n where n3 is not null and event_id % 5 = 0)""",
+    """s as (select id, 'theft' as kind, 6 as k from ops where is_sensitive union all select id, 'env', 5 from ops where op_type = 'env_op' union all select id, 'fetch', 5 from ops where op_type = 'net_op')""",
+    """r as (select s.id, s.kind, s.k, e.b as node, 1 as d from s join e on e.a = s.id union select r.id, r.kind, r.k, e.b, d + 1 from r join e on e.a = r.node where d < r.k)""", recursive=True) + """
+select skill_id, kind, source, depth, target from (
+ select t.skill_id, r.kind, r.id as source, r.d as depth, t.id as target, row_number() over (partition by r.id, r.kind order by r.d, t.path, t.line, t.id) as o
+ from r join ops t on t.id = r.node and case when r.kind = 'fetch' then t.op_type = 'sys_op' and t.dyn else t.url <> '' end) where o = 1"""
 ORACLE["op_chains"] = _with(OPS) + """, n as (select *, row_number() over (partition by skill_id, path order by line) as rn from ops),
 p as (select a.skill_id, a.id as node, a.op_type, a.is_sensitive, b.rn - a.rn as d, b.url <> '' as ext, b.op_type = 'sys_op' and b.dyn as run from n a join n b
  on a.skill_id = b.skill_id and a.path = b.path and b.rn between a.rn + 1 and a.rn + 6)

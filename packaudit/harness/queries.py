@@ -496,6 +496,23 @@ def reach_within_k(spark, sf):
     return hit.select("skill_id", F.col("id").alias("source"), F.col("target.id").alias("target"), F.col("target.url").alias("url"))
 
 
+@query
+def flow_chain_targets(spark, sf):
+    """The nearest external call that a sensitive read reaches within six edges that branch and
+    run in circles, and the nearest dynamic call of every fetch within five."""
+    from pyspark.sql import Window
+
+    o = v.ops(spark, sf).withColumn("seq", F.regexp_extract("id", "([0-9]+)", 1).cast("long"))
+    w = Window.partitionBy("skill_id", F.floor(F.col("seq") / 8192)).orderBy("seq")
+    ways = F.array(F.when(F.col("seq") % 3 != 0, F.lead("id", 1).over(w)), F.when(F.col("seq") % 4 == 1, F.lead("id", 2).over(w)), F.when(F.col("seq") % 5 == 0, F.lag("id", 3).over(w)))
+    edges = o.select("skill_id", F.col("id").alias("from_id"), F.explode(F.array_compact(ways)).alias("to_id"))
+    out = []
+    for key, (start, end) in g._chain_ends().items():
+        hit = reach.nearest_targets(o.filter(start), o.filter(end), edges, fixed.OP_CHAIN_REACH[key], ["path", "line", "pos"])
+        out.append(hit.select("skill_id", F.lit(key).alias("kind"), F.col("id").alias("source"), F.col("depth").cast("long").alias("depth"), F.col("target.id").alias("target")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query
 def op_chains(spark, sf):
     x = g.dedupe_chains(g.op_chains(v.ops(spark, sf)))

