@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
+from packaudit.functions.lines import match_lines
 from packaudit.functions.tables import findings
 from packaudit.sources.packages import of_kind
 
@@ -180,18 +181,8 @@ def audit_manifest(tables: dict[str, DataFrame]) -> DataFrame:
 def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
     """Check: long quoted base64 blobs and hard-coded addresses."""
     text = of_kind(tables["files"], "py", "doc").filter("not is_binary and content is not null").filter(F.col("ext").isin(".py", ".md"))
-    numbered = text.select("skill_id", "path", "basename", mark_lines(F.col("content")).alias("t"))
-
-    def tokens(pattern: str, name: str) -> DataFrame:
-        both = F.arrays_zip(
-            c.all_matches(F.col("t"), f"(?s)(?=[^\\x01]*+\\x01(\\d+)){pattern}", 2).alias("m"),
-            c.all_matches(F.col("t"), f"(?s)(?=[^\\x01]*+\\x01(\\d+)){pattern}", 1).alias("l"))
-        return numbered.select("skill_id", "path", "basename", F.posexplode(both).alias("pos", "z")).select(
-            "skill_id", "path", "basename", "pos", F.col("z.l").cast("int").alias("line"),
-            F.regexp_replace("z.m", "\x01\\d+", "").alias(name))
-
-    blob = fixed.QUOTED_BLOB.replace("[A-Za-z0-9+/=\\n ]{80,}", "(?:[A-Za-z0-9+/=\\n ]|\\x01\\d+)++")
-    blobs = tokens(blob, "blob").withColumn("packed", F.regexp_replace("blob", "[\n ]", ""))
+    at = ["skill_id", "path", "basename"]
+    blobs = match_lines(text, at, fixed.QUOTED_BLOB, name="blob").withColumn("packed", F.regexp_replace("blob", "[\n ]", ""))
     blobs = blobs.filter((F.length("blob") >= 80) & (F.length("packed") >= 80) & (F.length("packed") % 4 == 0)
                          & F.call_function("try_to_binary", "packed", F.lit("base64")).isNotNull())
     blobs = blobs.withColumn("bits", c.entropy(F.col("packed"))).filter("bits > 4.8")
@@ -199,8 +190,7 @@ def audit_embedded(tables: dict[str, DataFrame]) -> DataFrame:
                  F.concat(F.format_string("Embedded high-entropy base64 blob (%d chars, entropy≈%.1f) in ",
                                           F.length("blob"), F.col("bits")), "basename"),
                  path=F.col("path"), line=F.col("line"), pos=F.col("pos"))
-    url = "(?i)" + fixed.UNLISTED_URL.replace("[^\\s'\\\">]{10,}", "[^\\s'\\\">\\x01]{10,}")
-    urls = tokens(url, "url")
+    urls = match_lines(text, at, "(?i)" + fixed.UNLISTED_URL, name="url")
     u = findings(urls, "embedded_resource", "MEDIUM", "T3-DataExfiltration",
                  F.concat(F.lit("Suspicious hardcoded external URL: "), F.substring("url", 1, 80), F.lit(" in "), "basename"),
                  path=F.col("path"), line=F.col("line"), pos=F.col("pos") + 100000)
@@ -216,8 +206,3 @@ def audit_comments(tables: dict[str, DataFrame]) -> DataFrame:
     return findings(hits, "comment_injection", "HIGH", "T10-InstructionMisdirection",
                    F.concat(F.lit("Potential hidden instruction in code comment: "), F.substring(F.trim("text"), 1, 80)),
                    path=F.col("path"), line=F.col("pos") + 1, pos=F.col("pos"))
-
-
-def mark_lines(content: Column) -> Column:
-    """End every line with a mark and its number, so a match can look ahead to its line."""
-    return F.array_join(F.transform(F.split(F.translate(content, "\x01", " "), "\n"), lambda l, i: F.concat(l, F.lit("\x01"), i + 1)), "\n")

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
-from packaudit.functions import fixed
+from packaudit.functions import fixed, lines
 from packaudit.functions.tables import findings
-from packaudit.operators.manifest import mark_lines
-
 
 
 def shell_files(files: DataFrame) -> DataFrame:
@@ -33,9 +31,9 @@ def _one(test: Column, *values) -> Column:
     return F.array_compact(F.array(F.when(test, F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in values]))))
 
 
-def _each(pattern: str, entry, keep=None, group: int = 1, text: Column | None = None) -> Column:
+def _each(pattern: str, entry, keep=None, group: int = 1) -> Column:
     """A list with one entry per match; ``entry`` gets the match and its position."""
-    found = c.all_matches(F.col("content") if text is None else text, pattern, group)
+    found = c.all_matches(F.col("content"), pattern, group)
     pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
     if keep is not None:
         pairs = F.filter(pairs, lambda p: keep(p["m"]))
@@ -61,17 +59,23 @@ def shell_io(files: DataFrame) -> DataFrame:
 
 
 def js_io(files: DataFrame) -> DataFrame:
-    """Facts of JavaScript and TypeScript files, in one pass over each file."""
+    """Facts of JavaScript and TypeScript files, in one pass over each file.
+
+    The line of a process call is summed up afterwards, over the calls of its file.
+    """
     t = F.col("content")
-    spawn = "(?i)" + fixed.JS_PROCESS + r"(?=[^\x01]*+\x01(\d+))"
-    started = F.when(c.matches(t, fixed.JS_PROCESS), _each(spawn, lambda m, i: ("effect", "subprocess", "child_process", m.cast("int"), i), text=mark_lines(t)))
-    return _rows(js_files(files), FACT, [
-        _each("(?i)" + fixed.JS_NETWORK, lambda m, i: ("effect", "network_request", m, 0, i)),
-        F.coalesce(started.cast(FACT), F.array().cast(FACT)),
-        _each(fixed.JS_ENV, lambda m, i: ("input", "env_var", m, 0, i)),
-        _each(fixed.JS_ENV, lambda m, i: ("sensitive_read", "env", F.concat(F.lit("env:"), m), 0, i), c.is_secret_env),
-        _each(fixed.JS_READ, lambda m, i: ("sensitive_read", "path", m, 0, i), c.is_sensitive_a),
-    ])
+    calls = F.when(c.matches(t, fixed.JS_PROCESS), F.transform(lines.found(t, "(?i)" + fixed.JS_PROCESS, 0), lambda m, i: F.struct(
+        F.lit("effect"), F.lit("subprocess"), F.lit("child_process"), m["before"], i, m["inside"])))
+    plain = [
+        _each("(?i)" + fixed.JS_NETWORK, lambda m, i: ("effect", "network_request", m, 0, i, None)),
+        _each(fixed.JS_ENV, lambda m, i: ("input", "env_var", m, 0, i, None)),
+        _each(fixed.JS_ENV, lambda m, i: ("sensitive_read", "env", F.concat(F.lit("env:"), m), 0, i, None), c.is_secret_env),
+        _each(fixed.JS_READ, lambda m, i: ("sensitive_read", "path", m, 0, i, None), c.is_sensitive_a),
+    ]
+    kind = FACT.replace("pos:int", "pos:int,inside:int")
+    rows = _rows(js_files(files), kind, [*plain, F.coalesce(calls.cast(kind), F.array().cast(kind))])
+    counted = lines.with_lines(rows.withColumn("is_call", F.col("inside").isNotNull()), ["skill_id", "path", "is_call"], before="line")
+    return counted.select("skill_id", "path", "kind", "subtype", "detail", F.when(F.col("is_call"), F.col("line")).otherwise(0).alias("line"), "pos")
 
 
 def other_findings(files: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
-from packaudit.functions import fixed, pytokens
+from packaudit.functions import fixed, lines, pytokens
 from packaudit.functions.pytokens import STRING
 from packaudit.functions.tables import findings, union_all
-from packaudit.operators.manifest import mark_lines
 
 _COMMENT = r"#[^\n]*+"
 _DEPTH = 4  # the scan shows brackets inside arguments two deep
@@ -369,15 +368,12 @@ def literal_operations() -> Column:
 def embedded_ops(files: DataFrame) -> DataFrame:
     """Python-like calls inside text files beside the code."""
     any_hit = F.col("content").rlike("|".join(p for p, _ in fixed.EMBEDDED_CODE))
-    marked = files.filter(any_hit).select("skill_id", "path", mark_lines(F.col("content")).alias("t"))
-
-    def places(k: int, pattern: str, label: str) -> Column:
-        found = c.all_matches(F.col("t"), pattern + r"(?=[^\x01]*+\x01(\d+))", 1)
-        return F.transform(found, lambda n, i: F.struct(n.cast("int").alias("line"), (i + k * 1_000_000).alias("pos"), F.lit(label).alias("label")))
-
-    every = F.flatten(F.array(*[places(k, p, label) for k, (p, label) in enumerate(fixed.EMBEDDED_CODE)]))
-    rows = marked.select("skill_id", "path", F.inline(every))
-    return rows.select("skill_id", "path", "line", "pos", _operation("sys_op", F.col("label")).alias("op")).select("skill_id", "path", "line", "pos", "op.*")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), lines.found(F.col("content"), p, 0).alias("found")) for k, (p, label) in enumerate(fixed.EMBEDDED_CODE)])
+    kinds = files.filter(any_hit).select("skill_id", "path", F.inline(each))
+    rows = kinds.select("skill_id", "path", "k", "label", F.posexplode("found").alias("pos", "m")).select("skill_id", "path", "k", "label", "pos", F.col("m.before").alias("before"), F.col("m.inside").alias("inside"))
+    at = lines.with_lines(rows, ["skill_id", "path", "k"])
+    at = at.withColumn("pos", (F.col("pos") + F.col("k") * 1_000_000).cast("int"))
+    return at.select("skill_id", "path", "line", "pos", _operation("sys_op", F.col("label")).alias("op")).select("skill_id", "path", "line", "pos", "op.*")
 
 
 def code_ops(toks: DataFrame, text_files: DataFrame) -> DataFrame:
