@@ -280,10 +280,10 @@ ORACLE["contract_violations"] = _with(*_VSET) + """select skill_id, step_id, scr
 ORACLE["contract_scores"] = _with(*_VSET) + f"""select skill_id, round(cast(1 / (1 + exp(-6.0 * (max({W4} * confidence) + least(0.1, count(*) * 0.03) - 0.55))) as double), 6) as contract_score, count(*) as n_violations,
  bool_or(severity = 'CRITICAL') as critical_contract from vi group by 1"""
 ORACLE["phantom_scripts"] = _with(STEPS, EV, FLAGS) + """select fl.skill_id, fl.path from fl where fl.skill_id in (select skill_id from st) and not exists (select 1 from st where st.skill_id = fl.skill_id and st.script = fl.path)"""
-ORACLE["enriched_findings"] = _with(STEPS, EV, OP) + """, f as (select op.skill_id, op.path, op.t, op.k, op.cmd, case when op.t = 'click' then 'DataExfiltration' when op.t = 'error' then 'CommandInjection' else 'CredentialTheft' end as category,
- case when op.k % 3 = 0 then 3 else 2 end as r, st.role, op.skill_id in (select skill_id from st) as linked from op left join st on st.skill_id = op.skill_id and st.script = op.path where op.t in ('click', 'error', 'view')),
+ORACLE["enriched_findings"] = _with(STEPS, EV, OP) + """, f as (select op.skill_id, op.path, op.t, op.k, op.cmd, case op.t when 'click' then 'DataExfiltration' when 'error' then 'CommandInjection' when 'view' then 'CredentialTheft' when 'purchase' then 'EnvHijacking' else 'Obfuscation' end as category,
+ case when op.k % 3 = 0 then 3 else 2 end as r, st.role, op.skill_id in (select skill_id from st) as linked from op left join st on st.skill_id = op.skill_id and st.script = op.path),
 g as (select *, case when role is null then case when linked then 1 else 0 end when t = 'click' then case when role = 'assistant' then -1 else 1 end
- when t = 'error' then case when role = 'user' and contains(cmd, 'make') then -1 else 1 end else case when role = 'system' then 0 else 1 end end as d from f),
+ when t = 'error' then case when role = 'user' and contains(cmd, 'make') then -1 else 1 end when t = 'view' then case when role = 'system' then 0 else 1 end else 0 end as d from f),
 h as (select skill_id, path, category, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][least(4, r + d) + 1] as severity, case when d = 0 then '-' else ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][r + 1] end as was,
  case when d = 0 then '-' when d < 0 then 'downgrade' else 'upgrade' end as action from g)
 select skill_id, path, category, severity, was, action, count(*) as n from h group by all"""
@@ -485,14 +485,33 @@ ORACLE["builtin_tiers_texts"] = " union all ".join(
     f"select cast(doc_id as varchar) as skill_id, '{t}' as tier, '{n}' as name from {_PHRASED} where regexp_matches(text, '{_lit(p)}')" for t, n, p in _TIER) + f"""
  union all select cast(doc_id as varchar), 'steganography', 'invisible_chars:count=' || len(regexp_extract_all(text, '{fixed.INVISIBLE_CHARS}')) from {_PHRASED} where regexp_matches(text, '{fixed.INVISIBLE_CHARS}')"""
 ORACLE["static_overall"] = _with(_CS) + "select skill_id, round(cast(least(1.0, greatest(s2, s3, sp * 0.9, sk * 0.85)) as double), 6) as static_overall from cs"
-ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US) + """, tp as (select * from s where score >= 0.5),
-oc as (select skill_id, count(*) filter (contains(lower(description), 'external') or contains(lower(description), 'http')) as net,
- count(*) filter (contains(lower(description), 'sensitive') or contains(lower(description), 'ssh')) as cred, count(*) filter (contains(lower(description), 'eval')) as obf from tp group by 1),
-m as (select *, greatest(a, b, c, d, e) as top from us), fu as (select skill_id, count(*) as f, count(*) filter (case top when a then false when b then true when c then true else false end) as exf from m where top > 0.5 group by 1),
+_KC = """tp as (select * from s where score >= 0.5),
+ok as (select skill_id, description, unnest([x for x in [case when contains(lower(description), 'external') or contains(lower(description), 'http') then 'net' end,
+ case when contains(lower(description), 'sensitive') or contains(lower(description), 'ssh') then 'cred' end, case when contains(lower(description), 'eval') then 'obf' end] if x is not null]) as kind from tp),
+oc as (select skill_id, count(*) filter (kind = 'net') as net, count(*) filter (kind = 'cred') as cred, count(*) filter (kind = 'obf') as obf from ok group by 1),
+m as (select *, greatest(a, b, c, d, e) as top from us), mf as (select *, case top when a then 'I-MIS' when b then 'I-EXP' when c then 'I-EXF' when d then 'I-CAM' else 'I-PRIV' end as cat from m where top > 0.5),
+fu as (select skill_id, count(*) as f, count(*) filter (cat in ('I-EXF', 'I-EXP')) as exf from mf group by 1),
 pk as (select distinct skill_id, cast(regexp_extract(skill_id, '([0-9]+)', 1) as int) as n from un),
-j as (select pk.*, coalesce(net, 0) as net, coalesce(cred, 0) as cred, coalesce(obf, 0) as obf, coalesce(f, 0) as f, coalesce(exf, 0) as exf from pk left join oc on oc.skill_id = pk.skill_id left join fu on fu.skill_id = pk.skill_id)
-select skill_id, 'NL-Directed Data Exfiltration Chain' as name, case when (n % 10) / 10.0 > 0.85 then 'CRITICAL' else 'HIGH' end as severity, cast(n % 5 as bigint) as misalign_count, least(net, 3) as n_code, least(exf, 3) as n_nl
- from j where exf > 0 and net > 0 and (n % 7) / 7.0 > 0.35
-union all select skill_id, 'Credential Theft', 'CRITICAL', n % 5, least(cred, 3), least(f, 2) from j where cred > 0 and (n % 10) / 10.0 > 0.45
-union all select skill_id, 'Obfuscated Code Execution', 'HIGH', n % 5, least(obf, 3), 0 from j where obf > 0 and (n % 4) / 4.0 > 0.40
-union all select skill_id, 'Multi-Step NL Instruction Kill Chain', 'HIGH', 0, 0, 1 from j where n % 2 = 0"""
+j as (select pk.*, coalesce(net, 0) as net, coalesce(cred, 0) as cred, coalesce(obf, 0) as obf, coalesce(f, 0) as f, coalesce(exf, 0) as exf from pk left join oc on oc.skill_id = pk.skill_id left join fu on fu.skill_id = pk.skill_id),
+jv as (select j.*, role, case when n % 2 = 0 then 'Judge-Detected: T5-RemoteCodeExecution' else 'Judge-Detected: T4-Persistence, T6-Other' end as name,
+ [x for x in case role when 'defender' then ['told'] else ['told', 'sends what it reads'] end if not (x = 'told' and n % 2 = 0)] as fresh from j, unnest(['defender', 'red_team']) as r(role) where n % 3 = 0 and n % 5 <> 0),
+kc as (
+ select skill_id, 'directed' as key, 'NL-Directed Data Exfiltration Chain' as name, case when (n % 10) / 10.0 > 0.85 then 'CRITICAL' else 'HIGH' end as severity, cast(n % 5 as bigint) as misalign_count, net as n_code, exf as n_nl,
+  'AV3 (Semantic Camouflage + NL Exfiltration Instruction)' as strategy from j where exf > 0 and net > 0 and (n % 7) / 7.0 > 0.35
+ union all select skill_id, 'theft', 'Credential Theft', 'CRITICAL', n % 5, cred, f, 'T1-CredentialTheft / AV-Code' from j where cred > 0 and (n % 10) / 10.0 > 0.45
+ union all select skill_id, 'hidden', 'Obfuscated Code Execution', 'HIGH', n % 5, obf, 0, 'AV1 (Code Obfuscation) / T5-RCE' from j where obf > 0 and (n % 4) / 4.0 > 0.40
+ union all select skill_id, 'told', 'Multi-Step NL Instruction Kill Chain', 'HIGH', 0, 0, 1, 'AV2 (NL Instruction Injection)' from j where n % 2 = 0
+ union all select skill_id, 'judge', name, case when (n % 11) / 11.0 > 0.75 then 'HIGH' else 'MEDIUM' end, 0, len(fresh), 0, 'Detected by ' || role || ' judge' from jv where len(fresh) > 0)"""
+ORACLE["kill_chains"] = _with(OPS, _SCORED, TN, UN, _US, _KC) + "select skill_id, name, severity, misalign_count, cast(n_code as bigint) as n_code, cast(n_nl as bigint) as n_nl, strategy from kc"
+ORACLE["kill_chain_evidence"] = _with(OPS, _SCORED, TN, UN, _US, _KC) + """, e as (
+ select kc.skill_id, name, 'code' as side, description[1:80] as text from kc join ok on ok.skill_id = kc.skill_id and ok.kind = case key when 'directed' then 'net' when 'theft' then 'cred' when 'hidden' then 'obf' end
+ union all select kc.skill_id, name, 'nl', 'Step ' || i || ' (' || cat || '): ' || text[1:60] from kc join mf on mf.skill_id = kc.skill_id where key = 'directed' and cat in ('I-EXF', 'I-EXP')
+ union all select kc.skill_id, name, 'nl', 'Step ' || i || ': ' || text[1:60] from kc join mf on mf.skill_id = kc.skill_id where key = 'theft'
+ union all select skill_id, name, 'nl', 'told' from kc where key = 'told'
+ union all select skill_id, name, 'code', unnest(fresh) from jv)
+select skill_id, name, side, text, count(*) as n from e group by all"""
+ORACLE["page_script_facts"] = """with p as (select regexp_extract(url, '^https?://([^/:?#]+)', 1) as skill_id, cast(page_id as varchar) as path, url from pages)
+select skill_id, path, 'effect' as kind, 'network_request' as subtype, url as detail, false as has_line, 1 as n from p
+union all select skill_id, path, 'effect', 'subprocess', 'child_process', true, 1 from p
+union all select skill_id, path, 'input', 'env_var', 'API_TOKEN', false, 1 from p
+union all select skill_id, path, 'sensitive_read', 'env', 'env:API_TOKEN', false, 1 from p"""

@@ -348,8 +348,10 @@ def phantom_scripts(spark, sf):
 @query
 def enriched_findings(spark, sf):
     st = v.steps(spark, sf)
-    e = v.op_columns(v.event_rows(spark, sf)).filter("event_type in ('click', 'error', 'view')")
-    cat = F.when(F.col("event_type") == "click", "DataExfiltration").when(F.col("event_type") == "error", "CommandInjection").otherwise("CredentialTheft")
+    e = v.op_columns(v.event_rows(spark, sf))
+    t = F.col("event_type")
+    cat = (F.when(t == "click", "DataExfiltration").when(t == "error", "CommandInjection").when(t == "view", "CredentialTheft")
+           .when(t == "purchase", "EnvHijacking").otherwise("Obfuscation"))
     f = findings(e.withColumn("line", (F.col("event_id") % v.BLOCK + 1)), "code", F.when(F.col("k") % 3 == 0, "HIGH").otherwise("MEDIUM"), cat, "code finding",
                  path=F.col("path"), line=F.col("line"), evidence=F.col("cmd"))
     x = contracts.enrich_findings(f, st, stp.program_summary(st), v.contracts(spark, sf))
@@ -395,9 +397,12 @@ def python_file_flags(spark, sf):
 
 @query
 def page_script_facts(spark, sf):
-    """JavaScript facts of the raw pages, read as script files."""
-    p = v.table(spark, sf, "pages").select(c.url_domain(F.col("url")).alias("skill_id"), F.col("page_id").cast("string").alias("path"), F.lit(".js").alias("ext"), F.col("html").alias("content"))
-    return other_code.js_io(p).groupBy("skill_id", "path", "kind", "subtype").agg(F.count("*").alias("n"))
+    """JavaScript facts of the raw pages, each with a script that calls its own address."""
+    script = F.concat(F.lit("\n<script>\nfetch('"), "url", F.lit("');\nconst t = process.env['API_TOKEN']; spawn(t);\n</script>"))
+    p = v.table(spark, sf, "pages").select(c.url_domain(F.col("url")).alias("skill_id"), F.col("page_id").cast("string").alias("path"), F.lit(".js").alias("ext"), F.concat("html", script).alias("content"))
+    io = other_code.js_io(p)
+    after = F.when(F.col("line") > 0, F.lit(True)).otherwise(False)
+    return io.select("skill_id", "path", "kind", "subtype", "detail", after.alias("has_line")).groupBy("skill_id", "path", "kind", "subtype", "detail", "has_line").agg(F.count("*").alias("n"))
 
 
 @query
@@ -505,7 +510,7 @@ def flow_chain_targets(spark, sf):
     o = v.ops(spark, sf).withColumn("seq", F.regexp_extract("id", "([0-9]+)", 1).cast("long"))
     w = Window.partitionBy("skill_id", F.floor(F.col("seq") / 8192)).orderBy("seq")
     ways = F.array(F.when(F.col("seq") % 3 != 0, F.lead("id", 1).over(w)), F.when(F.col("seq") % 4 == 1, F.lead("id", 2).over(w)), F.when(F.col("seq") % 5 == 0, F.lag("id", 3).over(w)))
-    edges = o.select("skill_id", F.col("id").alias("from_id"), F.explode(F.array_compact(ways)).alias("to_id"))
+    edges = o.select("skill_id", F.col("id").alias("from_id"), ways.alias("ways")).select("skill_id", "from_id", F.explode(F.array_compact("ways")).alias("to_id"))
     out = []
     for key, (start, end) in g._chain_ends().items():
         hit = reach.nearest_targets(o.filter(start), o.filter(end), edges, fixed.OP_CHAIN_REACH[key], ["path", "line", "pos"])
@@ -556,32 +561,32 @@ def code_capabilities(spark, sf):
     return g.code_capabilities(v.ops(spark, sf)).select("skill_id", "dim", "scope")
 
 
-def _declared_pkgs(spark, sf):
-    pk = v.units(spark, sf).select("skill_id").distinct()
-    return pk, g.declared_long(pk.join(g.declared_scopes(v.units(spark, sf)), "skill_id"))
+def _all_packages(spark, sf):
+    """Packages with code, with instruction units, or with both."""
+    return v.units(spark, sf).select("skill_id").union(v.ops(spark, sf).select("skill_id")).distinct()
+
+
+def _all_declared(spark, sf):
+    declared = _all_packages(spark, sf).join(g.declared_scopes(v.units(spark, sf)), "skill_id", "left")
+    return g.declared_long(g._scopes_or_empty(declared))
 
 
 @query
 def fuzzy_overlap(spark, sf):
-    pk, declared = _declared_pkgs(spark, sf)
-    caps = g.code_capabilities(v.ops(spark, sf)).filter(F.col("dim").isin(g.DIMS)).join(pk, "skill_id", "left_semi")
-    return g.fuzzy_overlap(declared, caps, ["skill_id", "dim"]).select("skill_id", "dim", r6("similarity").alias("similarity"))
+    caps = g.code_capabilities(v.ops(spark, sf)).filter(F.col("dim").isin(g.DIMS))
+    return g.fuzzy_overlap(_all_declared(spark, sf), caps, ["skill_id", "dim"]).select("skill_id", "dim", r6("similarity").alias("similarity"))
 
 
 @query
 def over_reach_gaps(spark, sf):
-    pk, declared = _declared_pkgs(spark, sf)
-    caps = g.code_capabilities(v.ops(spark, sf)).join(pk, "skill_id", "left_semi")
-    return g.over_reach_rows(caps, declared).select("skill_id", "dim", "scope", r6("weight").alias("weight"), "gap")
+    return g.over_reach_rows(g.code_capabilities(v.ops(spark, sf)), _all_declared(spark, sf)).select("skill_id", "dim", "scope", r6("weight").alias("weight"), "gap")
 
 
 @query
 def alignment_scores(spark, sf):
-    pk = v.units(spark, sf).select("skill_id").distinct()
-    mine = lambda df: df.join(pk, "skill_id", "left_semi")
-    mis = mine(g.cross_edges(_judged_ops(spark, sf)).filter("edge_type = 'misalign'"))
-    al = mine(v.script_flags(spark, sf)).groupBy("skill_id").agg(F.min("analyzability").alias("analyzability"))
-    a = g.alignment(pk, mine(g.code_capabilities(v.ops(spark, sf))), g.declared_scopes(v.units(spark, sf)), mis, al)
+    mis = g.cross_edges(_judged_ops(spark, sf)).filter("edge_type = 'misalign'")
+    al = v.script_flags(spark, sf).groupBy("skill_id").agg(F.min("analyzability").alias("analyzability"))
+    a = g.alignment(_all_packages(spark, sf), g.code_capabilities(v.ops(spark, sf)), g.declared_scopes(v.units(spark, sf)), mis, al)
     return a.select("skill_id", r6("over_reach").alias("over_reach"), r6("align_score").alias("align_score"), "misalign_count", r6("alignment_gap").alias("alignment_gap"))
 
 
@@ -712,9 +717,8 @@ def static_overall(spark, sf):
     return s.select("skill_id", r6(scores.static_overall(*[F.col(x) for x in ("s2", "s3", "s_chain", "s_check")])).alias("static_overall"))
 
 
-@query
-def kill_chains(spark, sf):
-    """Chains from the strongest operations, flagged turns and derived package scores."""
+def _told_chains(spark, sf):
+    """Kill chains from the strongest operations, flagged turns, judge rows and derived package scores."""
     us = v.unit_scores(spark, sf)
     n = F.regexp_extract("skill_id", "([0-9]+)", 1).cast("int")
     pk = us.select("skill_id").distinct()
@@ -722,8 +726,19 @@ def kill_chains(spark, sf):
                       (n % 5).cast("long").alias("misalign_count"), ((n % 4) / 4.0).alias("hiding_score"))
     told = pk.select("skill_id", (n % 2 == 0).alias("kill_chain"), F.lit("told").alias("kill_chain_text"))
     top = scores.top_op_findings(scores.op_scores(v.ops(spark, sf)))
-    x = ver.kill_chains(table, top, scores.flagged_units(us, v.units(spark, sf)), scores.unit_rollup(us, told), v.judge_verdicts(spark, sf).limit(0))
-    return x.select("skill_id", "name", "severity", "misalign_count", F.size("code_evidence").cast("long").alias("n_code"), F.size("nl_evidence").cast("long").alias("n_nl"))
+    return ver.kill_chains(table, top, scores.flagged_units(us, v.units(spark, sf)), scores.unit_rollup(us, told), v.package_judges(spark, sf))
+
+
+@query
+def kill_chains(spark, sf):
+    return _told_chains(spark, sf)["chains"].select("skill_id", "name", "severity", "misalign_count", "n_code", "n_nl", "strategy")
+
+
+@query
+def kill_chain_evidence(spark, sf):
+    """All evidence of the kill chains, counted by what is quoted."""
+    e = _told_chains(spark, sf)["evidence"]
+    return e.groupBy("skill_id", "name", "side", "text").agg(F.count("*").alias("n"))
 
 
 @query

@@ -257,6 +257,18 @@ def judge_verdicts(spark: SparkSession, sf: str) -> DataFrame:
                     F.array(F.lit("T5-RemoteCodeExecution")).alias("threat_categories"), F.array("judge_role").alias("evidence"), F.lit("").alias("reasoning"))
 
 
+def package_judges(spark: SparkSession, sf: str) -> DataFrame:
+    """Two judge rows per package of declared turns; what they quote is partly known already."""
+    n = F.regexp_extract("skill_id", "([0-9]+)", 1).cast("int")
+    words = lambda *v: F.array(*map(F.lit, v))
+    roles = F.explode(words("defender", "red_team")).alias("judge_role")
+    j = turns(spark, sf).select("skill_id").distinct().select("skill_id", n.alias("n"), roles)
+    cats = F.when(F.col("n") % 5 == 0, words("T1-CredentialTheft")).when(F.col("n") % 2 == 0, words("T5-RemoteCodeExecution")).otherwise(words("T4-Persistence", "T6-Other", "T7-More"))
+    quotes = F.when(F.col("judge_role") == "defender", words("told")).otherwise(words("told", "sends what it reads"))
+    return j.select("skill_id", "judge_role", ((F.col("n") % 11) / F.lit(11.0)).alias("risk_score"), F.lit(0.5).alias("confidence"), (F.col("n") % 3 == 0).alias("is_malicious"),
+                    cats.alias("threat_categories"), quotes.alias("evidence"), F.lit("").alias("reasoning"))
+
+
 def unit_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores per turn from the length of what was said."""
     s = turns(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import union_all
+from packaudit.functions.tables import first_rows, union_all
 from packaudit.operators.contracts import steps_for_script
 
 
@@ -111,16 +111,17 @@ def attack_chains(script_io: DataFrame, flags: DataFrame, steps: DataFrame) -> D
     return union_all([intra, spread, nl])
 
 
-def chain_evidence(chains: DataFrame, script_io: DataFrame) -> DataFrame:
-    """Up to three sensitive reads and two effects of each script that holds a whole chain."""
-    from packaudit.functions.tables import first_rows
+def chain_evidence(chains: DataFrame, script_io: DataFrame, reads: int | None = None, effects: int | None = None) -> DataFrame:
+    """Sensitive reads and effects of each script that holds a whole chain, one row each.
 
+    ``kind`` is read or effect and rows are ordered by ``pos``; ``reads`` and ``effects`` keep
+    only the first ones of a script, as a report shows them.
+    """
     hot = chains.filter("script <> ''").select("skill_id", F.col("script").alias("path"), F.array_contains("stages", "access").alias("access")).distinct()
     io = script_io.join(hot, ["skill_id", "path"])
     order = [F.col("pos"), F.col("detail")]
-    reads = first_rows(io.filter("kind = 'sensitive_read' and access"), ["skill_id", "path"], order, 3).select(
-        "skill_id", "path", F.lit(0).alias("o"), "pos", F.col("detail").alias("fragment"))
-    acts = first_rows(io.filter("kind = 'effect'"), ["skill_id", "path"], order, 2).select(
-        "skill_id", "path", F.lit(1).alias("o"), "pos", F.concat("subtype", F.lit(": "), F.substring("detail", 1, 60)).alias("fragment"))
-    return reads.unionByName(acts).groupBy("skill_id", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", "pos", "fragment"))), lambda x: x["fragment"]).alias("evidence"))
+    seen = first_rows(io.filter("kind = 'sensitive_read' and access"), ["skill_id", "path"], order, reads).select(
+        "skill_id", "path", F.lit("read").alias("kind"), "line", "pos", F.col("detail").alias("fragment"))
+    acts = first_rows(io.filter("kind = 'effect'"), ["skill_id", "path"], order, effects).select(
+        "skill_id", "path", F.lit("effect").alias("kind"), "line", "pos", F.concat("subtype", F.lit(": "), F.substring("detail", 1, 60)).alias("fragment"))
+    return seen.unionByName(acts)

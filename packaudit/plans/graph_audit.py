@@ -122,7 +122,7 @@ def phase2(first: dict[str, DataFrame], unit_scores: DataFrame | None = None, un
     reports = ver.decide_b(ver.fuse_b(j), thresholds or ver.fixed.THRESHOLDS_B).drop("probe")
     reports = written(reports, "reports")
     chains = ver.kill_chains(reports, first["top_ops"], flagged, rolled, jv)
-    return {"reports": reports, "findings": reviewed, "flagged_units": flagged, "kill_chains": chains}
+    return {"reports": reports, "findings": reviewed, "flagged_units": flagged, "kill_chains": chains["chains"], "kill_chain_evidence": chains["evidence"]}
 
 
 def audit(files: DataFrame, units: DataFrame | None = None, flows: DataFrame | None = None, **outside) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import first_rows, union_all
+from packaudit.functions.tables import first_rows, union_all, written
 
 KEY = "skill_id"
 
@@ -116,60 +116,76 @@ def fast_gate(df: DataFrame) -> DataFrame:
     return out.withColumn("needs_judges", ~skip)
 
 
-def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Chains told by several modules at once, at most six per package by severity.
+_CHAIN_WORDS = {"net": ["external", "http"], "cred": ["sensitive", "ssh", "credential", "aws"],
+                "obf": ["obfuscat", "base64", "eval", "exec", "entropy", "encoded"]}
+# chain -> the kind of operations and the kind of flagged steps that are its evidence
+_CHAIN_EVIDENCE = {"directed": ("net", "exf"), "theft": ("cred", "any"), "hidden": ("obf", None)}
 
-    Only the first three operations of each kind and flagged steps are told; each task keeps no
-    more of them before the shuffle, however many a package has.
-    """
+
+def _chain_operations(top_ops: DataFrame) -> DataFrame:
     low = F.lower("description")
-    tests = {"net": ["external", "http"], "cred": ["sensitive", "ssh", "credential", "aws"],
-             "obf": ["obfuscat", "base64", "eval", "exec", "entropy", "encoded"]}
-    strongest = F.struct((-F.col("score")).alias("o"), "path", "line", "pos", F.substring("description", 1, 80).alias("d"), F.col("score").alias("score"))
-    kinds = F.array_compact(F.array(*[F.when(c.has_any(low, w), F.lit(k)) for k, w in tests.items()]))
-    ops = first_rows(top_ops.select(KEY, F.explode(kinds).alias("k"), strongest.alias("e")), [KEY, "k"], [F.col("e")], 3)
-    ops = ops.groupBy(KEY).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("e")))).alias(k) for k in tests])
-    line = F.concat(F.lit("Step "), F.col("step_index").cast("string"), F.lit(" ("), "category", F.lit("): "), F.substring("text", 1, 60))
-    short = F.concat(F.lit("Step "), F.col("step_index").cast("string"), F.lit(": "), F.substring("text", 1, 60))
-    told_as = lambda k, t: F.struct(F.lit(k).alias("k"), F.struct("step_index", t.alias("t")).alias("e"))
-    steps = F.array_compact(F.array(F.when(F.col("category").isin("I-EXF", "I-EXP"), told_as("exf", line)), told_as("any_unit", short)))
-    fl = first_rows(flagged.select(KEY, F.inline(steps)), [KEY, "k"], [F.col("e")], 3)
-    fl = fl.groupBy(KEY).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("e")))).alias(k) for k in ("exf", "any_unit")])
-    j = scores.join(ops, KEY, "left").join(fl, KEY, "left").join(units.select(KEY, "kill_chain", "kill_chain_text", "unit_score"), KEY, "left")
-    none = c.empty_strings()
-    words = lambda x, n: F.coalesce(F.transform(F.slice(F.col(x), 1, n), lambda e: e["t"]), none)
-    codes = lambda x, n: F.coalesce(F.transform(F.slice(F.col(x), 1, n), lambda e: e["d"]), none)
-    some = lambda x: F.coalesce(F.size(F.col(x)), F.lit(0)) > 0
-    s = F.col
+    kinds = F.array_compact(F.array(*[F.when(c.has_any(low, w), F.lit(k)) for k, w in _CHAIN_WORDS.items()]))
+    return top_ops.select(KEY, F.explode(kinds).alias("kind"), "score", "path", "line", "pos", F.substring("description", 1, 80).alias("text"))
 
-    lit_ = F.lit
 
-    def chain(key, test, severity, nl, code, miss, part):
+def _chain_steps(flagged: DataFrame) -> DataFrame:
+    at = lambda more: F.concat(F.lit("Step "), F.col("step_index").cast("string"), more, F.substring("text", 1, 60))
+    row = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("text"))
+    told = F.when(F.col("category").isin("I-EXF", "I-EXP"), row("exf", at(F.concat(F.lit(" ("), "category", F.lit("): ")))))
+    return flagged.select(KEY, "step_index", F.inline(F.array_compact(F.array(told, row("any", at(F.lit(": ")))))))
+
+
+def kill_chains(scores: DataFrame, top_ops: DataFrame, flagged: DataFrame, units: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:
+    """Chains told by several modules at once: ``chains``, and their ``evidence`` as a child table.
+
+    A chain carries how many operations (``n_code``) and steps (``n_nl``) tell of it; the rows
+    of the evidence name them with what they are ordered by: score, place, step.  All evidence
+    is kept, and per package there are only counts and maxima, so a package may have any number
+    of operations; ``first_rows`` gives the few a report shows.
+    """
+    ops, steps = _chain_operations(top_ops), _chain_steps(flagged)
+    n_ops = ops.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in _CHAIN_WORDS], F.max(F.when(F.col("kind") == "cred", F.col("score"))).alias("top_cred"))
+    n_steps = steps.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("exf", "any")])
+    j = scores.join(n_ops, KEY, "left").join(n_steps, KEY, "left").join(units.select(KEY, "kill_chain", "kill_chain_text", "unit_score"), KEY, "left")
+    j = j.withColumns({k: F.coalesce(k, F.lit(0)) for k in (*_CHAIN_WORDS, "exf", "any")})
+    s, none = F.col, F.lit(0)
+
+    def chain(key, test, severity, n_code, n_nl, miss, part):
         name, strategy = fixed.KILL_CHAINS[key]
         return F.when(test, F.struct(
-            lit_(name).alias("name"), severity.alias("severity"), nl.alias("nl_evidence"), code.alias("code_evidence"),
-            miss.cast("long").alias("misalign_count"), part.cast("double").alias("contribution"), lit_(strategy).alias("strategy")))
+            F.lit(key).alias("key"), F.lit(name).alias("name"), severity.alias("severity"), n_code.cast("long").alias("n_code"), n_nl.cast("long").alias("n_nl"),
+            miss.cast("long").alias("misalign_count"), part.cast("double").alias("contribution"), F.lit(strategy).alias("strategy")))
 
-    told = F.coalesce("kill_chain", lit_(False)) & (F.coalesce("kill_chain_text", lit_("")) != "")
+    told = F.coalesce("kill_chain", F.lit(False)) & (F.coalesce("kill_chain_text", F.lit("")) != "")
     own = F.array_compact(F.array(
-        chain("directed", some("exf") & some("net") & (s("s3") > 0.35), F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"),
-              words("exf", 3), codes("net", 3), s("misalign_count"), s("s3")),
-        chain("theft", some("cred") & (s("p") > 0.45), F.when(F.exists("cred", lambda e: e["score"] > 0.80), "CRITICAL").otherwise("HIGH"),
-              words("any_unit", 2), codes("cred", 3), s("misalign_count"), s("over_reach")),
-        chain("hidden", some("obf") & (s("hiding_score") > 0.40), lit_("HIGH"), none, codes("obf", 3), s("misalign_count"), s("hiding_score")),
-        chain("told", told, lit_("HIGH"), F.array(F.substring("kill_chain_text", 1, 200)), none, lit_(0), s("unit_score"))))
-    per = j.select(KEY, own.alias("own"))
-    first = per.select(KEY, F.inline("own"))
-    seen = per.select(KEY, F.flatten(F.transform("own", lambda x: F.concat(x["code_evidence"], x["nl_evidence"]))).alias("seen"))
-    judged = verdicts.filter(s("is_malicious") & (F.size("evidence") > 0)).join(seen, KEY)
-    judged = judged.withColumn("fresh", F.array_except("evidence", "seen")).filter((F.size("fresh") > 0) & ~F.arrays_overlap(
-        "threat_categories", c.str_array(["T1-CredentialTheft", "T3-DataExfiltration"])))
+        chain("directed", (s("exf") > 0) & (s("net") > 0) & (s("s3") > 0.35), F.when(s("p") > 0.85, "CRITICAL").otherwise("HIGH"), s("net"), s("exf"), s("misalign_count"), s("s3")),
+        chain("theft", (s("cred") > 0) & (s("p") > 0.45), F.when(s("top_cred") > 0.80, "CRITICAL").otherwise("HIGH"), s("cred"), s("any"), s("misalign_count"), s("over_reach")),
+        chain("hidden", (s("obf") > 0) & (s("hiding_score") > 0.40), F.lit("HIGH"), s("obf"), none, s("misalign_count"), s("hiding_score")),
+        chain("told", told, F.lit("HIGH"), none, F.lit(1), none, s("unit_score"))))
+    first = written(j.select(KEY, F.when(told, F.substring("kill_chain_text", 1, 200)).alias("told_text"), F.inline(own)), "kill_chains")
+
+    nothing = {"score": F.lit(None).cast("double"), "path": F.lit(None).cast("string"), "line": F.lit(None).cast("int"), "pos": F.lit(None).cast("int"), "step_index": F.lit(None).cast("int")}
+    shape = lambda df, side: df.select(KEY, "name", F.lit(side).alias("side"), *[(F.col(k) if k in df.columns else x).cast("double" if k == "score" else "string" if k == "path" else "int").alias(k) for k, x in nothing.items()], "text")
+    proof = []
+    for key, (code, nl) in _CHAIN_EVIDENCE.items():
+        of = first.filter(s("key") == key).select(KEY, "name")
+        proof.append(shape(of.join(ops.filter(s("kind") == code), KEY), "code"))
+        if nl:
+            proof.append(shape(of.join(steps.filter(s("kind") == nl), KEY), "nl"))
+    proof.append(shape(first.filter("key = 'told'").select(KEY, "name", s("told_text").alias("text")), "nl"))
+    evidence = written(union_all(proof), "kill_chain_evidence")
+
+    # What a judge quotes counts if no chain has it already.
+    quoted = verdicts.filter(s("is_malicious") & (F.size("evidence") > 0) & ~F.arrays_overlap("threat_categories", c.str_array(["T1-CredentialTheft", "T3-DataExfiltration"])))
+    quoted = written(quoted.join(scores.select(KEY), KEY, "left_semi").withColumn("judge", F.monotonically_increasing_id()), "judged")
+    quotes = quoted.select(KEY, "judge", F.posexplode("evidence").alias("pos", "text")).join(evidence.select(KEY, "text").distinct(), [KEY, "text"], "left_anti")
+    fresh = quotes.groupBy(KEY, "judge").agg(F.count("*").alias("n_code"))
     label = F.array_join(F.slice("threat_categories", 1, 2), ", ")
-    more = judged.select(
-        KEY, F.concat(lit_("Judge-Detected: "), F.when(label == "", "Unknown Threat").otherwise(label)).alias("name"),
-        F.when(s("risk_score") > 0.75, "HIGH").otherwise("MEDIUM").alias("severity"), none.alias("nl_evidence"), F.slice("fresh", 1, 3).alias("code_evidence"),
-        lit_(0).cast("long").alias("misalign_count"), s("risk_score").alias("contribution"), F.concat(lit_("Detected by "), "judge_role", lit_(" judge")).alias("strategy"))
-    return first.unionByName(more)
+    named = quoted.join(fresh, [KEY, "judge"]).withColumn("name", F.concat(F.lit("Judge-Detected: "), F.when(label == "", "Unknown Threat").otherwise(label)))
+    more = named.select(KEY, "name", F.when(s("risk_score") > 0.75, "HIGH").otherwise("MEDIUM").alias("severity"), "n_code", none.cast("long").alias("n_nl"), none.cast("long").alias("misalign_count"),
+                        s("risk_score").alias("contribution"), F.concat(F.lit("Detected by "), "judge_role", F.lit(" judge")).alias("strategy"))
+    evidence = evidence.unionByName(shape(quotes.join(named.select(KEY, "judge", "name"), [KEY, "judge"]), "code"))
+    return {"chains": first.drop("told_text", "key").unionByName(more), "evidence": evidence}
 
 
 def batch_summary(reports: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_both_sites_agree(spark, first, make_files, units, tmp_path):
         assert r["flow"].s1 == pytest.approx(1.0) and r["flow"].s4 == pytest.approx(0.95)
         names = {x.name for x in out["kill_chains"].filter("skill_id = 'flow'").collect()}
         assert "Credential Theft" in names and "Multi-Step NL Instruction Kill Chain" in names
-        assert out["kill_chains"].filter("skill_id = 'flow'").count() <= 6
+        assert out["kill_chain_evidence"].filter("skill_id = 'flow' and name = 'Credential Theft' and side = 'code'").count() >= 1
     base = {x.skill_id: x.p for x in graph_audit.phase2(first)["reports"].collect()}
     assert all(r[s].p >= base[s] - 1e-12 for s in base)
 
@@ -68,12 +68,32 @@ def test_kill_chains_of_a_package_of_very_many_operations(spark):
     flagged = spark.range(2000).select(F.lit("a").alias("skill_id"), n.cast("int").alias("step_index"), F.lit("I-EXF").alias("category"), F.lit("send").alias("text"))
     units = spark.createDataFrame([("a", False, None, 0.0)], "skill_id string, kill_chain boolean, kill_chain_text string, unit_score double")
     out = verdicts.kill_chains(table, ops, flagged, units, spark.createDataFrame([], EXTERNAL["judge_verdicts"]))
-    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
-    rows = {r["name"]: r for r in out.collect()}
-    best = [f"ssh to external http {i}" for i in (1999, 1998, 1997)]
+    rows = {r["name"]: r for r in out["chains"].collect()}
     theft, sent = rows["Credential Theft"], rows["NL-Directed Data Exfiltration Chain"]
-    assert theft["code_evidence"] == sent["code_evidence"] == best and theft["severity"] == "CRITICAL"
-    assert theft["nl_evidence"] == ["Step 0: send", "Step 1: send"] and sent["nl_evidence"] == [f"Step {i} (I-EXF): send" for i in range(3)]
+    assert (theft["n_code"], theft["n_nl"], theft["severity"], sent["n_code"], sent["n_nl"]) == (2000, 2000, "CRITICAL", 2000, 2000)
+    proof = out["evidence"].filter("name = 'Credential Theft'")
+    assert proof.count() == 4000 and "collect_list" not in proof._jdf.queryExecution().executedPlan().toString()
+    from packaudit.functions.tables import first_rows
+
+    shown = first_rows(proof, ["skill_id", "name", "side"], [F.desc("score"), F.col("step_index")], 3).collect()
+    assert {r["text"] for r in shown if r["side"] == "code"} == {f"ssh to external http {i}" for i in (1999, 1998, 1997)}
+    assert {r["text"] for r in shown if r["side"] == "nl"} == {f"Step {i}: send" for i in range(3)}
+
+
+def test_what_judges_quote_counts_once(spark):
+    """A quote that a chain holds already is no news; a judge without news makes no chain."""
+    from packaudit.plans import verdicts
+
+    table = spark.createDataFrame([("a", 0.9, 0.1, 0.1, 2, 0.1), ("b", 0.1, 0.1, 0.1, 0, 0.1)], "skill_id string, p double, s3 double, over_reach double, misalign_count long, hiding_score double")
+    ops = spark.createDataFrame([("a", 0.9, "x.py", 1, 0, "reads an ssh key")], "skill_id string, score double, path string, line int, pos int, description string")
+    flagged = spark.createDataFrame([], "skill_id string, step_index int, category string, text string")
+    units = spark.createDataFrame([], "skill_id string, kill_chain boolean, kill_chain_text string, unit_score double")
+    row = lambda s, role, bad, cats, quotes: (s, role, 0.8, 0.5, bad, cats, quotes, "")
+    judges = [row("a", "defender", True, ["T5-X"], ["reads an ssh key"]), row("a", "red_team", True, [], ["reads an ssh key", "new", None]), row("a", "red_team", True, [], ["new"]),
+              row("b", "defender", True, ["T1-CredentialTheft"], ["q"]), row("b", "red_team", False, ["T5-X"], ["q"]), row("b", "intent", True, ["A", "B", "C"], ["q", "r"]), row("gone", "defender", True, ["T5-X"], ["q"])]
+    out = verdicts.kill_chains(table, ops, flagged, units, spark.createDataFrame(judges, EXTERNAL["judge_verdicts"]))
+    got = sorted((r["skill_id"], r["name"], r["severity"], r["n_code"]) for r in out["chains"].collect())
+    assert got == [("a", "Credential Theft", "CRITICAL", 1), ("a", "Judge-Detected: Unknown Threat", "HIGH", 1), ("a", "Judge-Detected: Unknown Threat", "HIGH", 2), ("b", "Judge-Detected: A, B", "HIGH", 2)]
 
 
 def test_finding_verdicts(spark, first):
