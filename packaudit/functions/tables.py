@@ -58,6 +58,12 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the writer leaves its marker last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
     """First ``n`` rows per key in a total order; all of them if ``n`` is None.
 

@@ -513,5 +513,5 @@ select skill_id, name, side, text, count(*) as n from e group by all"""
 ORACLE["page_script_facts"] = """with p as (select regexp_extract(url, '^https?://([^/:?#]+)', 1) as skill_id, cast(page_id as varchar) as path, url from pages)
 select skill_id, path, 'effect' as kind, 'network_request' as subtype, url as detail, false as has_line, 1 as n from p
 union all select skill_id, path, 'effect', 'subprocess', 'child_process', true, 1 from p
-union all select skill_id, path, 'input', 'env_var', 'API_TOKEN', false, 1 from p
-union all select skill_id, path, 'sensitive_read', 'env', 'env:API_TOKEN', false, 1 from p"""
+union all select skill_id, path, 'input', 'env_var', 'token', false, 1 from p
+union all select skill_id, path, 'sensitive_read', 'env', 'env:token', false, 1 from p"""

@@ -398,7 +398,7 @@ def python_file_flags(spark, sf):
 @query
 def page_script_facts(spark, sf):
     """JavaScript facts of the raw pages, each with a script that calls its own address."""
-    script = F.concat(F.lit("\n<script>\nfetch('"), "url", F.lit("');\nconst t = process.env['API_TOKEN']; spawn(t);\n</script>"))
+    script = F.concat(F.lit("\n<script>\nfetch('"), "url", F.lit("');\nconst t = process.env['token']; spawn(t);\n</script>"))
     p = v.table(spark, sf, "pages").select(c.url_domain(F.col("url")).alias("skill_id"), F.col("page_id").cast("string").alias("path"), F.lit(".js").alias("ext"), F.concat("html", script).alias("content"))
     io = other_code.js_io(p)
     after = F.when(F.col("line") > 0, F.lit(True)).otherwise(False)

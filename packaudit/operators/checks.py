@@ -12,10 +12,10 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions.tables import FINDINGS, empty, findings, shared_folder, union_all
+from packaudit.functions.tables import FINDINGS, committed, empty, findings, shared_folder, union_all
 from packaudit.operators.manifest import audit_comments, audit_embedded, audit_manifest
 
 Check = Callable[[dict[str, DataFrame]], DataFrame]
@@ -25,7 +25,6 @@ _checks: dict[str, Check] = {
     "manifest_audit": audit_manifest,
     "comment_injection": audit_comments,
 }
-MARKER = "_SUCCESS"
 
 
 def register_check(name: str, fn: Check) -> None:
@@ -41,12 +40,6 @@ def registered() -> dict[str, Check]:
     return dict(_checks)
 
 
-def committed(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-
-
 def reason(error: Exception) -> str:
     """What failed, in one line: of an error in a Python worker or a task, the innermost one."""
     lines = [line.strip() for line in str(error).splitlines() if line.strip()]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packaudit.functions.tables import empty
+from packaudit.functions.tables import committed, empty
 
 EXTERNAL = {
     "instruction_units": (
@@ -72,13 +76,75 @@ def write_reports(reports: DataFrame, evidence: DataFrame, path: str) -> None:
      .write.mode("overwrite").json(f"{path}/evidence"))
 
 
-def save_phase1(tables: dict[str, DataFrame], path: str) -> None:
+MANIFEST = "name string, schema string, n_rows bigint"
+
+
+def save_phase1(tables: dict[str, DataFrame], path: str) -> str:
+    """Hand the tables of phase 1 over; returns the name of the hand-over.
+
+    Each hand-over is a new folder under ``path``.  Its manifest, with the schema and the
+    number of rows of every table, is written after all of them, and only a manifest that was
+    written to its end makes it count; a crash before that leaves the last one as it was.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    handover = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{handover}/{name}")
+        rows.append((name, df.schema.json(), spark.read.schema(df.schema).parquet(f"{path}/{handover}/{name}").count()))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifests/{handover}")
+    return handover
 
 
-def load_phase1(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def handovers(spark: SparkSession, path: str) -> list[str]:
+    """Committed hand-overs under ``path``, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(top)]
+    return sorted(n for n in names if committed(spark, f"{path}/manifests/{n}"))
+
+
+def load_phase1(spark: SparkSession, path: str, names: list[str] | None = None, handover: str | None = None) -> dict[str, DataFrame]:
+    """Tables of the last committed hand-over, or of the one named; all of them by default.
+
+    Refused are a hand-over that was not committed, a table it does not have, and a table whose
+    columns or number of rows are not those of the manifest.
+    """
+    known = handovers(spark, path)
+    chosen = handover or (known[-1] if known else None)
+    if chosen not in known:
+        raise ValueError(f"no committed hand-over {chosen or ''} under {path}")
+    told = {r["name"]: r for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{chosen}").collect()}
+    out = {}
+    for name in told if names is None else names:
+        if name not in told:
+            raise ValueError(f"hand-over {chosen} has no table {name}")
+        want = T.StructType.fromJson(json.loads(told[name]["schema"]))
+        place = f"{path}/{chosen}/{name}"
+        have = spark.read.parquet(place) if want.fields else spark.read.schema(want).parquet(place)
+        if [(f.name, f.dataType) for f in have.schema] != [(f.name, f.dataType) for f in _nullable(want)]:
+            raise ValueError(f"columns of {name} are not those handed over: {have.schema.simpleString()}")
+        if have.count() != told[name]["n_rows"]:
+            raise ValueError(f"{name} has not the {told[name]['n_rows']} rows handed over")
+        out[name] = spark.read.schema(want).parquet(place)
+    return out
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    """The schema as a file gives it back: every value may be null."""
+
+    def open_(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, open_(f.dataType), True) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(open_(kind.elementType), True)
+        if isinstance(kind, T.MapType):
+            return T.MapType(open_(kind.keyType), open_(kind.valueType), True)
+        return kind
+
+    return open_(schema)
 
 
 def graph_export(nodes: DataFrame, edges: DataFrame, path: str) -> None:

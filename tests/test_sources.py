@@ -101,3 +101,32 @@ def test_written_tables_live_in_the_shared_folder(spark):
     df = written(spark.range(5).selectExpr("id", "id * 2 as x"), "numbers")
     assert df.inputFiles()[0].replace("file://", "").startswith(folder)
     assert "x" not in df.select("id")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_handover_counts_only_when_committed(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    place = f"file://{tmp_path}/over"
+    with pytest.raises(ValueError, match="no committed"):
+        external.load_phase1(spark, place)
+    table = spark.range(30).select(F.col("id").cast("string").alias("skill_id"), F.array(F.struct("id")).alias("more"))
+    first = external.save_phase1({"phase1": table, "gaps": table.limit(0)}, place)
+    broken = table.withColumn("skill_id", F.when(F.col("skill_id") == "29", F.raise_error(F.lit("lost"))).otherwise(F.col("skill_id")))
+    with pytest.raises(Exception, match="lost"):
+        external.save_phase1({"phase1": table.limit(3), "gaps": broken}, place)
+    got = external.load_phase1(spark, place)  # the one before is what counts
+    assert external.handovers(spark, place) == [first] and {k: v.count() for k, v in got.items()} == {"phase1": 30, "gaps": 0}
+    assert got["phase1"].schema.simpleString() == table.schema.simpleString()
+    second = external.save_phase1({"phase1": table.limit(5)}, place)
+    assert external.load_phase1(spark, place, ["phase1"])["phase1"].count() == 5
+    assert external.load_phase1(spark, place, ["phase1"], first)["phase1"].count() == 30
+    for names, handover, why in ((["gaps"], second, "no table"), (["phase1"], "other", "no committed")):
+        with pytest.raises(ValueError, match=why):
+            external.load_phase1(spark, place, names, handover)
+    table.limit(1).write.mode("append").parquet(f"{place}/{second}/phase1")
+    with pytest.raises(ValueError, match="rows handed over"):
+        external.load_phase1(spark, place)
+    table.withColumn("x", F.lit(1)).write.mode("overwrite").parquet(f"{place}/{first}/phase1")
+    with pytest.raises(ValueError, match="columns of phase1"):
+        external.load_phase1(spark, place, ["phase1"], first)
