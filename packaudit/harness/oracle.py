@@ -239,6 +239,12 @@ ORACLE["manifest_fields"] = _with(TN, _PKG) + """select skill_id, true as has_fr
 _PERM = """pm as (select skill_id, conv_id, unnest(case conv_id % 3 when 0 then ['file_read', 'file_read', 'network'] when 1 then ['file_read', 'subprocess', 'subprocess'] else [] end) as perm_type,
  unnest(case conv_id % 3 when 0 then ['project_dir', '~/.ssh', '*'] when 1 then ['project_dir', 'make', 'python'] else [] end) as scope from pk)"""
 ORACLE["manifest_permissions"] = _with(TN, _PKG, _PERM) + "select skill_id, perm_type, scope from pm"
+ORACLE["nested_permissions"] = """with c as (select distinct conv_id as n from conversations),
+p as (select n, 5 as pos, 'network.hosts.name' as k, 'h' || n || '.example.net' as scope from c union all select n, 6, 'network.hosts.ports', '80' from c
+ union all select n, 6, 'network.hosts.ports', cast(n % 9 as varchar) from c union all select n, 7, 'network.hosts.name', '*' from c
+ union all select n, 9, 'file_read.shop.paths', 'data/f' || n from c union all select n, 9, 'file_read.shop.paths', '~/.ssh' from c union all select n, 9, 'file_read.shop.deep.flag', 'True' from c
+ union all select n, 11, 'subprocess', 'make' from c where n % 3 = 0 union all select n, 12, 'subprocess', 'python' from c where n % 3 = 0 union all select n, 10, 'subprocess', 'make' from c where n % 3 <> 0)
+select 'u' || n as skill_id, pos, 'permissions.' || k as keys, split_part(k, '.', 1) as perm_type, scope from p"""
 ORACLE["manifest_findings"] = _with(TN, _PKG, EV) + """, hs as (select distinct skill_id from ev)
 select skill_id, 'LOW' as severity, 'Unknown' as category, 'Manifest missing ''name'' field' as description, '' as evidence from pk where conv_id % 5 = 0
 union all select skill_id, 'MEDIUM', 'SemanticCamouflage', 'Manifest missing ''description'' field — vague skills are harder to audit', '' from pk where conv_id % 4 = 0

@@ -270,6 +270,15 @@ def manifest_permissions(spark, sf):
     return man.permissions(v.manifest_files(spark, sf)).select("skill_id", "perm_type", "scope")
 
 
+@query
+def nested_permissions(spark, sf):
+    """Permissions that stand in nested maps and lists of maps, with the keys they stand under."""
+    files = v.nested_manifest_files(spark, sf)
+    keys = man.front_paths(files).filter("keys[0] = 'permissions'").select("skill_id", "pos", F.array_join("keys", ".").alias("keys"), F.col("value").alias("scope"))
+    kinds = man.permissions(files).select("skill_id", "pos", "perm_type", "scope")
+    return keys.join(kinds, ["skill_id", "pos", "scope"]).select("skill_id", F.col("pos").cast("long").alias("pos"), "keys", "perm_type", "scope")
+
+
 @query
 def manifest_findings(spark, sf):
     files = v.packages(spark, sf)

@@ -173,6 +173,18 @@ def manifest_files(spark: SparkSession, sf: str) -> DataFrame:
     return _as_files(s.groupBy("skill_id").agg(body.alias("b")).select("skill_id", F.lit("SKILL.md").alias("path"), F.concat(head, "b", F.lit("\n")).alias("content")))
 
 
+def nested_manifest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Instruction files of conversations whose permissions are maps and lists of maps, three deep."""
+    n = F.col("conv_id")
+    i = n.cast("string")
+    quoted = F.when(n % 2 == 0, F.concat(F.lit("\"h"), i, F.lit(".example.net\""))).otherwise(F.concat(F.lit("h"), i, F.lit(".example.net  # checked")))
+    head = F.concat(
+        F.lit("---\nname: pkg-"), i, F.lit("\npermissions:\n  network:\n    hosts:\n      - name: "), quoted, F.lit("\n        ports: [80, "), (n % 9).cast("string"),
+        F.lit("]\n      - name: '*'\n  file_read:\n    shop: {paths: [data/f"), i, F.lit(", ~/.ssh], deep: {flag: true}}\n"),
+        F.when(n % 3 == 0, F.lit("  subprocess:\n  - make\n  - python\n")).otherwise(F.lit("  subprocess: make\n")), F.lit("description: |\n  permissions:\n    none: here\nversion: 1\n---\n# Steps\n"))
+    return _as_files(table(spark, sf, "conversations").select("conv_id").distinct().select(F.concat(F.lit("u"), i).alias("skill_id"), F.lit("SKILL.md").alias("path"), head.alias("content")))
+
+
 def packages(spark: SparkSession, sf: str) -> DataFrame:
     """Whole derived packages: instruction files and scripts."""
     return manifest_files(spark, sf).unionByName(script_files(spark, sf))

@@ -358,9 +358,10 @@ def step_escalation(units: DataFrame, flow: DataFrame, misaligned: DataFrame) ->
     rows = chain.join(shown, [KEY, "id"]).join(bad, [KEY, "id"], "left")
     start = rows.groupBy(KEY, "root").agg(F.min(F.when(F.col("node_type") == "nl_directive", F.col("id"))).alias("start"))
     rows = rows.join(start, [KEY, "root"]).filter("id >= start")
-    per = rows.groupBy(KEY, "root").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.count("bad").alias("m"),
-                                        F.slice(F.array_sort(F.collect_list(F.struct("id", "label"))), 1, 4).alias("first"))
-    hit = per.filter("m >= 2 or (n >= 3 and m >= 1)")
+    per = rows.groupBy(KEY, "root").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.count("bad").alias("m")).filter("m >= 2 or (n >= 3 and m >= 1)")
+    # A sequence may be of any length; each task keeps its first four steps before the shuffle.
+    told = first_rows(rows.select(KEY, "root", "id", "label"), [KEY, "root"], [F.col("id")], 4)
+    hit = per.join(told.groupBy(KEY, "root").agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("first")), [KEY, "root"])
     names = F.array_join(F.transform("first", lambda x: F.concat(F.lit("«"), x["label"], F.lit("»"))), " → ")
     return hit.select(KEY, *[F.lit(v).alias(k) for k, v in zip(("name", "severity", "category"), fixed.OP_CHAINS["steps"])],
                       nl_id(F.col("head")).alias("node"), F.lit("SKILL.md").alias("path"), F.col("head").alias("line"),

@@ -5,11 +5,14 @@ A manifest is one file of bounded size, so windows over its lines stay small.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
-from packaudit.functions import fixed
+from packaudit.functions import fixed, frontmatter
 from packaudit.functions.lines import match_lines
 from packaudit.functions.tables import findings
 from packaudit.sources.packages import of_kind
@@ -54,13 +57,6 @@ def front_lines(manifests: DataFrame) -> DataFrame:
     return rows.withColumn("sub_key", F.last(inner, True).over(under))
 
 
-def list_values(value: Column) -> Column:
-    """``[a, b]`` or a plain scalar as an array of scalars; booleans in their usual spelling."""
-    inline = F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), lambda v: plain(v))
-    items = F.when(value.rlike(r"^\[.*\]$"), F.filter(inline, lambda v: v != "")).otherwise(F.array(value))
-    return F.transform(items, lambda v: F.when(F.lower(v) == "true", "True").when(F.lower(v) == "false", "False").otherwise(v))
-
-
 def manifest_fields(manifests: DataFrame) -> DataFrame:
     """One row per package with a manifest: named fields, empty where absent."""
     lines = front_lines(manifests)
@@ -98,14 +94,28 @@ def manifest_fields(manifests: DataFrame) -> DataFrame:
     })
 
 
+def front_paths(manifests: DataFrame) -> DataFrame:
+    """(skill_id, pos, keys, value) per scalar of the front matter, to any depth.
+
+    A file without front matter has no rows.  One Arrow pass over the headers alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+        for batch in batches:
+            rows = [(skill, *row) for skill, front in zip(batch.column("skill_id").to_pylist(), batch.column("front").to_pylist()) for row in frontmatter.paths(front)]
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds)], ["skill_id", "pos", "keys", "value"])
+
+    fronts = split_frontmatter(manifests).filter("front is not null").select("skill_id", "front")
+    return fronts.mapInArrow(run, "skill_id string, pos int, keys array<string>, value string")
+
+
 def permissions(manifests: DataFrame) -> DataFrame:
-    """Declared permissions as (package, type, scope) rows, from inline and block lists."""
-    under = front_lines(manifests).filter("top_key = 'permissions' and sub_key is not null")
-    inline = under.filter("item is null and key = sub_key and value <> ''").select(
-        "skill_id", "pos", F.col("sub_key").alias("perm_type"), F.explode(list_values(F.col("value"))).alias("scope"))
-    block = under.filter("item is not null").select(
-        "skill_id", "pos", F.col("sub_key").alias("perm_type"), F.col("item").alias("scope"))
-    return inline.unionByName(block)
+    """Declared permissions as (package, type, scope) rows; whatever stands below a type, at any
+    depth, is a scope of it."""
+    under = front_paths(manifests).filter((F.get("keys", F.lit(0)) == "permissions") & (F.size("keys") > 1))
+    return under.select("skill_id", "pos", F.get("keys", F.lit(1)).alias("perm_type"), F.col("value").alias("scope"))
 
 
 def dangerous_permissions(perms: DataFrame) -> DataFrame:
