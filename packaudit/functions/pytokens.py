@@ -73,21 +73,36 @@ class _Frame:
         self.add(group)
 
 
-def tokens(text: str) -> list[tuple[str, int]]:
+#: Words before a bracket that make no call.
+_NO_CALL = {"if", "elif", "while", "for", "in", "and", "or", "not", "return", "yield", "lambda", "assert", "del", "with", "except", "import", "from", "raise", "is", "else", "await", "as"}
+
+
+def tokens(text: str, tree: list[list] | None = None) -> list[tuple[str, int]]:
     """(token, line) of calls of interest and string constants in text order.
 
     A call is its name, bracket and arguments without the closing bracket; brackets nested
     deeper than two inside the arguments show as an ellipsis, so that the tokens of a text
     stay linear in its length however calls are nested.
+
+    ``tree`` takes every call, of interest or not, as [name, line, place of the name, place of
+    its closing bracket, number of calls around it, number of the innermost of these or -1]: a
+    call stands in the arguments of another, at any depth, if its places lie within.
     """
     breaks = [m.start() for m in re.finditer("\n", text)]
     out: list[list] = []
     stack: list[_Frame] = []
+    nodes: list[int | None] = []  # per open bracket, the call of the tree it belongs to
+    around: list[int] = []  # calls that are open
+    end_at = len(text)
     flat = None  # place in ``out`` of a constant outside brackets that the next one may join
 
     def close() -> None:
         nonlocal flat
         frame = stack.pop()
+        node = nodes.pop()
+        if node is not None:
+            tree[node][3] = end_at
+            around.pop()
         if frame.call is not None:
             out[frame.call][0] += "".join(map(str, frame.shown[2]))
         if not stack:
@@ -102,7 +117,7 @@ def tokens(text: str) -> list[tuple[str, int]]:
             s.append(frame.bracket + x + end)
         parent.lone, parent.last = False, None
 
-    previous, call = "mark", None
+    previous, call, node = "mark", None, None
     for m in _TOKEN.finditer(text):
         kind, s = m.lastgroup, m[0]
         top = stack[-1] if stack else None
@@ -128,10 +143,14 @@ def tokens(text: str) -> list[tuple[str, int]]:
             flat = None
         if kind == "open":
             stack.append(_Frame(s, call, previous))
-            call, previous = None, "mark"
+            nodes.append(node)
+            if node is not None:
+                around.append(node)
+            call, node, previous = None, None, "mark"
             continue
         if kind == "close":
             if stack:
+                end_at = m.start()
                 close()
             previous = "value"
             continue
@@ -143,6 +162,9 @@ def tokens(text: str) -> list[tuple[str, int]]:
         if kind == "name":
             here = m.start()
             opened = _CALLED.match(text, m.end())
+            if tree is not None and opened and opened[1] == "(" and s not in _NO_CALL and text[max(0, here - 4):here] != "def " and text[max(0, here - 6):here] != "class ":
+                node = len(tree)
+                tree.append([s, bisect_left(breaks, here) + 1, here, len(text), len(around), around[-1] if around else -1])
             if opened and _KEYWORD.search(s):
                 before = text[here - 1:here]
                 free = not (before and (before in "." or before.isalnum() or before == "_")) and text[max(0, here - 4):here] != "def " and text[max(0, here - 6):here] != "class "
@@ -152,6 +174,7 @@ def tokens(text: str) -> list[tuple[str, int]]:
                     out.append([s + opened[0], bisect_left(breaks, here) + 1])
             if s in ("return", "in", "and", "or", "not", "if", "else", "yield", "lambda", "is", "print", "await"):
                 previous = "mark" if s != "print" else previous
+    end_at = len(text)
     while stack:
         close()
     return [(str(t), line) for t, line in out]

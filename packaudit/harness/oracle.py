@@ -472,6 +472,20 @@ ORACLE["isolated_checks"] = ORACLE["registered_checks"] + """
 union all select skill_id, 'counts', 'LOW', 'SKILL.md', 0, 'Has a manifest' from pk
 union all select skill_id, 'sizes', 'LOW', '', 0, 'Plugin ''sizes'' error: no size for u7' from (select skill_id from pk union select skill_id from ev)
 union all select skill_id, 'missing', 'LOW', '', 0, 'Plugin ''missing'' error:' from (select skill_id from pk union select skill_id from ev)"""
+_ODD = "od as (select *, row_number() over (partition by skill_id, path order by event_id) as tl, k % 7 as kind from ev)"
+_TREE = """tr as (select skill_id, path, tl as line, unnest(case kind
+ when 0 then [{'fn': 'eval', 'depth': 0, 'up': ''}, {'fn': 'a' || k, 'depth': 1, 'up': 'eval'}, {'fn': 'b' || k, 'depth': 2, 'up': 'a' || k}, {'fn': 'c', 'depth': 3, 'up': 'b' || k}, {'fn': 'open', 'depth': 4, 'up': 'c'}, {'fn': 'read', 'depth': 4, 'up': 'c'}]
+ when 1 then [{'fn': 'os.path.join', 'depth': 0, 'up': ''}] when 2 then [{'fn': 'getattr', 'depth': 0, 'up': ''}] when 3 then [{'fn': 'Path.home', 'depth': 0, 'up': ''}]
+ when 4 then [{'fn': 's.connect', 'depth': 0, 'up': ''}] when 5 then [{'fn': 'os.dup2', 'depth': 0, 'up': ''}, {'fn': 's.fileno', 'depth': 1, 'up': 'os.dup2'}] else [{'fn': 'subprocess.call', 'depth': 0, 'up': ''}] end) as c from od)"""
+ORACLE["call_tree"] = _with(EV, _ODD, _TREE) + "select skill_id, path, line, c.fn as fn, c.depth as depth, c.up as parent_fn from tr"
+ORACLE["calls_inside_eval"] = _with(EV, _ODD, _TREE) + "select skill_id, path, c.fn as fn, count(*) as n from tr where c.depth > 0 and c.fn <> 's.fileno' group by all"
+ORACLE["odd_call_findings"] = _with(EV, _ODD) + """select skill_id, path, tl as line, 'CRITICAL' as severity, 'RemoteCodeExecution' as category, 'Dynamic code execution: eval() with dynamic argument' as description from od where kind = 0
+union all select skill_id, path, tl, 'CRITICAL', 'CredentialTheft', 'Sensitive file access: /home/u' || k || '/.ssh/id_rsa' from od where kind = 0
+union all select skill_id, path, tl, 'CRITICAL', 'CredentialTheft', 'Sensitive path constructed via os.path.join(): /home/u' || k || '/.ssh/id_rsa' from od where kind = 1
+union all select skill_id, path, tl, 'CRITICAL', 'Obfuscation', 'Indirect access via getattr to dangerous attribute' from od where kind = 2"""
+ORACLE["path_divisions"] = _with(EV, _ODD) + "select skill_id, path, tl as line, '~/.aws/credentials' as joined from od where kind = 3"
+ORACLE["reverse_shell_files"] = _with(EV, _ODD) + """select skill_id, path, 'CRITICAL' as severity, 'RemoteCodeExecution' as category, min(tl) filter (kind in (4, 5, 6)) as line, cast(0.95 as double) as confidence
+from od group by 1, 2 having bool_or(kind = 4) and bool_or(kind = 5) and bool_or(kind = 6)"""
 ORACLE["embedded_code_ops"] = _with(OPS, _TEXTLINE) + """select skill_id, path, tl as line, 'eval() in non-Python file' as label from x where t = 'signup'
 union all select skill_id, path, tl, 'subprocess call in non-Python file' from x where t = 'error' and cmd = ''
 union all select skill_id, path, tl, 'os.system() in non-Python file' from x where cmd <> ''

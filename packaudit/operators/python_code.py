@@ -15,6 +15,7 @@ from packaudit.functions import fixed, lines, pytokens
 from packaudit.functions.pytokens import STRING
 from packaudit.functions.tables import findings, union_all
 
+NODE = ("fn", "line", "open", "close", "depth", "parent")
 _COMMENT = r"#[^\n]*+"
 _DEPTH = 4  # the scan shows brackets inside arguments two deep
 
@@ -39,7 +40,8 @@ def parse(files: DataFrame) -> DataFrame:
     """All that is read off file contents, in one pass: one row per Python file.
 
     ``tokens`` holds calls and string constants in text order with their lines, ``divisions``
-    paths built with ``/``, ``modules`` the imports; two scores need only the text itself.
+    paths built with ``/``, ``modules`` the imports, ``calls`` the tree of all calls; two scores
+    need only the text itself.
     """
     t = F.col("content")
     lowered = lambda test, why: F.when(test, fixed.READABLE_LOSS[why]).otherwise(0.0)
@@ -57,12 +59,33 @@ def parse(files: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 texts = part.column("content").to_pylist()
-                toks = pa.array([as_rows(pytokens.tokens(x)) for x in texts], found)
+                trees = [[] for _ in texts]
+                toks = pa.array([as_rows(pytokens.tokens(x, tree)) for x, tree in zip(texts, trees)], found)
+                nested = pa.array([[dict(zip(NODE, call)) for call in tree] for tree in trees], pa.list_(pa.struct([(k, pa.string() if k == "fn" else pa.int32()) for k in NODE])))
                 cuts = pa.array([as_rows(pytokens.divisions(x)) if d else None for x, d in zip(texts, part.column("divides").to_pylist())], found)
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], toks, cuts], ["skill_id", "path", "modules", "entry_point", "readable", "tokens", "divisions"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], toks, cuts, nested], ["skill_id", "path", "modules", "entry_point", "readable", "tokens", "divisions", "calls"])
 
     span = "array<struct<text:string,line:int>>"
-    return rows.mapInArrow(scan, f"skill_id string, path string, modules array<string>, entry_point boolean, readable double, tokens {span}, divisions {span}")
+    return rows.mapInArrow(scan, f"skill_id string, path string, modules array<string>, entry_point boolean, readable double, tokens {span}, divisions {span}, "
+                           "calls array<struct<fn:string,line:int,open:int,close:int,depth:int,parent:int>>")
+
+
+def call_tree(parsed: DataFrame) -> DataFrame:
+    """All calls of each file: number, name, line, interval of places, depth and enclosing call.
+
+    ``parent`` is the number of the innermost call whose arguments hold it, -1 outside of all.
+    """
+    return parsed.select("skill_id", "path", F.posexplode("calls").alias("call", "z")).select("skill_id", "path", "call", "z.*")
+
+
+def inside_arguments(tree: DataFrame, outer: Column) -> DataFrame:
+    """The calls that stand, at any depth, in the arguments of a call for which ``outer`` holds.
+
+    Intervals nest: a call lies in an outer one exactly if some outer call before it closes
+    after it opens.  One window over the calls of each file, and no pairs of calls.
+    """
+    before = Window.partitionBy("skill_id", "path").orderBy("open").rowsBetween(Window.unboundedPreceding, -1)
+    return tree.withColumn("_far", F.max(F.when(outer, F.col("close"))).over(before)).filter(F.col("_far") > F.col("open")).drop("_far")
 
 
 def tokens(parsed: DataFrame) -> DataFrame:

@@ -61,3 +61,48 @@ def test_one_line_is_as_fast_as_many(piece):
 
     seconds(piece * 50)
     assert seconds(piece * n) < 3 * seconds((piece + "\n") * n) + 2
+
+
+def test_call_tree_against_the_language():
+    """Names and enclosing calls of random nested calls, against the interpreter's own parser."""
+    import ast
+    import random
+
+    rng = random.Random(4)
+
+    def made(depth):
+        kind = rng.randrange(6)
+        if depth > 6 or kind < 2:
+            return rng.choice(["x", "'a (b'", "1", "{'k': [y]}", '"""q)"""'])
+        inner = ", ".join(made(depth + 1) for _ in range(rng.randint(0, 3)))
+        return [f"f{rng.randrange(9)}({inner})", f"m.n{rng.randrange(9)} ({inner})", f"({inner + ',' if inner else ''})", f"[{inner}]"][kind - 2]
+
+    for _ in range(400):
+        text = "\n".join(f"v = {made(0)}  # g(" for _ in range(3)) + "\nif (z): pass\ndef h(a): return (b)\nclass C(D): pass\n"
+        tree = []
+        tokens(text, tree)
+        want = []
+
+        def walk(node, up):
+            for child in ast.iter_child_nodes(node):
+                if isinstance(child, ast.Call):
+                    want.append((ast.unparse(child.func), child.lineno, up))
+                    walk(child, ast.unparse(child.func))
+                else:
+                    walk(child, up)
+
+        walk(ast.parse(text), "")
+        got = [(fn, line, tree[up][0] if up >= 0 else "") for fn, line, _, _, _, up in tree]
+        assert sorted(got) == sorted(want), text
+        for _, _, a, b, depth, up in tree:
+            around = [t for t in tree if t[2] < a and t[3] > b]
+            assert len(around) == depth and (up < 0) == (not around) and (not around or tree[up] == max(around, key=lambda t: t[2]))
+
+
+def test_five_calls_have_their_parents():
+    tree = []
+    tokens("eval(f(g(h(open(p)))))", tree)
+    assert [(fn, depth, up) for fn, _, _, _, depth, up in tree] == [("eval", 0, -1), ("f", 1, 0), ("g", 2, 1), ("h", 3, 2), ("open", 4, 3)]
+    tree = []
+    tokens("open(" * 50_000, tree)
+    assert len(tree) == 50_000 and tree[-1][4] == 49_999
