@@ -380,8 +380,10 @@ union all select skill_id, 'node', 'permission', count(*) from pm group by all u
 union all select skill_id, 'edge', 'nl_flow', count(*) from sib group by all
 union all select skill_id, 'edge', 'ctrl_flow', count(*) from (select skill_id, lead(id) over (partition by skill_id, path order by line) as x from ops) where x is not null group by all"""
 _CAP = """cp as (select distinct skill_id, case op_type when 'io_op' then case when is_write then 'file_write' else 'file_read' end when 'net_op' then 'network' when 'sys_op' then 'subprocess' else 'env' end as dim,
- case op_type when 'io_op' then file_path when 'net_op' then case when url = '' then 'unknown_domain' else 'h' || k || '.example.net' end when 'sys_op' then case when cmd = '' then label else cmd end else var_name end as scope from ops where skill_id in (select skill_id from un)),
-dl as (select skill_id, unnest(['file_read', 'file_write', 'network', 'subprocess']) as dim, unnest([file_read, file_write, network, subprocess]) as dec from de)"""
+ case op_type when 'io_op' then file_path when 'net_op' then case when url = '' then 'unknown_domain' else 'h' || k || '.example.net' end when 'sys_op' then case when cmd = '' then label else cmd end else var_name end as scope from ops),
+da as (select p.skill_id, coalesce(file_read, []) as file_read, coalesce(file_write, []) as file_write, coalesce(network, []) as network, coalesce(subprocess, []) as subprocess
+ from (select skill_id from un union select skill_id from ops) p left join de on de.skill_id = p.skill_id),
+dl as (select skill_id, unnest(['file_read', 'file_write', 'network', 'subprocess']) as dim, unnest([file_read, file_write, network, subprocess]) as dec from da)"""
 _FZ = """nm as (select distinct skill_id, dim, unnest(case when contains(s, '/') then [s, split_part(s, '/', 1)] else [s] end) as y from (select *, regexp_replace(regexp_replace(lower(scope), '^[/~ ]+', ''), '[/~ ]+$', '') as s from cp where dim <> 'env')),
 na as (select skill_id, dim, unnest(dec) as x from dl),
 mt as (select na.skill_id, na.dim, count(distinct x) as m from na join nm on nm.skill_id = na.skill_id and nm.dim = na.dim and (contains(x, y) or contains(y, x)) group by 1, 2),
