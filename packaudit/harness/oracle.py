@@ -537,3 +537,43 @@ select skill_id, path, 'effect' as kind, 'network_request' as subtype, url as de
 union all select skill_id, path, 'effect', 'subprocess', 'child_process', true, 1 from p
 union all select skill_id, path, 'input', 'env_var', 'token', false, 1 from p
 union all select skill_id, path, 'sensitive_read', 'env', 'env:token', false, 1 from p"""
+
+_FORM = "(page_id // 2) % 12"
+ORACLE["external_hosts"] = f"""with h as (select page_id, {_FORM} as f, page_id % 200 as n, regexp_extract(url, '^https?://([^/:?#]+)', 1) as domain from pages)
+select page_id, case f when 0 then domain when 1 then '10.0.' || n || '.1' when 2 then '172.' || page_id % 40 || '.0.9' when 3 then '8.8.8.' || page_id % 300 when 4 then 'printer' || n || '.local' when 5 then '<c2_host' || n || '>'
+ when 6 then '<target' || n || '>' when 7 then 'fe80::1' when 8 then ' LocalHost ' when 9 then '' when 10 then '192.168.' || n || '.7' else (page_id % 60) + 200 || '.1.2.3' end as host,
+ case f when 0 then true when 1 then false when 2 then page_id % 40 not between 16 and 31 when 3 then true when 5 then true when 11 then page_id % 60 not between 40 and 55 else false end as is_external from h"""
+ORACLE["binary_files"] = """with d as (select source as skill_id, doc_id as n, 'files/' || case when doc_id % 4 = 3 then '.d' else 'd' end || doc_id || case doc_id % 4 when 0 then '.py' when 1 then '.png' else '' end as path,
+ doc_id % 7 = 0 or doc_id % 5 = 0 as b, text from documents)
+select skill_id, path, case n % 4 when 0 then '.py' when 1 then '.png' else '' end as ext, b as is_binary, case when not b and n % 4 in (0, 3) then length(text) else -1 end as chars,
+ case when b then 'Binary file detected: ' || path else '' end as finding from d"""
+ORACLE["source_selections"] = _with(TN, _PKG, EV, PF) + """select skill_id, 'SKILL.md' as path, 'injection' as scan, 0 as place from pk union all select skill_id, path, 'injection', 3 from pf where kind = 2
+union all select skill_id, 'SKILL.md', 'sources', 0 from pk union all select distinct skill_id, path, 'sources', 0 from ev union all select skill_id, path, 'beside code', 0 from pf where kind = 2"""
+ORACLE["supplied_contracts"] = f"""with told as (select 'u' || conv_id || case when turn // 32 > 0 then '-' || (turn // 32) else '' end as skill_id, 'S' || (turn % 32 + 1) as step_id, role, conv_id from conversations where conv_id % 2 = 0),
+inferred as ({ORACLE["contracts_inferred"]})
+select skill_id, step_id, case role when 'user' then 'project_dir/**' when 'system' then 'data/*' else '' end as allowed_file_reads, '' as allowed_file_writes, case role when 'assistant' then 'h2,h4.' else '' end as allowed_network,
+ case role when 'user' then 'make,python' when 'system' then '*' else '' end as allowed_subprocesses, role = 'system' as sensitive_ok, role = 'assistant' as network_ok from told
+union all select skill_id, step_id, allowed_file_reads, allowed_file_writes, allowed_network, allowed_subprocesses, sensitive_ok, network_ok from inferred where cast(regexp_extract(skill_id, '([0-9]+)', 1) as int) % 2 = 1"""
+ORACLE["wrapper_probes"] = f"select distinct source as skill_id from documents where doc_id % {len(PHRASES)} = {PHRASES.index('UNTRUSTED_INPUT_START')} and doc_id % 3 <> 2"
+ORACLE["instruction_graph"] = _with(TN, UN, _SIB, _DEC) + """select skill_id, case when cond then 'nl_trigger' else 'nl_directive' end as kind, count(*) as n from un group by all union all select skill_id, label, count(*) from sib group by all
+union all select skill_id, unnest(['file_read', 'file_write', 'network', 'subprocess']), unnest([len(file_read), len(file_write), len(network), len(subprocess)]) from de"""
+ORACLE["package_summaries"] = _with(TN, _PKG, EV, OP, IO, FLAGS) + """, st as (select skill_id, count(*) as n from tn group by 1), pl as (select skill_id, count(distinct detail) filter (kind = 'sensitive_read') as r,
+ count(distinct detail) filter (kind = 'effect' and subtype = 'network_request') as d from io group by 1), fg as (select skill_id, count(*) as scripts, bool_or(obf) as o, bool_or(packed) as p, bool_or(dyn) as y from fl group by 1),
+a as (select skill_id from pk union select skill_id from fg)
+select a.skill_id, coalesce(case when conv_id % 5 = 0 then '' else 'pkg-' || pk.skill_id end, '-') as skill_name, coalesce(st.n, 0) as step_count, coalesce(st.n, 0) as linked_steps, coalesce(scripts, 0) as scripts_found,
+ coalesce(r, 0) as sensitive_reads, coalesce(d, 0) as network_destinations, coalesce(o, false) as has_obfuscation, coalesce(p, false) as has_encoded_payloads, coalesce(y, false) as has_dynamic_execution
+from a left join pk on pk.skill_id = a.skill_id left join st on st.skill_id = a.skill_id left join pl on pl.skill_id = a.skill_id left join fg on fg.skill_id = a.skill_id"""
+ORACLE["context_lines"] = _with(OPS, TN, UN, _DEC, _JD, _CAP) + """, l as (select skill_id, 1 as section, dim || ': ' || unnest(dec) as text from dl union all select skill_id, 2, dim || ': ' || scope from cp where dim <> 'env'
+ union all select skill_id, 3, label || ' (risk=' || cast(round(risk * 100) as int) || '%) at ' || path || ':' || line || ' — undeclared:' || op_type from jd where not declared and risk >= 0.5 and anchor is not null
+ union all select 'u' || doc_id, 4, printf('code=%.2f alignment=%.2f', cast(n_chars % 67 as double) / 67, cast(n_chars % 61 as double) / 61) from documents)
+select skill_id, section, text, count(*) as n from l group by all"""
+_STEPCHAIN = """wy as (select skill_id, a, b from (select *, row_number() over (partition by skill_id, a order by case label when 'enter' then 2 when 'skip' then 1 else 0 end desc, b desc) as o from sib where b > a) where o = 1),
+up as (select skill_id, b as i, min(a) as up from wy group by 1, 2)"""
+_WALK = """ch as (select un.skill_id, un.i, un.i as root from un left join up on up.skill_id = un.skill_id and up.i = un.i where up.up is null
+ union all select up.skill_id, up.i, ch.root from up join ch on ch.skill_id = up.skill_id and ch.i = up.up)"""
+ORACLE["step_escalation"] = _with(OPS, TN, UN, _DEC, _JD, _SIB, _STEPCHAIN, _WALK, recursive=True) + f""", bad as (select distinct skill_id, anchor as i from jd where not declared and risk >= 0.5 and anchor is not null),
+r as (select ch.*, un.text, un.cond, bad.i is not null as bad from ch join un on un.skill_id = ch.skill_id and un.i = ch.i left join bad on bad.skill_id = ch.skill_id and bad.i = ch.i),
+s as (select *, min(i) filter (not cond) over (partition by skill_id, root) as start from r),
+p as (select skill_id, root, min(i) as head, count(*) as n, count(*) filter (bad) as m, list(text[1:50] order by i)[1:4] as first from s where i >= start group by 1, 2)
+select skill_id, '{fixed.OP_CHAINS["steps"][1]}' as severity, '{fixed.OP_CHAINS["steps"][2]}' as category, 'nl:' || head as node,
+ n || '-step NL chain with ' || m || ' undeclared code capability misaligns. Steps: ' || array_to_string([('«' || x || '»') for x in first], ' → ') as description from p where m >= 2 or (n >= 3 and m >= 1)"""

@@ -815,3 +815,87 @@ def audit_package_graph(spark, sf):
     """Audit B over the derived packages with the turns as parsed instructions."""
     r = graph_audit.audit(v.packages(spark, sf), v.units(spark, sf), unit_scores=v.unit_scores(spark, sf))["reports"]
     return r.select("skill_id", "verdict", "severity", r6("p").alias("p"), r6("s2").alias("s2"), r6("s3").alias("s3"), r6("fast_p").alias("fast_p"), "needs_judges", "misalign_count", "n_findings")
+
+
+# ------------------------------------------------------ selections, summaries, context
+
+
+@query
+def binary_files(spark, sf):
+    """Documents as raw files: some begin with the mark of a program, some hold a zero byte."""
+    d = v.table(spark, sf, "documents")
+    n = F.col("doc_id")
+    raw = F.when(n % 7 == 0, F.concat(F.unhex(F.lit("7F454C46")), F.col("text").cast("binary"))).when(n % 5 == 0, F.concat(F.unhex(F.lit("610062")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    name = F.concat(F.when(n % 4 == 3, ".d").otherwise("d"), n.cast("string"), F.when(n % 4 == 0, ".py").when(n % 4 == 1, ".png").otherwise(""))
+    f = src._shape(d.select(F.col("source").alias("skill_id"), F.concat(F.lit("files/"), name).alias("path"), F.octet_length(raw).cast("long").alias("length"), raw.alias("content")), fixed.TEXT_EXTENSIONS, F.lit(True))
+    found = src.binary_findings(f).select("skill_id", "path", "description")
+    return f.join(found, ["skill_id", "path"], "left").select("skill_id", "path", "ext", "is_binary", F.coalesce(F.char_length("content"), F.lit(-1)).cast("long").alias("chars"), F.coalesce("description", F.lit("")).alias("finding"))
+
+
+@query
+def source_selections(spark, sf):
+    """Which files the injection and embedded-code scans look at."""
+    f = v.packages(spark, sf).unionByName(v.page_files(spark, sf))
+    one = src.injection_files(f).select("skill_id", "path", F.lit("injection").alias("scan"), F.col("file_order").cast("long").alias("place"))
+    two = src.injection_sources(f).select("skill_id", "path", F.lit("sources").alias("scan"), F.lit(0).cast("long").alias("place"))
+    three = src.non_python_sources(f).select("skill_id", "path", F.lit("beside code").alias("scan"), F.lit(0).cast("long").alias("place"))
+    return one.unionByName(two).unionByName(three)
+
+
+@query
+def supplied_contracts(spark, sf):
+    """Contracts that a table supplies for every other package win over those inferred."""
+    m, p = man.manifest_fields(v.manifest_files(spark, sf)), man.permissions(v.manifest_files(spark, sf))
+    even = F.regexp_extract("skill_id", "([0-9]+)", 1).cast("int") % 2 == 0
+    k = contracts.prefer_supplied(contracts.infer_contracts(v.steps(spark, sf), m, p), v.contracts(spark, sf).filter(even))
+    j = lambda x: F.array_join(F.array_sort(x), ",").alias(x)
+    return k.select("skill_id", "step_id", j("allowed_file_reads"), j("allowed_file_writes"), j("allowed_network"), j("allowed_subprocesses"), "sensitive_ok", "network_ok")
+
+
+@query
+def wrapper_probes(spark, sf):
+    """Packages whose instruction text or scripts hold the mark of a wrapped input."""
+    f = v.phrased_texts(spark, sf)
+    n = F.col("path").cast("long") % 3
+    return inj.probe_hits(f.withColumn("path", F.when(n == 0, "SKILL.md").when(n == 1, F.concat(F.lit("scripts/d"), "path", F.lit(".py"))).otherwise(F.concat(F.lit("lib/deep/d"), "path", F.lit(".py")))))
+
+
+@query
+def instruction_graph(spark, sf):
+    """Nodes, flow edges and declared scopes from the instructions alone."""
+    n, e, scopes = g.instruction_graph(v.units(spark, sf))
+    node = n.groupBy("skill_id", F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
+    edge = e.groupBy("skill_id", F.col("label").alias("kind")).agg(F.count("*").alias("n"))
+    dims = g.declared_long(scopes).select("skill_id", F.col("dim").alias("kind"), F.size("declared").cast("long").alias("n"))
+    return node.unionByName(edge).unionByName(dims)
+
+
+@query
+def package_summaries(spark, sf):
+    fields = man.manifest_fields(v.manifest_files(spark, sf))
+    x = crossmodal.package_summary(fields, v.steps(spark, sf), v.script_files(spark, sf), v.script_io(spark, sf), v.script_flags(spark, sf))
+    n = lambda k: F.coalesce(k, F.lit(0)).cast("long").alias(k)
+    b = lambda k: F.coalesce(k, F.lit(False)).alias(k)
+    return x.select("skill_id", F.coalesce("skill_name", F.lit("-")).alias("skill_name"), *map(n, ("step_count", "linked_steps", "scripts_found", "sensitive_reads", "network_destinations")),
+                    *map(b, ("has_obfuscation", "has_encoded_payloads", "has_dynamic_execution")))
+
+
+@query
+def context_lines(spark, sf):
+    """What a package declares against what its code does, as lines."""
+    c_ = v.component_scores(spark, sf).select(F.concat(F.lit("u"), "skill_id").alias("skill_id"), "s2", "s3")
+    lines = g.context_lines(g.declared_scopes(v.units(spark, sf)), g.code_capabilities(v.ops(spark, sf)), _judged_ops(spark, sf), c_)
+    return lines.groupBy("skill_id", "section", "text").agg(F.count("*").alias("n"))
+
+
+@query
+def external_hosts(spark, sf):
+    """Whether hosts that code connects to lie outside: names, addresses and hints of variables."""
+    p = v.table(spark, sf, "pages").select("page_id", c.url_domain(F.col("url")).alias("domain"))
+    i = F.col("page_id")
+    s = lambda x: F.concat(*[y if isinstance(y, Column) else F.lit(y) for y in x])
+    n = (i % 200).cast("string")
+    forms = [F.col("domain"), s(["10.0.", n, ".1"]), s(["172.", (i % 40).cast("string"), ".0.9"]), s(["8.8.8.", (i % 300).cast("string")]), s(["printer", n, ".local"]), s(["<c2_host", n, ">"]),
+             s(["<target", n, ">"]), F.lit("fe80::1"), F.lit(" LocalHost "), F.lit(""), s(["192.168.", n, ".7"]), s([((i % 60) + 200).cast("string"), ".1.2.3"])]
+    host = F.element_at(F.array(*forms), ((F.floor(i / 2) % len(forms)) + 1).cast("int"))
+    return p.select("page_id", host.alias("host")).withColumn("is_external", c.is_external_host(F.col("host")))
