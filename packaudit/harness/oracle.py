@@ -577,3 +577,15 @@ s as (select *, min(i) filter (not cond) over (partition by skill_id, root) as s
 p as (select skill_id, root, min(i) as head, count(*) as n, count(*) filter (bad) as m, list(text[1:50] order by i)[1:4] as first from s where i >= start group by 1, 2)
 select skill_id, '{fixed.OP_CHAINS["steps"][1]}' as severity, '{fixed.OP_CHAINS["steps"][2]}' as category, 'nl:' || head as node,
  n || '-step NL chain with ' || m || ' undeclared code capability misaligns. Steps: ' || array_to_string([('«' || x || '»') for x in first], ' → ') as description from p where m >= 2 or (n >= 3 and m >= 1)"""
+
+_RARE = "ra as (select *, row_number() over (partition by skill_id, path order by event_id) as tl, k % 5 as kind, 'https://h' || k || '.example.net/b' as hidden, 'https://files.badhost.org/payload/abc' || k as plain from ev)"
+ORACLE["rare_code_ops"] = _with(EV, _RARE) + """, o as (select skill_id, path, 'net_op' as op_type, 'b64_url(' || hidden[1:60] || ')' as label, false as is_write, true as is_external from ra where kind = 0
+ union all select skill_id, path, 'net_op', 'url_literal(' || plain[1:60] || ')', false, true from ra where kind = 2
+ union all select skill_id, path, 'io_op', 'write(/home/u' || k || '/.bashrc))', true, false from ra where kind = 1)
+select skill_id, path, op_type, label, is_write, is_external, count(*) as n from o group by all"""
+ORACLE["startup_writes"] = _with(EV, _RARE) + f"""select skill_id, path, tl as line, '{fixed.OP_CHAINS["stay"][1]}' as severity, '{fixed.OP_CHAINS["stay"][2]}' as category,
+ 'Write to persistence path «/home/u' || k || '/.bashrc» at ' || path || ':' || tl as description from ra where kind = 1"""
+ORACLE["embedded_resources"] = _with(EV, _RARE) + """select skill_id, path, 'MEDIUM' as severity, tl as line, 'Suspicious hardcoded external URL: ' || plain[1:80] || ' in ' || split_part(path, '/', 2) as description from ra where kind = 2"""
+ORACLE["script_imports"] = _with(EV, _RARE) + """, m as (select skill_id, path, unnest(case when kind = 3 then ['json', 'json.loads', 'json.m' || k] else ['marshal', 'os.path'] end) as module from ra where kind = 3 or (kind = 4 and k % 10 <> 4)),
+e as (select skill_id, path, bool_or(kind = 4 and k % 10 = 4) as entry_point from ra group by 1, 2)
+select distinct m.skill_id, m.path, module, entry_point from m join e on e.skill_id = m.skill_id and e.path = m.path"""

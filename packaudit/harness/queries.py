@@ -899,3 +899,36 @@ def external_hosts(spark, sf):
              s(["<target", n, ">"]), F.lit("fe80::1"), F.lit(" LocalHost "), F.lit(""), s(["192.168.", n, ".7"]), s([((i % 60) + 200).cast("string"), ".1.2.3"])]
     host = F.element_at(F.array(*forms), ((F.floor(i / 2) % len(forms)) + 1).cast("int"))
     return p.select("page_id", host.alias("host")).withColumn("is_external", c.is_external_host(F.col("host")))
+
+
+def _rare_ops(spark, sf):
+    f = v.rare_scripts(spark, sf)
+    return g.with_code_ids(py.code_ops(py.tokens(py.parse(f)), f.filter("ext = '.txt'")))
+
+
+@query
+def rare_code_ops(spark, sf):
+    """Operations behind base64 constants, addresses in constants and start-up files."""
+    return _rare_ops(spark, sf).groupBy("skill_id", "path", "op_type", "label", "is_write", "is_external").agg(F.count("*").alias("n"))
+
+
+@query
+def startup_writes(spark, sf):
+    """Writes to start-up files as chains."""
+    x = g.op_chains(_rare_ops(spark, sf)).filter(F.col("name") == fixed.OP_CHAINS["stay"][0])
+    return x.select("skill_id", "path", F.col("line").cast("long").alias("line"), "severity", "category", "description")
+
+
+@query
+def embedded_resources(spark, sf):
+    from packaudit.operators.manifest import audit_embedded
+
+    f = audit_embedded({"files": v.rare_scripts(spark, sf)})
+    return f.select("skill_id", "path", "severity", F.col("line").cast("long").alias("line"), "description")
+
+
+@query
+def script_imports(spark, sf):
+    """Imported modules of each script, and whether it has a main guard."""
+    p = py.parse(v.rare_scripts(spark, sf))
+    return py.imports(p).join(p.select("skill_id", "path", "entry_point"), ["skill_id", "path"]).select("skill_id", "path", "module", "entry_point")

@@ -154,6 +154,20 @@ def odd_scripts(spark: SparkSession, sf: str) -> DataFrame:
     return _as_files(e.groupBy("skill_id", "path").agg(F.array_join(F.transform(lines, lambda x: x["code"]), "\n").alias("content")))
 
 
+def rare_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived scripts of packed constants, start-up files, unlisted addresses, imports and main guards."""
+    e = event_rows(spark, sf)
+    k, ks = F.col("k"), F.col("k").cast("string")
+    packed = F.base64(F.concat(F.lit("https://h"), ks, F.lit(".example.net/b")).cast("binary"))
+    code = (F.when(k % 5 == 0, F.concat(F.lit('v = b"'), packed, F.lit('"')))
+            .when(k % 5 == 1, F.concat(F.lit('open("/home/u'), ks, F.lit('/.bashrc", "w")')))
+            .when(k % 5 == 2, F.concat(F.lit('a = "https://files.badhost.org/payload/abc'), ks, F.lit('"')))
+            .when(k % 5 == 3, F.concat(F.lit("from json import loads, m"), ks))
+            .otherwise(F.when(k % 10 == 4, 'if __name__ == "__main__": pass').otherwise("import marshal, os.path")))
+    lines = F.array_sort(F.collect_list(F.struct("event_id", code.alias("code"))))
+    return _as_files(e.groupBy("skill_id", "path").agg(F.array_join(F.transform(lines, lambda x: x["code"]), "\n").alias("content")))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as steps of a package; long conversations become several programs."""
     t = table(spark, sf, "conversations")
