@@ -125,6 +125,9 @@ def components(edges: DataFrame) -> DataFrame:
             hooks = shorter.select("node", "up")
             if shorter.where("moved").isEmpty():
                 break
+        # Written, so that Spark knows how small they are: links of a root with very many of them are
+        # then met by broadcast; large tables are shuffled, and adaptive execution splits the root.
+        hooks = stored(hooks, "hooks")
         labels = hooks.withColumnRenamed("up", "root") if labels is None else cut(
             labels.join(hooks.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         for end in ("a", "b"):

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are dealt to overlapping shards: their nearest cluster centres, from a bounded sample,
-and within clusters larger than a shard to blocks.  Each shard builds a graph whose edges are
+and within clusters larger than a shard to the nearest of a second level of centres.  Each shard builds a graph whose edges are
 pruned so that a neighbour already reached through a nearer one is left out; the adjacency
 lists that a vector gets in its shards are united.  Every vector searches all shards of its
 clusters: a greedy beam from the shards' medoids, then a range-expanding walk through all
@@ -23,20 +23,21 @@ table (vec_id, embedding).
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.functions.tables import cut
-from packaudit.llm.common import components, key_type
+from packaudit.functions.tables import cut, first_rows
+from packaudit.llm.common import components, key_type, stored
 
 COSINE = 0.9
 SAMPLE = 20_000  # vectors, in the order of a hash, that the cluster centres are fitted to
 CLUSTER = 1500  # vectors that a cluster should hold
-CENTRES = 2048  # most clusters; beyond that, clusters are cut into more blocks
+CENTRES = 2048  # most clusters; beyond that, clusters have a second level of centres
+INNER = 20_000  # members of a cluster that its second level is fitted to
+CENTRE_BYTES = 64 << 20  # of all second-level centres of one length together
 OVERLAP = 3  # fewest clusters each vector is dealt to
 AUDIT = 256  # vectors, last in the order of the hash, whose links are looked for among all
 SHARED, RECALL = 0.97, 0.9  # shares of true links: that must share a cluster, that must be counted
@@ -62,10 +63,8 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
-def centres(points: DataFrame, dim: int, count: int) -> np.ndarray:
-    """Spherical k-means on at most SAMPLE vectors."""
-    rows = points.where(F.size("unit") == dim).orderBy("key", "unit").limit(SAMPLE).select("unit").toArrow()
-    x = _matrix(rows.column("unit"))
+def _kmeans(x: np.ndarray, count: int) -> np.ndarray:
+    """Spherical k-means."""
     rng = np.random.default_rng(5)
     c = x[rng.choice(len(x), min(count, len(x)), replace=False)]
     for _ in range(8):
@@ -77,6 +76,13 @@ def centres(points: DataFrame, dim: int, count: int) -> np.ndarray:
     return c
 
 
+def centres(points: DataFrame, dim: int, count: int) -> np.ndarray:
+    """Spherical k-means on at most SAMPLE vectors."""
+    rows = points.where(F.size("unit") == dim).orderBy("key", "unit").limit(SAMPLE).select("unit").toArrow()
+    x = _matrix(rows.column("unit"))
+    return _kmeans(x, count)
+
+
 def robust_prune(x: np.ndarray, i: int, pool: np.ndarray) -> np.ndarray:
     """At most DEGREE of the pool, nearest first; one that lies ALPHA times nearer to a kept one than to i goes."""
     pool = np.unique(pool[pool != i])
@@ -303,14 +309,54 @@ def audited(found: DataFrame, true: dict[int, tuple[int, int]]) -> dict[int, flo
     return {r["d"]: r["got"] / r["n"] for r in told}
 
 
+def split(placed: DataFrame, sizes: dict[int, int], dim: int, taken: int) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
+    """Centres of the second level: cluster -> (number of its first leaf, centres), and the next free number.
+
+    Only clusters over BLOCK are split.  Each is fitted by one task to at most INNER of its
+    members, the first in the order of their hash.  All second-level centres together stay
+    within CENTRE_BYTES, since they go to every task: beyond that a cluster gets fewer of them
+    and its leaves are cut into blocks.
+    """
+    large = {c: n for c, n in sizes.items() if n > BLOCK}
+    if not large:
+        return {}, taken
+    room = max(1, CENTRE_BYTES // (8 * dim))
+    wanted = {c: math.ceil(n / CLUSTER) for c, n in large.items()}
+    share = min(1.0, room / sum(wanted.values()))
+    counts = {c: max(2, int(n * share)) for c, n in wanted.items()}
+    inner = placed.select(F.explode("homes").alias("cluster"), "key", "unit").join(
+        F.broadcast(placed.sparkSession.createDataFrame(list(counts.items()), "cluster int, leaves int")), "cluster")  # a row per first-level centre
+    sample = first_rows(inner, ["cluster"], [F.col("key"), F.col("unit")], INNER)
+
+    def fitted(key, table):
+        c = _kmeans(_matrix(table.column("unit")), table.column("leaves")[0].as_py())
+        return pa.table({"cluster": pa.array([key[0].as_py()] * len(c), pa.int32()), "centre": pa.array(list(c), pa.list_(pa.float64()))})
+
+    rows = sample.groupBy("cluster").applyInArrow(fitted, "cluster int, centre array<double>").toArrow()
+    owner, matrix, out = np.asarray(rows.column("cluster")), _matrix(rows.column("centre")), {}
+    for c in sorted(large):
+        own = matrix[owner == c]
+        out[c] = taken, own
+        taken += len(own)
+    return out, taken
+
+
 def deal(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """(members, queries) of all shards: shard, rep, unit, homes, with copies or the part of the queries.
 
-    A cluster's members fall into blocks by a hash, and so do its queries; each block of
-    queries meets each block of members of its cluster.
+    A vector is dealt to the nearest clusters and, in clusters over BLOCK, to the nearest
+    leaves of a second level of centres; the leaves and the clusters without are its homes.  So
+    shards keep their size and a query visits a fixed number of them however large the table
+    is.  Where very many vectors lie closer than centres can part, the members of a leaf fall
+    into blocks by a hash, and so do its queries; each block of queries meets each block.
     """
     kind = key_type(points, "rep")
     base = dict(zip(fitted, np.cumsum([0, *(len(c) for c in fitted.values())]).tolist()))
+    schema = f"rep {kind}, key bigint, unit array<double>, copies bigint, homes array<int>"
+    names = ["rep", "key", "unit", "copies", "homes"]
+
+    def nearest(x: np.ndarray, c: np.ndarray, many: int) -> np.ndarray:
+        return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many]
 
     def assign(batches):
         for batch in batches:
@@ -319,19 +365,44 @@ def deal(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, in
             dims = np.asarray(lists.value_lengths())
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                sims = _matrix(lists.take(pa.array(rows))) @ fitted[int(d)].T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap[int(d)]] + base[int(d)]
+                best = nearest(_matrix(lists.take(pa.array(rows))), fitted[int(d)], overlap[int(d)]) + base[int(d)]
                 for r, h in zip(rows, best.tolist()):
                     homes[r] = h
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("unit"), batch.column("copies"), pa.array(homes, pa.list_(pa.int32()))], ["rep", "unit", "copies", "homes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(homes, pa.list_(pa.int32()))], names)
+
+    placed = cut(points.select(*names[:4]).mapInArrow(assign, schema))
+    sizes = {r["cluster"]: r["count"] for r in placed.select(F.explode("homes").alias("cluster")).groupBy("cluster").count().collect()}  # one per centre
+    leaves, taken = {}, sum(len(c) for c in fitted.values())
+    for d, c in fitted.items():
+        own = {i: n for i, n in sizes.items() if base[d] <= i < base[d] + len(c)}
+        more, taken = split(placed.where(F.size("unit") == d), own, d, taken)
+        leaves |= more
+    if leaves:
+        shared = placed.sparkSession.sparkContext.broadcast(leaves)  # at most CENTRE_BYTES per length of vectors
+
+        def refine(batches):
+            table = shared.value
+            for batch in batches:
+                lists, old = batch.column("unit"), batch.column("homes").to_pylist()
+                asked: dict[int, list[int]] = {}
+                for r, own in enumerate(old):
+                    for c in own:
+                        if c in table:
+                            asked.setdefault(c, []).append(r)
+                homes = [[c for c in own if c not in table] for own in old]
+                for c, rows in asked.items():
+                    first, centre = table[c]
+                    x = _matrix(lists.take(pa.array(rows)))
+                    for r, h in zip(rows, (nearest(x, centre, overlap[x.shape[1]]) + first).tolist()):
+                        homes[r] += h
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(homes, pa.list_(pa.int32()))], names)
 
-    placed = cut(points.select("rep", "key", "unit", "copies").mapInArrow(assign, f"rep {kind}, unit array<double>, copies bigint, homes array<int>"))
+        placed = cut(placed.mapInArrow(refine, schema))
     members = placed.select(F.explode("homes").alias("cluster"), "rep", "unit", "copies", "homes")
-    counts = members.groupBy("cluster").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).select("cluster", "blocks").collect()
-    blocks = F.element_at(F.create_map(*(F.lit(v) for r in counts for v in (r["cluster"], r["blocks"]))), F.col("cluster"))  # one entry per centre
+    counts = stored(members.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "blocks")  # small, so Spark may broadcast it
     salt = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int")
     shard = F.col("cluster").cast("long") * F.lit(1 << 24)
-    members = members.withColumn("blocks", blocks)
+    members = members.join(counts, "cluster")
     asked = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     queries = asked.select((shard + F.col("block")).alias("shard"), salt.alias("part"), "rep", "unit", "homes")
     return members.select((shard + salt).alias("shard"), "rep", "unit", "copies", "homes"), queries
@@ -393,7 +464,7 @@ def walks(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, i
 
 
 def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component, kept) per row of (vec_id, embedding).
+    """(vec_id, n_links, component, kept, audited_recall) per row of (vec_id, embedding).
 
     n_links counts the other rows linked directly, at cosine >= threshold; component is the
     smallest vec_id reached by links, the row's own included; kept tells whether that is its
@@ -401,6 +472,9 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     nothing, and neither do vectors of different lengths.  Equal vectors are collapsed first
     and counted again at the end.  Rows that repeat a vec_id count as rows.  A null vec_id
     names no component unless all of it is null.  Other columns are not read.
+    ``audited_recall`` is the share of the true links of the audited vectors that were counted,
+    the same for all rows (the least over lengths of vectors): under RECALL only if searching
+    every cluster has not found more.
     """
     kind = key_type(vectors, "vec_id")
     unit = cut(units(vectors).withColumn("key", F.xxhash64("unit")))
@@ -412,21 +486,21 @@ def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     while True:
         walked = walks(points, fitted, overlap, threshold)
         found = walked.groupBy("rep").agg(F.sum("found").alias("found"))
-        poor = {d: got for d, got in audited(found, true).items() if got < RECALL}
+        shares = audited(found, true)
+        poor = {d: share for d, share in shares.items() if share < RECALL}
         wider = {d: min(2 * o, len(fitted[d])) if d in poor else o for d, o in overlap.items()}
         if wider == overlap:
             break
         overlap = wider
-    if poor:
-        warnings.warn(f"op8_vectors: share of the true links found, by length of vectors, with every cluster searched: {poor}", stacklevel=2)
     joined = components(walked.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     told = points.join(found, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     told = cut(told.select("key", "unit", "least", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")))
-    least = cut(told.groupBy("root").agg(F.min("least").alias("component")))
+    least = stored(told.groupBy("root").agg(F.min("least").alias("component")), "least")
     told = cut(told.join(least, "root").select("key", F.col("unit").alias("_unit"), "n_links", "component"))
     linked = unit.join(told, (unit["key"] == told["key"]) & (F.col("unit") == F.col("_unit")), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component"))
-    return linked.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component")))
+    audit = min(shares.values(), default=1.0)
+    return linked.withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component")), "audited_recall": F.lit(float(audit))})
 
 
 def recall(vectors: DataFrame, found: DataFrame, share: int = 100, threshold: float = COSINE) -> float:

@@ -279,6 +279,32 @@ def test_vectors_without_structure(spark, monkeypatch):
     assert sum(found.values()) / true.sum() >= 0.9
 
 
+def test_second_level_of_centres(spark, monkeypatch):
+    """Few first-level clusters, all too large: leaves keep shards small and find nearly all links,
+    and a crowd that no centre parts falls into blocks."""
+    for name, value in (("CENTRES", 3), ("CLUSTER", 40), ("BLOCK", 120), ("INNER", 300)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(900, 24))
+    y = x + 0.25 * rng.normal(size=x.shape)
+    crowd = rng.normal(size=24) + 0.05 * rng.normal(size=(300, 24))
+    every = np.vstack([x, y, crowd])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    shards, walk = [], vectors.deal
+    monkeypatch.setattr(vectors, "deal", lambda *a: shards.append(walk(*a)) or shards[-1])
+    out = vectors.links(table).collect()
+    members, queries = shards[-1]
+    sizes = [r["count"] for r in members.groupBy("shard").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 3 * 120
+    per = queries.groupBy("rep").count().agg({"count": "avg"}).first()[0]
+    assert per < 40  # shards that a query visits
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    true = (unit @ unit.T >= vectors.COSINE).sum(1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in out}
+    assert all(found[i] <= n for i, n in enumerate(true)) and sum(found.values()) >= 0.9 * true.sum()
+    assert {r["audited_recall"] for r in out} <= {min(r["audited_recall"] for r in out)} and out[0]["audited_recall"] >= 0.9
+
+
 def test_wider_until_the_audit_is_met(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CLUSTER", 8)
     rng = np.random.default_rng(12)
