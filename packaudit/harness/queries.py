@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import findings, first_rows, numbered, prepare
+from packaudit.functions.tables import findings, first_rows, numbered, prepare, written
 from packaudit.harness import views as v
 from packaudit.operators import chains, contracts, graph as g, injection as inj, manifest as man
 from packaudit.operators import other_code, python_code as py, reach, reputation as rep, rules, scores, steps as stp, taint
@@ -632,9 +632,12 @@ def over_reach_gaps(spark, sf):
 
 @query
 def alignment_scores(spark, sf):
-    mis = g.cross_edges(_judged_ops(spark, sf)).filter("edge_type = 'misalign'")
+    ops, units = written(v.ops(spark, sf), "ops"), written(v.units(spark, sf), "units")  # read four times below
+    scopes = written(g.declared_scopes(units), "scopes")
+    mis = g.cross_edges(g.best_step(g.declared_ops(ops, scopes), g.step_anchors(units))).filter("edge_type = 'misalign'")
+    packages = units.select("skill_id").union(ops.select("skill_id")).distinct()
     al = v.script_flags(spark, sf).groupBy("skill_id").agg(F.min("analyzability").alias("analyzability"))
-    a = g.alignment(_all_packages(spark, sf), g.code_capabilities(v.ops(spark, sf)), g.declared_scopes(v.units(spark, sf)), mis, al)
+    a = g.alignment(packages, written(g.code_capabilities(ops), "caps"), scopes, mis, al)
     return a.select("skill_id", r6("over_reach").alias("over_reach"), r6("align_score").alias("align_score"), "misalign_count", r6("alignment_gap").alias("alignment_gap"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions import columns as c
 from packaudit.functions import fixed
-from packaudit.functions.tables import first_rows, union_all
+from packaudit.functions.tables import first_rows, union_all, written
 from packaudit.operators.contracts import steps_for_script
 
 
@@ -89,20 +89,22 @@ def attack_chains(script_io: DataFrame, flags: DataFrame, steps: DataFrame) -> D
     A chain row carries counts; its member scripts are the rows of ``stages_per_script`` for
     that package, so a package with very many scripts never becomes one long list.
     """
-    per_script = stages_per_script(script_io, flags)
+    # One narrow row per script; four ways of reading it follow.
+    per_script = written(stages_per_script(script_io, flags), "script_stages")
     listed = F.array_join(F.array_sort("stages"), ", ")
     strong = F.col("k.severity").isin("CRITICAL", "HIGH")
     typed = per_script.withColumn("k", classify_chain())
     inside = typed.withColumn("intra", (F.size("stages") >= 2) & strong)
-    links = steps_for_script(per_script, steps).select("skill_id", "path", F.size("step_list").alias("linked"))
+    named = written(steps_for_script(per_script, steps), "script_steps")
+    links = named.select("skill_id", "path", F.size("step_list").alias("linked"))
     one = inside.filter("intra").join(links, ["skill_id", "path"], "left")
     intra = _shape(one, "intra_script_", F.concat(F.lit("Script '"), "path", F.lit("' implements "), F.size("stages").cast("string"),
                    F.lit(" kill chain stages in single file: "), listed), F.col("path"), F.lit(1), F.coalesce("linked", F.lit(0)), 0.8)
     pkg = inside.groupBy("skill_id").agg(
         *[F.bool_or(s).alias(s) for s in fixed.STAGES], F.count("*").alias("n_scripts"), F.bool_or(~F.col("intra")).alias("fresh"))
     pkg = pkg.withColumn("stages", stage_array()).withColumn("k", classify_chain()).filter(strong & (F.size("stages") >= 2) & F.col("fresh") & (F.col("n_scripts") >= 2))
-    named = steps_for_script(per_script, steps).select("skill_id", F.explode("step_list").alias("i")).distinct().groupBy("skill_id").agg(F.count("*").alias("linked"))
-    pkg = pkg.join(named, "skill_id", "left")
+    told = named.select("skill_id", F.explode("step_list").alias("i")).distinct().groupBy("skill_id").agg(F.count("*").alias("linked"))
+    pkg = pkg.join(told, "skill_id", "left")
     spread = _shape(pkg, "distributed_", F.concat(F.lit("Distributed kill chain across "), F.col("n_scripts").cast("string"), F.lit(" scripts: "), listed),
                     F.lit(""), F.col("n_scripts"), F.coalesce("linked", F.lit(0)), 0.7)
     told = stages_from_steps(steps).withColumn("k", classify_chain()).filter(strong)
