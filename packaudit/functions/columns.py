@@ -202,3 +202,25 @@ def glob_to_regex(c: Column) -> Column:
     sets = F.regexp_replace(quoted, r"\[(?!!?(?:a-z|A-Z|0-9|\w)+\])", r"\\[")
     star = F.regexp_replace(sets, r"\*+", ".*")
     return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(star, r"\?", "."), r"\[!", "[^"), F.lit("$"))
+
+
+def matches_glob(text: Column, pattern: Column) -> Column:
+    """Whether a text fits a shell wildcard pattern of its own row.
+
+    A pattern with stars only is cut into its literal pieces: the first must start the text,
+    the last must end it, and the others follow in order, each at its first place after the one
+    before.  No regular expression is built for it; patterns with ``?`` or ``[seq]`` need one.
+    """
+
+    def by_pieces(pieces: Column) -> Column:
+        n = F.size(pieces)
+        first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+        found = lambda at, piece: F.call_function("locate", piece, text, at)
+
+        def step(at: Column, piece: Column) -> Column:
+            return F.when(at == 0, 0).otherwise(let(found(at, piece), lambda q: F.when(q == 0, 0).otherwise(q + F.length(piece))))
+
+        end = F.aggregate(F.slice(pieces, 2, F.greatest(n - 2, F.lit(0))), F.length(first) + 1, step)
+        return F.when(n == 1, text == first).otherwise(text.startswith(first) & text.endswith(last) & (end > 0) & (end <= F.length(text) - F.length(last) + 1))
+
+    return F.when(pattern.rlike(r"[?\[]"), F.rlike(text, glob_to_regex(pattern))).otherwise(let(F.split(pattern, r"\*+"), by_pieces))

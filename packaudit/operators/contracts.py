@@ -84,7 +84,7 @@ def path_covered(path: Column, allowed: Column) -> Column:
 
     def fits(a: Column) -> Column:
         low = F.lower(a)
-        return (low == p) | (low.startswith("project_dir") & local) | F.rlike(p, c.glob_to_regex(low)) | a.isin("**", "*")
+        return (low == p) | (low.startswith("project_dir") & local) | c.matches_glob(p, low) | a.isin("**", "*")
 
     return F.exists(allowed, fits)
 

@@ -16,18 +16,22 @@ def tier_rules() -> list[tuple[str, str, str]]:
 
 
 def tier_hits(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "content",
-              anchors: dict[str, list[str]] = anc.TIERS) -> DataFrame:
-    """One row per text and matching rule: tier, name and up to two snippets (one for tier 2)."""
+              anchors: dict[str, list[str]] = anc.TIERS, snippets: dict[str, int] | None = None) -> DataFrame:
+    """One row per text and matching rule: tier, name and what matched, in order.
+
+    ``snippets`` keeps only the first ones of a tier, as a report shows them.
+    """
     t = F.col(text)
 
     def marks(may) -> Column:
         out = []
         for i, (tier, name, pattern) in enumerate(rules):
-            snippets = F.slice(c.all_matches(t, c.rx(f"({pattern})", dotall=True)), 1, 2 if tier == "tier1" else 1)
+            matched = c.all_matches(t, c.rx(f"({pattern})", dotall=True))
+            shown = F.slice(matched, 1, snippets[tier]) if snippets and tier in snippets else matched
             out.append(F.when(
                 may(anchors.get(name)) & c.matches(t, pattern, dotall=True),
                 F.struct(F.lit(i).alias("rule_pos"), F.lit(tier).alias("tier"), F.lit(name).alias("name"),
-                         F.transform(snippets, lambda m: F.substring(m, 1, 100)).alias("snippets"))))
+                         F.transform(shown, lambda m: F.substring(m, 1, 100)).alias("snippets"))))
         return F.array_compact(F.array(*out))
 
     return df.select(*[x for x in df.columns if x != text], F.inline(anc.guarded(t, marks)))
