@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are dealt to overlapping shards: their nearest cluster centres, from a bounded sample,
-and within clusters larger than a shard to the nearest of a second level of centres.  Each shard builds a graph whose edges are
+and within clusters much larger than a shard to the nearest of a second level of centres.  Each shard builds a graph whose edges are
 pruned so that a neighbour already reached through a nearer one is left out; the adjacency
 lists that a vector gets in its shards are united.  Every vector searches all shards of its
 clusters: a greedy beam from the shards' medoids, then a range-expanding walk through all
@@ -42,6 +42,7 @@ OVERLAP = 3  # fewest clusters each vector is dealt to
 AUDIT = 256  # vectors, last in the order of the hash, whose links are looked for among all
 SHARED, RECALL = 0.97, 0.9  # shares of true links: that must share a cluster, that must be counted
 BLOCK = 4000  # most members of a shard, and most queries of a task
+SPLIT = 8 * BLOCK  # members from which a cluster gets a second level: up to there, few blocks cost less than more homes
 DEGREE, POOL, ALPHA = 24, 64, 1.2  # most neighbours kept, candidates looked at, slack of the pruning
 BEAM, ENTRIES = 32, 8
 PAIRS = 2_000_000  # cosines in memory at a time
@@ -227,6 +228,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def _homes(column) -> np.ndarray:
+    """Homes of each row, filled up with -1 to the longest row."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(flat.value_lengths())
+    out = np.full((len(flat), sizes.max(initial=1)), -1, np.int64)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.asarray(flat.flatten())
+    return out
+
+
 def _first_shared(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest cluster that row a of left and row b of right both hold."""
     out = np.full(len(a), np.iinfo(np.int64).max)
@@ -234,7 +244,7 @@ def _first_shared(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndar
         p = slice(s, s + PAIRS)
         for i in range(left.shape[1]):
             own = left[a[p], i].astype(np.int64)
-            hit = (right[b[p]] == own[:, None]).any(1)
+            hit = (own >= 0) & (right[b[p]] == own[:, None]).any(1)
             out[p][hit] = np.minimum(out[p][hit], own[hit])
     return out
 
@@ -312,12 +322,12 @@ def audited(found: DataFrame, true: dict[int, tuple[int, int]]) -> dict[int, flo
 def split(placed: DataFrame, sizes: dict[int, int], dim: int, taken: int) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
     """Centres of the second level: cluster -> (number of its first leaf, centres), and the next free number.
 
-    Only clusters over BLOCK are split.  Each is fitted by one task to at most INNER of its
+    Only clusters over SPLIT are split.  Each is fitted by one task to at most INNER of its
     members, the first in the order of their hash.  All second-level centres together stay
     within CENTRE_BYTES, since they go to every task: beyond that a cluster gets fewer of them
     and its leaves are cut into blocks.
     """
-    large = {c: n for c, n in sizes.items() if n > BLOCK}
+    large = {c: n for c, n in sizes.items() if n > SPLIT}
     if not large:
         return {}, taken
     room = max(1, CENTRE_BYTES // (8 * dim))
@@ -344,11 +354,11 @@ def split(placed: DataFrame, sizes: dict[int, int], dim: int, taken: int) -> tup
 def deal(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """(members, queries) of all shards: shard, rep, unit, homes, with copies or the part of the queries.
 
-    A vector is dealt to the nearest clusters and, in clusters over BLOCK, to the nearest
-    leaves of a second level of centres; the leaves and the clusters without are its homes.  So
-    shards keep their size and a query visits a fixed number of them however large the table
-    is.  Where very many vectors lie closer than centres can part, the members of a leaf fall
-    into blocks by a hash, and so do its queries; each block of queries meets each block.
+    A vector is dealt to the nearest clusters and, in clusters over SPLIT, to the nearest
+    leaves of a second level of centres; the leaves and the clusters without are its homes.
+    Members of a home fall into blocks by a hash, and so do its queries; each block of queries
+    meets each block of members.  As homes stay under SPLIT, a query visits a bounded number
+    of shards however large the table is, but for crowds that no centre can part.
     """
     kind = key_type(points, "rep")
     base = dict(zip(fitted, np.cumsum([0, *(len(c) for c in fitted.values())]).tolist()))
@@ -449,7 +459,7 @@ def walks(points: DataFrame, fitted: dict[int, np.ndarray], overlap: dict[int, i
             a, b = cells // n, cells % n
             other = asked[a] != reps[b]
             a, b = a[other], b[other]
-            shared = _first_shared(_matrix(query.column("homes")), _matrix(member.column("homes")), a, b)
+            shared = _first_shared(_homes(query.column("homes")), _homes(member.column("homes")), a, b)
             counted = shared == key[0].as_py() >> 24  # a pair that shares clusters is met in each
             out["rep"] = asked.tolist()
             out["found"] = np.bincount(a[counted], copies[b[counted]], len(asked)).astype(np.int64).tolist()

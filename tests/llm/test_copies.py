@@ -279,10 +279,11 @@ def test_vectors_without_structure(spark, monkeypatch):
     assert sum(found.values()) / true.sum() >= 0.9
 
 
-def test_second_level_of_centres(spark, monkeypatch):
+@pytest.mark.parametrize("split", [120, 1575])
+def test_second_level_of_centres(spark, monkeypatch, split):
     """Few first-level clusters, all too large: leaves keep shards small and find nearly all links,
     and a crowd that no centre parts falls into blocks."""
-    for name, value in (("CENTRES", 3), ("CLUSTER", 40), ("BLOCK", 120), ("INNER", 300)):
+    for name, value in (("CENTRES", 4), ("CLUSTER", 40), ("BLOCK", 120), ("SPLIT", split), ("INNER", 300)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(13)
     x = rng.normal(size=(900, 24))
@@ -296,6 +297,8 @@ def test_second_level_of_centres(spark, monkeypatch):
     members, queries = shards[-1]
     sizes = [r["count"] for r in members.groupBy("shard").count().collect()]
     assert len(sizes) > 20 and max(sizes) <= 3 * 120
+    homes = {r["n"] for r in members.selectExpr("size(homes) n").distinct().collect()}
+    assert split == 120 or len(homes) > 1  # some clusters are split, some are not
     per = queries.groupBy("rep").count().agg({"count": "avg"}).first()[0]
     assert per < 40  # shards that a query visits
     unit = every / np.linalg.norm(every, axis=1, keepdims=True)
